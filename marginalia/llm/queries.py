@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import language, mixing, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_secret_scan": secrets.query,
+    "op7_toxicity": toxicity.query,
+    "op8_language_id": language.query,
+    "op9_substring_dedup": substrings.query,
     "op10_source_mixing": mixing.query,
 }
 
