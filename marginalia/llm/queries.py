@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import language, mixing, secrets, simhash, substrings, toxicity
+from . import decontaminate, language, mixing, order_minhash, quotations, secrets, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_secret_scan": secrets.query,
+    "op3_order_minhash": order_minhash.query,
+    "op4_warc_archive": warc.query,
+    "op5_benchmark_decontamination": decontaminate.query,
+    "op6_quotation_linking": quotations.query,
     "op7_toxicity": toxicity.query,
     "op8_language_id": language.query,
     "op9_substring_dedup": substrings.query,
     "op10_source_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_archive": warc.SQL,
+    "op6_quotation_linking": quotations.SQL,
+}
