@@ -142,6 +142,27 @@ def predict(docs: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("__text"), lettered).mapInArrow(run, f"{schema}lang_pred string, score double")
 
 
+#: A document whose best language stays below this is rejected, as is one that is ``und``.
+LEAST_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, net: ByteNet | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, all columns, whose text has letters and, where a network was learned, some language of at least this probability."""
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    if net is None:
+        return lettered
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+            offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            probs = net.documents(np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8), offsets)
+            yield batch.filter(pa.array(probs.max(axis=1) >= least))
+
+    return lettered.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -105,10 +105,10 @@ def block_keys(n_nodes: int, radius: int) -> list[list[int]]:
     return [sum(chosen, []) for chosen in itertools.combinations(spans, blocks - radius)]
 
 
-def sampled_keys(n_nodes: int, radius: int, width: int = 128, recall: float = 0.95) -> list[list[int]]:
-    """Keys of about log2(n) - 4 random bits; so many that a pair at the full radius meets with the given probability."""
+def sampled_keys(n_nodes: int, distance: int, width: int = 128, recall: float = 0.97) -> list[list[int]]:
+    """Keys of about log2(n) - 4 random bits; so many that a pair at this distance meets with the given probability."""
     bits = min(28, max(10, round(math.log2(max(2, n_nodes))) - 4))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - radius / width) ** bits))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - distance / width) ** bits))
     rng = np.random.default_rng(SEED)
     return [sorted(rng.choice(width, bits, replace=False).tolist()) for _ in range(tables)]
 
@@ -288,5 +288,77 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(known, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near duplicates of similarity 0.8 or more: shingles of five words, 128-bit fingerprints. Texts at Jaccard 0.8 differ in
+#: about 19 bits (at cosine 8/9, a seventh of them); keys are made for that distance, searches reach further.
+SIMILARITY, WIDE_SHINGLE, KEY_DISTANCE, WIDE_RADIUS = 0.8, 5, 20, 30
+#: Least shingle hashes kept of a text to verify a link: exact up to so many shingles, beyond it within about 0.025.
+SKETCH = 256
+#: Up to so many ids are sent to every executor; beyond it Spark joins them.
+BROADCAST_IDS = 500_000
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text) to (node, sketch): the least SKETCH distinct shingle hashes, 32 bits each, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.unique((remix(shingle_hashes(t, shingle)) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, sketch binary")
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sketches: the share of common hashes among the least ones of the union that both sketches reach."""
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        union = union[:SKETCH]
+    if not len(union):
+        return 1.0
+    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / len(union)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those links (a, b) whose texts are at least so similar."""
+    small_batches(docs.sparkSession)
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    known = saved(sketches(texts, shingle).groupBy("node").agg(F.min("sketch").alias("sketch")))
+    met = pairs.join(known.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near duplicates, all columns: of each group of texts at least so similar, the least doc_id.
+
+    Candidates come from BK-trees over shards of sampled bits; each row is linked to the least member of its shard's
+    component and to its nearest member, and a link counts only if the texts' shingle sets are similar enough.
+    """
+    prints = saved(fingerprints(docs, shingle, wide=True))
+    nodes = saved(prints.filter("doc_id is not null").groupBy("f0", "f1").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
+    n = nodes.count()
+    pairs = saved(links_within(nodes, sampled_keys(n, KEY_DISTANCE), ["f0", "f1"], WIDE_RADIUS, nearest=True).distinct())
+    found = components(verified(pairs, docs, shingle, similarity))
+    stay = nodes.join(found, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("stays"))
+    judged = saved(prints.join(stay, ["f0", "f1"], "left").select("doc_id", (F.col("doc_id").isNull() & F.col("stays").isNotNull() | (F.col("doc_id") != F.col("stays"))).alias("goes")))
+    gone = judged.filter("goes").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    if not gone.filter("doc_id is null").isEmpty():
+        out = out.filter("doc_id is not null")
+    if judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
