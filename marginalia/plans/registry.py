@@ -1,15 +1,101 @@
-"""Every query over documents and pages, with its DuckDB form where there is one."""
+"""Every query over documents and pages: an operator's SQL, with the views it reads, run by Spark or written for DuckDB.
+
+An operator is a SELECT over named inputs. ``plan`` finds the inputs that are views of this package, adds them as common
+table expressions in the order in which they depend on each other, and leaves the given tables to the catalogue. With
+``apply`` any input can be a DataFrame of the user's instead.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.functions.dialect import DUCK, SPARK, Spark
+from marginalia.operators import OPERATORS, VIEWS
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@cache
+def fixtures() -> dict[str, str]:
+    """Name to SELECT of the views in fixtures.sql."""
+    text = re.sub(r"--[^\n]*", "", (Path(__file__).parent / "fixtures.sql").read_text())
+    return dict(re.findall(r"create view (\w+) as\s+(.*?);\s*(?=\n|$)", text + "\n", re.S))
+
+
+def definition(name: str, d: Spark) -> str | None:
+    if name in VIEWS:
+        return VIEWS[name](d)
+    return fixtures().get(name)
+
+
+def counted(sql: str) -> str:
+    """count_if(x) as a count of the rows where x holds, which both engines type and fill alike."""
+    while (at := sql.find("count_if(")) >= 0:
+        depth, end = 1, at + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(case when {sql[at + 9 : end - 1]} then 1 end){sql[end:]}"
+    return sql
+
+
+def sources(sql: str) -> dict[str, None]:
+    """Names that stand where a table does, in order; what is quoted does not count."""
+    return dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z]\w*)", re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql)))
+
+
+def plan(body: str, d: Spark, given: set[str] = frozenset()) -> str:
+    """The body with every view that it needs, but for those given, as common table expressions."""
+    done: dict[str, str] = {}
+
+    def add(sql: str, within: str = "") -> None:
+        for name in sources(sql):
+            if name in done or name in given or name == within or (text := definition(name, d)) is None:
+                continue
+            add(text, name)
+            done.setdefault(name, text)
+
+    add(body)
+    found = re.match(r"\s*with\s+(recursive\s+)?", body)
+    own, rest = ("", body) if not found else ("recursive " if found[1] else "", body[found.end() :])
+    recursive = "recursive " if own or any(n in sources(t) for n, t in done.items()) else ""
+    views = ", ".join(f"{n} as ({t})" for n, t in done.items())
+    if found:
+        return counted(f"with {recursive}{views}{', ' if views else ''}{rest}")
+    return counted(f"with {recursive}{views} {body}" if views else body)
+
+
+def apply(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
+    """The operator over the given inputs; what is not given is built from the catalogue's tables."""
+    for key, df in inputs.items():
+        df.createOrReplaceTempView(key)
+    return spark.sql(plan(OPERATORS[name](SPARK), SPARK, set(inputs)))
+
+
+def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """The given tables that the SQL names, as views."""
+    for name in TABLES:
+        if name in sources(sql):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = plan(OPERATORS[name](SPARK), SPARK)
+        tables(spark, sf_dir, sql)
+        return spark.sql(sql)
+
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _query(name) for name in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: plan(f(DUCK), DUCK) for name, f in OPERATORS.items()}
