@@ -1,6 +1,6 @@
 """Operators over documents, pages and extracted layout tables, each a SELECT over named inputs."""
 
-from . import checks, html, report, triage
+from . import checks, forms, html, layout, outline, report, triage, upkeep
 from .base import OPERATORS, VIEWS
 
-__all__ = ["OPERATORS", "VIEWS", "checks", "html", "report", "triage"]
+__all__ = ["OPERATORS", "VIEWS", "checks", "forms", "html", "layout", "outline", "report", "triage", "upkeep"]

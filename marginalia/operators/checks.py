@@ -112,7 +112,7 @@ def _tables(source: str) -> str:
 
 
 @view
-def issues(d: Spark) -> str:
+def page_issues(d: Spark) -> str:
     """Every finding on the pages."""
     n_words = d.count("text", r"[^ \t\n\r\f\v]+")
     return f"""
@@ -123,6 +123,30 @@ def issues(d: Spark) -> str:
       union all {_headings('headings')} union all {_links(d, 'links')} union all {_caps(d, 'paragraphs')}"""
 
 
+#: Documents of the extracted parts stand beside the pages under numbers of their own.
+_PARTS = 1_000_000_000
+
+
+@view
+def all_parts(d: Spark) -> str:
+    """(doc_id, kind, ordinal, text) of the pages' and the extracted documents' parts."""
+    return f"""select doc_id, 'heading' kind, ordinal, text from headings union all select doc_id, 'link', ordinal, text from links union all select doc_id, 'paragraph', ordinal, text from paragraphs
+      union all select doc_id + {_PARTS}, 'heading', cast(ordinal as bigint), text from fx_headings union all select doc_id + {_PARTS}, 'link', cast(ordinal as bigint), text from fx_links
+      union all select doc_id + {_PARTS}, 'picture', cast(ordinal as bigint), coalesce(alt, '') from fx_pictures"""
+
+
+@view
+def all_docs(d: Spark) -> str:
+    return f"select doc_id, source from page_meta union all select distinct doc_id + {_PARTS}, 'extracted ' || cast(doc_id % 7 as string) from fx_li"
+
+
+@view
+def issues(d: Spark) -> str:
+    """Every finding, on the pages and on the extracted documents."""
+    parts = " union all ".join(f"select * from ({f}) i{k}" for k, f in enumerate((_headings("fx_headings"), _pictures("fx_pictures"), _links(d, "fx_links"), _tables("fx_tables"))))
+    return f"select doc_id, key, severity, kind, ordinal from page_issues union all select doc_id + {_PARTS}, key, severity, kind, cast(ordinal as bigint) from ({parts}) x"
+
+
 # The order in which findings are made.
 RULES = "title lang no_headings empty_heading first_heading heading_skip picture ai_picture recovered_picture link_empty link_vague link_address table_header table_caption caps"
 # End of fixed values.
@@ -184,7 +208,7 @@ def issues_ordered(d: Spark) -> str:
 
 @operator
 def issues_summary(d: Spark) -> str:
-    return """select m.doc_id, count_if(i.severity = 'fix') fix, count_if(i.severity = 'review') review from page_meta m left join issues i on i.doc_id = m.doc_id group by m.doc_id"""
+    return """select m.doc_id, count_if(i.severity = 'fix') fix, count_if(i.severity = 'review') review from all_docs m left join issues i on i.doc_id = m.doc_id group by m.doc_id"""
 
 
 @operator
@@ -192,7 +216,7 @@ def issues_rollup(d: Spark) -> str:
     """Findings by key, severity and host, with subtotals."""
     return """
       select key, severity, source, count(*) n, count(distinct i.doc_id) docs, cast(grouping(key) + grouping(severity) + grouping(source) as int) level
-      from issues i join page_meta m on m.doc_id = i.doc_id group by rollup (key, severity, source)"""
+      from issues i join all_docs m on m.doc_id = i.doc_id group by rollup (key, severity, source)"""
 
 
 @operator
@@ -209,5 +233,4 @@ def issue_locator(d: Spark) -> str:
     """A finding with the first 80 characters of the part it is about."""
     return f"""
       select i.doc_id, i.key, i.kind, i.ordinal, substr({squeeze(d, 'p.text')}, 1, 80) text from issues i
-      join (select doc_id, 'heading' kind, ordinal, text from headings union all select doc_id, 'link', ordinal, text from links
-            union all select doc_id, 'paragraph', ordinal, text from paragraphs) p on p.doc_id = i.doc_id and p.kind = i.kind and p.ordinal = i.ordinal"""
+      join all_parts p on p.doc_id = i.doc_id and p.kind = i.kind and p.ordinal = i.ordinal"""

@@ -33,14 +33,23 @@ def definition(name: str, d: Spark) -> str | None:
     return fixtures().get(name)
 
 
-def counted(sql: str) -> str:
-    """count_if(x) as a count of the rows where x holds, which both engines type and fill alike."""
+def _end(sql: str, at: int) -> int:
+    """Where the bracket that opens just before ``at`` has closed."""
+    depth = 1
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[at], 0)
+        at += 1
+    return at
+
+
+def alike(sql: str) -> str:
+    """Counts and row numbers in the form that both engines type and fill alike."""
     while (at := sql.find("count_if(")) >= 0:
-        depth, end = 1, at + 9
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            end += 1
+        end = _end(sql, at + 9)
         sql = f"{sql[:at]}count(case when {sql[at + 9 : end - 1]} then 1 end){sql[end:]}"
+    for m in reversed(list(re.finditer(r"(?<!cast\()row_number\(\) over \(", sql))):
+        end = _end(sql, m.end())
+        sql = f"{sql[: m.start()]}cast({sql[m.start() : end]} as bigint){sql[end:]}"
     return sql
 
 
@@ -66,8 +75,8 @@ def plan(body: str, d: Spark, given: set[str] = frozenset()) -> str:
     recursive = "recursive " if own or any(n in sources(t) for n, t in done.items()) else ""
     views = ", ".join(f"{n} as ({t})" for n, t in done.items())
     if found:
-        return counted(f"with {recursive}{views}{', ' if views else ''}{rest}")
-    return counted(f"with {recursive}{views} {body}" if views else body)
+        return alike(f"with {recursive}{views}{', ' if views else ''}{rest}")
+    return alike(f"with {recursive}{views} {body}" if views else body)
 
 
 def apply(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
