@@ -234,3 +234,9 @@ def issue_locator(d: Spark) -> str:
     return f"""
       select i.doc_id, i.key, i.kind, i.ordinal, substr({squeeze(d, 'p.text')}, 1, 80) text from issues i
       join all_parts p on p.doc_id = i.doc_id and p.kind = i.kind and p.ordinal = i.ordinal"""
+
+
+@operator
+def page_findings(d: Spark) -> str:
+    """The findings on the pages alone."""
+    return "select doc_id, key, severity, kind, ordinal from page_issues"

@@ -103,8 +103,16 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in OPERATORS}
+    from marginalia.sources import files
+    from marginalia.streaming import arrivals
+
+    jobs = (files.decode_audit, files.corpus_writer, arrivals.stream_latest, arrivals.stream_checks)
+    return {name: _query(name) for name in OPERATORS} | {f.__name__: f for f in jobs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plan(f(DUCK), DUCK) for name, f in OPERATORS.items()}
+    out = {name: plan(f(DUCK), DUCK) for name, f in OPERATORS.items()}
+    # the streams end with what the batch forms give
+    out["stream_latest"], out["stream_checks"] = out["latest_snapshot"], out["page_findings"]
+    out["corpus_writer"] = "select source, count(*) docs, cast(sum(length(text)) as bigint) n_chars from documents group by source"
+    return out
