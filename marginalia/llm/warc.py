@@ -66,24 +66,24 @@ def headers(page_id: int | None, url: str | None, sha1: str, size: int, refers_t
     return "\r\n".join(lines).encode("utf-8", "replace") + END + http
 
 
-def chunks(page_id: int | None, url: str | None, body: memoryview, refers_to: int | None) -> Iterator[tuple[int, bytes, str, int]]:
+def chunks(page_id: int | None, url: str | None, body: memoryview, refers_to: int | None, chunk: int = CHUNK) -> Iterator[tuple[int, bytes, str, int]]:
     """(chunk, data, sha1 so far, payload bytes so far) of one record. The body is sliced, never copied whole."""
     size, whole = len(body), hashlib.sha1()
-    for at in range(0, size, CHUNK):
-        whole.update(body[at : at + CHUNK])
+    for at in range(0, size, chunk):
+        whole.update(body[at : at + chunk])
     head = headers(page_id, url, whole.hexdigest(), size, refers_to)
     running = hashlib.sha1()
     last = refers_to is not None or not size
     yield 0, head + END * last, running.hexdigest(), 0
     if not last:
-        for k, at in enumerate(range(0, size, CHUNK), 1):
-            piece = body[at : at + CHUNK]
+        for k, at in enumerate(range(0, size, chunk), 1):
+            piece = body[at : at + chunk]
             running.update(piece)
             done = at + len(piece)
             yield k, bytes(piece) + END * (done == size), running.hexdigest(), done
 
 
-def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
+def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, chunk: int = CHUNK) -> None:
     """Archives the pages as a chunked record table at path."""
     small_batches(pages.sparkSession)
     known = saved(revisits(pages, least)).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
@@ -96,7 +96,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
             held, size = [], 0
             bodies = batch.column(2).cast(pa.binary())
             for i, (page, url, refers) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-                for row in chunks(page, url, memoryview(bodies[i].as_buffer()), refers):
+                for row in chunks(page, url, memoryview(bodies[i].as_buffer()), refers, chunk):
                     held.append((record, *row))
                     size += len(row[1])
                     if size > 32 * CHUNK:
