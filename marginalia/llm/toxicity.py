@@ -19,7 +19,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
 WORD_SLOTS, CHAR_SLOTS = 1 << 16, 1 << 14
 #: Labelled documents of each class that training takes, on average, and windows of a document without toxic label.
-PER_CLASS, CLEAN_WINDOWS = 2500, 4
+PER_CLASS, CLEAN_WINDOWS = 1500, 4
 SIDE_BY_SIDE = 2048
 #: Words whose projections a worker keeps; beyond it the store starts anew.
 KNOWN_WORDS = 200_000
@@ -75,13 +75,13 @@ class Vocabulary:
             if w not in number:
                 number[w] = len(number) + 1
                 self.words.append(w)
-        return np.array([number[w] for w in words], dtype=np.int64)
+        return np.array([number[w] for w in words], dtype=np.int32)
 
 
 def window_ids(ids: np.ndarray) -> np.ndarray:
     """(WINDOW, windows): the word numbers of every overlapping window, the last one padded with 0; one window at least."""
     n = max(1, -(-(len(ids) - WINDOW) // STRIDE) + 1)
-    padded = np.zeros(WINDOW + STRIDE * (n - 1), dtype=np.int64)
+    padded = np.zeros(WINDOW + STRIDE * (n - 1), dtype=ids.dtype)
     padded[: len(ids)] = ids
     return padded[np.arange(WINDOW)[:, None] + STRIDE * np.arange(n)]
 
@@ -147,8 +147,8 @@ class TextNet:
         g = (weight * (1 / (1 + np.exp(-logit)) - y) / len(y)).astype(np.float32)
         adam.step(self.gradients(x, made, tables, ids, g, saved), rate)
 
-    def fit(self, texts: list[list[bytes]], y: np.ndarray, seed: int = 7) -> None:
-        """Whole texts as word lists, and their labels."""
+    def fit(self, texts: Iterable[list[bytes]], y: np.ndarray, seed: int = 7) -> None:
+        """Whole texts as word lists, read once and kept as numbers, and their labels."""
         r, vocabulary = np.random.default_rng(seed), Vocabulary()
         ids = [vocabulary.ids(t) for t in texts]
         words = vocabulary.words
@@ -201,10 +201,13 @@ class TextNet:
 
     def window_logits(self, words: list[bytes], views: list[np.ndarray]) -> list[np.ndarray]:
         tables = self.projections(self.inputs(words)[0])
-        sizes = [v.shape[1] for v in views]
-        every = np.concatenate(views, axis=1)
-        flat = np.concatenate([self.logits(tables, every[:, i : i + SIDE_BY_SIDE])[0] for i in range(0, every.shape[1], SIDE_BY_SIDE)])
-        return np.split(flat, np.cumsum(sizes)[:-1])
+        out: list[np.ndarray] = []
+        for at in range(0, len(views), 64):
+            some = views[at : at + 64]
+            every = np.concatenate(some, axis=1)
+            flat = np.concatenate([self.logits(tables, every[:, i : i + SIDE_BY_SIDE])[0] for i in range(0, every.shape[1], SIDE_BY_SIDE)])
+            out += np.split(flat, np.cumsum([v.shape[1] for v in some])[:-1])
+        return out
 
     def calibrate(self, logit: np.ndarray, y: np.ndarray) -> None:
         spread = max(1e-3, float(np.abs(logit).max()))
@@ -272,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame) -> TextNet | float:
     if not 0 < y.sum() < len(y):
         return float(y.mean()) if len(y) else 0.0
     net = TextNet()
-    net.fit([words_of(x[3]) for x in got], y)
+    net.fit((words_of(x[3]) for x in got), y)
     # the sample holds the classes in other shares than the labels do; the shift sets the odds right
     return corrected(net, y.mean(), n[1] / (n[0] + n[1]))
 
