@@ -26,6 +26,8 @@ K, L, SIGNATURES = 3, 2, 16
 #: A selected k-mer is packed into a long: 36 bits of its hash above 27 bits of its position.
 POSITION_BITS, HASH_MASK = 27, (1 << 36) - 1
 MOST_BUCKETS = 1024
+#: A text becomes as many rows as it has words, so its partitions are finer than the session's by this factor.
+PARTITIONS = 3
 FIRST = -(1 << 63)
 
 
@@ -102,7 +104,7 @@ def text_of(signature: Column) -> Column:
 def compare(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     kind = dict(docs.dtypes)["doc_id"]
-    partitions = max(docs.rdd.getNumPartitions() * 4, 8)
+    partitions = max(8, PARTITIONS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = neighbours(docs, partitions)
     both = rows.select("bucket", "place", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), edited(F.col("text"), F.col("next")).alias("text")))).alias("x"))
     signed = signatures(both.select("bucket", "place", "x.side", "x.text"), "bucket", "place", "side")
