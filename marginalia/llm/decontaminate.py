@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 EDITS, MIN_WORDS = 0.2, 5
-REPETITIONS, SAMPLES = 16, 3
+REPETITIONS, SAMPLES, COLLISIONS = 32, 2, 2
+#: How far into a walk its sampled steps lie, in steps a word, by repetition in turn: short reaches forgive early edits.
+REACHES = (0.25, 0.5, 0.8, 1.2)
 BLOCK_CHARS = 8_000_000
 #: Raw words whose numbers a worker remembers.
 KNOWN_WORDS = 500_000
@@ -51,23 +53,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def walk_keys(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """CGK walks of word numbers rows (n, widest), 0 beyond each size: the LSH keys, (REPETITIONS, n)."""
-    n, widest = rows.shape
+    """CGK walks of word numbers rows (n, widest), 0 beyond each size: the LSH keys, (REPETITIONS, n).
+
+    A walk's bit at a step is the parity of the word's hash under a random mask of that step and repetition. Every other
+    repetition walks from the end backwards, so that an edit spoils one direction only. Walks of the same size are
+    sampled at the same steps.
+    """
     rng = np.random.default_rng(5)
-    at = np.sort((rng.random((REPETITIONS, SAMPLES, 1)) * 2 * sizes).astype(np.int64), axis=1)
-    padded = np.concatenate((rows, np.zeros((n, 1), rows.dtype)), axis=1).astype(np.uint64)
+    reach = np.resize(np.repeat(REACHES, 2), REPETITIONS)[:, None]
+    share = rng.random((SAMPLES, REPETITIONS, 1)) * reach
     salt = rng.integers(1, 1 << 62, (REPETITIONS, 1)).astype(np.uint64)
-    pointer, lane = np.zeros((REPETITIONS, n), dtype=np.int64), np.arange(n)
-    key = np.broadcast_to(mix(sizes.astype(np.uint64) * _MIX) ^ salt, (REPETITIONS, n)).copy()
-    for step in range(int(2 * sizes.max()) if n else 0):
-        symbol = padded[lane, pointer]
+    steps = int(max(REACHES) * sizes.max()) + 1 if len(rows) else 0
+    masks = mix((np.arange(steps, dtype=np.uint64)[:, None] * np.uint64(REPETITIONS) + np.arange(REPETITIONS, dtype=np.uint64) + np.uint64(1)) * _MIX)[:, :, None]
+    out = []
+    for i in range(0, len(rows), 1024):
+        part, n = rows[i : i + 1024], sizes[i : i + 1024]
+        width, lane = rows.shape[1] + 1, np.arange(len(part))
+        hashes = np.zeros((2, len(part), width), dtype=np.uint64)  # a walk stays where the sequence has ended
+        hashes[0, :, :-1] = np.where(part > 0, mix((part.astype(np.uint64) + np.uint64(7)) * _MIX), np.uint64(1))
+        hashes[0][np.arange(width) >= n[:, None]] = 0
+        back = n[:, None] - 1 - np.arange(width)
+        hashes[1] = np.where(back >= 0, np.take_along_axis(hashes[0], np.maximum(back, 0), axis=1), 0)
+        flat = hashes.ravel()
+        pointer = (np.arange(REPETITIONS) % 2)[:, None] * (len(part) * width) + lane * width
+        walk = np.empty((steps, REPETITIONS, len(part)), dtype=np.uint64)
+        for step in range(steps):
+            np.take(flat, pointer, out=walk[step], mode="clip")
+            pointer += np.bitwise_count(walk[step] & masks[step]) & 1
+        at = (share * n).astype(np.int64)
+        key = mix(n.astype(np.uint64) * _MIX) ^ salt
         for k in range(SAMPLES):
-            hit = at[:, k] == step
-            if hit.any():
-                key[hit] = mix((key[hit] + symbol[hit] + np.uint64(1)) * _MIX)
-        move = mix((symbol + salt + np.uint64(step << 20)) * _MIX) & np.uint64(1)
-        pointer = np.minimum(pointer + move.astype(np.int64), sizes)
-    return key
+            key = mix((key + walk[at[k], np.arange(REPETITIONS)[:, None], lane]) * _MIX)
+        out.append(key)
+    return np.concatenate(out, axis=1) if out else np.empty((REPETITIONS, 0), dtype=np.uint64)
+
+
+def _shared(hit: np.ndarray, n: int, size: int) -> np.ndarray:
+    """How many of a window's word pairs are hits, for the window of n words from every start of a text of that size."""
+    total = np.concatenate(([0], np.cumsum(hit)))
+    begin = np.arange(max(1, size - n + 1))
+    return total[np.minimum(begin + n - 1, len(total) - 1)] - total[begin]
 
 
 class Items:
@@ -87,17 +112,25 @@ class Items:
         pairs = max(1, int(self.sizes.sum()))
         self.slots = 1 << max(12, math.ceil(math.log2(32 * pairs)))
         self.lengths = np.unique(self.sizes)
-        self.pairs, self.any_pair = {}, np.zeros(self.slots, dtype=bool)
-        for n in self.lengths.tolist():
+        # a bit for each length (lengths that are 64 ranks apart share one): which pairs its items hold
+        self.mask = np.zeros(self.slots, dtype=np.uint64)
+        for k, n in enumerate(self.lengths.tolist()):
             own = self.rows[self.sizes == n][:, :n]
-            self.pairs[n] = np.unique(self.slot(own[:, :-1], own[:, 1:]))
-            self.any_pair[self.pairs[n]] = True
+            self.mask[np.unique(self.slot(own[:, :-1], own[:, 1:]))] |= np.uint64(1 << k % 64)
+        # lengths up to 1.4 times one another are screened together: the longest's window, the least bound of any
+        self.groups: list[tuple[np.uint64, int, int, list[tuple[int, int]]]] = []
+        ranked = list(enumerate(self.lengths.tolist()))
+        while ranked:
+            group = [(k, n) for k, n in ranked if n <= 1.4 * ranked[0][1]]
+            ranked = ranked[len(group) :]
+            bits = np.uint64(0)
+            for k, _ in group:
+                bits |= np.uint64(1 << k % 64)
+            self.groups.append((bits, group[-1][1], min(self.needed(n) for _, n in group), group))
         keys = walk_keys(self.rows, self.sizes)
         self.key_item = np.tile(np.arange(len(split)), REPETITIONS)
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.key_item = keys.ravel()[order], self.key_item[order]
-        # no window of any length can be near without so many known pairs within the shortest item's span
-        self.least = max(1, min(self.needed(n) * int(self.lengths[0]) // (2 * n) for n in self.lengths.tolist()))
 
     def slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * _PAIR + b * np.int64(0x85EBCA6B) ^ (b >> 3)) & np.int64(self.slots - 1)
@@ -109,39 +142,56 @@ class Items:
         """Pairs that a window of n words shares with an item at the allowed distance: each edit breaks two, its shift one more."""
         return max(0, n - 1 - 3 * self.allowed(n))
 
+    def held(self, ids: np.ndarray) -> np.ndarray:
+        """For each pair of neighbouring words, the lengths whose items have it."""
+        known = ids > 0
+        return np.where(known[:-1] & known[1:], self.mask[self.slot(ids[:-1], ids[1:])], 0)
+
+    def suspects(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The texts in which some window, as long as the longest item of a group, shares enough pairs with the group. One pass
+        over all texts end to end: a window that runs on into the next text can only share more."""
+        sizes = np.array([len(t) for t in texts])
+        whole = np.concatenate([*texts, np.zeros(int(self.lengths[-1]) + 1, np.int64)])
+        held, doc = self.held(whole), np.repeat(np.arange(len(texts)), sizes)
+        found = np.zeros(len(texts), dtype=bool)
+        for bits, widest, least, _ in self.groups:
+            if least <= 0:
+                return np.arange(len(texts))
+            total = np.concatenate(([0], np.cumsum(held & bits != 0, dtype=np.int32)))
+            shared = total[widest - 1 : widest - 1 + len(doc)] - total[: len(doc)]
+            found[doc[shared >= least]] = True
+        return np.flatnonzero(found)
+
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) of item-sized windows that may be near some item of that length."""
         if len(ids) < self.lengths[0] - self.allowed(int(self.lengths[0])):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        known = (ids[:-1] > 0) & (ids[1:] > 0)
-        slot = self.slot(ids[:-1], ids[1:])
-        hit = known & self.any_pair[slot]
-        short = int(self.lengths[0])
-        total = np.concatenate(([0], np.cumsum(hit)))
-        reach = np.minimum(np.arange(len(total)) + short, len(total) - 1)
-        if (total[reach] - total).max() < self.least:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        starts, lengths = [], []
-        for n in self.lengths.tolist():
-            own = known & np.isin(slot, self.pairs[n])
-            total = np.concatenate(([0], np.cumsum(own)))
-            begin = np.arange(max(1, len(ids) - n + 1))
-            shared = total[np.minimum(begin + n - 1, len(total) - 1)] - total[begin]
-            at = np.flatnonzero(shared >= self.needed(n))
-            starts.append(at)
-            lengths.append(np.full(len(at), n))
+        held = self.held(ids)
+        starts, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for bits, widest, least, group in self.groups:
+            if least > 0 and _shared(held & bits != 0, widest, len(ids)).max() < least:
+                continue
+            for k, n in group:
+                own = held & np.uint64(1 << k % 64) != 0
+                shared = _shared(own, n, len(ids))
+                # a passage begins or ends with a pair of its item, or an edit stands at both its ends
+                edge = own[: len(shared)] | own[np.minimum(np.arange(len(shared)) + n - 2, len(own) - 1)] | (shared == shared.max())
+                at = np.flatnonzero((shared >= self.needed(n)) & edge)
+                starts.append(at)
+                lengths.append(np.full(len(at), n))
         return np.concatenate(starts), np.concatenate(lengths)
 
     def candidates(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Rows (text, item, start): items that share an LSH key with a window of their length."""
-        found = [self.windows(t) for t in texts]
-        doc = np.repeat(np.arange(len(texts)), [len(s) for s, _ in found])
+        """Rows (text, item, start): items that share COLLISIONS of their LSH keys with a window of their length."""
+        some = self.suspects(texts)
+        found = [self.windows(texts[i]) for i in some.tolist()]
+        doc = np.repeat(some, [len(s) for s, _ in found])
         if not len(doc):
             return np.empty((0, 3), np.int64)
         start, size = np.concatenate([s for s, _ in found]), np.concatenate([n for _, n in found])
         out = []
-        for i in range(0, len(doc), 4096):
-            d, s, n = doc[i : i + 4096], start[i : i + 4096], size[i : i + 4096]
+        for i in range(0, len(doc), 8192):
+            d, s, n = doc[i : i + 8192], start[i : i + 8192], size[i : i + 8192]
             rows = np.zeros((len(d), int(n.max())), dtype=np.int64)
             for k in range(len(d)):
                 piece = texts[d[k]][s[k] : s[k] + n[k]]
@@ -152,22 +202,31 @@ class Items:
             if count.sum():
                 lane = np.repeat(np.tile(np.arange(len(d)), REPETITIONS), count)
                 at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-                out.append(np.unique(np.stack((d[lane], self.key_item[at], s[lane]), axis=1), axis=0))
+                met, times = np.unique(np.stack((d[lane], self.key_item[at], s[lane]), axis=1), axis=0, return_counts=True)
+                out.append(met[times >= COLLISIONS])
         return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
 
     def verified(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end) of every item within its allowed distance of some passage: the nearest, first one."""
         found = self.candidates(texts)
+        if not len(found):
+            return []
+        text, item, start = found.T
+        # neighbouring starts of an item in a text are one region
+        fresh = np.ones(len(found), dtype=bool)
+        fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.sizes[item[1:]])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(found)) - 1
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for i in range(0, len(found)):
-            d, k, s = found[i].tolist()
-            n = int(self.sizes[k])
-            # neighbouring starts of one item are one region
-            if i and found[i - 1][0] == d and found[i - 1][1] == k and s - found[i - 1][2] <= self.allowed(n) and best.get((d, k), (n, 0))[0] == 0:
+        for i, j in zip(first.tolist(), last.tolist()):
+            d, k = int(text[i]), int(item[i])
+            n, most = int(self.sizes[k]), self.allowed(int(self.sizes[k]))
+            begin = max(0, int(start[i]) - most)
+            words, region = self.rows[k, :n], texts[d][begin : int(start[j]) + n + most]
+            if n - np.isin(words, region).sum() > most:
                 continue
-            begin = max(0, s - self.allowed(n))
-            edits, end = nearest(self.rows[k, :n], texts[d][begin : s + n + self.allowed(n)])
-            if edits <= self.allowed(n):
+            edits, end = nearest(words, region)
+            if edits <= most:
                 best[d, k] = min(best.get((d, k), (n, 0)), (edits, begin + end))
         return [(d, k, e, end) for (d, k), (e, end) in sorted(best.items())]
 
