@@ -54,15 +54,15 @@ def replies(parsed: DataFrame) -> DataFrame:
 
 def exchanges(links: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to) to (conv_id, turn, root, depth), by doubling the step up until no message has one left."""
-    state = saved(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth")))
+    state = saved(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moved")))
     for _ in range(MOST_ROUNDS):
         higher = state.select(F.col("conv_id").alias("h_conv"), F.col("turn").alias("h_turn"), F.col("up").alias("h_up"), F.col("depth").alias("h_depth"))
-        met = state.join(higher, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("up") == F.col("h_turn")), "left")
-        moves = F.col("h_up").isNotNull()
-        state = saved(met.select("conv_id", "turn", F.coalesce("h_up", "up").alias("up"), (F.col("depth") + F.coalesce("h_depth", F.lit(0))).alias("depth"), moves.alias("moved")))
+        # a message whose step leads to a beginning is done: it is looked up, but looks up no more
+        met = state.filter("moved").join(higher, F.col("conv_id").eqNullSafe(F.col("h_conv")) & (F.col("up") == F.col("h_turn")), "left")
+        met = met.select("conv_id", "turn", F.coalesce("h_up", "up").alias("up"), (F.col("depth") + F.coalesce("h_depth", F.lit(0))).alias("depth"), F.col("h_up").isNotNull().alias("moved"))
+        state = saved(state.filter("not moved").unionByName(met))
         if state.filter("moved").isEmpty():
             break
-        state = state.drop("moved")
     return state.select("conv_id", "turn", F.col("up").alias("root"), "depth")
 
 
@@ -85,10 +85,10 @@ def link(messages: DataFrame) -> DataFrame:
 
 def as_mail(conversations: DataFrame) -> DataFrame:
     """Turns as mail bodies: each quotes the turn before it, and that one's quote a level deeper. The tables hold no quotes of their own."""
-    turns = conversations.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    turns = conversations.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def before(steps: int, marks: str) -> Column:
-        return F.regexp_replace(f"t{steps}", "(?m)^", marks)
+        return F.concat(F.lit(marks), F.replace(F.col(f"t{steps}"), F.lit("\n"), F.lit("\n" + marks)))
 
     joined = turns
     for steps in (1, 2):
