@@ -272,24 +272,23 @@ def claim_audit(d: Spark) -> str:
     return "select doc_id, claimed, gate, case when claimed and not gate then 'false claim' when gate and not claimed then 'could claim' else 'as it is' end verdict from gates"
 
 
+@view
+def role_walk(d: Spark) -> str:
+    """Every kind with the kinds that its document's role map leads to, a step a row; a cycle ends where it comes back."""
+    grown = "concat(w.seen, array(m.to_kind))" if d.name == "spark" else "list_append(w.seen, m.to_kind)"
+    known = "array_contains(w.seen, m.to_kind)" if d.name == "spark" else "list_contains(w.seen, m.to_kind)"
+    return f"""select doc_id, kind, kind at_kind, {d.array('kind')} seen, 0 step from (select distinct doc_id, kind from fx_elems) k
+      union all select w.doc_id, w.kind, m.to_kind, {grown}, w.step + 1 from role_walk w join fx_rolemap m on m.doc_id = w.doc_id and m.from_kind = w.at_kind where not {known}"""
+
+
 @view
 def role_chain(d: Spark) -> str:
-    """Every kind followed through its document's role map to the end; a cycle ends where it comes back."""
-    walk = """select k.doc_id, k.kind, k.kind at_kind, 0 step from (select distinct doc_id, kind from fx_elems) k"""
-    return f"""select doc_id, kind, max_by(at_kind, step) resolved from (
-      select * from ({walk}) s0 union all select k.doc_id, k.kind, a.to_kind, 1 from (select distinct doc_id, kind from fx_elems) k join fx_rolemap a on a.doc_id = k.doc_id and a.from_kind = k.kind and a.to_kind <> k.kind
-      union all select k.doc_id, k.kind, b.to_kind, 2 from (select distinct doc_id, kind from fx_elems) k join fx_rolemap a on a.doc_id = k.doc_id and a.from_kind = k.kind
-        join fx_rolemap b on b.doc_id = a.doc_id and b.from_kind = a.to_kind and b.to_kind <> k.kind and b.to_kind <> a.to_kind) r group by doc_id, kind"""
+    return "select doc_id, kind, max_by(at_kind, step) resolved from role_walk group by doc_id, kind"
 
 
 @operator
 def role_resolution(d: Spark) -> str:
-    """With a recursive walk and the kinds seen so far."""
-    return f"""with recursive walk as (
-      select doc_id, kind, kind at_kind, {d.array('kind')} seen, 0 step from (select distinct doc_id, kind from fx_elems) k
-      union all select w.doc_id, w.kind, m.to_kind, {"concat(w.seen, array(m.to_kind))" if d.name == "spark" else "list_append(w.seen, m.to_kind)"}, w.step + 1
-        from walk w join fx_rolemap m on m.doc_id = w.doc_id and m.from_kind = w.at_kind where not {"array_contains(w.seen, m.to_kind)" if d.name == "spark" else "list_contains(w.seen, m.to_kind)"})
-      select doc_id, kind, max_by(at_kind, step) resolved from walk group by doc_id, kind"""
+    return "select doc_id, kind, resolved from role_chain"
 
 
 @operator

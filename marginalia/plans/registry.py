@@ -79,11 +79,18 @@ def plan(body: str, d: Spark, given: set[str] = frozenset()) -> str:
     return alike(f"with {recursive}{views} {body}" if views else body)
 
 
+def run(spark: SparkSession, sql: str) -> DataFrame:
+    """Recursive walks end by themselves, so the session's row limit for them, made for mistakes, is lifted."""
+    if sql.startswith("with recursive"):
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(sql)
+
+
 def apply(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
     """The operator over the given inputs; what is not given is built from the catalogue's tables."""
     for key, df in inputs.items():
         df.createOrReplaceTempView(key)
-    return spark.sql(plan(OPERATORS[name](SPARK), SPARK, set(inputs)))
+    return run(spark, plan(OPERATORS[name](SPARK), SPARK, set(inputs)))
 
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
@@ -94,12 +101,12 @@ def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = plan(OPERATORS[name](SPARK), SPARK)
         tables(spark, sf_dir, sql)
-        return spark.sql(sql)
+        return run(spark, sql)
 
-    return run
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
