@@ -289,8 +289,8 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
 
 
 #: Near duplicates of similarity 0.8 or more: shingles of five words, 128-bit fingerprints. Texts at Jaccard 0.8 differ in
-#: about 19 bits (at cosine 8/9, a seventh of them); keys are made for that distance, searches reach further.
-SIMILARITY, WIDE_SHINGLE, KEY_DISTANCE, WIDE_RADIUS = 0.8, 5, 20, 30
+#: about 19 bits on average (at cosine 8/9, a seventh of them), short ones in up to 30; keys are made for 24, searches reach 34.
+SIMILARITY, WIDE_SHINGLE, KEY_DISTANCE, WIDE_RADIUS = 0.8, 5, 24, 34
 #: Least shingle hashes kept of a text to verify a link: exact up to so many shingles, beyond it within about 0.025.
 SKETCH = 256
 #: Up to so many ids are sent to every executor; beyond it Spark joins them.
