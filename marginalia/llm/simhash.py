@@ -203,8 +203,8 @@ class Union:
 def shard_links(rows: DataFrame, words: list[str], radius: int, nearest: bool = False) -> DataFrame:
     """(key, tree, is_node, f0[, f1], node), to links (a, b, distance) of nodes within radius that share a key and tree.
 
-    Without ``nearest``, one link joins each row to the least member of its local component. With it, each row is
-    linked to that member and to its nearest one; at most two links a row, for a check of the texts that follows.
+    Without ``nearest``, one link joins each row to the least member of its local component. With it, each row is linked
+    to its nearest one, and what that joins to the component's least member, for a check of the texts that follows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,12 +229,18 @@ def shard_links(rows: DataFrame, words: list[str], radius: int, nearest: bool =
                     np.minimum.at(best, query, distance.astype(np.int64) << 32 | found)
             least = np.full(len(node), np.iinfo(np.int64).max)
             np.minimum.at(least, union.label, node)
-            a, b = [node], [least[union.label]]
             if nearest:
+                # what the links to nearest members join needs one more link only, from its least member
                 has = np.flatnonzero(best < 1 << 40)
-                a.append(node[has])
-                b.append(node[best[has] & 0xFFFFFFFF])
-            a, b = np.concatenate(a), np.concatenate(b)
+                near = Union(len(node))
+                near.add(has, best[has] & 0xFFFFFFFF)
+                own_least = np.full(len(node), np.iinfo(np.int64).max)
+                np.minimum.at(own_least, near.label, node)
+                top = np.unique(near.label)
+                a = np.concatenate((node[has], own_least[top]))
+                b = np.concatenate((node[best[has] & 0xFFFFFFFF], least[union.label[top]]))
+            else:
+                a, b = node, least[union.label]
             pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -340,8 +346,8 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near duplicates, all columns: of each group of texts at least so similar, the least doc_id.
 
-    Candidates come from BK-trees over shards of sampled bits; each row is linked to the least member of its shard's
-    component and to its nearest member, and a link counts only if the texts' shingle sets are similar enough.
+    Candidates come from BK-trees over shards of sampled bits; each row is linked to its nearest member in the shard, and
+    what that joins to the least member; a link counts only if the texts' shingle sets are similar enough.
     """
     prints = saved(fingerprints(docs, shingle, wide=True))
     nodes = saved(prints.filter("doc_id is not null").groupBy("f0", "f1").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
