@@ -121,7 +121,8 @@ def next_level(texts: DataFrame, short: int, long: int, first: bool) -> DataFram
 
 def repeated_places(windows: DataFrame, later: bool) -> DataFrame:
     """(hash, doc, at) to (doc, places): those of hashes in two documents; with ``later`` not those in a hash's first document."""
-    twice = windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("hash", "low")
+    # kept as a table, so that both sides of the join are plain shuffles, whose hot partitions Spark can split
+    twice = saved(windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("hash", "low"))
     met = windows.join(twice, "hash")
     if later:
         met = met.filter("doc > low")
