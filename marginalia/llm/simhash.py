@@ -78,23 +78,31 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def digest(distinct: np.ndarray) -> tuple[int, int]:
+    """128 bits of a sorted set of hashes, as two longs: texts are folded only where these are equal."""
+    x = xxhash.xxh3_128_intdigest(distinct.tobytes(), SEED)
+    return signed(x >> 64), signed(x & (1 << 64) - 1)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
-    """(doc_id, f0[, f1]): 64 bits as a long, with ``wide`` 64 more from the remixed hashes."""
+    """(doc_id, f0): 64 bits as a long. With ``wide`` (doc_id, f0, f1, d0, d1) of the distinct shingles: 64 more bits from the remixed hashes, and a digest."""
     small_batches(docs.sparkSession)
+    names = ["f0", "f1", "d0", "d1"] if wide else ["f0"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[], []]
+            out: list[list[int]] = [[] for _ in names]
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
-                out[0].append(signed(majority(hashes)))
                 if wide:
-                    out[1].append(signed(majority(remix(hashes))))
-            columns = [batch.column(0), pa.array(out[0], pa.int64())] + ([pa.array(out[1], pa.int64())] if wide else [])
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "f0", "f1"][: len(columns)])
+                    hashes = np.unique(hashes)
+                row = [signed(majority(hashes))] + ([signed(majority(remix(hashes))), *digest(hashes)] if wide else [])
+                for column, x in zip(out, row):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(column, pa.int64()) for column in out], names=["doc_id", *names])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, f0 long" + ", f1 long" * wide)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}" + "".join(f", {c} long" for c in names))
 
 
 def block_keys(n_nodes: int, radius: int) -> list[list[int]]:
@@ -346,16 +354,17 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near duplicates, all columns: of each group of texts at least so similar, the least doc_id.
 
+    Texts of the same set of shingles are one node; different sets are different nodes, also under one fingerprint.
     Candidates come from BK-trees over shards of sampled bits; each row is linked to its nearest member in the shard, and
     what that joins to the least member; a link counts only if the texts' shingle sets are similar enough.
     """
     prints = saved(fingerprints(docs, shingle, wide=True))
-    nodes = saved(prints.filter("doc_id is not null").groupBy("f0", "f1").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
+    nodes = saved(prints.filter("doc_id is not null").groupBy("d0", "d1", "f0", "f1").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
     n = nodes.count()
-    pairs = saved(links_within(nodes, sampled_keys(n, KEY_DISTANCE), ["f0", "f1"], WIDE_RADIUS, nearest=True).distinct())
+    pairs = saved(links_within(nodes.drop("d0", "d1"), sampled_keys(n, KEY_DISTANCE), ["f0", "f1"], WIDE_RADIUS, nearest=True).distinct())
     found = components(verified(pairs, docs, shingle, similarity))
-    stay = nodes.join(found, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("stays"))
-    judged = saved(prints.join(stay, ["f0", "f1"], "left").select("doc_id", (F.col("doc_id").isNull() & F.col("stays").isNotNull() | (F.col("doc_id") != F.col("stays"))).alias("goes")))
+    stay = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("stays"))
+    judged = saved(prints.join(stay, ["d0", "d1"], "left").select("doc_id", (F.col("doc_id").isNull() & F.col("stays").isNotNull() | (F.col("doc_id") != F.col("stays"))).alias("goes")))
     gone = judged.filter("goes").select("doc_id").distinct()
     few = gone.count() <= BROADCAST_IDS
     out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
