@@ -2,11 +2,9 @@
 
 A text's words (lower-cased A-Z) give shingles of ``shingle`` words, repeats included; fingerprint bit i is set if it
 is set in more than half of the shingles' XXH64 values. Equal fingerprints are folded into one node, named by its least
-doc_id. Every node is copied under several keys so that similar fingerprints meet under a common one:
-
-* exact keys (``block_keys``): the 64 bits fall into blocks, and any two fingerprints that differ in at most ``radius``
-  bits agree in all but ``radius`` blocks, so a key for each choice of the remaining blocks misses no link;
-* sampled keys (``sampled_keys``): for wide radii, keys of randomly chosen bits, as many as a stated recall needs.
+doc_id. Every node is copied under several exact keys (``block_keys``), so that similar fingerprints meet under a common one: the
+64 bits fall into blocks, and any two fingerprints that differ in at most ``radius`` bits agree in all but ``radius``
+blocks, so a key for each choice of the remaining blocks misses no link.
 
 Each key's nodes form a shard. A shard's BK-tree files every fingerprint below its parent by their integer Hamming
 distance; a search goes from a node at distance d only along edges from d - radius to d + radius. A shard of more than
@@ -14,6 +12,9 @@ distance; a search goes from a node at distance d only along edges from d - radi
 key is neither one task nor one large tree, and no link is lost. A shard returns links to one member for each of its
 local components, never all pairs; ``components`` joins them.
 
+The pipeline's stage (``one_of_each``) measures Jaccard similarity of shingle sets, which fingerprints of repeated
+shingles do not: its candidates meet under keys of least hashes, and every pair that met is settled on the texts.
+
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle make
 one shingle of all; a null doc_id keeps its row and gets its group's least doc_id (null if the group has no other);
 repeated rows share a group; an empty table gives no rows; other columns are ignored.
@@ -84,25 +85,17 @@ def digest(distinct: np.ndarray) -> tuple[int, int]:
     return signed(x >> 64), signed(x & (1 << 64) - 1)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
-    """(doc_id, f0): 64 bits as a long. With ``wide`` (doc_id, f0, f1, d0, d1) of the distinct shingles: 64 more bits from the remixed hashes, and a digest."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, f0): 64 bits as a long."""
     small_batches(docs.sparkSession)
-    names = ["f0", "f1", "d0", "d1"] if wide else ["f0"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[] for _ in names]
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                if wide:
-                    hashes = np.unique(hashes)
-                row = [signed(majority(hashes))] + ([signed(majority(remix(hashes))), *digest(hashes)] if wide else [])
-                for column, x in zip(out, row):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(column, pa.int64()) for column in out], names=["doc_id", *names])
+            out = [signed(majority(shingle_hashes(text, shingle))) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "f0"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}" + "".join(f", {c} long" for c in names))
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, f0 long")
 
 
 def block_keys(n_nodes: int, radius: int) -> list[list[int]]:
@@ -113,14 +106,6 @@ def block_keys(n_nodes: int, radius: int) -> list[list[int]]:
     return [sum(chosen, []) for chosen in itertools.combinations(spans, blocks - radius)]
 
 
-def sampled_keys(n_nodes: int, distance: int, width: int = 128, recall: float = 0.97) -> list[list[int]]:
-    """Keys of about log2(n) - 4 random bits; so many that a pair at this distance meets with the given probability."""
-    bits = min(28, max(10, round(math.log2(max(2, n_nodes))) - 4))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - distance / width) ** bits))
-    rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(width, bits, replace=False).tolist()) for _ in range(tables)]
-
-
 def keyed(nodes: DataFrame, keys: list[list[int]], words: list[str]) -> DataFrame:
     """Every node once for each key, as (key, f0[, f1], node)."""
     columns = []
@@ -208,12 +193,8 @@ class Union:
                 label[:] = up
 
 
-def shard_links(rows: DataFrame, words: list[str], radius: int, nearest: bool = False) -> DataFrame:
-    """(key, tree, is_node, f0[, f1], node), to links (a, b, distance) of nodes within radius that share a key and tree.
-
-    Without ``nearest``, one link joins each row to the least member of its local component. With it, each row is linked
-    to its nearest one, and what that joins to the component's least member, for a check of the texts that follows.
-    """
+def shard_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """(key, tree, is_node, f0[, f1], node), to links (a, b) of nodes within radius that share a key and tree: one joins each row to the least member of its local component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(held: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -227,28 +208,13 @@ def shard_links(rows: DataFrame, words: list[str], radius: int, nearest: bool =
             if len(forest.root) <= shard[-1]:
                 forest.root = np.concatenate((forest.root, np.full(int(shard[-1]) + 1 - len(forest.root), -1, dtype=np.int64)))
             union = Union(len(node))
-            best = np.full(len(node), 1 << 40, dtype=np.int64) if nearest else None
-            for query, found, distance in forest.search(shard, prints, radius):
+            for query, found, _ in forest.search(shard, prints, radius):
                 found = own[found]
                 other = query != found
-                query, found, distance = query[other], found[other], distance[other]
-                union.add(query, found)
-                if nearest:
-                    np.minimum.at(best, query, distance.astype(np.int64) << 32 | found)
+                union.add(query[other], found[other])
             least = np.full(len(node), np.iinfo(np.int64).max)
             np.minimum.at(least, union.label, node)
-            if nearest:
-                # what the links to nearest members join needs one more link only, from its least member
-                has = np.flatnonzero(best < 1 << 40)
-                near = Union(len(node))
-                near.add(has, best[has] & 0xFFFFFFFF)
-                own_least = np.full(len(node), np.iinfo(np.int64).max)
-                np.minimum.at(own_least, near.label, node)
-                top = np.unique(near.label)
-                a = np.concatenate((node[has], own_least[top]))
-                b = np.concatenate((node[best[has] & 0xFFFFFFFF], least[union.label[top]]))
-            else:
-                a, b = node, least[union.label]
+            a, b = node, least[union.label]
             pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -272,7 +238,7 @@ def shard_links(rows: DataFrame, words: list[str], radius: int, nearest: bool =
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links_within(nodes: DataFrame, keys: list[list[int]], words: list[str], radius: int, nearest: bool = False) -> DataFrame:
+def links_within(nodes: DataFrame, keys: list[list[int]], words: list[str], radius: int) -> DataFrame:
     """Links among nodes (f0[, f1], node), each found under some key."""
     spark = nodes.sparkSession
     small_batches(spark, 10_000)
@@ -288,7 +254,7 @@ def links_within(nodes: DataFrame, keys: list[list[int]], words: list[str], radi
         trees = F.coalesce("trees", F.lit(1))
         dealt = rows.join(hot, "key", "left").withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1))).withColumn("is_node", F.pmod(F.xxhash64("node"), trees) == F.col("tree")).drop("trees")
     dealt = dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", F.desc("is_node"), "node")
-    return shard_links(dealt.select("key", "tree", "is_node", *words, "node"), words, radius, nearest)
+    return shard_links(dealt.select("key", "tree", "is_node", *words, "node"), words, radius)
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -302,67 +268,151 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(known, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near duplicates of similarity 0.8 or more: shingles of five words, 128-bit fingerprints. Texts at Jaccard 0.8 differ in
-#: about 19 bits on average (at cosine 8/9, a seventh of them), short ones in up to 30; keys are made for 24, searches reach 34.
-SIMILARITY, WIDE_SHINGLE, KEY_DISTANCE, WIDE_RADIUS = 0.8, 5, 24, 34
-#: Least shingle hashes kept of a text to verify a link: exact up to so many shingles, beyond it within about 0.025.
+#: Near duplicates: shingles of five words, Jaccard similarity of the sets of distinct shingles.
+SIMILARITY, WIDE_SHINGLE = 0.8, 5
+#: Candidates meet under one of BANDS keys of BAND least hashes: a pair of similarity s in all but (1 - s^BAND)^BANDS of
+#: cases, 7 in 100,000 at 0.8, whatever the length of the texts and the number of documents.
+BAND, BANDS = 5, 24
+#: Least shingle hashes kept of a text: a link between texts of so many shingles or fewer is settled on them.
 SKETCH = 256
+#: A link of longer texts is dropped on the sketches only below this share of the similarity (at 0.8: six standard
+#: errors); all others are settled on the whole sets.
+SCREEN = 0.8
+#: (shingle, hash function) pairs held at once.
+HASHES_AT_ONCE = 1 << 16
+_RANDOM = np.random.default_rng(SEED).integers(1 << 64, size=(2, BAND * BANDS, 1), dtype=np.uint64)
+#: Factors (odd) and terms of the hash functions.
+FACTOR, TERM = _RANDOM[0] | np.uint64(1), _RANDOM[1]
 #: Up to so many ids are sent to every executor; beyond it Spark joins them.
 BROADCAST_IDS = 500_000
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text) to (node, sketch): the least SKETCH distinct shingle hashes, 32 bits each, sorted."""
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes, mixed once more, sorted."""
+    return np.unique(remix(shingle_hashes(text, shingle)))
+
+
+def bands(distinct: np.ndarray) -> list[int]:
+    """The text's keys: of each band, a hash of its least values under BAND hash functions. An empty set has none."""
+    if not len(distinct):
+        return []
+    least = np.full(BAND * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = HASHES_AT_ONCE // len(least)
+    for at in range(0, len(distinct), step):
+        np.minimum(least, (FACTOR * distinct[at : at + step] + TERM).min(axis=1), out=least)
+    return [signed(xxhash.xxh64_intdigest(part.tobytes(), k)) for k, part in enumerate(least.reshape(BANDS, BAND))]
+
+
+def set_keys(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, d0, d1, size, keys): digest and size of the text's shingle set, and its keys."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, shingle) for text in batch.column(1).to_pylist()]
+            d = [digest(x) for x in sets]
+            columns = [pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "d0", "d1", "size", "keys"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, d0 long, d1 long, size long, keys array<long>")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, low, high) of keys that several nodes have, with the least and the greatest of them."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    return rows.join(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "key")
+
+
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the least and the greatest of each of its keys."""
+    met = rows.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
+    return met.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+
+
+def other_pairs(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) under a common key that are not joined yet. Sets whose sizes alone keep them apart are no pair."""
+    rows = saved(rows.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c")))
+    rows = rows.join(rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key"), "key")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "c")]) for s in "xy")
+    near = (F.least("size_x", "size_y") / F.greatest("size_x", "size_y") >= similarity) & (F.col("c_x") != F.col("c_y"))
+    return x.join(y, "key").filter("node_x > node_y").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
+    """(node, found): the shingle sets, or the ``most`` least hashes, of the texts of these nodes (doc_id, d0, d1)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.unique((remix(shingle_hashes(t, shingle)) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            # a repeated id may stand before other texts: only those of its nodes count
+            own = pa.array([digest(x) == d for x, d in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))], pa.bool_())
+            found = pa.array([x[:most].tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), found.filter(own)], names=["node", "found"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, sketch binary")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "node")
+    return texts.select("node", "text", "d0", "d1").mapInArrow(run, "node long, found binary").distinct()
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sketches: the share of common hashes among the least ones of the union that both sketches reach."""
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+def jaccard(a: bytes, b: bytes, most: int | None = None) -> float:
+    """Of two sorted sets; with ``most`` of their least hashes, so many each: among the least of the union that both reach."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     union = np.union1d(x, y)
-    if max(len(x), len(y)) >= SKETCH:
-        union = union[:SKETCH]
+    if most and max(len(x), len(y)) >= most:
+        union = union[:most]
     if not len(union):
         return 1.0
     return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / len(union)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those links (a, b) whose texts are at least so similar."""
-    small_batches(docs.sparkSession)
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    known = saved(sketches(texts, shingle).groupBy("node").agg(F.min("sketch").alias("sketch")))
-    met = pairs.join(known.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+def measured(pairs: DataFrame, known: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """Those pairs (a, b) whose sets, or sketches of ``most`` hashes, are at least so similar; ``sure`` if the sets are whole."""
+    small_batches(pairs.sparkSession)
+    met = pairs.select("a", "b").join(known.withColumnsRenamed({"node": "a", "found": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "found": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep, sure = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                sure.append(not most or max(len(x), len(y)) < 8 * most)
+                keep.append(jaccard(x, y, None if sure[-1] else most) >= (least if sure[-1] else SCREEN * least))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (batch.column(0), batch.column(1), pa.array(sure, pa.bool_()))], names=["a", "b", "sure"])
+
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose sets of shingles are at least so similar, by the whole sets."""
+
+    def sets(links: DataFrame, most: int | None = None) -> DataFrame:
+        ids = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return saved(sets_of(docs, saved(nodes.select("node", "d0", "d1").join(ids, "node")), shingle, most))
 
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    if pairs.isEmpty():
+        return pairs
+    screened = saved(measured(pairs, sets(pairs, SKETCH), similarity, SKETCH))
+    open_ = screened.filter("not sure")
+    sure = screened.filter("sure").select("a", "b")
+    return sure if open_.isEmpty() else saved(sure.unionByName(measured(open_, sets(open_), similarity).select("a", "b")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near duplicates, all columns: of each group of texts at least so similar, the least doc_id.
 
-    Texts of the same set of shingles are one node; different sets are different nodes, also under one fingerprint.
-    Candidates come from BK-trees over shards of sampled bits; each row is linked to its nearest member in the shard, and
-    what that joins to the least member; a link counts only if the texts' shingle sets are similar enough.
+    Texts of the same set of shingles are one node; different sets are different nodes. Nodes meet under keys of least
+    hashes. Each is first held against the ends of its keys; then every pair that met and is not joined yet is verified.
     """
-    prints = saved(fingerprints(docs, shingle, wide=True))
-    nodes = saved(prints.filter("doc_id is not null").groupBy("d0", "d1", "f0", "f1").agg(F.min(F.col("doc_id").cast("long")).alias("node")))
-    n = nodes.count()
-    pairs = saved(links_within(nodes.drop("d0", "d1"), sampled_keys(n, KEY_DISTANCE), ["f0", "f1"], WIDE_RADIUS, nearest=True).distinct())
-    found = components(verified(pairs, docs, shingle, similarity))
+    prints = saved(set_keys(docs, shingle))
+    nodes = saved(prints.filter("doc_id is not null").groupBy("d0", "d1").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    rows = saved(shared_keys(nodes))
+    first = saved(first_pairs(rows))
+    links = verified(first, nodes, docs, shingle, similarity)
+    rest = other_pairs(rows, components(links), similarity).join(first, ["a", "b"], "left_anti")
+    more = verified(saved(rest), nodes, docs, shingle, similarity)
+    found = components(links.unionByName(more))
     stay = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("stays"))
     judged = saved(prints.join(stay, ["d0", "d1"], "left").select("doc_id", (F.col("doc_id").isNull() & F.col("stays").isNotNull() | (F.col("doc_id") != F.col("stays"))).alias("goes")))
     gone = judged.filter("goes").select("doc_id").distinct()

@@ -120,6 +120,41 @@ def test_near_dedup_keeps_texts_that_share_a_repeated_line(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1]
 
 
+def of_similarity(tag, own, shared):
+    """Two texts that share ``shared`` five-word shingles and have ``own`` more each."""
+    same = [f"{tag}s{j}" for j in range(shared + 4)]
+    return [" ".join(same + [f"{tag}{side}{j}" for j in range(own)]) for side in "ab"]
+
+
+def kept(spark, texts):
+    rows = list(enumerate(texts))
+    return {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+
+
+def test_near_dedup_finds_short_pairs_at_the_threshold(spark):
+    pairs = [t for i in range(400) for t in of_similarity(f"p{i}", 1, 8)]
+    assert kept(spark, pairs) == set(range(0, 800, 2))
+
+
+def test_near_dedup_settles_long_texts_exactly(spark):
+    # 1600 of 2000 shingles in common, then one fewer: the first of each two pairs is at 0.8, the second just below
+    texts = [t for i in range(20) for shared in (1600, 1599) for t in of_similarity(f"p{i}x{shared}", 200, shared)]
+    assert kept(spark, texts) == set(range(0, 80)) - set(range(1, 80, 4))
+
+
+def test_near_dedup_verifies_every_pair_that_met(spark):
+    # of each family, texts at 0.6 to 0.95 from one another, most of them no duplicates of the least
+    rng, texts = random.Random(3), []
+    for i in range(60):
+        base = [f"f{i}w{j}" for j in range(120)]
+        for _ in range(8):
+            at = rng.randrange(20)
+            texts.append(" ".join(base[at : at + 90 + rng.randrange(10)] + [f"x{rng.random()}" for _ in range(rng.randrange(6))]))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if i // 8 == j // 8 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert kept(spark, texts) == {i for i, c in enumerate(groups_of(len(texts), pairs)) if c == i}
+
+
 def test_substrings(docs, texts):
     first = {}
     for i, t in enumerate(texts):
