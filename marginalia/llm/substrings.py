@@ -13,7 +13,7 @@ doc_id already has is settled by its digest and never cut into windows. Only has
 levels; texts are joined once a level to hash the survivors, and once to cut the words out.
 
 Defined cases: null, empty and short texts have no window and stay whole; a null doc_id counts as larger than any other;
-rows that repeat a doc_id count as one document; an empty table gives no rows; other columns are ignored.
+rows without an id, or that repeat one, are not held against each other, but each text is judged by itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ LENGTH = 13
 START = 7
 #: Copies of whole texts whose ids are sent to every executor; beyond it Spark joins them.
 BROADCAST_COPIES = 500_000
+#: Up to so many repeated ids are sent to every executor; beyond it Spark joins them.
+BROADCAST_IDS = 500_000
 NO_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,39 +74,39 @@ def picked(hashes: np.ndarray, span: int) -> np.ndarray:
     return np.arange(len(hashes) - span + 1) + np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(axis=1)
 
 
-def _rows(parts: list[tuple[np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
-    counts = [len(h) for h, _, _ in parts]
-    hashes = np.concatenate([h for h, _, _ in parts]) if parts else np.empty(0, dtype=np.uint64)
-    at = np.concatenate([p for _, _, p in parts]) if parts else np.empty(0, dtype=np.int64)
-    doc = np.repeat(np.array([d for _, d, _ in parts], dtype=np.int64), counts)
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32))], names=["hash", "doc", "at"])
+def _rows(parts: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
+    counts = [len(h) for h, *_ in parts]
+    hashes = np.concatenate([h for h, *_ in parts]) if parts else np.empty(0, dtype=np.uint64)
+    at = np.concatenate([p for *_, p in parts]) if parts else np.empty(0, dtype=np.int64)
+    doc, row = (np.repeat(np.array([x[i] for x in parts], dtype=np.int64), counts) for i in (1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(row), pa.array(at.astype(np.int32))], names=["hash", "doc", "row", "at"])
 
 
 def first_level(texts: DataFrame, seed: int, span: int) -> DataFrame:
-    """(doc, text) to (hash, doc, at): the picked sequences of ``seed`` words."""
+    """(doc, row, text) to (hash, doc, row, at): the picked sequences of ``seed`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = split_words(text)
                 if len(words) >= seed + span - 1:
                     hashes = window_hashes(word_hashes(words), seed)
                     at = np.unique(picked(hashes, span))
-                    parts.append((hashes[at], doc, at))
+                    parts.append((hashes[at], doc, row, at))
             yield _rows(parts)
 
-    return texts.mapInArrow(run, "hash long, doc long, at int")
+    return texts.mapInArrow(run, "hash long, doc long, row long, at int")
 
 
 def next_level(texts: DataFrame, short: int, long: int, first: bool) -> DataFrame:
-    """(doc, text, places of surviving sequences of ``short`` words) to (hash, doc, at) of the windows of ``long`` words
+    """(doc, row, text, places of surviving sequences of ``short`` words) to (hash, doc, row, at) of the windows of ``long`` words
     that may repeat: their picked sequence survived, or later both the sequence they begin and the one they end with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 hashes = word_hashes(split_words(text))
                 n = len(hashes) - long + 1
                 if n <= 0:
@@ -113,31 +115,41 @@ def next_level(texts: DataFrame, short: int, long: int, first: bool) -> DataFram
                 alive[[p for p in places if p < len(hashes)]] = True
                 at = np.flatnonzero(alive[picked(window_hashes(hashes, short), long - short + 1)] if first else alive[:n] & alive[long - short : long - short + n])
                 if len(at):
-                    parts.append((window_hashes(hashes, long)[at], doc, at))
+                    parts.append((window_hashes(hashes, long)[at], doc, row, at))
             yield _rows(parts)
 
-    return texts.mapInArrow(run, "hash long, doc long, at int")
+    return texts.mapInArrow(run, "hash long, doc long, row long, at int")
 
 
 def repeated_places(windows: DataFrame, later: bool) -> DataFrame:
-    """(hash, doc, at) to (doc, places): those of hashes in two documents; with ``later`` not those in a hash's first document."""
+    """(hash, doc, row, at) to (doc, row, places): those of hashes in two documents; with ``later`` not those in a hash's first document."""
     # kept as a table, so that both sides of the join are plain shuffles, whose hot partitions Spark can split
     twice = saved(windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("hash", "low"))
     met = windows.join(twice, "hash")
     if later:
         met = met.filter("doc > low")
-    return met.groupBy("doc").agg(F.collect_list("at").alias("places"))
+    return met.groupBy("doc", "row").agg(F.collect_set("at").alias("places"))
 
 
-def places_of_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> tuple[DataFrame, DataFrame]:
-    """(doc, places): starts of windows that a smaller doc_id has too; and (doc): ids of texts that are whole copies."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    same = texts.filter("text is not null").select("doc", F.unhex(F.md5("text")).alias("digest"))
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc, row): doc orders documents; doc and row name a text. row is 0 but where several rows may have the doc."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
+    many = saved(rows.filter(F.col("doc") != NO_ID).groupBy("doc").count().filter("count > 1").select("doc", F.lit(True).alias("many")))
+    n = many.count()
+    rows = rows.join(F.broadcast(many) if n <= BROADCAST_IDS else many, "doc", "left") if n else rows.withColumn("many", F.lit(False))
+    several = F.coalesce("many", F.lit(False)) | (F.col("doc") == NO_ID)
+    return rows.select("doc_id", "text", "doc", F.when(several, F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("row"))
+
+
+def places_of_repeats(rows: DataFrame, length: int = LENGTH, start: int = START) -> tuple[DataFrame, DataFrame]:
+    """Of ``with_rows``, (doc, row, places): starts of windows that a smaller doc_id has too; and (doc, row): texts that are whole copies."""
+    small_batches(rows.sparkSession)
+    texts = rows.select("doc", "row", "text")
+    same = texts.filter("text is not null").select("doc", "row", F.unhex(F.md5("text")).alias("digest"))
     least = same.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("digest", "low")
-    copies = saved(same.join(least, "digest").filter("doc > low").select("doc").distinct())
+    copies = saved(same.join(least, "digest").filter("doc > low").select("doc", "row").distinct())
     few = copies.count() <= BROADCAST_COPIES
-    fresh = texts.join(F.broadcast(copies) if few else copies, "doc", "left_anti")
+    fresh = texts.join(F.broadcast(copies) if few else copies, ["doc", "row"], "left_anti")
     lengths = level_lengths(length, start)
     if len(lengths) == 1:
         return saved(repeated_places(saved(first_level(fresh, length, 1)), later=True)), copies
@@ -146,15 +158,16 @@ def places_of_repeats(docs: DataFrame, length: int = LENGTH, start: int = START)
         alive = saved(repeated_places(windows, later=False))
         if alive.isEmpty():
             return alive, copies
-        windows = saved(next_level(fresh.join(alive, "doc"), short, long, short == lengths[0]))
+        windows = saved(next_level(fresh.join(alive, ["doc", "row"]), short, long, short == lengths[0]))
     return saved(repeated_places(windows, later=True)), copies
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space."""
-    places, copies = places_of_repeats(docs, length, start)
-    verdict = places.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole")))
-    verdict = verdict.groupBy("doc").agg(F.first("places", ignorenulls=True).alias("places"), F.max("whole").alias("whole"))
+    rows = with_rows(docs)
+    places, copies = places_of_repeats(rows, length, start)
+    verdict = places.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "row", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole")))
+    verdict = verdict.groupBy("doc", "row").agg(F.first("places", ignorenulls=True).alias("places"), F.max("whole").alias("whole"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +188,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"))
-    joined = rows.join(verdict, "doc", "left").select("doc_id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole"))
+    joined = rows.join(verdict, ["doc", "row"], "left").select("doc_id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole"))
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

@@ -172,6 +172,14 @@ def test_substrings(docs, texts):
             assert got[i] == (len(w), len(w) - len(kept), " ".join(kept))
 
 
+def test_substrings_judges_rows_without_an_id_by_themselves(spark):
+    text = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "abcdefg"}
+    rows = [(1, text["a"]), (2, text["b"]), (None, text["a"]), (None, text["c"]), (None, f"{text['b']} {text['d']}"), (3, text["e"]), (3, text["b"]), (3, f"{text['a']} {text['f']}"), (None, None)]
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, text["a"]), (2, text["b"]), (None, ""), (None, text["c"]), (None, text["d"]), (3, text["e"]), (3, ""), (3, text["f"]), (None, "")]
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in got) == sorted((i or 0, k) for i, k in want)
+
+
 def test_mixing(docs, texts):
     rows = mixing.mix(docs, fan=4).collect()
     assert len(rows) == len(texts)
