@@ -115,7 +115,7 @@ def test_near_dedup_keeps_one_of_each(docs, texts):
 
 
 def test_near_dedup_keeps_texts_that_share_a_repeated_line(spark):
-    line = "one line of thirteen words that every page of the site has said again "
+    line = "one line of thirteen words that every page of the site has said "
     rows = [(i, line * 100 + " ".join(f"own{i}x{j}" for j in range(200))) for i in range(2)]
     assert sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1]
 
