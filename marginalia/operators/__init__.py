@@ -1,6 +1,6 @@
 """Operators over documents, pages and extracted layout tables, each a SELECT over named inputs."""
 
 from . import checks, forms, html, layout, markup, outline, report, triage, upkeep
-from .base import OPERATORS, VIEWS
+from .base import OPERATORS, STORED, VIEWS
 
-__all__ = ["OPERATORS", "VIEWS", "checks", "forms", "html", "layout", "markup", "outline", "report", "triage", "upkeep"]
+__all__ = ["OPERATORS", "STORED", "VIEWS", "checks", "forms", "html", "layout", "markup", "outline", "report", "triage", "upkeep"]

@@ -9,6 +9,8 @@ from marginalia.functions.dialect import Spark
 Sql = Callable[[Spark], str]
 OPERATORS: dict[str, Sql] = {}
 VIEWS: dict[str, Sql] = {}
+#: Views that Spark computes once, as a table, where a query reads them more than once; some are in fixtures.sql.
+STORED = {"fx_elems", "fx_annots"}
 
 
 def operator(f: Sql) -> Sql:
@@ -23,6 +25,12 @@ def view(f: Sql) -> Sql:
     return f
 
 
+def stored(f: Sql) -> Sql:
+    """A view worth a table of its own where a query reads it more than once."""
+    STORED.add(f.__name__)
+    return view(f)
+
+
 def words(values: str) -> str:
     """A list of names as SQL literals."""
     return ", ".join(f"'{v}'" for v in values.split())
@@ -32,8 +40,15 @@ def squeeze(d: Spark, s: str) -> str:
     return f"trim({d.sub(s, r'[ \t\n\r\f\v]+', ' ')})"
 
 
+# The form of a language code; white space, and characters that no reader can use.
+LANG = r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{1,8})*$"
+SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+UNREADABLE = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{00}-\x{1F}\x{7F}-\x{9F}]"
+# End of fixed values.
+
+
 def is_lang(d: Spark, s: str) -> str:
-    return d.like(s, r"^[A-Za-z]{2,3}(-[A-Za-z0-9]{1,8})*$")
+    return d.like(s, LANG)
 
 
 def decoded(s: str) -> str:
@@ -45,7 +60,11 @@ def decoded(s: str) -> str:
 
 def bad_share(d: Spark, s: str) -> str:
     """Share of characters other than white space that no reader can use; 0 for none."""
-    space = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-    solid = d.sub(s, space, "")
-    bad = d.count(solid, r"[\x{FFFD}\x{E000}-\x{F8FF}\x{00}-\x{1F}\x{7F}-\x{9F}]")
+    solid = d.sub(s, SPACE, "")
+    bad = d.count(solid, UNREADABLE)
     return f"case when length({solid}) = 0 then 0.0D else cast({bad} as double) / length({solid}) end".replace("0.0D", "cast(0 as double)")
+
+
+def reads(d: Spark, s: str) -> str:
+    """Whether somebody could read it: three letters or more, and few symbols."""
+    return f"({d.count(s, r'\p{L}')} >= 3 and {bad_share(d, s)} < 0.15)"

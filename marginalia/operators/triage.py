@@ -36,11 +36,11 @@ def page_kind_counts(d: Spark) -> str:
 
 @view
 def triage(d: Spark) -> str:
-    """The level is the first that applies."""
+    """The level is the first that applies: no readable page at all comes before readable pages among others."""
     return """select k.doc_id, case when not d.readable then 'unreadable' when k.text_pages + k.scanned_pages + k.garbled_pages = 0 then 'empty'
-        when k.text_pages + k.garbled_pages = 0 then 'pictures' when k.scanned_pages + k.garbled_pages > 0 then 'partly'
-        when not d.marked or e.doc_id is null then 'flat' when not g.gate then 'faults' else 'good' end level, k.scanned_pages, k.garbled_pages, g.failed_names, d.xfa, d.producer
-      from kind_counts k join fx_docs d on d.doc_id = k.doc_id left join gates g on g.doc_id = k.doc_id left join (select distinct doc_id from fx_elems) e on e.doc_id = k.doc_id"""
+        when k.text_pages = 0 then 'pictures' when k.scanned_pages + k.garbled_pages > 0 then 'partly'
+        when g.flat then 'flat' when not g.gate then 'faults' else 'good' end level, g.repairable, g.silent_pictures, g.no_form, g.has_fields, d.producer
+      from kind_counts k join fx_docs d on d.doc_id = k.doc_id left join gates g on g.doc_id = k.doc_id"""
 
 
 @operator
@@ -50,8 +50,17 @@ def triage_level(d: Spark) -> str:
 
 @operator
 def triage_steps(d: Spark) -> str:
-    repairable = "failed_names like '%title%' or failed_names like '%lang%' or failed_names like '%tabs%'"
-    steps = d.compact(f"case when {repairable} then 'repair' end", "case when scanned_pages > 0 then 'recognise' end", "case when xfa then 'remove form' end", "case when level in ('flat', 'faults') then 'rebuild' end", "case when level <> 'good' then 'full check' end")
+    """What to do, in order. Of a file that cannot be opened a new copy is asked for, and nothing else."""
+    first = "case when level in ('unreadable', 'empty') then 'resend' when level in ('pictures', 'partly') then 'open' when level = 'flat' then 'rebuild' end"
+    opened = "level <> 'unreadable'"
+    steps = d.compact(
+        first,
+        f"case when {opened} and repairable then 'repair' end",
+        f"case when {opened} and silent_pictures then 'pictures' end",
+        f"case when {opened} and no_form then 'other form' when {opened} and has_fields then 'fill in' end",
+        "case when level = 'faults' then 'rebuild' end",
+        f"case when {opened} then 'full check' end",
+    )
     return f"select doc_id, {d.array_join(steps, ', ')} steps from triage"
 
 

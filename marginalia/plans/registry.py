@@ -8,14 +8,16 @@ table expressions in the order in which they depend on each other, and leaves th
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Collection, Mapping
 from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.functions.dialect import DUCK, SPARK, Spark
-from marginalia.operators import OPERATORS, VIEWS
+from marginalia.operators import OPERATORS, STORED, VIEWS
+from marginalia.sources.files import saved
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -58,8 +60,8 @@ def sources(sql: str) -> dict[str, None]:
     return dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z]\w*)", re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", sql)))
 
 
-def plan(body: str, d: Spark, given: set[str] = frozenset()) -> str:
-    """The body with every view that it needs, but for those given, as common table expressions."""
+def needed(body: str, d: Spark, given: Collection[str] = ()) -> dict[str, str]:
+    """Name to SELECT of every view that the body rests on, but for those given, each after what it reads."""
     done: dict[str, str] = {}
 
     def add(sql: str, within: str = "") -> None:
@@ -70,6 +72,13 @@ def plan(body: str, d: Spark, given: set[str] = frozenset()) -> str:
             done.setdefault(name, text)
 
     add(body)
+    return done
+
+
+def plan(body: str, d: Spark, given: Mapping[str, str] | None = None) -> str:
+    """The body with every view that it needs as common table expressions. ``given``: names to the tables that stand for them."""
+    given = given or {}
+    done = {n: f"select * from {t}" for n, t in given.items()} | needed(body, d, given)
     found = re.match(r"\s*with\s+(recursive\s+)?", body)
     own, rest = ("", body) if not found else ("recursive " if found[1] else "", body[found.end() :])
     recursive = "recursive " if own or any(n in sources(t) for n, t in done.items()) else ""
@@ -79,32 +88,65 @@ def plan(body: str, d: Spark, given: set[str] = frozenset()) -> str:
     return alike(f"with {recursive}{views} {body}" if views else body)
 
 
-def run(spark: SparkSession, sql: str) -> DataFrame:
-    """Recursive walks end by themselves, so the session's row limit for them, made for mistakes, is lifted."""
-    if sql.startswith("with recursive"):
-        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql)
+def _sql(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """The body over its inputs, which have names of their own in the session only while it is analysed.
+
+    Recursive walks end by themselves, so the session's row limit for them, made for mistakes, is lifted while one runs;
+    its rows are written at once, so that the limit is back when the caller goes on.
+    """
+    names = {key: f"marginalia_{uuid.uuid4().hex}" for key in inputs}
+    for key, df in inputs.items():
+        df.createOrReplaceTempView(names[key])
+    try:
+        sql = plan(body, SPARK, names)
+        if not sql.startswith("with recursive"):
+            return spark.sql(sql)
+        limit = "spark.sql.cteRecursionRowLimit"
+        before = spark.conf.get(limit)
+        spark.conf.set(limit, "-1")
+        try:
+            return saved(spark.sql(sql))
+        finally:
+            spark.conf.set(limit, before)
+    finally:
+        for name in names.values():
+            spark.catalog.dropTempView(name)
+
+
+def run(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """The body over its inputs. Views that are marked ``stored`` and read more than once are computed once, as tables."""
+    inputs = dict(inputs)
+    views = needed(body, SPARK, inputs)
+    for name in [n for n in views if n in STORED]:
+        rest = needed(body, SPARK, inputs)
+        reads = sum(len(re.findall(rf"\b(?:from|join)\s+{name}\b", text)) for text in [body, *rest.values()])
+        if name in rest and reads > 1:
+            select = f"select * from {name}"
+            inputs[name] = saved(_sql(spark, select, _read(select, inputs)))
+    return _sql(spark, body, _read(body, inputs))
+
+
+def _read(body: str, inputs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Those of the inputs that the body rests on."""
+    texts = [body, *needed(body, SPARK, inputs).values()]
+    return {name: df for name, df in inputs.items() if any(name in sources(t) for t in texts)}
 
 
 def apply(spark: SparkSession, name: str, **inputs: DataFrame) -> DataFrame:
     """The operator over the given inputs; what is not given is built from the catalogue's tables."""
-    for key, df in inputs.items():
-        df.createOrReplaceTempView(key)
-    return run(spark, plan(OPERATORS[name](SPARK), SPARK, set(inputs)))
+    return run(spark, OPERATORS[name](SPARK), inputs)
 
 
-def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    """The given tables that the SQL names, as views."""
-    for name in TABLES:
-        if name in sources(sql):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+def tables(spark: SparkSession, sf_dir: str, body: str) -> dict[str, DataFrame]:
+    """The given tables that the body rests on."""
+    texts = [body, *needed(body, SPARK).values()]
+    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if any(name in sources(t) for t in texts)}
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = plan(OPERATORS[name](SPARK), SPARK)
-        tables(spark, sf_dir, sql)
-        return run(spark, sql)
+        body = OPERATORS[name](SPARK)
+        return run(spark, body, tables(spark, sf_dir, body))
 
     return query
 
@@ -118,7 +160,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from marginalia.sources import files
+
     out = {name: plan(f(DUCK), DUCK) for name, f in OPERATORS.items()}
+    out["decode_audit"] = files.DECODE_SQL
     # the streams end with what the batch forms give
     out["stream_latest"], out["stream_checks"] = out["latest_snapshot"], out["page_findings"]
     out["corpus_writer"] = "select source, count(*) docs, cast(sum(length(text)) as bigint) n_chars from documents group by source"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.plans import registry
-from marginalia.sources.files import shared_dir
+from marginalia.sources.files import saved, shared_dir
 
 
 def arriving(spark: SparkSession, sf_dir: str, table: str, per_trigger: int = 1) -> DataFrame:
@@ -38,16 +38,22 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_arrivals(pages: DataFrame, out: str) -> None:
-    """A stream of pages: each batch's unseen pages, by a digest of their html, are checked and their findings appended at out."""
+    """A stream of pages: each batch's unseen pages, by a digest of their html, are checked and their findings kept at out.
+
+    Findings and seen pages are kept by batch. A batch that is run again reads what earlier batches saw, never its own
+    rows, and replaces both, so it ends as it would have the first time.
+    """
 
     def check(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("sign", F.sha2(F.coalesce("html", F.lit("")), 256)).dropDuplicates(["page_id", "sign"])
         if number:
-            new = new.join(spark.read.parquet(f"{out}/seen"), ["page_id", "sign"], "left_anti")
+            earlier = spark.read.option("basePath", f"{out}/seen").parquet(f"{out}/seen").filter(F.col("batch") < number).drop("batch")
+            new = new.join(earlier, new["page_id"].eqNullSafe(earlier["page_id"]) & (new["sign"] == earlier["sign"]), "left_anti")
+        new = saved(new)
         found = registry.apply(spark, "page_findings", pages=new.drop("sign"))
         found.write.mode("overwrite").parquet(f"{out}/issues/batch={number}")
-        new.select("page_id", "sign").write.mode("append").parquet(f"{out}/seen")
+        new.select("page_id", "sign").write.mode("overwrite").parquet(f"{out}/seen/batch={number}")
 
     pages.writeStream.foreachBatch(check).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
 
