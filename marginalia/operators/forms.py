@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import operator, squeeze, view
+from .base import operator, squeeze, view, words
 
 
 def overlaps(a: str, b: str) -> str:
@@ -25,6 +25,13 @@ def label(d: Spark, s: str) -> str:
     return f"case when {d.like(clean, r'[\p{L}\p{N}]')} then substr({clean}, 1, 60) else '' end"
 
 
+@view
+def fx_chars(d: Spark) -> str:
+    """Every character of the lines, four points wide."""
+    chars = d.each("fx_form_lines", d.extract_all("text", "(?s).", 0), "doc_id, page, line, x0, y0, y1")
+    return f"select doc_id, page, line, cast(pos as int) idx, x ch, x0 + 4 * pos x0, y0, x0 + 4 * pos + 4 x1, y1 from ({chars}) c"
+
+
 @view
 def blank_runs(d: Spark) -> str:
     """Runs of three or more underscores of a line, with the box of the run."""
@@ -126,7 +133,8 @@ def grid_bands(d: Spark) -> str:
 @view
 def grid_cells(d: Spark) -> str:
     """Between two neighbouring uprights that cross both rules of a band within 2 points."""
-    return """select * from (select b.doc_id, b.page, b.shape_id, b.next_id, b.top, b.bottom, u.shape_id upright, u.x0 cx0, lead(u.x0) over (partition by b.doc_id, b.page, b.shape_id order by u.x0, u.shape_id) cx1 from grid_bands b
+    return """select *, min(cx0) over (partition by doc_id, page, shape_id) first_x from (
+      select b.doc_id, b.page, b.shape_id, b.next_id, b.top, b.bottom, u.shape_id upright, u.x0 cx0, lead(u.x0) over (partition by b.doc_id, b.page, b.shape_id order by u.x0, u.shape_id) cx1 from grid_bands b
       join fx_shapes u on u.doc_id = b.doc_id and u.page = b.page and u.kind = 'upright' and u.y0 <= b.top + 2 and u.y1 >= b.bottom - 2 and u.x0 between greatest(b.x0, 0) - 2 and b.x1 + 200) c where cx1 - cx0 >= 20"""
 
 
@@ -139,9 +147,16 @@ def blanks_grid(d: Spark) -> str:
 
 @operator
 def label_headings(d: Spark) -> str:
-    """A cell's column heading: the topmost line centred in its column above its row."""
-    return f"""select c.doc_id, c.page, c.shape_id, c.upright, {label(d, 'min_by(t.text, ' + d.struct(y='t.y0', line='t.line') + ')')} label from grid_cells c
-      join fx_form_lines t on t.doc_id = c.doc_id and t.page = c.page and (t.x0 + t.x1) / 2 between c.cx0 and c.cx1 and t.y1 <= c.top + 2 group by c.doc_id, c.page, c.shape_id, c.upright"""
+    """A cell's heading: the topmost line centred in its column, above its row and within the lattice; without one, the leftmost line of its row before the column."""
+    column = f"""select c.doc_id, c.page, c.shape_id, c.upright, min_by(t.text, {d.struct(y='t.y0', line='t.line')}) text from grid_cells c
+      join (select doc_id, page, min(y0) lattice_top from fx_shapes where kind = 'upright' group by doc_id, page) u on u.doc_id = c.doc_id and u.page = c.page
+      join fx_form_lines t on t.doc_id = c.doc_id and t.page = c.page and (t.x0 + t.x1) / 2 between c.cx0 and c.cx1 and t.y1 <= c.top + 2 and t.y0 >= u.lattice_top - 2 group by c.doc_id, c.page, c.shape_id, c.upright"""
+    row = f"""select c.doc_id, c.page, c.shape_id, c.upright, min_by(t.text, {d.struct(x='t.x0', line='t.line')}) text from grid_cells c
+      join fx_form_lines t on t.doc_id = c.doc_id and t.page = c.page and (t.y0 + t.y1) / 2 between c.top and c.bottom and t.x0 >= c.first_x - 2 and t.x1 <= c.cx0 + 2
+      where c.cx0 - c.first_x >= 1 group by c.doc_id, c.page, c.shape_id, c.upright"""
+    return f"""select c.doc_id, c.page, c.shape_id, c.upright, coalesce(nullif({label(d, "coalesce(h.text, '')")}, ''), {label(d, "coalesce(r.text, '')")}) label from grid_cells c
+      left join ({column}) h on h.doc_id = c.doc_id and h.page = c.page and h.shape_id = c.shape_id and h.upright = c.upright
+      left join ({row}) r on r.doc_id = c.doc_id and r.page = c.page and r.shape_id = c.shape_id and r.upright = c.upright"""
 
 
 @operator
@@ -152,19 +167,29 @@ def label_inline(d: Spark) -> str:
 
 @operator
 def proposal_dedupe(d: Spark) -> str:
-    """Surest first, then from the top: a proposal goes where it overlaps one that stays by over 0.45 of the smaller."""
+    """Surest first, then from the top: a proposal goes where it overlaps one that stays by over 0.45 of the smaller, and lends
+    its label to the first such one if that has none. A colon guess goes where a surer one that stays carries its label."""
+    area = lambda t: f"({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0)"
+    met = lambda k, p: f"greatest(0, least({k}.x1, {p}.x1) - greatest({k}.x0, {p}.x0)) * greatest(0, least({k}.y1, {p}.y1) - greatest({k}.y0, {p}.y0)) > 0.45 * least({area(k)}, {area(p)})"
     if d.name == "spark":
-        area = lambda t: f"({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0)"
-        shared = "greatest(0, least(k.x1, p.x1) - greatest(k.x0, p.x0)) * greatest(0, least(k.y1, p.y1) - greatest(k.y0, p.y0))"
-        return f"""select doc_id, page, k.pid pid from (select doc_id, page, aggregate(ps, cast(array() as array<struct<c:double,y0:double,x0:double,pid:int,x1:double,y1:double>>),
-            (kept, p) -> if(exists(kept, k -> {shared} > 0.45 * least({area('k')}, {area('p')})), kept, concat(kept, array(p)))) kept from (
-          select doc_id, page, array_sort(collect_list(named_struct('c', -cast(confidence as double), 'y0', cast(y0 as double), 'x0', cast(x0 as double), 'pid', cast(pid as int), 'x1', cast(x1 as double), 'y1', cast(y1 as double)))) ps from fx_proposals group by doc_id, page) g) a
-          lateral view explode(kept) e as k"""
-    return """with recursive o as (select doc_id, page, cast(pid as int) pid, cast(x0 as double) x0, cast(x1 as double) x1, cast(y0 as double) y0, cast(y1 as double) y1, row_number() over (partition by doc_id, page order by -cast(confidence as double), y0, x0, pid) i from fx_proposals),
-      k as (select doc_id, page, i, [{'pid': pid, 'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1}] kept from o where i = 1
-        union all select o.doc_id, o.page, o.i, case when len(list_filter(k.kept, lambda q: greatest(0, least(q.x1, o.x1) - greatest(q.x0, o.x0)) * greatest(0, least(q.y1, o.y1) - greatest(q.y0, o.y0)) > 0.45 * least((q.x1 - q.x0) * (q.y1 - q.y0), (o.x1 - o.x0) * (o.y1 - o.y0)))) > 0
-          then k.kept else list_append(k.kept, {'pid': o.pid, 'x0': o.x0, 'x1': o.x1, 'y0': o.y0, 'y1': o.y1}) end from o join k on k.doc_id = o.doc_id and k.page = o.page and o.i = k.i + 1)
-      select doc_id, page, unnest(kept).pid pid from (select doc_id, page, max_by(kept, i) kept from k group by doc_id, page) t"""
+        kind = "struct<c:double,y0:double,x0:double,pid:int,x1:double,y1:double,label:string,source:string>"
+        lent = "named_struct('c', k.c, 'y0', k.y0, 'x0', k.x0, 'pid', k.pid, 'x1', k.x1, 'y1', k.y1, 'label', p.label, 'source', k.source)"
+        fold = f"""aggregate(ps, cast(array() as array<{kind}>), (kept, p) -> transform(array(array_position(transform(kept, k -> {met('k', 'p')}), true)),
+            at -> if(at = 0, concat(kept, array(p)), transform(kept, (k, i) -> if(i = at - 1 and k.label = '', {lent}, k))))[0])"""
+        solid = "transform(filter(kept, k -> k.source <> 'colon' and k.label <> ''), k -> k.label)"
+        return f"""select doc_id, page, k.pid pid, k.label label from (select doc_id, page, kept, {solid} solid from (select doc_id, page, {fold} kept from (
+          select doc_id, page, array_sort(collect_list(named_struct('c', -cast(confidence as double), 'y0', cast(y0 as double), 'x0', cast(x0 as double), 'pid', cast(pid as int), 'x1', cast(x1 as double), 'y1', cast(y1 as double),
+            'label', coalesce(label, ''), 'source', coalesce(source, '')))) ps from fx_proposals group by doc_id, page) g) a) b lateral view explode(kept) e as k where k.source <> 'colon' or not array_contains(solid, k.label)"""
+    at = f"coalesce(list_position(list_transform(k.kept, lambda q: {met('q', 'o')}), true), 0)"
+    own = "{'pid': o.pid, 'x0': o.x0, 'x1': o.x1, 'y0': o.y0, 'y1': o.y1, 'label': o.label, 'source': o.source}"
+    return f"""with recursive o as (select doc_id, page, cast(pid as int) pid, cast(x0 as double) x0, cast(x1 as double) x1, cast(y0 as double) y0, cast(y1 as double) y1, coalesce(label, '') as label, coalesce(source, '') source,
+        row_number() over (partition by doc_id, page order by -cast(confidence as double), y0, x0, pid) i from fx_proposals),
+      k as (select doc_id, page, i, [{own.replace('o.', '')}] kept from o where i = 1
+        union all select o.doc_id, o.page, o.i, case when {at} = 0 then list_append(k.kept, {own}) when k.kept[{at}].label = '' then
+          list_concat(list_concat(k.kept[1:{at} - 1], [struct_pack(pid := k.kept[{at}].pid, x0 := k.kept[{at}].x0, x1 := k.kept[{at}].x1, y0 := k.kept[{at}].y0, y1 := k.kept[{at}].y1, "label" := o.label, source := k.kept[{at}].source)]), k.kept[{at} + 1:])
+          else k.kept end from o join k on k.doc_id = o.doc_id and k.page = o.page and o.i = k.i + 1),
+      f as (select doc_id, page, unnest(kept) x from (select doc_id, page, max_by(kept, i) kept from k group by doc_id, page) t)
+      select doc_id, page, x.pid pid, x.label as label from f where x.source <> 'colon' or not exists (select 1 from f s where s.doc_id = f.doc_id and s.page = f.page and s.x.source <> 'colon' and s.x.label <> '' and s.x.label = f.x.label)"""
 
 
 @operator
@@ -204,19 +229,46 @@ def radio_groups(d: Spark) -> str:
     return """select doc_id, page, name, count(*) buttons, cast(min(x0) as double) x0, cast(min(y0) as double) y0, cast(max(x1) as double) x1, cast(max(y1) as double) y1, max(value) chosen from fx_fields where kind = 'radio' group by doc_id, page, name"""
 
 
+# Answers that clear a group of buttons, and those that leave a box without its tick.
+CLEARS = "off none no"
+UNTICKED = "off no false 0 none unticked unchecked"
+# End of fixed values.
+
+
 @operator
 def answer_validation(d: Spark) -> str:
-    """What becomes of each answer, by its field's kind, length and options."""
-    options = d.split("f.choices", r"\|")
+    """What becomes of each answer, and the value that the field takes (null where it takes none).
+
+    Several answers to one field stand between bars, as choices do. A text on one line loses its line breaks before its
+    length counts. An option is taken as it stands, else without regard to case and outer blanks; a choice that may be
+    edited takes any words, one that is not multiple a single answer. Buttons are cleared by a blank or a word for it.
+    """
+    options, given = d.split("coalesce(f.choices, '')", r"\|"), "coalesce(a.answer, '')"
+    items = f"case when {given} = '' then {d.slice(d.array(d.text('')), 0)} else {d.split(given, r'\|')} end"
     if d.name == "spark":
-        exact, loose = f"array_contains({options}, a.answer)", f"exists({options}, o -> lower(trim(o)) = lower(trim(a.answer)))"
+        first = lambda test: f"get(filter({options}, o -> {test}), 0)"
+        match = lambda i: f"coalesce({first(f'o = {i}')}, {first(f'lower(trim(o)) = lower(trim({i}))')}, case when f.editable then {i} end)"
+        picked = f"transform({items}, i -> {match('i')})"
+        has_null, count = "exists(picked, p -> p is null)", "size(picked)"
+        button = first("lower(trim(o)) = plain")
     else:
-        exact, loose = f"list_contains({options}, a.answer)", f"len(list_filter({options}, lambda o: lower(trim(o)) = lower(trim(a.answer)))) > 0"
-    return f"""select a.doc_id, a.field_id, case when f.doc_id is null then 'no such field' when f.read_only then 'read only' when f.kind in ('signature', 'button') then 'refused'
-        when f.kind in ('text', 'multiline text') and f.max_len > 0 and length(a.answer) > f.max_len then 'too long'
-        when f.kind in ('choice', 'radio') and a.answer <> '' and not ({exact}) and not ({loose}) then 'not an option'
-        when f.kind in ('choice', 'radio') and a.answer <> '' and not ({exact}) then 'matched' else 'taken' end status
-      from fx_answers a left join fx_fields f on f.doc_id = a.doc_id and f.field_id = a.field_id"""
+        first = lambda test: f"list_filter({options}, lambda o: {test})[1]"
+        match = lambda i: f"coalesce({first(f'o = {i}')}, {first(f'lower(trim(o)) = lower(trim({i}))')}, case when f.editable then {i} end)"
+        picked = f"list_transform({items}, lambda i: {match('i')})"
+        has_null, count = "len(list_filter(picked, lambda p: p is null)) > 0", "len(picked)"
+        button = first("lower(trim(o)) = plain")
+    broken = d.like("answer", r"[\n\r]")
+    line = f"case when kind = 'text' and {broken} then {squeeze(d, 'answer')} else answer end"
+    status = f"""case when no_field then 'no such field' when read_only then 'read only' when kind in ('signature', 'button') then 'refused'
+        when kind in ('text', 'multiline text') and coalesce(max_len, 0) > 0 and length(line) > max_len then 'too long' when kind = 'text' and {broken} then 'squeezed'
+        when kind = 'radio' and plain <> '' and plain not in ({words(CLEARS)}) and button is null then 'not an option'
+        when kind = 'choice' and {count} > 1 and not multi then 'more than one' when kind = 'choice' and {has_null} then 'not an option' else 'taken' end"""
+    value = f"""case when status not in ('taken', 'squeezed') then null when kind = 'checkbox' then case when plain = '' or plain in ({words(UNTICKED)}) then 'false' else 'true' end
+        when kind = 'radio' then case when plain = '' or plain in ({words(CLEARS)}) then '' else button end when kind = 'choice' then {d.array_join('picked', '|')} else line end"""
+    return f"""select doc_id, field_id, status, {value} value from (select *, {status} status from (select *, {line} line from (
+      select *, {button.replace('f.choices', 'choices')} button from (
+        select a.doc_id, a.field_id, {given} answer, lower(trim({given})) plain, f.doc_id is null no_field, f.kind, f.read_only, f.max_len, f.multi, f.choices, {picked} picked
+        from fx_answers a left join fx_fields f on f.doc_id = a.doc_id and f.field_id = a.field_id) r) b) l) s"""
 
 
 @view

@@ -181,17 +181,17 @@ def bare_text_runs(d: Spark) -> str:
 
 @operator
 def empty_blocks(d: Spark) -> str:
-    """Blocks that open and close with nothing to notice between: no text but white space, no picture, rule or table."""
+    """Blocks that open and close with nothing to notice between: no text but white space, no picture, rule or table; and lists, rows and tables without an element in them."""
     solid = r"[^\s\x{A0}\x{200B}\x{200C}\x{200D}\x{FEFF}]"
     return f"""
       select doc_id, tag, count(*) removed from (
         select doc_id, run, min(case when first_row then tag end) tag, min(case when first_row then kind end) kind,
-               count_if(kind = 'text' and {d.like(decoded('tok'), solid)}) solid, count_if(tag in ('img', 'hr', 'table')) things, max(run_next_kind) nk, max(run_next_tag) nt
+               count_if(kind = 'text' and {d.like(decoded('tok'), solid)}) solid, count_if(tag in ('img', 'hr', 'table')) things, count_if(kind in ('open', 'void')) elements, max(run_next_kind) nk, max(run_next_tag) nt
         from (select *, pos = min(pos) over (partition by doc_id, run) first_row,
                 lead(kind) over (partition by doc_id order by pos) run_next_kind0, case when lead(run) over (partition by doc_id order by pos) <> run then lead(kind) over (partition by doc_id order by pos) end run_next_kind,
                 case when lead(run) over (partition by doc_id order by pos) <> run then lead(tag) over (partition by doc_id order by pos) end run_next_tag from block_runs) r
         group by doc_id, run) t
-      where kind = 'open' and tag in ({words(HEADINGS + ' p li blockquote figcaption caption')}) and solid = 0 and things = 0 and nk = 'close' and nt = tag
+      where kind = 'open' and nk = 'close' and nt = tag and (tag in ({words(HEADINGS + ' p li blockquote figcaption caption')}) and solid = 0 and things = 0 or tag in ({words('ul ol table thead tbody tfoot tr')}) and elements = 1)
       group by doc_id, tag"""
 
 
@@ -207,7 +207,7 @@ def plain_text(d: Spark) -> str:
 @operator
 def rtl_audit(d: Spark) -> str:
     n = d.count("coalesce(text, '')", r"[\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]")
-    return f"select doc_id, {n} rtl_chars from (select doc_id, case when doc_id % 9 = 0 then text || ' \u05d0\u05d1 \u0639' else text end text from documents) t"
+    return f"select doc_id, {n} rtl_chars from fx_rtl_texts"
 
 
 @operator

@@ -7,9 +7,9 @@ from marginalia.functions.dialect import Spark
 from .base import operator, squeeze, view
 
 # List marks, ends of sentences, stop words of two languages.
-BULLET = "[•‣▪◦●○■□–*·-]"
-NUMBER = r"\(?([0-9]{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]"
-SENTENCE_END = "[.!?:;]$"
+BULLET = "[•◦▪●○■‣⁃·*–—-]"
+NUMBER = r"\(?([0-9]{1,3}|[a-zA-Z]|[ivxIVX]{1,6})[.)]"
+SENTENCE_END = r"""[.!?:;"”’)\]]\s*$"""
 SPANISH = "de la que el en y a los del se las por un para con no una su al lo como"
 ENGLISH = "the of and to in a is that for it as was with be by on not he his but at"
 # End of fixed values.
@@ -202,9 +202,9 @@ def table_rows(d: Spark) -> str:
 
 @operator
 def picture_filter(d: Spark) -> str:
-    """Pictures large enough to matter; on recognised pages (here: even documents) not those that cover three quarters."""
-    return """select doc_id, page, ordinal from fx_pictures where w_px >= 24 and h_px >= 24 and x1 - x0 >= 6 and y1 - y0 >= 6
-      and not (doc_id % 2 = 0 and (x1 - x0) * (y1 - y0) >= 0.75 * 612 * 792)"""
+    """Pictures large enough to matter; on recognised pages not those that cover three quarters of a page of 612 by 792 points."""
+    return """select p.doc_id, p.page, p.ordinal from fx_pictures p left join (select distinct doc_id, page from fx_recognised) r on r.doc_id = p.doc_id and r.page = p.page
+      where w_px >= 24 and h_px >= 24 and x1 - x0 >= 6 and y1 - y0 >= 6 and not (r.doc_id is not null and (x1 - x0) * (y1 - y0) >= 0.75 * 612 * 792)"""
 
 
 @operator
@@ -242,15 +242,21 @@ def tagged_occurrence(d: Spark) -> str:
 
 @operator
 def size_levelling(d: Spark) -> str:
-    """On recognised pages (here: odd ones) sizes under 1.3 x the body become the body's; larger ones stay."""
-    return "select s.doc_id, s.page, s.line, s.span, cast(case when s.page % 2 = 1 and s.size < 1.3 * b.body then b.body else s.size end as double) size from fx_spans s join body_sizes b on b.doc_id = s.doc_id"
+    """On recognised pages sizes under 1.3 x the page's commonest become the one of the document's other pages (without any, the page's own); larger ones keep their proportion."""
+    page_size, half = d.even("s.size"), f"{d.even('s.size * 2')} / 2"
+    first = "min(s.page * 1000 + s.line * 10 + s.span)"
+    recognised = "(select distinct doc_id, page from fx_recognised)"
+    return f"""select s.doc_id, s.page, s.line, s.span, cast(case when b.body is null then s.size when s.size < 1.3 * b.body then coalesce(n.native, b.body) else s.size * coalesce(n.native, b.body) / b.body end as double) size from fx_spans s
+      left join (select doc_id, page, max_by(size, {d.struct(n='n', first='-first_pos')}) body from (
+          select s.doc_id, s.page, {page_size} size, sum(length(s.text)) n, {first} first_pos from fx_spans s join {recognised} r on r.doc_id = s.doc_id and r.page = s.page group by s.doc_id, s.page, {page_size}) q group by doc_id, page) b on b.doc_id = s.doc_id and b.page = s.page
+      left join (select doc_id, max_by(size, {d.struct(n='n', first='-first_pos')}) native from (
+          select s.doc_id, {half} size, sum(length(trim(s.text))) n, {first} first_pos from fx_spans s left join {recognised} r on r.doc_id = s.doc_id and r.page = s.page where r.doc_id is null group by s.doc_id, {half}) q group by doc_id) n on n.doc_id = s.doc_id"""
 
 
 @operator
 def control_chars(d: Spark) -> str:
-    """Every eighth document has one spliced in."""
     bad = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{E000}-\x{F8FF}]"
-    return f"select doc_id, {d.count('text', bad)} removed, md5({d.sub('text', bad)}) text_md5 from (select doc_id, case when doc_id % 8 = 0 then chr(7) || text else coalesce(text, '') end text from documents) t"
+    return f"select doc_id, {d.count('text', bad)} removed, md5({d.sub('text', bad)}) text_md5 from (select doc_id, coalesce(text, '') text from fx_control_texts) t"
 
 
 @operator

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import decoded, is_lang, operator, squeeze, view
+from .base import decoded, is_lang, operator, squeeze, view, words
 
 
 @view
@@ -61,16 +61,62 @@ def code_block_lines(d: Spark) -> str:
 
 
 @view
-def page_blocks(d: Spark) -> str:
-    """(doc_id, run, opener, level, number, text): blocks with the depth of their list and their number in it."""
+def block_tokens(d: Spark) -> str:
+    """The tokens of runs with the depth of lists and tables that they stand in, and the table, row and cell by the place of its opening."""
+    opened = lambda tags: f"max(case when tag in ({words(tags)}) and kind = 'open' then pos end) over w"
+    depth = lambda tags: f"sum(case when tag in ({words(tags)}) and kind = 'open' then 1 when tag in ({words(tags)}) and kind = 'close' then -1 else 0 end) over w"
+    return f"""select *, {depth('ul ol')} depth, {depth('table')} table_depth, sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 else 0 end) over w list_no,
+        max_by(case when tag = 'ol' then 1 else 0 end, case when tag in ('ul', 'ol') and kind = 'open' then pos end) over w ordered,
+        {opened('table')} tbl, {opened('tr')} r, {opened('td th')} c, max(case when tag in ('td', 'th', 'tr', 'table') and kind = 'close' then pos end) over w cell_end,
+        {opened('caption')} caption, max(case when tag = 'caption' and kind = 'close' then pos end) over w caption_end
+      from block_runs window w as (partition by doc_id order by pos rows between unbounded preceding and current row)"""
+
+
+def _blocks(d: Spark, where: str) -> str:
+    """(doc_id, run, opener, depth, number, ordered, text): blocks with the depth of their list and their number in it."""
     text = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
     return f"""select doc_id, run, opener, depth, text, row_number() over (partition by doc_id, list_no, opener order by run) number, ordered from (
       select doc_id, run, min(case when first_row and kind = 'open' then tag end) opener, max(depth) depth, max(list_no) list_no, max(ordered) ordered, {text} text from (
-        select *, pos = min(pos) over (partition by doc_id, run) first_row,
-               sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 when tag in ('ul', 'ol') and kind = 'close' then -1 else 0 end) over w depth,
-               sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 else 0 end) over w list_no,
-               max_by(case when tag = 'ol' then 1 else 0 end, case when tag in ('ul', 'ol') and kind = 'open' then pos end) over w ordered
-        from block_runs window w as (partition by doc_id order by pos rows between unbounded preceding and current row)) r group by doc_id, run) t where text <> ''"""
+        select *, pos = min(pos) over (partition by doc_id, run) first_row from block_tokens where {where}) r group by doc_id, run) t where text <> ''"""
+
+
+@view
+def page_blocks(d: Spark) -> str:
+    return _blocks(d, "true")
+
+
+@view
+def loose_blocks(d: Spark) -> str:
+    """Blocks outside tables."""
+    return _blocks(d, "table_depth <= 0")
+
+
+def escaped(d: Spark, s: str) -> str:
+    """Text with the marks of markdown escaped."""
+    marks = r"([\\`*_\[\]])"
+    return d.sub(s, marks, r"\\\1") if d.name == "duck" else f"regexp_replace({s}, {d.text(marks)}, {d.text(chr(92) * 2 + '$1')})"
+
+
+@view
+def page_cells(d: Spark) -> str:
+    """(doc_id, tbl, r, c, text): the cells of the pages' tables, each named by where it opens; empty ones too."""
+    text = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
+    return f"select doc_id, tbl, r, c, coalesce({text}, '') text from block_tokens where table_depth > 0 and r > tbl and c > r and (cell_end is null or c > cell_end) group by doc_id, tbl, r, c"
+
+
+def _tables(d: Spark, cells: str, columns: str) -> str:
+    """Cells to one text a table: rows between bars, padded to the widest, a rule after the first row."""
+    cell = f"replace({escaped(d, 'text')}, '|', {d.text(chr(92) + '|')})"
+    blank, rule = "repeat(' | ', cast(width - cells as int))", "'| ' || repeat('--- | ', cast(width - 1 as int)) || '--- |'"
+    row = f"'| ' || line || {blank} || ' |' || case when first_row then {d.text(chr(10))} || {rule} else '' end"
+    return f"""select {columns}, {d.join(row, chr(10), 'r')} body from (
+      select *, max(cells) over (partition by {columns}) width, r = min(r) over (partition by {columns}) first_row from (
+        select {columns}, r, count(*) cells, {d.join(cell, ' | ', 'c')} line from {cells} group by {columns}, r) a) b group by {columns}"""
+
+
+@operator
+def table_markdown(d: Spark) -> str:
+    return _tables(d, "fx_cells", "doc_id, tbl")
 
 
 @operator
@@ -82,11 +128,15 @@ def corpus_to_text(d: Spark) -> str:
 
 @operator
 def corpus_to_markdown(d: Spark) -> str:
-    """Headings with number signs, items with four spaces a level, marks escaped."""
-    escaped = d.sub("text", r"([\\`*_\[\]])", r"\\\1") if d.name == "duck" else f"regexp_replace(text, {d.text(r'([\\`*_\[\]])')}, {d.text(r'\\$1')})"
+    """Headings with number signs, items with four spaces a level, tables between bars below their caption, marks escaped."""
     line = f"""case when opener in ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') then repeat('#', cast(substr(opener, 2, 1) as int)) || ' ' || esc
       when opener = 'li' then repeat('    ', cast(greatest(depth - 1, 0) as int)) || case when ordered = 1 then cast(number as string) || '. ' else '- ' end || esc when opener = 'blockquote' then '> ' || esc else esc end"""
-    return f"select doc_id, {d.join(line, chr(10) + chr(10), 'run')} body from (select *, {escaped} esc from page_blocks) b group by doc_id"
+    caption = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
+    return f"""select doc_id, {d.join('line', chr(10) + chr(10), 'run, part')} body from (
+        select doc_id, run, 2 part, {line} line from (select *, {escaped(d, 'text')} esc from loose_blocks) b
+        union all select t.doc_id, s.run, 1, t.body from ({_tables(d, 'page_cells', 'doc_id, tbl')}) t join (select doc_id, tbl, min(run) run from block_tokens where pos = tbl group by doc_id, tbl) s on s.doc_id = t.doc_id and s.tbl = t.tbl
+        union all select doc_id, run, 0, {escaped(d, 'text')} from (select doc_id, caption, min(t_run) run, {caption} text from (select *, max(case when pos = tbl then run end) over (partition by doc_id, tbl) t_run from block_tokens) x
+          where table_depth > 0 and caption > tbl and (caption_end is null or caption > caption_end) and kind = 'text' group by doc_id, caption) c where text <> '') m group by doc_id"""
 
 
 # Extensions and what they stand for.

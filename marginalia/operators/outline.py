@@ -61,11 +61,16 @@ def picture_context(d: Spark) -> str:
     return """select p.doc_id, p.ordinal, max_by(trim(h.text), h.ordinal) heading from fx_pictures p left join fx_headings h on h.doc_id = p.doc_id and h.ordinal <= p.ordinal and trim(h.text) <> '' group by p.doc_id, p.ordinal"""
 
 
+# Pictures, and kilobytes of them, that go at most.
+PICTURE_CAP, BUDGET_KB = 12, 12 * 1024.0
+# End of fixed values.
+
+
 def _payload(cap: int, budget: float) -> str:
-    """Pictures taken in order: one that would pass the budget is skipped (never the first), and the next is tried."""
+    """Pictures taken in order. Once the cap is full all others are over it; one that cannot be read is never counted; one that would pass the budget is skipped (never the first), and the next is tried."""
     fold = f"""aggregate(pics, named_struct('n', 0, 'kb', cast(0 as double), 'out', cast(array() as array<struct<ordinal:int,verdict:string>>)),
-      (acc, x) -> case when not x.readable then named_struct('n', acc.n, 'kb', acc.kb, 'out', concat(acc.out, array(named_struct('ordinal', x.ordinal, 'verdict', 'unreadable'))))
-        when acc.n >= {cap} then named_struct('n', acc.n, 'kb', acc.kb, 'out', concat(acc.out, array(named_struct('ordinal', x.ordinal, 'verdict', 'over cap'))))
+      (acc, x) -> case when acc.n >= {cap} then named_struct('n', acc.n, 'kb', acc.kb, 'out', concat(acc.out, array(named_struct('ordinal', x.ordinal, 'verdict', 'over cap'))))
+        when not x.readable then named_struct('n', acc.n, 'kb', acc.kb, 'out', concat(acc.out, array(named_struct('ordinal', x.ordinal, 'verdict', 'unreadable'))))
         when acc.n > 0 and acc.kb + x.kb > {budget} then named_struct('n', acc.n, 'kb', acc.kb, 'out', concat(acc.out, array(named_struct('ordinal', x.ordinal, 'verdict', 'over budget'))))
         else named_struct('n', acc.n + 1, 'kb', acc.kb + x.kb, 'out', concat(acc.out, array(named_struct('ordinal', x.ordinal, 'verdict', 'chosen')))) end, acc -> acc.out)"""
     return f"select doc_id, inline({fold}) from (select doc_id, array_sort(collect_list(named_struct('ordinal', cast(ordinal as int), 'kb', cast(kb as double), 'readable', readable))) pics from fx_pictures group by doc_id) p"
@@ -73,7 +78,7 @@ def _payload(cap: int, budget: float) -> str:
 
 def _payload_steps(cap: int, budget: float) -> str:
     """The same, a step a picture."""
-    step = lambda n, kb: f"case when not p.readable then 'unreadable' when {n} >= {cap} then 'over cap' when {n} > 0 and {kb} + p.kb > {budget} then 'over budget' else 'chosen' end"
+    step = lambda n, kb: f"case when {n} >= {cap} then 'over cap' when not p.readable then 'unreadable' when {n} > 0 and {kb} + p.kb > {budget} then 'over budget' else 'chosen' end"
     first = step("0", "cast(0 as double)")
     return f"""with recursive ordered as (select doc_id, cast(ordinal as int) ordinal, cast(kb as double) kb, readable, row_number() over (partition by doc_id order by ordinal) i from fx_pictures),
       taken as (select doc_id, i, ordinal, {first} verdict, case when {first} = 'chosen' then 1 else 0 end n, case when {first} = 'chosen' then kb else cast(0 as double) end kb from ordered p where i = 1
@@ -84,7 +89,7 @@ def _payload_steps(cap: int, budget: float) -> str:
 
 @operator
 def picture_payload(d: Spark) -> str:
-    return _payload(3, 6000.0) if d.name == "spark" else _payload_steps(3, 6000.0)
+    return _payload(PICTURE_CAP, BUDGET_KB) if d.name == "spark" else _payload_steps(PICTURE_CAP, BUDGET_KB)
 
 
 @operator

@@ -9,8 +9,7 @@ from .base import bad_share, operator, view
 
 @operator
 def text_quality(d: Spark) -> str:
-    """Every eighth document starts with a character that no font shows."""
-    return f"select doc_id, {bad_share(d, 'text')} bad_share from (select doc_id, case when doc_id % 8 = 0 then '�' || substr(text, 3) else coalesce(text, '') end text from documents) t"
+    return f"select doc_id, {bad_share(d, 'text')} bad_share from (select doc_id, coalesce(text, '') text from fx_symbol_texts) t"
 
 
 @view

@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import bad_share, is_lang, operator, view
+from .base import is_lang, operator, reads, squeeze, view, words
+
+
+@view
+def big_lines(d: Spark) -> str:
+    """The largest readable short line of the first page, of three, that has one."""
+    good = f"length(trim(text)) between 3 and 90 and not {d.like('trim(text)', '[.]$')} and {reads(d, 'text')}"
+    return f"""select doc_id, {squeeze(d, 'title')} title from (select doc_id, page, max_by(trim(text), {d.struct(size='size', first='-line')}) title, row_number() over (partition by doc_id order by page) n
+      from fx_lines where {good} and page < 3 group by doc_id, page) t where n = 1"""
 
 
 @operator
 def title_candidates(d: Spark) -> str:
-    """The largest readable short line of the first page that has one."""
-    good = f"length(trim(text)) between 3 and 90 and not {d.like('trim(text)', '[.]$')} and {d.count('text', r'\p{L}')} >= 3 and {bad_share(d, 'text')} < 0.15"
-    return f"""select doc_id, title from (select doc_id, page, max_by(trim(text), {d.struct(size='size', first='-line')}) title, row_number() over (partition by doc_id order by page) n
-      from fx_lines where {good} and page < 3 group by doc_id, page) t where n = 1"""
+    return "select doc_id, title from big_lines"
 
 
 @view
 def planned_titles(d: Spark) -> str:
-    return """select doc_id, coalesce(nullif(trim(xmp_title), ''), nullif(trim(info_title), ''), file_name) title,
-      case when trim(coalesce(xmp_title, '')) <> '' then 'as it is' when trim(coalesce(info_title, '')) <> '' then 'from the dictionary' else 'file name' end reason from fx_docs"""
+    """The readable title in the metadata, else the one in the dictionary, else the largest line, else the file's name."""
+    readable = lambda c: f"case when {reads(d, f'trim({c})')} then trim({c}) end"
+    return f"""select doc_id, coalesce(xmp, info, big, {d.sub('file_name', '[.][^.]*$')}) title,
+      case when xmp is not null then 'as it is' when info is not null then 'from the dictionary' when big is not null then 'largest line' else 'file name' end reason from (
+        select p.doc_id, p.file_name, {readable("coalesce(p.xmp_title, '')")} xmp, {readable("coalesce(p.info_title, '')")} info, nullif(b.title, '') big from fx_docs p left join big_lines b on b.doc_id = p.doc_id) t"""
 
 
 @operator
@@ -28,9 +36,9 @@ def title_plan(d: Spark) -> str:
 
 @view
 def planned_langs(d: Spark) -> str:
-    ok = is_lang(d, "trim(coalesce(p.lang, ''))")
-    return f"""select p.doc_id, case when {ok} then trim(p.lang) when coalesce(g.guess, '') <> '' then g.guess else 'en-US' end lang,
-      case when {ok} then 'as it is' when coalesce(g.guess, '') <> '' then 'guessed' else 'default' end reason from fx_docs p left join guesses g on g.doc_id = p.doc_id"""
+    """A language that a document names stays, code or not; without one it is guessed."""
+    return """select p.doc_id, case when trim(coalesce(p.lang, '')) <> '' then trim(p.lang) when coalesce(g.guess, '') <> '' then g.guess else 'en-US' end lang,
+      case when trim(coalesce(p.lang, '')) <> '' then 'as it is' when coalesce(g.guess, '') <> '' then 'guessed' else 'default' end reason from fx_docs p left join guesses g on g.doc_id = p.doc_id"""
 
 
 @operator
@@ -69,27 +77,61 @@ def page_loss(d: Spark) -> str:
     return "select p.doc_id, p.found, c.expected from (select doc_id, count(*) found from fx_pdf_pages group by doc_id) p join fx_declared c on c.doc_id = p.doc_id where p.found < c.expected"
 
 
+# Page sizes, the ranges of numbers, and what stands where nothing usable is given.
+PAGE_SIZES, DEFAULT_PAGE = "letter A4 legal", "letter"
+DEFAULT_MARGIN, LEAST_MARGIN, MOST_MARGIN = 1.0, 0.25, 3.0
+DEFAULT_POINTS, LEAST_POINTS, MOST_POINTS = 11.0, 6.0, 36.0
+DEFAULT_FONT, FONT = "Arial, Helvetica, sans-serif", """^[A-Za-z0-9 ,'"-]+$"""
+DEFAULT_LANG = "en-US"
+# End of fixed values.
+
+
+@view
+def used_settings(d: Spark) -> str:
+    """Settings as they are used: a number out of range becomes the end of the range, what cannot be used the default."""
+    def number(name: str, column: str, default: float, least: float, most: float, places: int) -> str:
+        x = d.number(f"trim({column})")
+        held = f"least(greatest(coalesce({x}, cast({default} as double)), cast({least} as double)), cast({most} as double))"
+        text = d.sub(f"{'format_string' if d.name == 'spark' else 'printf'}('%.{places}f', {held})", "[.]?0+$")
+        return f"select doc_id, '{name}' setting, {text} value, trim(coalesce({column}, '')) <> '' and ({x} is null or {x} <> {held}) fell_back from fx_meta"
+
+    def text(name: str, value: str, usable: str, default: str) -> str:
+        return f"select doc_id, '{name}' setting, case when {usable} then {value} else {d.text(default)} end value, {value} <> '' and not ({usable}) fell_back from fx_meta"
+
+    page, font, lang = "trim(coalesce(page_size, ''))", squeeze(d, "coalesce(font_family, '')"), "trim(coalesce(lang, ''))"
+    return " union all ".join((
+        text("page", page, f"{page} in ({words(PAGE_SIZES)})", DEFAULT_PAGE),
+        number("margin", "margin_inches", DEFAULT_MARGIN, LEAST_MARGIN, MOST_MARGIN, 3),
+        number("points", "font_points", DEFAULT_POINTS, LEAST_POINTS, MOST_POINTS, 1),
+        text("font", font, d.like(font, FONT), DEFAULT_FONT),
+        text("lang", lang, is_lang(d, lang), DEFAULT_LANG),
+    ))
+
+
 @operator
 def export_settings(d: Spark) -> str:
-    """Settings as they are used: known sizes, numbers in range, language codes and plain font names, or the default."""
-    margin, points = d.number("margin_inches"), d.number("font_points")
-    font = d.like("font_family", """^[A-Za-z0-9 ,'"-]+$""")
-    lang = is_lang(d, "lang")
-    return f"""select doc_id, 'page' setting, case when page_size in ('letter', 'A4', 'legal') then page_size else 'letter' end value, page_size not in ('letter', 'A4', 'legal') fell_back from fx_meta
-      union all select doc_id, 'margin', cast(case when {margin} between 0.25 and 3 then {margin} else 1 end as string), {margin} is null or not {margin} between 0.25 and 3 from fx_meta
-      union all select doc_id, 'points', cast(case when {points} between 6 and 36 then {points} else 11 end as string), {points} is null or not {points} between 6 and 36 from fx_meta
-      union all select doc_id, 'font', case when {font} then font_family else 'serif' end, not {font} from fx_meta
-      union all select doc_id, 'lang', case when {lang} then lang else 'en-US' end, not {lang} from fx_meta"""
+    """What is given but cannot be used as it stands has fallen back; a blank takes the default and has not."""
+    return "select doc_id, setting, value, fell_back from used_settings"
+
+
+@operator
+def export_fallbacks(d: Spark) -> str:
+    """How many documents fell back, by setting."""
+    return "select setting, count(*) docs, count_if(fell_back) fell_back from used_settings group by setting"
 
 
 @operator
 def heading_levels_from_styles(d: Spark) -> str:
-    """A paragraph's level by its style's name, else by the outline level of the nearest style it is based on."""
-    name = "case when style_name = 'Title' then 1 when style_name like 'Heading _' then cast(substr(style_name, 9, 1) as int) end"
-    return f"""with recursive chain as (select doc_id, style_id, base_id, {name} named, outline_lvl, 0 step from fx_styles
-      union all select c.doc_id, c.style_id, s.base_id, {name.replace('style_name', 's.style_name')}, s.outline_lvl, c.step + 1 from chain c join fx_styles s on s.doc_id = c.doc_id and s.style_id = c.base_id where c.step < 12)
-      select p.doc_id, p.para, c.level from fx_doc_paragraphs p join (select doc_id, style_id, coalesce(min_by(named, case when named is not null then step end), min_by(outline_lvl, case when outline_lvl is not null then step end) + 1) level
-        from chain group by doc_id, style_id) c on c.doc_id = p.doc_id and c.style_id = p.style_id where c.level is not null"""
+    """A paragraph's level by its own style's name or id, else by its outline level, its own or that of the nearest of twelve styles; levels from 0 to 5 count."""
+    numbered = lambda c: d.extract(f"lower({c})", r"^heading\s*([1-9])$", 1)
+    by_name, by_id = numbered("coalesce(s.style_name, '')"), d.extract("lower(cast(p.style_id as string))", "^heading([1-9])$", 1)
+    named = f"case when lower(s.style_name) = 'title' then 1 when {by_name} <> '' then least(cast({by_name} as int), 6) when {by_id} <> '' then least(cast({by_id} as int), 6) end"
+    return f"""with recursive chain as (select doc_id, style_id, base_id, outline_lvl, 0 step from fx_styles
+      union all select c.doc_id, c.style_id, s.base_id, s.outline_lvl, c.step + 1 from chain c join fx_styles s on s.doc_id = c.doc_id and s.style_id = c.base_id where c.step < 11 and c.outline_lvl is null)
+      select doc_id, para, cast(coalesce(named, case when outline between 0 and 5 then outline + 1 end) as int) level from (
+        select p.doc_id, p.para, {named} named, coalesce(p.outline_lvl, o.outline) outline from fx_doc_paragraphs p left join fx_styles s on s.doc_id = p.doc_id and s.style_id = p.style_id
+        left join (select doc_id, style_id, max(outline_lvl) outline from chain group by doc_id, style_id) o on o.doc_id = p.doc_id and o.style_id = p.style_id) l
+      where named is not null or outline between 0 and 5"""
 
 
 @operator
@@ -106,8 +148,11 @@ def unread_content(d: Spark) -> str:
 
 @operator
 def nested_lists(d: Spark) -> str:
-    """An item's parent is the last item before it of a smaller level."""
-    return """select i.doc_id, i.item_id, max(o.item_id) parent_id from fx_list_items i left join fx_list_items o on o.doc_id = i.doc_id and o.item_id < i.item_id and o.level < i.level group by i.doc_id, i.item_id"""
+    """An item's parent is the last item before it of a smaller level: of the nine levels, the latest item of each so far."""
+    before = ", ".join(f"max(case when level = {k} then item_id end) over w m{k}" for k in range(9))
+    parent = "greatest(" + ", ".join(f"case when level > {k} then m{k} end" for k in range(9)) + ")"
+    return f"""select doc_id, item_id, {parent} parent_id from (select doc_id, item_id, level, {before} from fx_list_items
+      window w as (partition by doc_id order by item_id rows between unbounded preceding and 1 preceding)) l"""
 
 
 @operator

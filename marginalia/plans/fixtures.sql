@@ -77,7 +77,7 @@ create view fx_fonts as
 select doc_id, ord font_id, case when ok % 2 = 0 then 'ABCDEF+' else '' end || name font_name,
        case ok % 3 when 0 then '/Type3' when 1 then '/Type0' else '/TrueType' end subtype,
        sk % 6 <> 0 has_file, sk % 4 <> 0 has_tounicode, case when ok % 5 = 0 then '/WinAnsiEncoding' end encoding
-from fx_lp where ord <= 4;
+from fx_lp;
 create view fx_annots as
 select doc_id, cast(1 + ok % 3 as int) page, ord annot_id,
        case ok % 4 when 0 then '/Link' when 1 then '/Widget' when 2 then '/Text' else '/Popup' end subtype,
@@ -91,7 +91,7 @@ select doc_id, ord page, 612.0 width, 792.0 height,
        case when ok % 5 = 0 then 0 else length(name) end chars, case when sk % 9 = 0 then 3 else 0 end untagged,
        cast(sk % 2 as int) images, case when sk % 8 = 0 then 2 else 0 end unmarked,
        case when sk % 4 = 0 then '' else '/S' end tabs
-from fx_lp where ord <= 6;
+from fx_lp;
 -- positioned lines: 12 per page, first and last fall in the margin tenth of a 792 pt page
 create view fx_lines as
 select doc_id, source, cast(floor(i / 12) as int) page, cast(i % 12 as int) line, cast(floor((i % 12) / 2) as int) block,
@@ -130,11 +130,12 @@ select doc_id, ord field_id, 'f' || cast(ord % 3 as string) name,
             when 4 then 'choice' when 5 then 'signature' when 6 then 'button' else 'radio' end kind,
        cast(qty % 9 as int) max_len, sk % 10 = 0 read_only, 'Red|Blue|' || name choices,
        cast(1 + ord % 2 as int) page, 105.0 + qty + 200 * (pk % 3) x0, 50.0 + 5 * ord y0, 150.0 + qty + 200 * (pk % 3) x1, 62.0 + 5 * ord y1,
-       case when sk % 2 = 0 then name else '' end value
+       case when sk % 2 = 0 then name else '' end value, sk % 3 = 0 multi, sk % 7 = 0 editable
 from fx_li;
 create view fx_answers as
 select doc_id, ord + cast(case when pk % 13 = 0 then 50 else 0 end as int) field_id,
-       case sk % 4 when 0 then ' blue ' when 1 then name when 2 then 'Green' else '' end answer from fx_li;
+       case sk % 6 when 0 then ' blue ' when 1 then name when 2 then 'Green' when 3 then 'red|Blue' when 4 then 'off' else '' end ||
+       case when pk % 11 = 0 then chr(10) || ' line' else '' end answer from fx_li;
 create view fx_replies as
 select doc_id, ord page, '[{"label":"' || name || '","rect":[' || cast(qty * 20 as string) || ',' || cast(psize * 10 as string) || ',' ||
        cast(qty * 20 + pk % 40 - 10 as string) || ',' || cast(psize * 10 + pk * 7 % 300 as string) || '],"kind":"' ||
@@ -143,17 +144,13 @@ select doc_id, ord page, '[{"label":"' || name || '","rect":[' || cast(qty * 20
 create view fx_styles as
 select doc_id, ord style_id, case when ord = 1 then null else ord - 1 end base_id,
        case when ord = 1 and sk % 2 = 0 then 2 end outline_lvl,
-       case pk % 5 when 0 then 'Title' when 1 then 'Heading 2' when 2 then 'List Bullet 3' else 'Body' end style_name
-from fx_li where ord <= 6;
+       case pk % 5 when 0 then 'title' when 1 then 'heading 2' when 2 then 'List Bullet 3' else 'Body' end style_name
+from fx_li;
 create view fx_snapshots as
 select user_id source_id, event_id snapshot_id, ts saved_at, event_type title from events;
 -- characters, words and rectangles for the geometry joins
 create view fx_digits as select 0 n union all select 1 union all select 2 union all select 3 union all select 4
 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9;
-create view fx_chars as
-select doc_id, page, line, a.n * 10 + b.n idx, substr(text, a.n * 10 + b.n + 1, 1) ch,
-       x0 + 4 * (a.n * 10 + b.n) x0, y0, x0 + 4 * (a.n * 10 + b.n) + 4 x1, y1
-from fx_form_lines cross join fx_digits a cross join fx_digits b where a.n * 10 + b.n < length(text);
 create view fx_words as
 select doc_id, page, line * 2 word_id, substr(text, 1, 5) text, x0, y0, x0 + 20 x1, y1 from fx_form_lines
 union all
@@ -173,7 +170,8 @@ select doc_id, 1 page, ord seq, case ok % 8 when 0 then 'BDC' when 1 then 'EMC'
 create view fx_list_items as
 select doc_id, ord item_id, cast(sk % 4 as int) level, case when pk % 3 = 0 then 'ol' else 'ul' end tag, name text from fx_li;
 create view fx_doc_paragraphs as
-select doc_id, ord para, cast(1 + pk % 6 as int) style_id, cast(pk % 5 as int) num_id, cast(sk % 3 as int) ilvl, name text from fx_li;
+select doc_id, ord para, cast(1 + pk % 6 as int) style_id, cast(pk % 5 as int) num_id, cast(sk % 3 as int) ilvl, name text,
+       case when pk % 11 = 0 then cast(sk % 9 as int) end outline_lvl from fx_li;
 create view fx_nums as
 select n num_id, n % 3 abstract_id, case when n = 2 then 'bullet' end override_fmt from fx_digits where n between 1 and 3;
 create view fx_abstract_nums as
@@ -190,3 +188,13 @@ select p_partkey doc_id, case p_size % 4 when 0 then 'A4' when 1 then 'letter' w
        case p_size % 3 when 0 then 'en-US' when 1 then '' else 'not a code' end lang from part;
 -- before / after for the issue diff
 create view fx_headings_prev as select * from fx_headings where ordinal % 5 <> 4;
+-- texts and pages with what the given ones lack, for rules over a whole table
+create view fx_symbol_texts as select doc_id, case when doc_id % 8 = 0 then '�' || substr(text, 3) else text end text from documents;
+create view fx_control_texts as select doc_id, case when doc_id % 8 = 0 then chr(7) || text else text end text from documents;
+create view fx_rtl_texts as select doc_id, case when doc_id % 9 = 0 then text || ' אב ع' else text end text from documents;
+create view fx_caps_lines as select doc_id, cast(i as bigint) ordinal, case when doc_id % 7 = 0 then upper(text) else text end text from fx_doc_lines;
+create view fx_page_meta as
+select doc_id, case when doc_id % 6 = 0 then ' ' else title end title, case when doc_id % 5 = 0 then '' else lang end lang from page_meta;
+create view fx_page_headings as select doc_id, ordinal, level, text from headings where doc_id % 3 <> 0;
+create view fx_recognised as
+select distinct doc_id, page from fx_lines where page % 2 = 1 union select distinct doc_id, page from fx_pictures where doc_id % 2 = 0;
