@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +21,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path.rstrip("/")
+
+
+#: Tables written by ``saved``, for ``forget``.
+_SAVED: list[str] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/marginalia-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Python workers get at most so many rows at a time, so their memory follows a few hundred texts, not ten thousand."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) != rows:
-        spark.conf.set(key, str(rows))
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that ``saved`` wrote. For a caller who has consumed all results that rest on them."""
+    at, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SAVED:
+        path = at(_SAVED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of at most so many rows, and bytes of the text column (or one row), so that what a worker makes of
+    texts at once is bounded however Spark cuts its batches. Nothing is copied."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < len(ends):
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, "right"))))
+            yield batch.slice(at, end - at)
+            at, done = end, int(ends[end - 1])
+
+
+def row_key(df: DataFrame) -> Column:
+    """64 bits of all of a row, which with its doc_id tell it from others that repeat the id or have none. Maps take no part."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
 def word_count(text: Column) -> Column:

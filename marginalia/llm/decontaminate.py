@@ -1,7 +1,9 @@
 """Benchmark decontamination: which documents hold a passage within edit distance of a benchmark item.
 
 Distances count word edits; an item of n words leaks where a passage is within floor(EDITS x n) of it. The benchmark is
-the stated query set: it is gathered in blocks of about BLOCK_CHARS characters, and every document meets every block.
+the stated query set: its distinct texts are dealt to blocks of about BLOCK_CHARS characters by their hash, and every
+document meets every block. Blocks are worked one after the other, each one's findings written before the next is
+gathered, so the driver, a plan and a worker hold one block at a time, however large the benchmark is.
 
 For each item length, the item-sized windows of a text are its candidates. A q-gram bound discards windows that cannot
 be near (they share too few adjacent word pairs with the items of that length); it is a bound, so it loses none. The
@@ -10,8 +12,8 @@ a hash of step, word and repetition says, so that sequences at a small edit dist
 LSH keys each walk by SAMPLES of its steps; REPETITIONS walks bring the recall for near passages to its target. Items
 and windows that share a key are verified exactly, by dynamic programming of the item against the window's region.
 
-Defined cases: null and empty texts hold nothing; items of fewer than MIN_WORDS words are no evidence and are not
-searched; repeated items each report; repeated documents each report; a null doc_id is reported as null; an empty table
+Defined cases: null and empty texts hold nothing; items of fewer than ``min_words`` words are no evidence and are not
+searched (with 1 all are: those of under five words allow no edit and are found exactly); repeated items each report; repeated documents each report; a null doc_id is reported as null; an empty table
 on either side gives no rows; other columns are ignored.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces, row_key, saved
 
 EDITS, MIN_WORDS = 0.2, 5
 REPETITIONS, SAMPLES, COLLISIONS = 32, 2, 2
@@ -95,10 +97,16 @@ def _shared(hit: np.ndarray, n: int, size: int) -> np.ndarray:
     return total[np.minimum(begin + n - 1, len(total) - 1)] - total[begin]
 
 
+def around(values: np.ndarray, reach: int) -> np.ndarray:
+    """The greatest value within ``reach`` places of each."""
+    padded = np.pad(values, reach, constant_values=-1)
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1).max(axis=1)
+
+
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], edits: float = EDITS, min_words: int = MIN_WORDS):
+    def __init__(self, rows: list[tuple[str, str | None]], edits: float = EDITS, min_words: int = MIN_WORDS):
         split = [(i, [bare(w) for w in words_of(t)]) for i, t in rows]
         split = [(i, w) for i, w in split if len(w) >= min_words]
         self.edits, self.ids = edits, [i for i, _ in split]
@@ -174,8 +182,11 @@ class Items:
             for k, n in group:
                 own = held & np.uint64(1 << k % 64) != 0
                 shared = _shared(own, n, len(ids))
-                # a passage begins or ends with a pair of its item, or an edit stands at both its ends
-                edge = own[: len(shared)] | own[np.minimum(np.arange(len(shared)) + n - 2, len(own) - 1)] | (shared == shared.max())
+                # a passage begins or ends with a pair of its item; or an edit stands at both its ends, and then no window
+                # that begins within the allowed edits of it shares more
+                edge = shared == around(shared, self.allowed(n))
+                if len(own):
+                    edge |= own[: len(shared)] | own[np.minimum(np.arange(len(shared)) + max(0, n - 2), len(own) - 1)] if len(own) >= len(shared) else True
                 at = np.flatnonzero((shared >= self.needed(n)) & edge)
                 starts.append(at)
                 lengths.append(np.full(len(at), n))
@@ -243,40 +254,43 @@ def nearest(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, item_words, edits, similarity, end_word), a row for each document and item that leaks into it."""
-    small_batches(docs.sparkSession)
-    kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kind}, item_id {item_kind}, item_words int, edits int, similarity double, end_word int"
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
-    out = None
+def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, min_words: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kept columns, item_id, item_words, edits, similarity, end_word), a row for each document and item that leaks into it."""
+    kind = dict(docs.dtypes)
+    own = ["doc_id", *keep]
+    schema = ", ".join([*[f"`{c}` {kind[c]}" for c in own], "t string, item_words int, edits int, similarity double, end_word int"])
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("t", F.md5("text"))
+    texts = saved(items.groupBy("t").agg(F.first("text").alias("text")))
+    blocks = max(1, math.ceil((texts.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
+    found = None
     for block in range(blocks):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_finder(Items(rows, edits, min_words), item_kind), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        rows = [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()]
+        part = docs.select(*own, F.col("text").cast("string").alias("__text")).mapInArrow(_finder(Items(rows, edits, min_words), own), schema)
+        part = part if blocks == 1 else saved(part)
+        found = part if found is None else found.unionByName(part)
+    return found.join(items.select("t", "item_id"), "t").select(*own, "item_id", "item_words", "edits", "similarity", "end_word")
 
 
-def _finder(items: Items, item_kind: str):
+def _finder(items: Items, own: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(items.number)
-        for batch in batches:
+        for batch in pieces(batches, "__text"):
             if len(memo) > KNOWN_WORDS:
                 memo = Memo(items.number)
-            texts = [np.array(list(map(memo.__getitem__, words_of(t))), dtype=np.int64) for t in batch.column(1).to_pylist()]
+            texts = [np.array(list(map(memo.__getitem__, words_of(t))), dtype=np.int64) for t in batch.column("__text").to_pylist()]
             found = items.verified(texts) if len(items.sizes) else []
             sizes = [int(items.sizes[k]) for _, k, _, _ in found]
+            at = pa.array([d for d, _, _, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array([d for d, _, _, _ in found], pa.int64())),
-                    pa.array([items.ids[k] for _, k, _, _ in found], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]),
+                    *[batch.column(c).take(at) for c in own],
+                    pa.array([items.ids[k] for _, k, _, _ in found], pa.string()),
                     pa.array(sizes, pa.int32()),
                     pa.array([e for _, _, e, _ in found], pa.int32()),
                     pa.array([1 - e / n for (_, _, e, _), n in zip(found, sizes)], pa.float64()),
                     pa.array([end for _, _, _, end in found], pa.int32()),
                 ],
-                names=["doc_id", "item_id", "item_words", "edits", "similarity", "end_word"],
+                names=[*own, "t", "item_words", "edits", "similarity", "end_word"],
             )
 
     return run
@@ -294,10 +308,14 @@ class Memo(dict):
         return out
 
 
-def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that no item leaks into, all columns."""
-    ids = found.select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_LEAKS else ids, "doc_id", "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents that no item leaks into, all columns. A row is known by its doc_id and a hash of all of its columns, so
+    rows without an id, or that repeat one, stay or go by their own texts."""
+    keyed = docs.withColumn("__row", row_key(docs))
+    found = saved(leaks(keyed, benchmark, edits, min_words, keep=("__row",)).select("doc_id", "__row").distinct())
+    found = found.withColumnsRenamed({"doc_id": "__leak_id", "__row": "__leak_row"})
+    same = F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.col("__row") == F.col("__leak_row"))
+    return keyed.join(F.broadcast(found) if found.count() <= BROADCAST_LEAKS else found, same, "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import held_out, small_batches, unit
+from .common import held_out, pieces, unit
 
 UND = "und"
-#: Sampled documents of each language, on average; segments taken of each; languages learned, the most frequent first.
-PER_LANGUAGE, PIECES, MOST_LANGUAGES = 600, 2, 200
+#: Sampled documents of each language, on average, and segments taken of each. All languages that rows name are learned.
+PER_LANGUAGE, PIECES = 600, 2
 SEGMENT, TRAIN_BYTES, HIDDEN = 128, 64, 8
 #: Segments that go through the network side by side.
 SIDE_BY_SIDE = 2048
@@ -97,7 +97,7 @@ class ByteNet:
 def train(docs: DataFrame) -> ByteNet | None:
     """Learns from text and non-null lang of rows that are not held out."""
     rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
@@ -119,11 +119,10 @@ def train(docs: DataFrame) -> ByteNet | None:
 
 def predict(docs: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
     """doc_id, the kept columns, lang_pred and score of every document."""
-    small_batches(docs.sparkSession)
     keep = ("doc_id", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "__text"):
             text = pc.fill_null(batch.column("__text"), "").cast(pa.binary())
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
@@ -142,24 +141,36 @@ def predict(docs: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("__text"), lettered).mapInArrow(run, f"{schema}lang_pred string, score double")
 
 
-#: A document whose best language stays below this is rejected, as is one that is ``und``.
-LEAST_SCORE = 0.3
+#: Share of held-out labelled documents that the threshold of the filter may lose, and how many of them set it, about.
+LOST, THRESHOLD_ROWS = 0.002, 4000
 
 
-def accepted(docs: DataFrame, net: ByteNet | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents, all columns, whose text has letters and, where a network was learned, some language of at least this probability."""
+def threshold(docs: DataFrame, net: ByteNet) -> float:
+    """The score under which a document has no known language: all but LOST of the labelled documents that training did not
+    see reach it, whatever the number of languages. 0 without such documents."""
+    rows = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n = rows.count()
+    some = rows.filter(unit(F.lit(81), F.col("doc_id")) < min(1.0, THRESHOLD_ROWS / max(1, n)))
+    return predict(some, net).agg(F.percentile("score", LOST)).first()[0] or 0.0
+
+
+def accepted(docs: DataFrame, net: ByteNet | None, least: float | None = None) -> DataFrame:
+    """The documents, all columns, whose text has letters and, where a network was learned, some language of at least this
+    probability (``threshold`` if none is given). Rows without a lang get the one that was found."""
     lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
     if net is None:
         return lettered
-    small_batches(docs.sparkSession)
+    least = threshold(docs, net) if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+        for batch in pieces(batches, batch_text):
+            text = batch.column(batch_text).cast(pa.binary())
             offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             probs = net.documents(np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8), offsets)
-            yield batch.filter(pa.array(probs.max(axis=1) >= least))
+            lang = pc.fill_null(batch.column(batch_lang), pa.array([net.classes[b] for b in probs.argmax(axis=1)], pa.string())) if len(probs) else batch.column(batch_lang)
+            yield batch.set_column(batch_lang, batch.schema.field(batch_lang), lang).filter(pa.array(probs.max(axis=1) >= least if len(probs) else [], pa.bool_()))
 
+    batch_text, batch_lang = lettered.columns.index("text"), lettered.columns.index("lang")
     return lettered.mapInArrow(run, docs.schema)
 
 

@@ -12,8 +12,9 @@ distance; a search goes from a node at distance d only along edges from d - radi
 key is neither one task nor one large tree, and no link is lost. A shard returns links to one member for each of its
 local components, never all pairs; ``components`` joins them.
 
-The pipeline's stage (``one_of_each``) measures Jaccard similarity of shingle sets, which fingerprints of repeated
-shingles do not: its candidates meet under keys of least hashes, and every pair that met is settled on the texts.
+The pipeline's stage (``one_of_each``) measures Jaccard similarity of shingle sets. Its fingerprints are SimHashes of 128
+bits of the sets; shards are made by keys of least hashes, under which similar sets of any size meet; BK-trees of the
+shards give the pairs within a wide radius, and every such pair is settled on the texts.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle make
 one shingle of all; a null doc_id keeps its row and gets its group's least doc_id (null if the group has no other);
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import pieces, row_key, saved
 from .components import components
 
 #: Most nodes of one BK-tree; a larger shard is dealt over several.
@@ -42,6 +43,8 @@ ROWS_AT_ONCE = 100_000
 #: (query, node) pairs held at once during a search.
 FRONTIER = 2_000_000
 SEED = 42
+#: Up to so many hot keys are sent to every executor; beyond it Spark joins them.
+BROADCAST_HOT = 100_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -87,10 +90,9 @@ def digest(distinct: np.ndarray) -> tuple[int, int]:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, f0): 64 bits as a long."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             out = [signed(majority(shingle_hashes(text, shingle))) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "f0"])
 
@@ -121,12 +123,12 @@ def keyed(nodes: DataFrame, keys: list[list[int]], words: list[str]) -> DataFram
 class Forest:
     """BK-trees of many shards at once, each built breadth first: a group's first fingerprint is its node, the rest fall into child groups by their distance to it."""
 
-    def __init__(self, shard: np.ndarray, prints: np.ndarray):
-        """shard: sorted shard numbers from 0 on, one a row; prints: (rows, words) of uint64."""
+    def __init__(self, shard: np.ndarray, prints: np.ndarray, n_shards: int):
+        """shard: sorted shard numbers, one a row; prints: (rows, words) of uint64."""
         n = len(shard)
         self.prints, self.edge = prints, np.zeros(n, dtype=np.int16)
-        self.root = np.full(int(shard[-1]) + 1 if n else 0, -1, dtype=np.int64)
-        parent = np.full(n, -1, dtype=np.int64)
+        self.root = np.full(n_shards, -1, dtype=np.int64)
+        self.parent = parent = np.full(n, -1, dtype=np.int64)
         rows, group, above = np.arange(n), shard.astype(np.int64), np.full(n, -1, dtype=np.int64)
         while len(rows):
             order = np.argsort(group, kind="stable")
@@ -193,20 +195,44 @@ class Union:
                 label[:] = up
 
 
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows sorted by (key, tree), nodes first, as tables of whole shards with each row's shard number and the places of the
+    nodes. Of a shard of very many rows the nodes stay and the others come by and by."""
+
+    def numbered(held: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        key, tree = held.column("key").to_numpy(), held.column("tree").to_numpy()
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])))
+        return held, np.cumsum(fresh) - 1, np.flatnonzero(held.column("is_node").to_numpy())
+
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if held.num_rows < ROWS_AT_ONCE:
+            continue
+        held = held.combine_chunks()
+        key, tree = held.column("key").to_numpy(), held.column("tree").to_numpy()
+        last = int(np.flatnonzero((key != key[-1]) | (tree != tree[-1]))[-1]) + 1 if (key[0], tree[0]) != (key[-1], tree[-1]) else 0
+        if last:
+            yield numbered(held.slice(0, last))
+            held = held.slice(last)
+        if held.num_rows >= 2 * ROWS_AT_ONCE:
+            yield numbered(held)
+            held = held.filter(held.column("is_node"))
+    if held is not None and held.num_rows:
+        yield numbered(held.combine_chunks())
+
+
+def prints_of(held: pa.Table, words: list[str]) -> np.ndarray:
+    return np.stack([held.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+
+
 def shard_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
     """(key, tree, is_node, f0[, f1], node), to links (a, b) of nodes within radius that share a key and tree: one joins each row to the least member of its local component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(held: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, tree = held.column("key").to_numpy(), held.column("tree").to_numpy()
-            node, is_node = held.column("node").to_numpy(), held.column("is_node").to_numpy()
-            prints = np.stack([held.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])))
-            shard = np.cumsum(fresh) - 1
-            own = np.flatnonzero(is_node)
-            forest = Forest(shard[own], prints[own])
-            if len(forest.root) <= shard[-1]:
-                forest.root = np.concatenate((forest.root, np.full(int(shard[-1]) + 1 - len(forest.root), -1, dtype=np.int64)))
+        for held, shard, own in shards(batches):
+            node, prints = held.column("node").to_numpy(), prints_of(held, words)
+            forest = Forest(shard[own], prints[own], int(shard[-1]) + 1)
             union = Union(len(node))
             for query, found, _ in forest.search(shard, prints, radius):
                 found = own[found]
@@ -218,53 +244,40 @@ def shard_links(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
             pairs = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if held.num_rows < ROWS_AT_ONCE:
-                continue
-            held = held.combine_chunks()
-            key, tree = held.column("key").to_numpy(), held.column("tree").to_numpy()
-            last = int(np.flatnonzero((key != key[-1]) | (tree != tree[-1]))[-1]) + 1 if (key[0], tree[0]) != (key[-1], tree[-1]) else 0
-            if last:
-                yield from links(held.slice(0, last))
-                held = held.slice(last)
-            if held.num_rows >= 2 * ROWS_AT_ONCE:  # one shard: its nodes stand first and stay, the queries seen so far are done
-                yield from links(held)
-                held = held.filter(held.column("is_node"))
-        if held is not None and held.num_rows:
-            yield from links(held.combine_chunks())
-
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links_within(nodes: DataFrame, keys: list[list[int]], words: list[str], radius: int) -> DataFrame:
-    """Links among nodes (f0[, f1], node), each found under some key."""
-    spark = nodes.sparkSession
-    small_batches(spark, 10_000)
-    rows = keyed(nodes, keys, words)
+def planted(rows: DataFrame, asks: Column) -> DataFrame:
+    """Rows (key, node, ..) dealt to trees, with ``tree`` and ``is_node``, sorted for the search. A hot key's rows are filed in one
+    of its trees each; those that ask are sent to every tree of it."""
     sizes = rows.groupBy("key").count()
     hot = saved(sizes.filter(F.col("count") > TREE_NODES).select("key", F.ceil(F.col("count") / TREE_NODES).cast("int").alias("trees")))
     n_hot = hot.count()
     if not n_hot:
         dealt = rows.withColumn("tree", F.lit(0)).withColumn("is_node", F.lit(True))
     else:
-        # a hot key's rows search every tree of it and are filed in one
-        hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
         trees = F.coalesce("trees", F.lit(1))
-        dealt = rows.join(hot, "key", "left").withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1))).withColumn("is_node", F.pmod(F.xxhash64("node"), trees) == F.col("tree")).drop("trees")
-    dealt = dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", F.desc("is_node"), "node")
-    return shard_links(dealt.select("key", "tree", "is_node", *words, "node"), words, radius)
+        own = F.pmod(F.xxhash64("node"), trees).cast("int")
+        rows = rows.join(hot, "key", "left").withColumn("own", own).withColumn("tree", F.explode(F.when(asks, F.sequence(F.lit(0), trees - 1)).otherwise(F.array("own"))))
+        dealt = rows.withColumn("is_node", F.col("own") == F.col("tree")).drop("trees", "own")
+    return dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", F.desc("is_node"), "node")
+
+
+def links_within(nodes: DataFrame, keys: list[list[int]], words: list[str], radius: int) -> DataFrame:
+    """Links among nodes (f0[, f1], node), each found under some key."""
+    return shard_links(planted(keyed(nodes, keys, words), F.lit(True)).select("key", "tree", "is_node", *words, "node"), words, radius)
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hex digits, and the least doc_id reachable over links of at most ``radius`` bits."""
     prints = saved(fingerprints(docs, shingle))
-    nodes = saved(prints.groupBy("f0").agg(F.min("doc_id").alias("node")))
-    named = nodes.filter("node is not null")
-    links = links_within(named, block_keys(named.count(), radius), ["f0"], radius)
-    found = components(links)
-    known = nodes.join(found, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
+    # a node is named by its fingerprint, so that one whose rows have no id links others all the same
+    nodes = saved(prints.groupBy("f0").agg(F.min("doc_id").alias("low")).withColumn("node", F.col("f0")))
+    found = components(links_within(nodes, block_keys(nodes.count(), radius), ["f0"], radius))
+    known = saved(nodes.join(found, "node", "left").select("f0", "low", F.coalesce("component", "node").alias("c")))
+    least = known.groupBy("c").agg(F.min("low").alias("component_id"))
+    known = known.join(least, "c").select("f0", "component_id")
     return prints.join(known, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -304,56 +317,87 @@ def bands(distinct: np.ndarray) -> list[int]:
 
 
 def set_keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, d0, d1, size, keys): digest and size of the text's shingle set, and its keys."""
-    small_batches(docs.sparkSession)
+    """(doc_id, row, d0, d1, size, f0, f1, keys): of a text's shingle set the digest, the size, the SimHash of 128 bits, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(text, shingle) for text in batch.column(1).to_pylist()]
-            d = [digest(x) for x in sets]
-            columns = [pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "d0", "d1", "size", "keys"])
+        for batch in pieces(batches, 2):
+            sets = [shingle_set(text, shingle) for text in batch.column(2).to_pylist()]
+            d = np.array([digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+            f = np.array([(signed(majority(x)), signed(majority(remix(x)))) for x in sets], dtype=np.int64).reshape(-1, 2)
+            columns = [pa.array(x) for x in (d[:, 0], d[:, 1], np.array(list(map(len, sets)), dtype=np.int64), f[:, 0], f[:, 1])]
+            columns.append(pa.array(list(map(bands, sets)), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "d0", "d1", "size", "f0", "f1", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, d0 long, d1 long, size long, keys array<long>")
+    return docs.select("doc_id", "row", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row long, d0 long, d1 long, size long, f0 long, f1 long, keys array<long>")
+
+
+#: Words of a wide fingerprint, and the bits in which two of them may differ for their texts to be verified. At similarity
+#: 0.8 19 bits of 128 differ on average, 24 where texts have five shingles; the radius is four standard deviations wider.
+WIDE, WIDE_RADIUS = ["f0", "f1"], 44
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, low, high) of keys that several nodes have, with the least and the greatest of them."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    return rows.join(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "key")
+    """(key, node, size, f0, f1) under keys that several nodes have."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    return rows.join(shared, "key").join(nodes.select("node", "size", *WIDE), "node")
 
 
-def first_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b): each node with the least and the greatest of each of its keys."""
-    met = rows.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-    return met.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
+    """(key, tree, is_node, node, c, size, f0, f1, asks) to pairs (a, b) of different c within WIDE_RADIUS, whose sizes allow the similarity.
+
+    With ``edges`` the pairs are those of each node and its parent in its shard's tree, one a node. Without, each row that
+    asks is searched for in its shard's trees, along edges within the radius.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, shard, own in shards(batches):
+            node, c, size, asks = (held.column(x).to_numpy() for x in ("node", "c", "size", "asks"))
+            prints = prints_of(held, WIDE)
+            forest = Forest(shard[own], prints[own], int(shard[-1]) + 1)
+            if edges:
+                below = np.flatnonzero((forest.parent >= 0) & (forest.edge <= WIDE_RADIUS))
+                found = [(own[below], own[forest.parent[below]])]
+            else:
+                who = np.flatnonzero(asks)
+                found = ((who[q], own[n]) for q, n, _ in forest.search(shard[who], prints[who], WIDE_RADIUS))
+            for x, y in found:
+                keep = (c[x] != c[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+                x, y = node[x[keep]], node[y[keep]]
+                pairs = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.select("key", "tree", "is_node", "node", "c", "size", *WIDE, "asks").mapInArrow(run, "a long, b long").distinct()
+
+
+def first_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs along the edges of the shards' trees, fewer than there are rows."""
+    rows = rows.withColumn("c", F.col("node")).withColumn("asks", F.lit(False))
+    return tree_pairs(planted(rows, F.lit(False)), similarity, edges=True)
 
 
 def other_pairs(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) under a common key that are not joined yet. Sets whose sizes alone keep them apart are no pair."""
-    rows = saved(rows.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("c")))
-    rows = rows.join(rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key"), "key")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "c")]) for s in "xy")
-    near = (F.least("size_x", "size_y") / F.greatest("size_x", "size_y") >= similarity) & (F.col("c_x") != F.col("c_y"))
-    return x.join(y, "key").filter("node_x > node_y").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    """All pairs within the radius under a common key that are not joined yet: all but the key's largest component ask."""
+    rows = saved(rows.join(found, "node", "left").select("key", "node", "size", *WIDE, F.coalesce("component", "node").alias("c")))
+    counts = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("n"))
+    rows = saved(rows.join(counts.filter("n > 1").select("key", "most"), "key").withColumn("asks", F.col("c") != F.col("most")).drop("most"))
+    return tree_pairs(planted(rows, F.col("asks")), similarity, edges=False)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
-    """(node, found): the shingle sets, or the ``most`` least hashes, of the texts of these nodes (doc_id, d0, d1)."""
-    small_batches(docs.sparkSession)
+    """(node, found): the shingle sets, or the ``most`` least hashes, of the texts that stand for these nodes (node, id, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            # a repeated id may stand before other texts: only those of its nodes count
-            own = pa.array([digest(x) == d for x, d in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))], pa.bool_())
-            found = pa.array([x[:most].tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), found.filter(own)], names=["node", "found"])
+        for batch in pieces(batches, 1):
+            sets = [shingle_set(t, shingle)[:most].tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "found"])
 
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "node")
-    return texts.select("node", "text", "d0", "d1").mapInArrow(run, "node long, found binary").distinct()
+    ids = ids.withColumnRenamed("row", "r")
+    met = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")))
+    # rows that repeat as a whole stand for their node alike
+    return met.select("node", F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
 def jaccard(a: bytes, b: bytes, most: int | None = None) -> float:
@@ -369,11 +413,10 @@ def jaccard(a: bytes, b: bytes, most: int | None = None) -> float:
 
 def measured(pairs: DataFrame, known: DataFrame, least: float, most: int | None = None) -> DataFrame:
     """Those pairs (a, b) whose sets, or sketches of ``most`` hashes, are at least so similar; ``sure`` if the sets are whole."""
-    small_batches(pairs.sparkSession)
     met = pairs.select("a", "b").join(known.withColumnsRenamed({"node": "a", "found": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "found": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             keep, sure = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 sure.append(not most or max(len(x), len(y)) < 8 * most)
@@ -389,7 +432,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     def sets(links: DataFrame, most: int | None = None) -> DataFrame:
         ids = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return saved(sets_of(docs, saved(nodes.select("node", "d0", "d1").join(ids, "node")), shingle, most))
+        return saved(sets_of(docs, saved(nodes.select("node", "first.doc_id", "first.row").withColumnRenamed("doc_id", "id").join(ids, "node")), shingle, most))
 
     if pairs.isEmpty():
         return pairs
@@ -400,29 +443,43 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
 
 def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near duplicates, all columns: of each group of texts at least so similar, the least doc_id.
+    """The documents without near duplicates, all columns: of each group of texts at least so similar one row, that of the least doc_id.
 
     Texts of the same set of shingles are one node; different sets are different nodes. Nodes meet under keys of least
-    hashes. Each is first held against the ends of its keys; then every pair that met and is not joined yet is verified.
+    hashes, in whose shards BK-trees file their SimHash. The trees' edges within the radius are verified first; then every
+    pair that a search finds within it and that is not joined yet.
+
+    Defined cases: a row is known by its doc_id and a hash of all of its columns, so rows without an id, or that repeat
+    one, are judged by their own texts; of a group a row with an id stays before one without, on a tie of ids the one of
+    the least hash, and of rows that are equal as a whole one; null and blank texts are a group.
     """
-    prints = saved(set_keys(docs, shingle))
-    nodes = saved(prints.filter("doc_id is not null").groupBy("d0", "d1").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keyed_docs = docs.withColumn("row", row_key(docs)) if "row" not in docs.columns else None
+    if keyed_docs is None:  # a column of that name is the user's: it steps aside
+        return one_of_each(docs.withColumnRenamed("row", "__row"), shingle, similarity).withColumnRenamed("__row", "row")
+    prints = saved(set_keys(keyed_docs, shingle))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = prints.groupBy("d0", "d1").agg(F.min(rank).alias("first"), *[F.first(c).alias(c) for c in ("size", *WIDE, "keys")])
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
     rows = saved(shared_keys(nodes))
-    first = saved(first_pairs(rows))
-    links = verified(first, nodes, docs, shingle, similarity)
+    first = saved(first_pairs(rows, similarity))
+    links = verified(first, nodes, keyed_docs, shingle, similarity)
     rest = other_pairs(rows, components(links), similarity).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(rest), nodes, docs, shingle, similarity)
+    more = verified(saved(rest), nodes, keyed_docs, shingle, similarity)
     found = components(links.unionByName(more))
-    stay = nodes.join(found, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("stays"))
-    judged = saved(prints.join(stay, ["d0", "d1"], "left").select("doc_id", (F.col("doc_id").isNull() & F.col("stays").isNotNull() | (F.col("doc_id") != F.col("stays"))).alias("goes")))
-    gone = judged.filter("goes").select("doc_id").distinct()
+    known = saved(nodes.select("d0", "d1", "node", "first").join(found, "node", "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("c")))
+    best = known.groupBy("c").agg(F.min("first").alias("best"))
+    # the node that holds its group's row to stay keeps that row, the others none
+    stay = known.join(best, "c").select("d0", "d1", F.when(F.col("first") == F.col("best"), F.col("first")).alias("stays"))
+    judged = prints.select("d0", "d1", rank.alias("rank")).join(stay, ["d0", "d1"]).select("rank.doc_id", "rank.row", F.coalesce(F.col("rank") != F.col("stays"), F.lit(True)).alias("goes"))
+    judged = saved(judged.groupBy("doc_id", "row").agg(F.max("goes").alias("goes"), F.count("*").alias("n")).filter("goes or n > 1"))
+    gone = judged.filter("goes").select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"))
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row") == F.col("g_row"))
     few = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    if not gone.filter("doc_id is null").isEmpty():
-        out = out.filter("doc_id is not null")
-    if judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    out = keyed_docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    several = judged.filter("not goes").select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"))
+    if not several.isEmpty():
+        out = out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates(["doc_id", "row"]))
+    return out.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

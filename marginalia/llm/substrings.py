@@ -1,16 +1,15 @@
 """Exact substring dedup over words by level-wise doubling.
 
 A window is ``length`` consecutive words. Words covered by a window whose word sequence also starts in a document with
-a smaller doc_id are removed. Windows are found by doubling: sequences of ``start`` words (or less, where the window is
-shorter) that repeat across documents survive; only what they can be part of is hashed at twice that length (at most
-``length``), and so on until nothing survives or the windows are ``length`` long. At the first level one sequence is
-picked from every window of the next level, the one with the least hash; both copies of a window pick the same, so a
-quarter of the sequences stands for all and none is missed.
+a smaller doc_id are removed. Windows are found by doubling: sequences of ``start`` words that repeat across documents
+survive, then of twice as many words, and so on until nothing survives or the sequences are ``length`` long. At each
+level every window that is still a candidate is represented by one of its sequences, the one with the least hash: copies
+of a window pick the same one, so none is missed, and neighbouring windows mostly share theirs, so a few sequences stand
+for all. A window goes on only where its sequence repeats.
 
 At each level an aggregate finds the hashes that occur in two documents (minima and maxima, so a very common sequence is
-one row a task), and a join marks their places, which Spark splits where one hash is hot. A whole text that a smaller
-doc_id already has is settled by its digest and never cut into windows. Only hashes and positions are shuffled between
-levels; texts are joined once a level to hash the survivors, and once to cut the words out.
+one row a task), and a join marks their places, which Spark splits where one hash is hot. Only hashes and positions are
+shuffled between levels; texts are joined once a level to hash the survivors, and once to cut the words out.
 
 Defined cases: null, empty and short texts have no window and stay whole; a null doc_id counts as larger than any other;
 rows without an id, or that repeat one, are not held against each other, but each text is judged by itself; an empty table gives no rows; other columns are ignored.
@@ -26,12 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import pieces, saved
 
 LENGTH = 13
-START = 7
-#: Copies of whole texts whose ids are sent to every executor; beyond it Spark joins them.
-BROADCAST_COPIES = 500_000
+START = 2
 #: Up to so many repeated ids are sent to every executor; beyond it Spark joins them.
 BROADCAST_IDS = 500_000
 NO_ID = (1 << 63) - 1
@@ -82,40 +79,41 @@ def _rows(parts: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(row), pa.array(at.astype(np.int32))], names=["hash", "doc", "row", "at"])
 
 
-def first_level(texts: DataFrame, seed: int, span: int) -> DataFrame:
-    """(doc, row, text) to (hash, doc, row, at): the picked sequences of ``seed`` words."""
+def first_level(texts: DataFrame, seed: int, length: int) -> DataFrame:
+    """(doc, row, text) to (hash, doc, row, at): the sequences of ``seed`` words that stand for windows of ``length``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             parts = []
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = split_words(text)
-                if len(words) >= seed + span - 1:
+                if len(words) >= length:
                     hashes = window_hashes(word_hashes(words), seed)
-                    at = np.unique(picked(hashes, span))
+                    at = np.unique(picked(hashes, length - seed + 1))
                     parts.append((hashes[at], doc, row, at))
             yield _rows(parts)
 
     return texts.mapInArrow(run, "hash long, doc long, row long, at int")
 
 
-def next_level(texts: DataFrame, short: int, long: int, first: bool) -> DataFrame:
-    """(doc, row, text, places of surviving sequences of ``short`` words) to (hash, doc, row, at) of the windows of ``long`` words
-    that may repeat: their picked sequence survived, or later both the sequence they begin and the one they end with."""
+def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFrame:
+    """(doc, row, text, places of surviving sequences of ``short`` words) to (hash, doc, row, at): the sequences of ``long`` words
+    that stand for those windows of ``length`` whose short sequence survived."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             parts = []
             for doc, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 hashes = word_hashes(split_words(text))
-                n = len(hashes) - long + 1
-                if n <= 0:
+                if len(hashes) < length:
                     continue
                 alive = np.zeros(len(hashes), dtype=bool)
-                alive[[p for p in places if p < len(hashes)]] = True
-                at = np.flatnonzero(alive[picked(window_hashes(hashes, short), long - short + 1)] if first else alive[:n] & alive[long - short : long - short + n])
+                alive[places] = True
+                alive = alive[picked(window_hashes(hashes, short), length - short + 1)]
+                longer = window_hashes(hashes, long)
+                at = np.unique(picked(longer, length - long + 1)[alive])
                 if len(at):
-                    parts.append((window_hashes(hashes, long)[at], doc, row, at))
+                    parts.append((longer[at], doc, row, at))
             yield _rows(parts)
 
     return texts.mapInArrow(run, "hash long, doc long, row long, at int")
@@ -141,45 +139,33 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "doc", F.when(several, F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("row"))
 
 
-def places_of_repeats(rows: DataFrame, length: int = LENGTH, start: int = START) -> tuple[DataFrame, DataFrame]:
-    """Of ``with_rows``, (doc, row, places): starts of windows that a smaller doc_id has too; and (doc, row): texts that are whole copies."""
-    small_batches(rows.sparkSession)
+def places_of_repeats(rows: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
+    """Of ``with_rows``, (doc, row, places): starts of windows that a smaller doc_id has too."""
     texts = rows.select("doc", "row", "text")
-    same = texts.filter("text is not null").select("doc", "row", F.unhex(F.md5("text")).alias("digest"))
-    least = same.groupBy("digest").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("digest", "low")
-    copies = saved(same.join(least, "digest").filter("doc > low").select("doc", "row").distinct())
-    few = copies.count() <= BROADCAST_COPIES
-    fresh = texts.join(F.broadcast(copies) if few else copies, ["doc", "row"], "left_anti")
     lengths = level_lengths(length, start)
-    if len(lengths) == 1:
-        return saved(repeated_places(saved(first_level(fresh, length, 1)), later=True)), copies
-    windows = saved(first_level(fresh, lengths[0], lengths[1] - lengths[0] + 1))
+    windows = saved(first_level(texts, lengths[0], length))
     for short, long in zip(lengths, lengths[1:]):
         alive = saved(repeated_places(windows, later=False))
         if alive.isEmpty():
-            return alive, copies
-        windows = saved(next_level(fresh.join(alive, ["doc", "row"]), short, long, short == lengths[0]))
-    return saved(repeated_places(windows, later=True)), copies
+            return alive
+        windows = saved(next_level(texts.join(alive, ["doc", "row"]), short, long, length))
+    return saved(repeated_places(windows, later=True))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space."""
     rows = with_rows(docs)
-    places, copies = places_of_repeats(rows, length, start)
-    verdict = places.withColumn("whole", F.lit(False)).unionByName(copies.select("doc", "row", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole")))
-    verdict = verdict.groupBy("doc", "row").agg(F.first("places", ignorenulls=True).alias("places"), F.max("whole").alias("whole"))
+    places = places_of_repeats(rows, length, start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n_words, n_removed, kept = [], [], []
-            for text, places, whole in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = split_words(text)
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if whole and len(words) >= length:
-                    gone[:] = 1
-                elif places:
+                if places:
                     np.add.at(gone, np.array(places), 1)
-                    np.add.at(gone, np.minimum(np.array(places) + length, len(words)), -1)
+                    np.add.at(gone, np.array(places) + length, -1)
                     gone = np.cumsum(gone)
                 stay = [w for w, g in zip(words, gone.tolist()) if not g]
                 n_words.append(len(words))
@@ -188,7 +174,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    joined = rows.join(verdict, ["doc", "row"], "left").select("doc_id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole"))
+    joined = rows.join(places, ["doc", "row"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

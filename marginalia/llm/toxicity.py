@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import held_out, small_batches, unit
+from .common import held_out, pieces, unit
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
@@ -287,11 +287,9 @@ def corrected(net: TextNet, sampled: float, actual: float) -> TextNet:
 
 def score(docs: DataFrame, net: TextNet | float) -> DataFrame:
     """(doc_id, score) of every document."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = batch.column(1).to_pylist()
             if isinstance(net, float):
                 out = [net] * len(texts)
