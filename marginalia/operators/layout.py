@@ -264,7 +264,7 @@ def tree_coverage(d: Spark) -> str:
     """Whether the tags hold about as much text as the pages do."""
     solid = lambda s: f"length({d.sub(s, '[ ]+')})"
     return f"""select p.doc_id, cast(e.n as double) / p.n ratio, cast(e.n as double) / p.n between 0.85 and 1.3 use_tags from
-      (select doc_id, sum({solid('text')}) n from fx_pdf_pages group by doc_id having sum({solid('text')}) > 0) p join (select doc_id, sum({solid('text')}) n from fx_content where mcid <= 6 group by doc_id) e on e.doc_id = p.doc_id"""
+      (select doc_id, sum({solid('text')}) n from fx_pdf_pages group by doc_id having sum({solid('text')}) > 0) p join (select doc_id, sum({solid('text')}) n from fx_content group by doc_id) e on e.doc_id = p.doc_id"""
 
 
 @operator
