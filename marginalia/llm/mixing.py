@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, unit, word_count
+from .common import row_key, saved, unit, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -61,14 +61,14 @@ transform(array(named_struct(
       named_struct('a', a.p - d.down / a.size, 'b', b.p + d.down / b.size))),
     m -> named_struct('a', {row_a}, 'b', {row_b}))[0])[0]
 """
-_ROW = "named_struct('key', {x}.key, 'doc_id', {x}.doc_id, 'size', {x}.size, 'whole', {x}.whole, 'p', {p})"
+_ROW = "named_struct('key', {x}.key, 'doc_id', {x}.doc_id, 'number', {x}.number, 'size', {x}.size, 'whole', {x}.whole, 'p', {p})"
 #: Rounding errors must not keep a fraction alive.
 _SNAP = "case when {p} < 1e-9 then 0D when {p} > 1 - 1e-9 then 1D else {p} end"
 
 
 def _fold(seed: int) -> str:
     """SQL: an array of rows ``units`` to the same rows, of which at most one still has a fraction."""
-    row = "struct<key:bigint,doc_id:{t},size:bigint,whole:int,p:double>"
+    row = "struct<key:bigint,doc_id:{t},number:bigint,size:bigint,whole:int,p:double>"
     duel = _DUEL.format(seed=f"{seed}L", row_a=_ROW.format(x="a", p=_SNAP.format(p="m.a")), row_b=_ROW.format(x="b", p=_SNAP.format(p="m.b")))
     step = f"""
       if(acc.open is null, named_struct('open', b, 'done', acc.done),
@@ -80,14 +80,14 @@ def _fold(seed: int) -> str:
 
 
 def round_copies(units: DataFrame, most: int, fan: int = FAN, seed: int = 10) -> DataFrame:
-    """(source, n, key, doc_id, size, whole, p), 0 < p < 1, to the same with p 0 or 1. n: rows of the source, most: the largest n."""
+    """(source, n, key, doc_id, number, size, whole, p), 0 < p < 1, to the same with p 0 or 1. n: rows of the source, most: the largest n."""
     kind = dict(units.dtypes)["doc_id"]
     done, level, groups = [], 0, most
     left = units
     while True:
         groups = math.ceil(groups / fan)
         n_groups = F.ceil(F.col("n") / F.lit(float(fan) ** (level + 1)))
-        row = F.struct("key", "doc_id", "size", "whole", "p")
+        row = F.struct("key", "doc_id", "number", "size", "whole", "p")
         left = saved(
             left.groupBy("source", "n", F.pmod(F.xxhash64(F.lit(seed + level), "key"), n_groups).alias("g"))
             .agg(F.array_sort(F.collect_list(row)).alias("units"))
@@ -107,9 +107,31 @@ def round_copies(units: DataFrame, most: int, fan: int = FAN, seed: int = 10) ->
     return out.withColumn("p", coin)
 
 
+#: Rows that are alike are numbered so many at a time.
+NUMBERED = 1 << 16
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, number): rows alike in the first three are numbered from 1 on, so that each has a key of its own.
+
+    They are counted and set out again from their count, in pieces that Spark deals out, never gathered.
+    """
+    alike = saved(docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
+    if alike.filter("n > 1").isEmpty():
+        return alike.select("doc_id", "source", "size", F.col("n").alias("number"))
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / NUMBERED))))
+    first = F.col("part") * NUMBERED + 1
+    if not alike.filter(F.col("n") > NUMBERED).isEmpty():
+        parts = parts.repartition("doc_id", "source", "size", "part")
+    return parts.select("doc_id", "source", "size", F.explode(F.sequence(first, F.least(first + NUMBERED - 1, "n"))).alias("number"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, fan: int = FAN, seed: int = 10) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target (of its source, in words), copies, taken (copies x size)."""
-    slim = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    """One row a document: doc_id, source, size, number, source_size, target (of its source, in words), copies, taken (copies x size).
+
+    ``number`` tells rows of one doc_id, source and size apart.
+    """
+    slim = saved(numbered(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))))
     per = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = saved(targets(per, weights, cap).join(per.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     n_sources, most = goal.agg(F.count("*"), F.max("n")).first()
@@ -124,18 +146,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
         .withColumn("whole", whole.cast("int"))
         .withColumn("p", F.greatest(F.lit(0.0), rate - whole))
         .withColumn("p", F.when((F.col("p") < 1e-9) | (F.col("size") == 0), 0.0).otherwise(F.col("p")))
-        .withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size", "source"))
+        .withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size", "source", "number"))
     )
-    units = rows.filter("p > 0").select("source", "n", "key", "doc_id", "size", "whole", "p")
+    units = rows.filter("p > 0").select("source", "n", "key", "doc_id", "number", "size", "whole", "p")
     rounded = round_copies(units, most or 0, fan, seed).drop("key", "n").join(goal.select("s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    whole_only = rows.filter("p = 0").select("source", "doc_id", "size", "whole", "p", "source_size", "target")
+    whole_only = rows.filter("p = 0").select("source", "doc_id", "number", "size", "whole", "p", "source_size", "target")
     copies = (F.col("whole") + F.col("p")).cast("int")
     return (
         whole_only.unionByName(rounded)
         .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "number", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """The documents that the mix takes, all columns, with ``copies``, ``size``, ``taken`` and their source's ``target``.
+
+    Columns of those names that documents have already stay as ``given_copies`` and so on. Rows of one doc_id, source and
+    size, which are few, are numbered by a hash of all of their columns, and each takes the copies of its own number.
+    """
+    added = ["copies", "size", "taken", "target"]
+    ids = ["doc_id", "source", "size"]
+    docs = docs.withColumnsRenamed({c: f"given_{c}" for c in added if c in docs.columns})
+    kept = docs.columns
+    plan = saved(mix(docs, weights, cap).select(*ids, "number", "copies", "taken", "target"))
+    plan = plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns})
+    same = lambda other: F.col("doc_id").eqNullSafe(F.col(f"{other}doc_id")) & F.col("source").eqNullSafe(F.col(f"{other}source")) & (F.col("__words") == F.col(f"{other}size"))
+    rows = docs.withColumn("__words", word_count(F.col("text")))
+    several = saved(plan.filter("__number = 2").select(*[F.col(f"__{c}").alias(f"__s_{c}") for c in ids]))
+    if several.isEmpty():
+        rows = rows.withColumn("__n", F.lit(1).cast("long"))
+    else:
+        order = Window.partitionBy("doc_id", "source", "__words").orderBy("__key")
+        again = rows.withColumn("__key", row_key(docs)).join(several, same("__s_"), "left_semi").withColumn("__n", F.row_number().over(order).cast("long")).drop("__key")
+        rows = rows.join(several, same("__s_"), "left_anti").withColumn("__n", F.lit(1).cast("long")).unionByName(again)
+    met = rows.join(plan.filter("__copies > 0"), same("__") & (F.col("__n") == F.col("__number")))
+    return met.select(*kept, *[F.col(f"__{c}").alias(c) for c in added])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")

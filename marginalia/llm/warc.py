@@ -10,7 +10,7 @@ others are ``revisit`` records without payload that refer to it. Who refers to w
 the html joins only the list of revisits.
 
 Defined cases: null html is an empty payload; page_ids that tie for the largest are all responses; a null page_id never
-wins, and revisits the winner of its payload if there is one; repeated rows are records of their own; an empty table
+wins, and revisits the winner of its payload if there is one; repeated rows are records of their own, told apart by the number after the page in their record id; an empty table
 gives an empty archive; other columns are ignored; a record whose bytes do not match its headers is read with ``valid``
 false.
 """
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shared_dir, small_batches
+from .common import pieces, saved, shared_dir
 
 REVISIT_BYTES = 1000
 CHUNK = 64 * 1024
@@ -46,7 +46,7 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return slim.join(top, "digest").filter("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def headers(page_id: int | None, url: str | None, sha1: str, size: int, refers_to: int | None) -> bytes:
+def headers(page_id: int | None, record: int, url: str | None, sha1: str, size: int, refers_to: int | None) -> bytes:
     """WARC and HTTP headers, up to where the payload begins."""
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -54,7 +54,7 @@ def headers(page_id: int | None, url: str | None, sha1: str, size: int, refers_t
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{record}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -66,50 +66,44 @@ def headers(page_id: int | None, url: str | None, sha1: str, size: int, refers_t
     return "\r\n".join(lines).encode("utf-8", "replace") + END + http
 
 
-def chunks(page_id: int | None, url: str | None, body: memoryview, refers_to: int | None, chunk: int = CHUNK) -> Iterator[tuple[int, bytes, str, int]]:
-    """(chunk, data, sha1 so far, payload bytes so far) of one record. The body is sliced, never copied whole."""
-    size, whole = len(body), hashlib.sha1()
-    for at in range(0, size, chunk):
-        whole.update(body[at : at + chunk])
-    head = headers(page_id, url, whole.hexdigest(), size, refers_to)
-    running = hashlib.sha1()
-    last = refers_to is not None or not size
-    yield 0, head + END * last, running.hexdigest(), 0
-    if not last:
-        for k, at in enumerate(range(0, size, chunk), 1):
-            piece = body[at : at + chunk]
-            running.update(piece)
-            done = at + len(piece)
-            yield k, bytes(piece) + END * (done == size), running.hexdigest(), done
+def cut(pages: DataFrame, least: int = REVISIT_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """(page_id, url, refers_to, sha1, size, chunk, data): pages as rows of at most ``chunk`` bytes, in order; chunk 0 has none.
+    Spark cuts the payloads, so that no more than a batch of chunks reaches a worker."""
+    known = saved(revisits(pages, least)).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
+    body = payload(F.col("html")).cast("binary")
+    own = pages.select("page_id", F.col("url").cast("string"), body.alias("body"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size"))
+    rows = own.join(known, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha1") == F.col("r_digest")), "left")
+    n = F.when(F.col("refers_to").isNull(), F.ceil(F.col("size") / chunk)).otherwise(0).cast("int")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), n)))
+    data = F.when(F.col("chunk") > 0, F.substring(F.col("body"), (F.col("chunk") - 1) * chunk + 1, F.lit(chunk)))
+    return rows.select("page_id", "url", "refers_to", "sha1", "size", "chunk", data.alias("data"))
 
 
 def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, chunk: int = CHUNK) -> None:
     """Archives the pages as a chunked record table at path."""
-    small_batches(pages.sparkSession)
-    known = saved(revisits(pages, least)).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
-    own = pages.select("page_id", F.col("url").cast("string"), payload(F.col("html")).alias("html"))
-    rows = own.join(known, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.sha1(F.col("html").cast("binary")) == F.col("r_digest")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            held, size = [], 0
-            bodies = batch.column(2).cast(pa.binary())
-            for i, (page, url, refers) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-                for row in chunks(page, url, memoryview(bodies[i].as_buffer()), refers, chunk):
-                    held.append((record, *row))
-                    size += len(row[1])
-                    if size > 32 * CHUNK:
-                        yield table(held)
-                        held, size = [], 0
-                record += 1
+        record, running, done = (TaskContext.get().partitionId() << 40) - 1, hashlib.sha1(), 0
+        for batch in pieces(batches, 6):
+            held = []
+            facts = zip(*(batch.column(i).to_pylist() for i in range(6)))
+            for (page, url, refers, sha1, size, k), data in zip(facts, batch.column(6)):
+                if not k:
+                    record, running, done = record + 1, hashlib.sha1(), 0
+                    row = headers(page, record, url, sha1, size, refers) + END * (refers is not None or not size)
+                else:
+                    piece = data.as_buffer()
+                    running.update(piece)
+                    done += len(piece)
+                    row = piece.to_pybytes() + END * (done == size)
+                held.append((record, k, row, running.hexdigest(), done))
             yield table(held)
 
     def table(held: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names=["record", "chunk", "data", "sha1", "bytes"])
 
-    rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, ARCHIVE).write.parquet(path)
+    cut(pages, least, chunk).mapInArrow(run, ARCHIVE).write.parquet(path)
 
 
 class Reading:
@@ -141,7 +135,7 @@ class Reading:
         self.tail = bytes(data[len(body) :])
 
     def row(self) -> tuple:
-        number = lambda name: int(x) if (x := self.fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
+        number = lambda name: int(x) if (x := self.fields.get(name, "").removeprefix("<urn:page:").removesuffix(">").partition(":")[0]) else None
         digest = base64.b32decode(self.fields["warc-payload-digest"].removeprefix("sha1:")).hex()
         kind = self.fields["warc-type"]
         whole = self.left == 0 and self.tail == END and (kind == "revisit" or (self.seen == self.size and self.sha1.hexdigest() == digest))
@@ -150,8 +144,6 @@ class Reading:
 
 def read(archive: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, valid), a row for each record."""
-    small_batches(archive.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reading = None, None
         for batch in batches:
