@@ -1,18 +1,22 @@
 """Document fingerprints by Order MinHash, on DataFrame functions alone.
 
 A text's k-mers are runs of K words (shorter at its end). Each k-mer carries its occurrence number, so that a repeated
-one counts as often as it stands. For every one of SIGNATURES tuples, L hash functions each select the k-mer (with its
-occurrence) of least hash; the selected ones are put in the order in which they stand in the text, and the ordered tuple
-is hashed. Texts share a signature where they select the same k-mers in the same order, which makes the likeness (the
-share of equal signatures) fall with edit distance, not with set overlap alone.
+one counts as often as it stands. For every one of SIGNATURES hash functions the two k-mers (with their occurrences) of
+least hash are selected, put in the order in which they stand in the text, and the ordered pair is hashed. Texts share a
+signature where they select the same k-mers in the same order, which makes the likeness (the share of equal signatures)
+fall with edit distance, not with set overlap alone. The functions are turns of one: function i measures a k-mer's hash
+from the i-th of SIGNATURES even points of the ring of hashes on, so its two least are the next two k-mers on the ring
+from there, and one sort of a text's k-mers by hash selects for all functions.
 
 ``next to`` a document stands the one of the next doc_id. Documents are dealt by ranges of doc_id into buckets, sorted
-within each, and the last of a bucket takes the first of the next bucket; no sort holds all rows in one task. The texts
-are shuffled once; occurrence numbers come from a sort within the same partitions.
+within each, and the last of a bucket takes the first of the next bucket; no sort holds all rows in one task. Buckets
+grow in number with the session's partitions; rows of one very common id, or without one, are dealt on by a hash of
+their text, which is also their order. The texts are shuffled once; occurrence numbers and least hashes come from sorts
+within the same partitions.
 
 Defined cases: a null text is empty; a text without words has the fingerprint of no k-mers, and two such are alike (1.0);
-a single document is followed by itself; null doc_ids come first; repeated doc_ids follow one another by text; an empty
-table gives no rows; other columns are ignored.
+a single k-mer is paired with itself; a single document is followed by itself; null doc_ids come first; repeated
+doc_ids follow one another by a hash of their text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-K, L, SIGNATURES = 3, 2, 16
-#: A selected k-mer is packed into a long: 36 bits of its hash above 27 bits of its position.
-POSITION_BITS, HASH_MASK = 27, (1 << 36) - 1
-MOST_BUCKETS = 1024
+K, SIGNATURES = 3, 64
+#: Hashes lie on a ring of 2^64 points, cut into SIGNATURES cells by their first bits.
+CELL_BITS = 6
+#: Ranges of ids that come from quantiles; each is cut further, evenly, where there are more partitions.
+RANGES = 1024
 #: A text becomes as many rows as it has words, so its partitions are finer than the session's by this factor.
 PARTITIONS = 3
 FIRST = -(1 << 63)
@@ -40,24 +45,40 @@ def _bucket(key: Column, bounds: list[int], base: int = 0) -> Column:
 
 
 def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
-    """(bucket, place, k, text, next): rows in doc_id order, place from 1 on in each bucket, each with the text that follows."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(MOST_BUCKETS, 4 * partitions)
+    """(bucket, place, k, text, next): rows in order of doc_id and text hash, place from 1 on in each bucket, each with the text that follows."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    wanted = 4 * partitions
+    n = min(RANGES, wanted)
     quantiles = F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(1, n)]), 50 * n) if n > 1 else F.array().cast("array<long>")
-    bounds = sorted(set(rows.agg(quantiles).first()[0] or []))
-    rows = rows.withColumn("bucket", _bucket(F.col("k"), bounds))
-    heads = rows.groupBy("bucket").agg(F.min("k").alias("k"))
-    heads = rows.join(F.broadcast(heads), ["bucket", "k"]).groupBy("bucket").agg(F.min("text").alias("text"))
-    along = Window.orderBy("bucket")  # one row a bucket
+    found, low, high = rows.agg(quantiles, F.min("k"), F.max("k")).first()
+    found = found or []
+    # an id that fills whole ranges gets one to itself, cut by the hash; other ranges are cut by the id
+    hot = {k: c for k in set(found) if (c := found.count(k)) > 1}
+    bounds = sorted(set(found) | {k + 1 for k in hot if k < (1 << 63) - 1})
+    starts, ends = [low or 0, *bounds], [*bounds, (high or 0) + 1]
+    cuts = [max(1, wanted // n) * hot.get(a, 1) for a in starts]
+    rows = rows.withColumn("range", _bucket(F.col("k"), bounds))
+    if max(cuts) == 1:
+        rows = rows.withColumn("bucket", F.col("range").cast("long"))
+    else:
+        of = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[F.col("range")]
+        share = F.when(of([a in hot for a in starts], "boolean"), F.col("h").cast("double") / 2.0**64 + 0.5).otherwise((F.col("k").cast("double") - of(starts, "double")) / of([float(b - a) for a, b in zip(starts, ends)], "double"))
+        part = F.floor(F.greatest(F.lit(0.0), F.least(share, F.lit(1 - 2.0**-40))) * of(cuts, "int"))
+        rows = rows.withColumn("bucket", F.col("range").cast("long") * (1 << 32) + part)
+    order = ["k", "h", "text"]
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("k", "h")).alias("least"))
+    along = Window.orderBy("bucket")  # one number a bucket
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("bucket", F.coalesce(F.lead("text").over(along), F.first("text").over(whole)).alias("beyond"))
-    within = Window.partitionBy("bucket").orderBy("k", "text")
+    after = heads.select("bucket", F.coalesce(F.lead("bucket").over(along), F.first("bucket").over(whole)).alias("beyond"))
+    firsts = rows.join(F.broadcast(heads.select(F.col("bucket"), "least.k", "least.h")), ["bucket", "k", "h"]).groupBy("bucket").agg(F.min("text").alias("following"))
+    heads = after.join(firsts.withColumnRenamed("bucket", "beyond"), "beyond").select("bucket", "following")
+    within = Window.partitionBy("bucket").orderBy(*order)
     return (
         rows.repartition(partitions, "bucket")
         .withColumn("place", F.row_number().over(within))
         .withColumn("next", F.lead("text").over(within))
         .join(heads, "bucket")
-        .select("bucket", "place", "k", "text", F.coalesce("next", "beyond").alias("next"))
+        .select("bucket", "place", "k", "text", F.coalesce("next", "following").alias("next"))
     )
 
 
@@ -68,7 +89,7 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def signatures(texts: DataFrame, *by: str) -> DataFrame:
-    """(by.., text) to (by.., signature): array of SIGNATURES longs. The rows must be dealt by the first column of ``by``."""
+    """(by.., text) to (by.., signature): array of SIGNATURES values of 32 bits. The rows must be dealt by the first column of ``by``."""
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
     split = texts.select(*by, words.alias("w"))
     zipped = F.arrays_zip(*[F.col("w") if i == 0 else F.slice("w", F.lit(i + 1), F.size("w")) for i in range(K)])
@@ -76,29 +97,30 @@ def signatures(texts: DataFrame, *by: str) -> DataFrame:
     kmers = kmers.select(*by, "at", F.when(F.col("at").isNotNull(), F.xxhash64(*[F.col("kmer")[str(i) if i else "w"] for i in range(K)])).alias("h"))
     numbered = kmers.withColumn("occurrence", F.row_number().over(Window.partitionBy(*by, "h").orderBy("at")))
     element = F.when(F.col("h").isNotNull(), F.xxhash64("h", "occurrence"))
-    numbered = numbered.select(*by, F.least("at", F.lit((1 << POSITION_BITS) - 1)).cast("long").alias("at"), element.alias("e"))
+    numbered = numbered.select(*by, F.col("at").cast("int").alias("at"), element.alias("e"), (F.shiftright(element, 64 - CELL_BITS) + SIGNATURES // 2).cast("int").alias("cell"))
+    # on the ring of hashes, k-mer after k-mer: one that is the first of its cell is the least of every function whose point
+    # lies after the k-mer before it, and the next on the ring is the second least
+    ring = Window.partitionBy(*by).orderBy("e")
+    steps = numbered.select(*by, "cell", F.lag("cell").over(ring).alias("before"), "e", "at", F.lead("e").over(ring).alias("e2"), F.lead("at").over(ring).alias("at2"))
+    firsts = steps.filter("before is null or before < cell").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("before", F.lit(-1)).alias("before"), "e", "at", "e2", "at2"))).alias("a"))
 
-    def select(i: int) -> Column:
-        packed = F.shiftleft(F.xxhash64(F.col("e"), F.lit(i)).bitwiseAND(F.lit(HASH_MASK)), POSITION_BITS).bitwiseOR(F.col("at"))
-        return F.min(F.when(F.col("e").isNotNull(), packed)).alias(f"m{i}")
+    def pair(x: Column) -> Column:
+        y, at = F.coalesce(x["e2"], F.col("a")[0]["e"]), F.coalesce(x["at2"], F.col("a")[0]["at"])
+        return F.when(x["at"] <= at, F.xxhash64(x["e"], y)).otherwise(F.xxhash64(y, x["e"])).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    least = numbered.groupBy(*by).agg(*[select(i) for i in range(L * SIGNATURES)])
-    place = lambda c: c.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-
-    def ordered(r: int) -> Column:
-        chosen = [F.col(f"m{r * L + i}") for i in range(L)]
-        in_order = F.array_sort(F.array(*[F.struct(place(c).alias("at"), F.shiftright(c, POSITION_BITS).alias("h")) for c in chosen]))
-        return F.coalesce(F.when(chosen[0].isNotNull(), F.xxhash64(*[in_order[i]["h"] for i in range(L)])), F.lit(0).cast("long"))
-
-    return least.select(*by, F.array(*[ordered(r) for r in range(SIGNATURES)]).alias("signature"))
+    held = F.flatten(F.transform("a", lambda x: F.array_repeat(pair(x), x["cell"] - x["before"])))
+    # points after the last k-mer come round to the first
+    whole = F.concat(held, F.array_repeat(pair(F.col("a")[0]), F.lit(SIGNATURES) - F.size(held)))
+    none = F.array_repeat(F.lit(0).cast("long"), SIGNATURES)
+    return firsts.select(*by, F.when(F.col("a")[0]["e"].isNull(), none).otherwise(whole).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    return sum((F.when(a[i] == b[i], 1.0).otherwise(0.0) for i in range(SIGNATURES)), F.lit(0.0)) / SIGNATURES
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, same: n + same).cast("double") / SIGNATURES
 
 
 def text_of(signature: Column) -> Column:
-    return F.concat(*[F.lower(F.lpad(F.hex(signature[i].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for i in range(SIGNATURES)])
+    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def compare(docs: DataFrame) -> DataFrame:
