@@ -10,7 +10,7 @@ Sql = Callable[[Spark], str]
 OPERATORS: dict[str, Sql] = {}
 VIEWS: dict[str, Sql] = {}
 #: Views that Spark computes once, as a table, where a query reads them more than once; some are in fixtures.sql.
-STORED = {"fx_elems", "fx_annots"}
+STORED = {"fx_li", "fx_lp"}
 
 
 def operator(f: Sql) -> Sql:

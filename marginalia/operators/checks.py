@@ -140,8 +140,8 @@ def _links(d: Spark, source: str) -> str:
     plain = squeeze(d, "text")
     vague = ", ".join(f"'{v}'" for v in VAGUE)
     return f"""select doc_id, key, case when key = 'link_empty' then 'fix' else 'review' end severity, 'link' kind, ordinal from (
-        select doc_id, ordinal, case when {plain} = '' then 'link_empty' when {d.sub(f'lower({plain})', r'[.!]+$')} in ({vague}) then 'link_vague'
-               when {d.like(plain, r'(?i)^(https?://|www\.)\S+$')} then 'link_address' end key from {source}) l where key is not null"""
+        select doc_id, ordinal, case when plain = '' then 'link_empty' when {d.sub('lower(plain)', r'[.!]+$')} in ({vague}) then 'link_vague'
+               when {d.like('plain', r'(?i)^(https?://|www\.)\S+$')} then 'link_address' end key from (select doc_id, ordinal, {plain} plain from {source}) s) l where key is not null"""
 
 
 def _tables(source: str) -> str:
@@ -251,8 +251,8 @@ def issues_summary(d: Spark) -> str:
 def issues_rollup(d: Spark) -> str:
     """Findings by key, severity and host, with subtotals."""
     return """
-      select key, severity, source, count(*) n, count(distinct i.doc_id) docs, cast(grouping(key) + grouping(severity) + grouping(source) as int) level
-      from issues i join all_docs m on m.doc_id = i.doc_id group by rollup (key, severity, source)"""
+      select key, severity, source, cast(sum(n) as bigint) n, count(distinct doc_id) docs, cast(grouping(key) + grouping(severity) + grouping(source) as int) level
+      from (select key, severity, source, i.doc_id, count(*) n from issues i join all_docs m on m.doc_id = i.doc_id group by key, severity, source, i.doc_id) f group by rollup (key, severity, source)"""
 
 
 @operator
