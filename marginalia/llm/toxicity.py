@@ -1,13 +1,13 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling, over word and character inputs.
 
-A word's input joins a trained vector of its hash with the mean of trained vectors of its character trigrams, so that
+A word's input joins a trained vector of its hash with the mean of trained vectors of its runs of characters, so that
 unseen forms of a known stem are read too. The network runs over every overlapping window of WINDOW words (one starts
 every STRIDE words), attention pools a window's states into one logit, and a document's score is the calibrated logit of
 its most toxic window: a long text is as toxic as its worst passage.
 
 Training, in numpy by backpropagation through time, is on whole texts of a bounded sample of labelled documents that are
 not held out. Only documents carry labels, so the windows to learn from are chosen: first by summed log-odds of their
-words and trigrams in the sample (which also start the vectors), then, twice, by the network itself. Scores are then
+words and character runs in the sample (which also start the vectors), then, twice, by the network itself. Scores are then
 calibrated (Platt) on a part of the sample that training did not see.
 
 Defined cases: null and empty texts are one window of padding and get the network's score for it; without labels of both
@@ -32,9 +32,13 @@ from .common import held_out, pieces, unit
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
-WORD_SLOTS, CHAR_SLOTS = 1 << 16, 1 << 14
+WORD_SLOTS, CHAR_SLOTS = 1 << 16, 1 << 16
+#: Lengths of the byte runs that a word is read by; every word with its two ends has one of the first.
+GRAMS = (3, 5)
 #: Labelled documents of each class that training takes, on average, and windows of a document without toxic label.
 PER_CLASS, CLEAN_WINDOWS = 1500, 4
+#: Updates of each of the three rounds of training, on 128 windows, about.
+STEPS = 150
 SIDE_BY_SIDE = 2048
 #: Words whose projections a worker keeps; beyond it the store starts anew.
 KNOWN_WORDS = 200_000
@@ -50,17 +54,26 @@ def bare(word: bytes) -> bytes:
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slots (n), trigram slots end to end, and where each word's trigrams start."""
+    """Word slots (n), slots of the words' runs of GRAMS bytes word by word, and where each word's runs start."""
     clean = [b"<" + bare(w) + b">" for w in words]
     slots = np.array([xxhash.xxh32_intdigest(w) for w in clean], dtype=np.int64) % WORD_SLOTS
     sizes = np.fromiter(map(len, clean), dtype=np.int64, count=len(clean))
-    data = np.frombuffer(b"".join(clean), dtype=np.uint8).astype(np.int64)
-    grams = (data[:-2] * 65536 + data[1:-1] * 256 + data[2:]) * 2654435761 >> 7
-    starts = np.cumsum(sizes) - sizes
-    inside = np.ones(len(data), dtype=bool)
-    inside[starts + sizes - 1] = inside[starts + sizes - 2] = False
-    counts = sizes - 2
-    return slots, grams[inside[:-2]] % CHAR_SLOTS, np.cumsum(counts) - counts
+    data = np.frombuffer(b"".join(clean), dtype=np.uint8).astype(np.uint64)
+    word, place = np.repeat(np.arange(len(clean)), sizes), np.arange(len(data))
+    left = np.repeat(np.cumsum(sizes), sizes) - place  # bytes of the word from here on
+    owners, grams = [], []
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        value = np.full(len(at), n, dtype=np.uint64)
+        for k in range(n):
+            value = value * np.uint64(0x100000001B3) ^ data[at + k]
+        value *= np.uint64(0x9E3779B97F4A7C15)
+        owners.append(word[at])
+        grams.append((value >> np.uint64(40)).astype(np.int64) % CHAR_SLOTS)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=len(clean))
+    return slots, np.concatenate(grams)[order], np.cumsum(counts) - counts
 
 
 class Vocabulary:
@@ -173,7 +186,7 @@ class TextNet:
                 label += [y[i]] * len(some)
             x, label = np.stack(cols, axis=1), np.array(label, dtype=np.float32)
             weight = np.where(label > 0, 0.5 * len(label) / max(1, label.sum()), 0.5 * len(label) / max(1, len(label) - label.sum())).astype(np.float32)
-            for epoch in range(max(1, min(20, -(-150 * 128 // len(label))))):
+            for epoch in range(max(1, min(20, -(-STEPS * 128 // len(label))))):
                 order = r.permutation(len(label))
                 for at in range(0, len(order), 128):
                     b = order[at : at + 128]
@@ -182,7 +195,7 @@ class TextNet:
         self.calibrate(np.array([s.max() for s in self.window_logits(words, [views[i] for i in test])]), y[test])
 
     def log_odds(self, ids: list[np.ndarray], y: np.ndarray, slots: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Starts one dimension of the word and trigram vectors with their document log-odds; returns each word's sum of both."""
+        """Starts one dimension of the word and character vectors with their document log-odds; returns each word's sum of both."""
         counts = np.diff(np.append(starts, len(grams)))
 
         def odds(keys_of: list[np.ndarray], n_slots: int) -> np.ndarray:
@@ -192,7 +205,9 @@ class TextNet:
             n = np.array([[max(1, (y == 0).sum())], [max(1, (y > 0).sum())]])
             rate = (seen + 0.5) / (n + 1)
             total = seen.sum(axis=0)
-            return np.where(total > 1, np.clip(np.log(rate[1] / rate[0]), -1, 4) * total / (total + 3), 0).astype(np.float32)
+            # two standard errors nearer to nought, so that a word of few documents, as most of these are, tells little
+            odds, error = np.log(rate[1] / rate[0]), 2 * np.sqrt((1 / (seen + 0.5)).sum(axis=0))
+            return np.where(total > 1, np.clip(np.sign(odds) * np.maximum(np.abs(odds) - error, 0), -1, 4), 0).astype(np.float32)
 
         grams_of = lambda i: np.concatenate([grams[starts[k - 1] : starts[k - 1] + counts[k - 1]] for k in np.unique(i)]) if len(i) else np.empty(0, np.int64)
         by_word, by_gram = odds([slots[i - 1] for i in ids], WORD_SLOTS), odds([grams_of(i) for i in ids], CHAR_SLOTS)
