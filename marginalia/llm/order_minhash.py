@@ -21,6 +21,8 @@ doc_ids follow one another by a hash of their text; an empty table gives no rows
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,20 @@ PARTITIONS = 3
 FIRST = -(1 << 63)
 
 
-def _bucket(key: Column, bounds: list[int], base: int = 0) -> Column:
-    """The number of bounds not above the key, by bisection."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(key < bounds[mid], _bucket(key, bounds[:mid], base)).otherwise(_bucket(key, bounds[mid + 1 :], base + mid + 1))
+#: Bounds that a range is looked up among at a time.
+STEP = 32
+
+
+def _constants(values: list, kind: str) -> Column:
+    """An array that stays one small expression in plans, however many values it has."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _range(key: Column, bounds: list[int]) -> Column:
+    """The number of sorted bounds not above the key: of each STEP of them first, then within the step."""
+    below = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    step = below(_constants(bounds[STEP - 1 :: STEP], "bigint"))
+    return step * STEP + below(F.slice(_constants(bounds, "bigint"), step * STEP + 1, F.lit(STEP)))
 
 
 def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
@@ -49,7 +59,7 @@ def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     wanted = 4 * partitions
     n = min(RANGES, wanted)
-    quantiles = F.percentile_approx("k", F.array(*[F.lit(i / n) for i in range(1, n)]), 50 * n) if n > 1 else F.array().cast("array<long>")
+    quantiles = F.percentile_approx("k", _constants([i / n for i in range(1, n)], "double"), 50 * n) if n > 1 else F.array().cast("array<long>")
     found, low, high = rows.agg(quantiles, F.min("k"), F.max("k")).first()
     found = found or []
     # an id that fills whole ranges gets one to itself, cut by the hash; other ranges are cut by the id
@@ -57,12 +67,12 @@ def neighbours(docs: DataFrame, partitions: int) -> DataFrame:
     bounds = sorted(set(found) | {k + 1 for k in hot if k < (1 << 63) - 1})
     starts, ends = [low or 0, *bounds], [*bounds, (high or 0) + 1]
     cuts = [max(1, wanted // n) * hot.get(a, 1) for a in starts]
-    rows = rows.withColumn("range", _bucket(F.col("k"), bounds))
+    rows = rows.withColumn("range", _range(F.col("k"), bounds))
     if max(cuts) == 1:
         rows = rows.withColumn("bucket", F.col("range").cast("long"))
     else:
-        of = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])[F.col("range")]
-        share = F.when(of([a in hot for a in starts], "boolean"), F.col("h").cast("double") / 2.0**64 + 0.5).otherwise((F.col("k").cast("double") - of(starts, "double")) / of([float(b - a) for a, b in zip(starts, ends)], "double"))
+        of = lambda values, kind: _constants(values, kind)[F.col("range")]
+        share = F.when(of([a in hot for a in starts], "boolean"), F.col("h").cast("double") / 2.0**64 + 0.5).otherwise((F.col("k").cast("double") - of([float(a) for a in starts], "double")) / of([float(b - a) for a, b in zip(starts, ends)], "double"))
         part = F.floor(F.greatest(F.lit(0.0), F.least(share, F.lit(1 - 2.0**-40))) * of(cuts, "int"))
         rows = rows.withColumn("bucket", F.col("range").cast("long") * (1 << 32) + part)
     order = ["k", "h", "text"]
