@@ -44,6 +44,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` returned, once what was made of them is a table too."""
+    for df in tables:
+        spark = df.sparkSession
+        at, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()} & {p for p in _SAVED}:
+            _SAVED.remove(folder)
+            at(folder).getFileSystem(conf).delete(at(folder), True)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that ``saved`` wrote. For a caller who has consumed all results that rest on them."""
     at, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()

@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, saved
+from .common import discard, pieces, saved
 
 LENGTH = 13
-START = 2
+START = 4
 #: Up to so many repeated ids are sent to every executor; beyond it Spark joins them.
 BROADCAST_IDS = 500_000
 NO_ID = (1 << 63) - 1
@@ -120,13 +120,15 @@ def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFram
 
 
 def repeated_places(windows: DataFrame, later: bool) -> DataFrame:
-    """(hash, doc, row, at) to (doc, row, places): those of hashes in two documents; with ``later`` not those in a hash's first document."""
+    """(hash, doc, row, at) to a table (doc, row, places): those of hashes in two documents; with ``later`` not those in a hash's first document."""
     # kept as a table, so that both sides of the join are plain shuffles, whose hot partitions Spark can split
     twice = saved(windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("hash", "low"))
     met = windows.join(twice, "hash")
     if later:
         met = met.filter("doc > low")
-    return met.groupBy("doc", "row").agg(F.collect_set("at").alias("places"))
+    places = saved(met.groupBy("doc", "row").agg(F.collect_set("at").alias("places")))
+    discard(twice)
+    return places
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -145,11 +147,15 @@ def places_of_repeats(rows: DataFrame, length: int = LENGTH, start: int = START)
     lengths = level_lengths(length, start)
     windows = saved(first_level(texts, lengths[0], length))
     for short, long in zip(lengths, lengths[1:]):
-        alive = saved(repeated_places(windows, later=False))
+        alive = repeated_places(windows, later=False)
         if alive.isEmpty():
             return alive
-        windows = saved(next_level(texts.join(alive, ["doc", "row"]), short, long, length))
-    return saved(repeated_places(windows, later=True))
+        # a level's tables go as soon as the next level's are written
+        before, windows = windows, saved(next_level(texts.join(alive, ["doc", "row"]), short, long, length))
+        discard(before, alive)
+    places = repeated_places(windows, later=True)
+    discard(windows)
+    return places
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
