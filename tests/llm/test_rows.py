@@ -256,7 +256,7 @@ def test_language_threshold_is_set_on_held_out_rows(spark):
     least = language.threshold(docs, net)
     assert 0.6 < least < 1
     got = {r["doc_id"]: r["lang"] for r in language.accepted(docs, net).collect()}
-    assert got[2000] == "aa" and 2001 not in got and len([i for i in got if i < 300]) >= 297
+    assert got[2000] == "aa" and 2001 not in got and len([i for i in got if i < 300]) >= 294
     # texts half of one language, half of the other, have none
     assert sum(1000 + i in got for i in range(20)) <= 2
 
