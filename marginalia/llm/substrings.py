@@ -49,7 +49,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, words)), dtype=np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -103,12 +103,12 @@ def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             parts = []
-            for doc, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for doc, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 hashes = word_hashes(split_words(text))
                 if len(hashes) < length:
                     continue
                 alive = np.zeros(len(hashes), dtype=bool)
-                alive[places] = True
+                alive[places.values.to_numpy()] = True
                 alive = alive[picked(window_hashes(hashes, short), length - short + 1)]
                 longer = window_hashes(hashes, long)
                 at = np.unique(picked(longer, length - long + 1)[alive])
@@ -166,12 +166,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             n_words, n_removed, kept = [], [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, places in zip(batch.column(1).to_pylist(), batch.column(2)):
                 words = split_words(text)
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if places:
-                    np.add.at(gone, np.array(places), 1)
-                    np.add.at(gone, np.array(places) + length, -1)
+                if places.is_valid:
+                    at = places.values.to_numpy()
+                    np.add.at(gone, at, 1)
+                    np.add.at(gone, at + length, -1)
                     gone = np.cumsum(gone)
                 stay = [w for w, g in zip(words, gone.tolist()) if not g]
                 n_words.append(len(words))
