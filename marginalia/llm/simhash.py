@@ -12,7 +12,7 @@ distance; a search goes from a node at distance d only along edges from d - radi
 key is neither one task nor one large tree, and no link is lost. A shard returns links to one member for each of its
 local components, never all pairs; ``components`` joins them.
 
-The pipeline's stage (``one_of_each``) measures Jaccard similarity of shingle sets. Its fingerprints are SimHashes of 128
+The pipeline's stage (``one_of_each``) measures Jaccard similarity of shingle sets. Its fingerprints are SimHashes of 512
 bits of the sets; shards are made by keys of least hashes, under which similar sets of any size meet; BK-trees of the
 shards give the pairs within a wide radius, and every such pair is settled on the texts.
 
@@ -142,7 +142,7 @@ class Forest:
             rows, above = rows[rest], node[rest]
             distance = np.bitwise_count(prints[rows] ^ prints[above]).sum(axis=1)
             self.edge[rows] = distance
-            group = above * 256 + distance
+            group = above * 1024 + distance
         # children of each node, in one array: those of node i stand from start[i] to start[i + 1]
         kids = np.flatnonzero(parent >= 0)
         kids = kids[np.argsort(parent[kids], kind="stable")]
@@ -316,39 +316,50 @@ def bands(distinct: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(part.tobytes(), k)) for k, part in enumerate(least.reshape(BANDS, BAND))]
 
 
+#: Words of a wide fingerprint, and the bits in which two of them may differ for their texts to be verified. At similarity
+#: 0.8 78 of 512 bits differ on average with a standard deviation of 8, so the radius keeps all but 5 in 10,000 of such
+#: pairs and more above it; sets of four and five shingles are further apart, and have a wider one.
+WIDE, WIDE_RADIUS = [f"f{i}" for i in range(8)], 104
+WIDE_KIND = ", ".join(f"{w} long" for w in WIDE)
+FEW_SHINGLES, FEW_RADIUS = 8, 140
+
+
+def wide_print(distinct: np.ndarray) -> list[int]:
+    out = []
+    for _ in WIDE:
+        out.append(signed(majority(distinct)))
+        distinct = remix(distinct)
+    return out
+
+
 def set_keys(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, d0, d1, size, f0, f1, keys): of a text's shingle set the digest, the size, the SimHash of 128 bits, and the keys."""
+    """(doc_id, row, d0, d1, size, f0.., keys): of a text's shingle set the digest, the size, the SimHash of 512 bits, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             sets = [shingle_set(text, shingle) for text in batch.column(2).to_pylist()]
             d = np.array([digest(x) for x in sets], dtype=np.int64).reshape(-1, 2)
-            f = np.array([(signed(majority(x)), signed(majority(remix(x)))) for x in sets], dtype=np.int64).reshape(-1, 2)
-            columns = [pa.array(x) for x in (d[:, 0], d[:, 1], np.array(list(map(len, sets)), dtype=np.int64), f[:, 0], f[:, 1])]
+            f = np.array(list(map(wide_print, sets)), dtype=np.int64).reshape(-1, len(WIDE))
+            columns = [pa.array(x) for x in (d[:, 0], d[:, 1], np.array(list(map(len, sets)), dtype=np.int64), *f.T)]
             columns.append(pa.array(list(map(bands, sets)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "d0", "d1", "size", "f0", "f1", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "d0", "d1", "size", *WIDE, "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "row", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row long, d0 long, d1 long, size long, f0 long, f1 long, keys array<long>")
-
-
-#: Words of a wide fingerprint, and the bits in which two of them may differ for their texts to be verified. At similarity
-#: 0.8 19 bits of 128 differ on average, 24 where texts have five shingles; the radius is four standard deviations wider.
-WIDE, WIDE_RADIUS = ["f0", "f1"], 44
+    return docs.select("doc_id", "row", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row long, d0 long, d1 long, size long, {WIDE_KIND}, keys array<long>")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, f0, f1) under keys that several nodes have."""
+    """(key, node, size, f0..) under keys that several nodes have."""
     rows = nodes.select(F.explode("keys").alias("key"), "node")
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     return rows.join(shared, "key").join(nodes.select("node", "size", *WIDE), "node")
 
 
 def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
-    """(key, tree, is_node, node, c, size, f0, f1, asks) to pairs (a, b) of different c within WIDE_RADIUS, whose sizes allow the similarity.
+    """(key, tree, is_node, node, c, size, f0.., asks) to pairs (a, b) of different c within WIDE_RADIUS, whose sizes allow the similarity.
 
-    With ``edges`` the pairs are those of each node and its parent in its shard's tree, one a node. Without, each row that
-    asks is searched for in its shard's trees, along edges within the radius.
+    With ``edges`` the pairs are those of each node with its parent in its shard's tree and with the shard's middle, two a
+    node at most. Without, each row that asks is searched for in its shard's trees, along edges within the radius.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,13 +368,15 @@ def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
             prints = prints_of(held, WIDE)
             forest = Forest(shard[own], prints[own], int(shard[-1]) + 1)
             if edges:
-                below = np.flatnonzero((forest.parent >= 0) & (forest.edge <= WIDE_RADIUS))
-                found = [(own[below], own[forest.parent[below]])]
+                below = np.flatnonzero(forest.parent >= 0)
+                hub, apart = middles(shard[own], prints[own])
+                found = [(own[below], own[forest.parent[below]], forest.edge[below]), (own, own[hub], apart)]
             else:
                 who = np.flatnonzero(asks)
-                found = ((who[q], own[n]) for q, n, _ in forest.search(shard[who], prints[who], WIDE_RADIUS))
-            for x, y in found:
-                keep = (c[x] != c[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]))
+                found = ((who[q], own[n], distance) for q, n, distance in forest.search(shard[who], prints[who], FEW_RADIUS))
+            for x, y, distance in found:
+                least = np.minimum(size[x], size[y])
+                keep = (c[x] != c[y]) & (least >= similarity * np.maximum(size[x], size[y])) & (distance <= np.where(least < FEW_SHINGLES, FEW_RADIUS, WIDE_RADIUS))
                 x, y = node[x[keep]], node[y[keep]]
                 pairs = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -371,8 +384,21 @@ def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
     return rows.select("key", "tree", "is_node", "node", "c", "size", *WIDE, "asks").mapInArrow(run, "a long, b long").distinct()
 
 
+def middles(shard: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row of its shard that is nearest to the shard's majority of bits, and the distance to it. Edited copies
+    of one text lie round it, so they are joined through it rather than by all pairs of them."""
+    start = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+    count = np.diff(np.append(start, len(shard)))
+    which = np.repeat(np.arange(len(start)), count)
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
+    middle = np.packbits(2 * np.add.reduceat(bits, start, axis=0, dtype=np.int64) > count[:, None], axis=1).view(np.uint64)
+    far = np.bitwise_count(prints ^ middle[which]).sum(axis=1)
+    hub = np.lexsort((far, which))[start][which]
+    return hub, np.bitwise_count(prints ^ prints[hub]).sum(axis=1)
+
+
 def first_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs along the edges of the shards' trees, fewer than there are rows."""
+    """Pairs along the edges of the shards' trees and with their middles, fewer than twice as many as there are rows."""
     rows = rows.withColumn("c", F.col("node")).withColumn("asks", F.lit(False))
     return tree_pairs(planted(rows, F.lit(False)), similarity, edges=True)
 
@@ -446,8 +472,8 @@ def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
     """The documents without near duplicates, all columns: of each group of texts at least so similar one row, that of the least doc_id.
 
     Texts of the same set of shingles are one node; different sets are different nodes. Nodes meet under keys of least
-    hashes, in whose shards BK-trees file their SimHash. The trees' edges within the radius are verified first; then every
-    pair that a search finds within it and that is not joined yet.
+    hashes, in whose shards BK-trees file their SimHash. The trees' edges within the radius, and pairs with the middle of
+    each shard, are verified first; then every pair that a search finds within it and that is not joined yet.
 
     Defined cases: a row is known by its doc_id and a hash of all of its columns, so rows without an id, or that repeat
     one, are judged by their own texts; of a group a row with an id stays before one without, on a tie of ids the one of
