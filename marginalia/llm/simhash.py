@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +195,7 @@ class Union:
                 label[:] = up
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch], at_once: int = ROWS_AT_ONCE) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Rows sorted by (key, tree), nodes first, as tables of whole shards with each row's shard number and the places of the
     nodes. Of a shard of very many rows the nodes stay and the others come by and by."""
 
@@ -207,7 +207,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
     held = None
     for batch in batches:
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        if held.num_rows < ROWS_AT_ONCE:
+        if held.num_rows < at_once:
             continue
         held = held.combine_chunks()
         key, tree = held.column("key").to_numpy(), held.column("tree").to_numpy()
@@ -215,7 +215,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nda
         if last:
             yield numbered(held.slice(0, last))
             held = held.slice(last)
-        if held.num_rows >= 2 * ROWS_AT_ONCE:
+        if held.num_rows >= 2 * at_once:
             yield numbered(held)
             held = held.filter(held.column("is_node"))
     if held is not None and held.num_rows:
@@ -291,6 +291,8 @@ SKETCH = 256
 #: A link of longer texts is dropped on the sketches only below this share of the similarity (at 0.8: six standard
 #: errors); all others are settled on the whole sets.
 SCREEN = 0.8
+#: Rows that carry sketches are searched so many together, and so many pairs of them are compared at once.
+SKETCHES_AT_ONCE, COMPARED_AT_ONCE = 40_000, 4096
 #: (shingle, hash function) pairs held at once.
 HASHES_AT_ONCE = 1 << 16
 _RANDOM = np.random.default_rng(SEED).integers(1 << 64, size=(2, BAND * BANDS, 1), dtype=np.uint64)
@@ -356,14 +358,15 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
 
 def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
-    """(key, tree, is_node, node, c, size, f0.., asks) to pairs (a, b) of different c within WIDE_RADIUS, whose sizes allow the similarity.
+    """(key, tree, is_node, node, c, size, f0.., asks[, sketch]) to pairs (a, b) of different c within WIDE_RADIUS, whose sizes allow the similarity.
 
     With ``edges`` the pairs are those of each node with its parent in its shard's tree and with the shard's middle, two a
-    node at most. Without, each row that asks is searched for in its shard's trees, along edges within the radius.
+    node at most. Without, each row that asks is searched for in its shard's trees, along edges within the radius, and the
+    sketches of what is found are compared: a pair that they rule out is no pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, shard, own in shards(batches):
+        for held, shard, own in shards(batches, ROWS_AT_ONCE if edges else SKETCHES_AT_ONCE):
             node, c, size, asks = (held.column(x).to_numpy() for x in ("node", "c", "size", "asks"))
             prints = prints_of(held, WIDE)
             forest = Forest(shard[own], prints[own], int(shard[-1]) + 1)
@@ -374,14 +377,54 @@ def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
             else:
                 who = np.flatnonzero(asks)
                 found = ((who[q], own[n], distance) for q, n, distance in forest.search(shard[who], prints[who], FEW_RADIUS))
+                sketches = sketch_rows(held.column("sketch"))
             for x, y, distance in found:
                 least = np.minimum(size[x], size[y])
                 keep = (c[x] != c[y]) & (least >= similarity * np.maximum(size[x], size[y])) & (distance <= np.where(least < FEW_SHINGLES, FEW_RADIUS, WIDE_RADIUS))
-                x, y = node[x[keep]], node[y[keep]]
+                x, y = x[keep], y[keep]
+                if not edges:
+                    keep = may_reach(sketches, size, x, y, similarity)
+                    x, y = x[keep], y[keep]
+                x, y = node[x], node[y]
                 pairs = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.select("key", "tree", "is_node", "node", "c", "size", *WIDE, "asks").mapInArrow(run, "a long, b long").distinct()
+    carried = ["key", "tree", "is_node", "node", "c", "size", *WIDE, "asks"]
+    return rows.select(*carried, *([] if edges else ["sketch"])).mapInArrow(run, "a long, b long").distinct()
+
+
+#: Pads sketches of fewer than SKETCH values.
+PAD = np.uint32(0xFFFFFFFF)
+
+
+def short_sketch(distinct: np.ndarray) -> np.ndarray:
+    """The upper halves of the SKETCH least hashes of a sorted set."""
+    return (distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32)
+
+
+def sketch_rows(column: pa.ChunkedArray) -> np.ndarray:
+    out = np.full((len(column), SKETCH), PAD, dtype=np.uint32)
+    for i, values in enumerate(column.to_pylist()):
+        out[i, : len(values) // 4] = np.frombuffer(values, dtype=np.uint32)
+    return out
+
+
+def may_reach(sketches: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows (x, y) may be so similar by their sketches. Sets that a sketch holds whole are left two values of
+    leeway, for halves of hashes that are equal by chance; larger ones are ruled out below SCREEN times the similarity."""
+    out = np.zeros(len(x), dtype=bool)
+    for at in range(0, len(x), COMPARED_AT_ONCE):
+        a, b = x[at : at + COMPARED_AT_ONCE], y[at : at + COMPARED_AT_ONCE]
+        both = np.sort(np.concatenate((sketches[a], sketches[b]), axis=1), axis=1)
+        real, again = both != PAD, np.zeros(both.shape, dtype=bool)
+        again[:, 1:] = both[:, 1:] == both[:, :-1]
+        rank = np.cumsum(real & ~again, axis=1, dtype=np.int32)
+        whole = np.maximum(size[a], size[b]) < SKETCH
+        most = np.where(whole, 2 * SKETCH, SKETCH)
+        shared = (again & real & (rank <= most[:, None])).sum(axis=1)
+        union = np.minimum(rank[:, -1], most)
+        out[at : at + len(a)] = np.where(whole, shared + 2 >= similarity * union, shared >= SCREEN * similarity * union)
+    return out
 
 
 def middles(shard: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,20 +446,28 @@ def first_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return tree_pairs(planted(rows, F.lit(False)), similarity, edges=True)
 
 
-def other_pairs(rows: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """All pairs within the radius under a common key that are not joined yet: all but the key's largest component ask."""
+def other_pairs(rows: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """All pairs within the radius under a common key that are not joined yet and that sketches do not rule out: all but the
+    key's largest component ask."""
     rows = saved(rows.join(found, "node", "left").select("key", "node", "size", *WIDE, F.coalesce("component", "node").alias("c")))
     counts = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("n"))
     rows = saved(rows.join(counts.filter("n > 1").select("key", "most"), "key").withColumn("asks", F.col("c") != F.col("most")).drop("most"))
+    sketches = sets_of(docs, first_rows(nodes, rows.select("node").distinct()), shingle, short_sketch)
+    rows = rows.join(saved(sketches).withColumnRenamed("found", "sketch"), "node")
     return tree_pairs(planted(rows, F.col("asks")), similarity, edges=False)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
-    """(node, found): the shingle sets, or the ``most`` least hashes, of the texts that stand for these nodes (node, id, row)."""
+def first_rows(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, id, row): the row that stands for each of these nodes."""
+    return saved(nodes.select("node", "first.doc_id", "first.row").withColumnRenamed("doc_id", "id").join(ids, "node"))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int, part: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> DataFrame:
+    """(node, found): the shingle sets, or a part of each, of the texts that stand for these nodes (node, id, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            sets = [shingle_set(t, shingle)[:most].tobytes() for t in batch.column(1).to_pylist()]
+            sets = [part(shingle_set(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "found"])
 
     few = ids.count() <= BROADCAST_IDS
@@ -458,7 +509,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 
     def sets(links: DataFrame, most: int | None = None) -> DataFrame:
         ids = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return saved(sets_of(docs, saved(nodes.select("node", "first.doc_id", "first.row").withColumnRenamed("doc_id", "id").join(ids, "node")), shingle, most))
+        return saved(sets_of(docs, first_rows(nodes, ids), shingle, lambda x: x[:most]))
 
     if pairs.isEmpty():
         return pairs
@@ -473,7 +524,8 @@ def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
 
     Texts of the same set of shingles are one node; different sets are different nodes. Nodes meet under keys of least
     hashes, in whose shards BK-trees file their SimHash. The trees' edges within the radius, and pairs with the middle of
-    each shard, are verified first; then every pair that a search finds within it and that is not joined yet.
+    each shard, are verified first; then every pair that a search finds within it, that is not joined yet and whose
+    sketches (carried along in the trees) do not rule it out.
 
     Defined cases: a row is known by its doc_id and a hash of all of its columns, so rows without an id, or that repeat
     one, are judged by their own texts; of a group a row with an id stays before one without, on a tie of ids the one of
@@ -489,7 +541,7 @@ def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
     rows = saved(shared_keys(nodes))
     first = saved(first_pairs(rows, similarity))
     links = verified(first, nodes, keyed_docs, shingle, similarity)
-    rest = other_pairs(rows, components(links), similarity).join(first, ["a", "b"], "left_anti")
+    rest = other_pairs(rows, components(links), nodes, keyed_docs, shingle, similarity).join(first, ["a", "b"], "left_anti")
     more = verified(saved(rest), nodes, keyed_docs, shingle, similarity)
     found = components(links.unionByName(more))
     known = saved(nodes.select("d0", "d1", "node", "first").join(found, "node", "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("c")))

@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -307,3 +308,24 @@ def test_stages_on_odd_rows(spark, tmp_path, empty):
         # without letters: three rows; the copy without an id; the leak without an id; one source takes what it has
         assert counts == [5, 4, 3, 3, 3]
         assert {r["doc_id"]: r["text"] for r in docs.filter("doc_id = 4").collect()} == {4: f"{text_of('d')} {secrets.MASK}"}
+
+
+def test_sketches_rule_out_no_pair_that_is_similar():
+    rng = np.random.default_rng(3)
+    sets, pairs = [], []
+    for n in (0, 1, 5, 60, 146, 255, 256, 257, 900):
+        a = np.unique(rng.integers(1 << 63, size=n).astype(np.uint64) * np.uint64(2))
+        for share in (0.5, 0.7, 0.85, 1.0):
+            kept = a[: int(len(a) * share)] if share < 1 else a
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [rng.permutation(a), kept]
+    sets = [np.sort(x) for x in sets]
+    size = np.array(list(map(len, sets)))
+    sketches = simhash.sketch_rows(pa.chunked_array([[simhash.short_sketch(x).tobytes() for x in sets]], pa.binary()))
+    x, y = np.array(pairs).T
+    got = simhash.may_reach(sketches, size, x, y, 0.8)
+    for a, b, may in zip(x, y, got):
+        like = simhash.jaccard(sets[a].tobytes(), sets[b].tobytes())
+        assert may or like < 0.8
+        if max(size[a], size[b]) < simhash.SKETCH and len(np.union1d(sets[a], sets[b])) > 20:
+            assert may == (len(np.intersect1d(sets[a], sets[b])) + 2 >= 0.8 * len(np.union1d(sets[a], sets[b])))
