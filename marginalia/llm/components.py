@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds: each round points every node at the least neighbour it sees, until no
 link changes. Rounds grow with the logarithm of a component's width. No node's neighbour list is ever collected; only
-minima are, so a node with very many links costs one row a task. Links are kept as tables in the shared folder.
+minima are, so a node with very many links costs one row a task. Links and minima are kept as tables in the shared
+folder: so both sides of a join are plain shuffles, and Spark can split the rows of such a node over several tasks.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = saved(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         links = saved(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
         now = _state(links)
