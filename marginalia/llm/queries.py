@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, order_minhash, quotations, secrets, simhash, substrings, toxicity, warc
+from . import decontaminate, infill, language, mixing, order_minhash, quotations, secrets, simhash, substrings, token_shards, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_substring_dedup": substrings.query,
     "op10_source_mixing": mixing.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_fill_in_middle": infill.query,
+    "op13_token_shards": token_shards.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc_archive": warc.SQL,
     "op6_quotation_linking": quotations.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_fill_in_middle": infill.SQL,
 }
