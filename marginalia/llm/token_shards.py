@@ -169,6 +169,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters that no normal form changes and that lower case maps one to one, with ASCII signs at either end (no apostrophe): a
+#: tokenizer that splits at space and parts letters from signs makes one piece of the letters and one of the signs at each end.
+SIGNS, LETTERS = r"[!-&(-/:-@\[-`{-~]", "[A-Za-zÀ-ÖØ-öø-ÿ]"
+PLAIN = f"^{SIGNS}*{LETTERS}+{SIGNS}*$"
+
+
 class Encoder:
     """Token ids of texts, by words: the tokens of words met before are kept."""
 
@@ -178,44 +184,74 @@ class Encoder:
         self.whole = Tokenizer.from_file(file)
         self.whole.no_padding()
         self.whole.no_truncation()
-        self.by_words = all(self.ids([a + space + b])[0].tolist() == np.concatenate(self.ids([a, b])).tolist() for a, b in ("ab", "1!", "Éa") for space in (" ", "\n \t", "\r\x0b\f"))
+        flat = lambda texts: self.ids(texts)[0].tolist()
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        spaced = any(not t or any(c.isspace() for c in t) for t in self.added)
+        self.by_words = not spaced and all(flat([a + space + b]) == flat([a, b]) for a, b in ("ab", "1!", "Éa") for space in (" ", "\n \t", "\r\x0b\f"))
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None) if flat(["a!", "(a"]) == flat(["a", "!", "(", "a"]) else None
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.kept = kept
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words, self.starts, self.lengths, self.flat = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        got = self.ids(words)
-        lengths = np.array([len(x) for x in got], np.int64)
-        self.index.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *got])
+    def ids(self, texts: list[str], at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, how many each has)."""
+        ids, lengths = [np.zeros(0, np.uint32)], []
+        for i in range(0, len(texts), at_once):
+            got = [e.ids for e in self.whole.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
+            lengths += map(len, got)
+            ids.append(np.fromiter((x for e in got for x in e), np.uint32, sum(map(len, got))))
+        return np.concatenate(ids), np.array(lengths, np.int64)
+
+    def joined(self, words: pa.Array, at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain words, with many in a text: each of their pieces ends with a token that ends a word."""
+        listed = words.to_pylist()
+        ids, _ = self.ids([" ".join(listed[i : i + at_once]) for i in range(0, len(listed), at_once)], 256)
+        pieces = 1 + sum(pc.match_substring_regex(words, p).to_numpy(zero_copy_only=False).astype(np.int64) for p in (f"^{SIGNS}", f"{SIGNS}$"))
+        return ids, np.diff(np.flatnonzero(self.ends_word[ids])[np.cumsum(pieces) - 1], prepend=-1)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Keeps the tokens of new words; where each of them is kept."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), bool(self.ends_word.any()))
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, token, ignore_case=True))
+        order = np.empty(len(words), np.int64)
+        for mask, encode in ((plain, self.joined), (pc.invert(plain), lambda x: self.ids(x.to_pylist()))):
+            part = words.filter(mask)
+            ids, lengths = encode(part)
+            order[mask.to_numpy(zero_copy_only=False).astype(bool)] = len(self.words) + np.arange(len(part))
+            self.words = pa.concat_arrays([self.words, part])
+            self.starts = np.concatenate([self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)])
+            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+            self.flat = np.concatenate([self.flat, ids])
+        return order
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, how many each has)."""
         if not self.by_words:
-            got = self.ids(texts.to_pylist())
-            return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
+            return self.ids(texts.to_pylist())
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if new := [w for w in distinct if w not in self.index]:
-            if len(self.index) + len(new) > self.kept:
+        known = pc.index_in(words.dictionary, value_set=self.words)
+        if known.null_count:
+            if len(self.words) + known.null_count > self.kept:
                 self.forget()
-                new = distinct
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+                known = pc.index_in(words.dictionary, value_set=self.words)
+            new = pc.is_null(known)
+            order = self.learn(words.dictionary.filter(new))
+            known = pc.fill_null(known, 0).to_numpy().copy()
+            known[new.to_numpy(zero_copy_only=False)] = order
+        at = np.asarray(known)[words.indices.to_numpy()]
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        where = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        where += np.arange(len(where))
         upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
-        return ids, np.diff(upto, prepend=0)
+        return self.flat[where], np.diff(upto, prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}

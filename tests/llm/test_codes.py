@@ -147,7 +147,7 @@ def test_wavelet_matrix():
             assert m.count(token) == len(where) and m.count(token, size // 3, size // 2) == ((where >= size // 3) & (where < size // 2)).sum()
 
 
-WORDS = ["Hello", "don't", "I'LL", "J̌", "́x", "été", "日本", "a,b", "...", "x1y22", "\x1c", "\x85", "T̈", "İ", "|", "<|endoftext|>", "ﬁ", "naïve", "ΑΣ", "🙂🙂"]
+WORDS = ["Hello", "don't", "I'LL", "J̌", "́x", "été", "日本", "a,b", "...", "x1y22", "\x1c", "\x85", "T̈", "İ", "|", "(word),", "<word|endoftext|>", "<|ENDOFTEXT|>", "--a", "b_c", "µ!", "<|endoftext|>", "ﬁ", "naïve", "ΑΣ", "🙂🙂"]
 
 
 def test_token_shards(spark, tmp_path):
@@ -198,4 +198,4 @@ def test_tokenizers_that_keep_spaces_get_whole_texts():
     assert not encode.by_words and lengths.tolist() == list(map(len, plain)) and ids.tolist() == sum(plain, [])
     assert token_shards.Encoder(token_shards.vocabulary()).by_words
     few = token_shards.Encoder(token_shards.vocabulary(), kept=3)
-    assert [few(pa.array([t]))[0].tolist() for t in ("a b c d", "a", "x y a")] == [Tokenizer.from_file(token_shards.vocabulary()).encode(t, add_special_tokens=False).ids for t in ("a b c d", "a", "x y a")]
+    assert [few(pa.array([t]))[0].tolist() for t in ("a b c d Àé", "a", "x y a ßµ1")] == [Tokenizer.from_file(token_shards.vocabulary()).encode(t, add_special_tokens=False).ids for t in ("a b c d Àé", "a", "x y a ßµ1")]
