@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
 from marginalia.functions.dialect import Spark
 
 Sql = Callable[[Spark], str]
 OPERATORS: dict[str, Sql] = {}
 VIEWS: dict[str, Sql] = {}
+#: Views that Spark makes in rounds of joins, by a function of the frames they read; SQL for DuckDB stands beside it as ``check``.
+BUILT: dict[str, Callable[..., DataFrame]] = {}
 #: Views that Spark computes once, as a table, where a query reads them more than once; some are in fixtures.sql.
 STORED = {"fx_li", "fx_lp"}
 
@@ -31,6 +35,18 @@ def stored(f: Sql) -> Sql:
     return view(f)
 
 
+def built(*reads: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Registers an input that is a function of the frames of the views it reads."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        f.reads = reads
+        BUILT[f.__name__] = f
+        VIEWS[f.__name__] = lambda d: f.check(d) if d.name == "duck" else " union all ".join(f"select * from {r}" for r in reads)
+        return f
+
+    return register
+
+
 def words(values: str) -> str:
     """A list of names as SQL literals."""
     return ", ".join(f"'{v}'" for v in values.split())

@@ -300,10 +300,30 @@ def import_metadata(d: Spark) -> str:
       from fx_docs p left join guesses g on g.doc_id = p.doc_id"""
 
 
+# Structure types of running text, and of blocks that are taken whole.
+TEXT_KINDS = "P Caption TOCI BibEntry Note Code Span Strong Em Link Reference Quote Formula"
+WHOLE_KINDS = {"L": "ul", "Table": "table", "Figure": "img", "BlockQuote": "blockquote", "Form": ""}
+# End of fixed values.
+
+
+@view
+def walked_elements(d: Spark) -> str:
+    """Elements by the kind that the role map gives them: ``taken`` ones become a block with all they hold, others are walked through."""
+    slashed = lambda names: ", ".join(f"'/{n}'" for n in names.split())
+    headings, blocks = slashed("H H1 H2 H3 H4 H5 H6"), slashed("L Table Figure")
+    taken = f"role in ({headings}, {slashed(TEXT_KINDS)}, {slashed(' '.join(WHOLE_KINDS))}) and not (role = '/P' and h.parent_id is not null)"
+    roles = "(select o.*, coalesce(r.resolved, o.kind) role from elem_order o left join role_chain r on r.doc_id = o.doc_id and r.kind = o.kind)"
+    return f"""select *, coalesce(max(case when taken then leave end) over (partition by doc_id order by enter rows between unbounded preceding and 1 preceding), 0) > enter inside from (
+      select k.doc_id, k.elem_id, k.enter, k.leave, k.role, {taken} taken from {roles} k left join (select distinct doc_id, parent_id from {roles} b where role in ({blocks}) and parent_id is not null) h on h.doc_id = k.doc_id and h.parent_id = k.elem_id) t"""
+
+
 @operator
 def tag_blocks(d: Spark) -> str:
-    """Structure elements in order as blocks with their text; what stands in a list or table is theirs."""
-    tag = "case when kind = '/H' then 'h2' when kind in ('/H1', '/H2', '/H3') then lower(substr(kind, 2)) when kind = '/P' then 'p' when kind = '/BlockQuote' then 'blockquote' when kind = '/L' then 'ul' when kind = '/Table' then 'table' when kind = '/Figure' then 'img' end"
-    return f"""select e.doc_id, row_number() over (partition by e.doc_id order by e.elem_id) ord, {tag.replace('kind', 'e.kind')} tag, coalesce(t.text, '') text from fx_elems e left join texts_below t on t.doc_id = e.doc_id and t.elem_id = e.elem_id
-      where {tag.replace('kind', 'e.kind')} is not null and not exists (select 1 from ancestors a join fx_elems o on o.doc_id = a.doc_id and o.elem_id = a.top
-        where a.doc_id = e.doc_id and a.elem_id = e.elem_id and a.top <> e.elem_id and o.kind in ('/L', '/Table', '/Figure'))"""
+    """Structure elements as blocks in the order of the tree. A paragraph around a list, table or picture is walked through, like any
+    grouping element; content that stands in such elements itself becomes a paragraph."""
+    whole = " ".join(f"when '/{k}' then '{v}'" for k, v in WHOLE_KINDS.items())
+    tag = f"case w.role when '/H' then 'h2' {' '.join(f"when '/H{i}' then 'h{i}'" for i in range(1, 7))} {whole} else 'p' end"
+    return f"""select doc_id, row_number() over (partition by doc_id order by enter, page, mcid) ord, tag, text from (
+        select w.doc_id, w.enter, 0 page, 0 mcid, {tag} tag, coalesce(t.text, '') text from walked_elements w left join texts_below t on t.doc_id = w.doc_id and t.elem_id = w.elem_id where w.taken and not w.inside
+        union all select w.doc_id, w.enter, coalesce(c.page, 0), c.mcid, 'p', {squeeze(d, "coalesce(c.text, '')")} from walked_elements w join fx_content c on c.doc_id = w.doc_id and c.elem_id = w.elem_id where not w.taken and not w.inside) b
+      where tag in ('ul', 'table', 'img', 'blockquote') or (tag <> '' and text <> '')"""

@@ -169,16 +169,14 @@ def chk_artifacts(d: Spark) -> str:
 
 
 @view
-def below_tables(d: Spark) -> str:
-    """(doc_id, top, elem_id): every table with every element below it."""
-    return """select e.doc_id, e.elem_id top, e.elem_id, e.kind from fx_elems e where e.kind = '/Table'
-      union all select e.doc_id, b.top, e.elem_id, e.kind from fx_elems e join below_tables b on e.doc_id = b.doc_id and e.parent_id = b.elem_id"""
+def headed_tables(d: Spark) -> str:
+    """(doc_id, elem_id, th): every table with the number of header cells below it."""
+    return "select doc_id, elem_id, headers th from elem_totals where kind = '/Table'"
 
 
 @check
 def chk_table_headers(d: Spark) -> str:
-    tables = "(select doc_id, top, count_if(kind = '/TH') th from below_tables group by doc_id, top)"
-    return _counted("table_headers", f"{tables} tt", "th = 0", only_with=True)
+    return _counted("table_headers", "headed_tables", "th = 0", only_with=True)
 
 
 @check
@@ -186,17 +184,9 @@ def chk_xfa(d: Spark) -> str:
     return _check("xfa", "false", "fx_docs where xfa")
 
 
-@view
-def field_names(d: Spark) -> str:
-    """(doc_id, annot_id, at, step): every widget with its ancestors, eight levels counting itself."""
-    return """select doc_id, annot_id, annot_id at_id, parent_id, tip, 0 step from fx_annots where subtype = '/Widget'
-      union all select f.doc_id, f.annot_id, a.annot_id, a.parent_id, a.tip, f.step + 1 from field_names f join fx_annots a on a.doc_id = f.doc_id and a.annot_id = f.parent_id where f.step < 7"""
-
-
 @check
 def chk_fields(d: Spark) -> str:
-    fields = "(select doc_id, annot_id, count_if(trim(tip) <> '') named from field_names group by doc_id, annot_id)"
-    return _counted("fields", f"{fields} fn", "named = 0", only_with=True)
+    return _counted("fields", "field_tips", "not named", only_with=True)
 
 
 @check
@@ -252,7 +242,7 @@ def element_counts(d: Spark) -> str:
 
 @view
 def table_counts(d: Spark) -> str:
-    return "select doc_id, count(*) tables, count_if(th = 0) bad_tables from (select doc_id, top, count_if(kind = '/TH') th from below_tables group by doc_id, top) t group by doc_id"
+    return "select doc_id, count(*) tables, count_if(th = 0) bad_tables from headed_tables group by doc_id"
 
 
 @view
@@ -289,7 +279,7 @@ def annot_counts(d: Spark) -> str:
 
 @view
 def field_counts(d: Spark) -> str:
-    return "select doc_id, count(*) fields, count_if(named = 0) unnamed from (select doc_id, annot_id, count_if(trim(tip) <> '') named from field_names group by doc_id, annot_id) f group by doc_id"
+    return "select doc_id, count(*) fields, count_if(not named) unnamed from field_tips group by doc_id"
 
 
 def _checks_of_a_row(d: Spark) -> str:
@@ -383,16 +373,20 @@ def claim_audit(d: Spark) -> str:
 
 @view
 def role_walk(d: Spark) -> str:
-    """Every kind with the kinds that its document's role map leads to, a step a row; a cycle ends where it comes back."""
-    grown = "concat(w.seen, array(m.to_kind))" if d.name == "spark" else "list_append(w.seen, m.to_kind)"
-    known = "array_contains(w.seen, m.to_kind)" if d.name == "spark" else "list_contains(w.seen, m.to_kind)"
-    return f"""select doc_id, kind, kind at_kind, {d.array('kind')} seen, 0 step from (select distinct doc_id, kind from fx_elems) k
-      union all select w.doc_id, w.kind, m.to_kind, {grown}, w.step + 1 from role_walk w join fx_rolemap m on m.doc_id = w.doc_id and m.from_kind = w.at_kind where not {known}"""
+    """The check's kinds with the kinds that their document's role map leads to, a step a row; a cycle ends where it comes back."""
+    return """select doc_id, kind, kind at_kind, [kind] seen, 0 step from (select distinct doc_id, kind from fx_elems) k
+      union all select w.doc_id, w.kind, m.to_kind, list_append(w.seen, m.to_kind), w.step + 1 from role_walk w join fx_rolemap m on m.doc_id = w.doc_id and m.from_kind = w.at_kind where not list_contains(w.seen, m.to_kind)"""
 
 
 @view
 def role_chain(d: Spark) -> str:
-    return "select doc_id, kind, max_by(at_kind, step) resolved from role_walk group by doc_id, kind"
+    """(doc_id, kind, resolved): kinds followed through their document's role map, however long the way; a cycle ends where it comes back."""
+    if d.name == "duck":
+        return "select doc_id, kind, max_by(at_kind, step) resolved from role_walk group by doc_id, kind"
+    step = "case when roles[way.at] is null or array_contains(way.seen, roles[way.at]) then way else named_struct('at', roles[way.at], 'seen', array_append(way.seen, roles[way.at])) end"
+    return f"""select doc_id, kind, case when roles is null then kind else aggregate(sequence(1, size(roles)), named_struct('at', kind, 'seen', array(kind)), (way, i) -> {step}).at end resolved from (
+      select k.doc_id, k.kind, m.roles from (select distinct doc_id, kind from fx_elems) k left join (select doc_id, map_from_entries(collect_list(named_struct('k', from_kind, 'v', to_kind))) roles from (
+        select doc_id, from_kind, min(to_kind) to_kind from fx_rolemap where from_kind is not null group by doc_id, from_kind) r group by doc_id) m on m.doc_id = k.doc_id) w"""
 
 
 @operator
@@ -402,23 +396,11 @@ def role_resolution(d: Spark) -> str:
 
 @operator
 def page_inheritance(d: Spark) -> str:
-    """An element's page: its own, else its nearest ancestor's."""
-    return """with recursive down as (
-      select doc_id, elem_id, page from fx_elems where parent_id is null
-      union all select e.doc_id, e.elem_id, coalesce(e.page, w.page) from fx_elems e join down w on w.doc_id = e.doc_id and e.parent_id = w.elem_id)
-      select doc_id, elem_id, page from down"""
-
-
-@view
-def ancestors(d: Spark) -> str:
-    """(doc_id, top, elem_id): every element with itself and everything below it."""
-    return """select doc_id, elem_id top, elem_id from fx_elems
-      union all select e.doc_id, a.top, e.elem_id from fx_elems e join ancestors a on e.doc_id = a.doc_id and e.parent_id = a.elem_id"""
-
-
-@view
-def texts_below(d: Spark) -> str:
-    return f"select a.doc_id, a.top elem_id, {squeeze(d, d.join('c.text', ' ', 'c.mcid'))} text from ancestors a join fx_content c on c.doc_id = a.doc_id and c.elem_id = a.elem_id group by a.doc_id, a.top"
+    """An element's page: its own, else its nearest ancestor's, else that of the first element below it that has one."""
+    later = "over (partition by doc_id order by enter rows between current row and unbounded following)"
+    place = "case when own_page is not null then enter end"
+    return f"""select e.doc_id, e.elem_id, coalesce(o.page, e.page) page from fx_elems e left join (
+      select doc_id, elem_id, coalesce(page, case when min({place}) {later} < leave then min_by(own_page, {place}) {later} end) page from elem_order) o on o.doc_id = e.doc_id and o.elem_id = e.elem_id"""
 
 
 @operator

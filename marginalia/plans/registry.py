@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.functions.dialect import DUCK, SPARK, Spark
-from marginalia.operators import OPERATORS, STORED, VIEWS
+from marginalia.operators import BUILT, OPERATORS, STORED, VIEWS
 from marginalia.sources.files import saved
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -114,8 +114,11 @@ def _sql(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> Dat
 
 
 def run(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
-    """The body over its inputs. Views that are marked ``stored`` and read more than once are computed once, as tables."""
+    """The body over its inputs. Views that are built in rounds are made first; those that are marked ``stored`` and read more than once are computed once, as tables."""
     inputs = dict(inputs)
+    for name in [n for n in needed(body, SPARK, inputs) if n in BUILT]:
+        reads = {r: f"select * from {r}" for r in BUILT[name].reads}
+        inputs[name] = BUILT[name](**{r: _sql(spark, select, _read(select, inputs)) for r, select in reads.items()})
     views = needed(body, SPARK, inputs)
     for name in [n for n in views if n in STORED]:
         rest = needed(body, SPARK, inputs)

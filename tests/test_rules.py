@@ -248,3 +248,48 @@ def test_a_batch_that_is_run_again_ends_as_before(spark, tmp_path):
         (tmp_path / "out/state/commits" / name).unlink()
     arrivals.check_arrivals(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out")
     assert sorted(map(repr, spark.read.parquet(f"{tmp_path}/out/issues").collect())) == want
+
+
+CONTENT = "doc_id long, page int, mcid int, elem_id int, text string"
+
+
+def test_trees_of_any_depth(spark):
+    """A chain of 5,000 elements whose last one has the page, the text and the header cell; a missing parent; a ring; two children with pages."""
+    n = 5000
+    chain = [(1, i, i - 1 if i > 1 else None, "/TH" if i == n else "/Table" if i in (1, 2500) else "/Div", 7 if i == n else None, "", "") for i in range(1, n + 1)]
+    other = [(2, 5, 99, "/P", None, "", ""), (2, 6, 5, "/Span", 3, "", ""), (2, 7, 5, "/Span", 4, "", ""), (3, 1, 2, "/P", None, "", ""), (3, 2, 1, "/P", 9, "", ""), (4, 1, None, "/Sect", 2, "", ""), (4, 2, 1, "/P", None, "", ""), (4, 3, 2, "/Span", 5, "", "")]
+    elems = (ELEMS, chain + other)
+    got = {(d, e): p for d, e, p in run(spark, "page_inheritance", "doc_id", "elem_id", "page", fx_elems=elems)}
+    assert all(got[1, i] == 7 for i in range(1, n + 1))
+    assert [got[2, i] for i in (5, 6, 7)] == [3, 3, 4] and [got[3, i] for i in (1, 2)] == [None, 9] and [got[4, i] for i in (1, 2, 3)] == [2, 2, 5]
+    content = (CONTENT, [(1, 2, 0, n, "low"), (2, 2, 0, 6, "first"), (2, 1, 1, 7, "third"), (2, 2, 1, 6, "second")])
+    texts = {(d, e): t for d, e, t in run(spark, "element_text", "doc_id", "elem_id", "text", fx_elems=elems, fx_content=content)}
+    assert len(texts) == n + 3 and texts[1, 1] == "low" and texts[2, 5] == "first second third" and texts[2, 7] == "third"
+    docs = (DOCS, [document(i) for i in (1, 2, 3, 4)])
+    assert run(spark, "chk_table_headers", "doc_id", "passed", "bad", "total", fx_elems=elems, fx_docs=docs) == [(1, True, 0, 2)]
+    lone = (ELEMS, [(1, 1, None, "/Table", 1, "", ""), (1, 2, 1, "/Table", 1, "", ""), (1, 3, 1, "/TH", 1, "", "")])
+    assert run(spark, "chk_table_headers", "doc_id", "passed", "bad", "total", fx_elems=lone, fx_docs=docs) == [(1, False, 1, 2)]
+
+
+def test_role_maps_of_any_length(spark):
+    n = 300
+    elems = (ELEMS, [(1, 1, None, "/K0", 1, "", ""), (1, 2, 1, "/A", 1, "", ""), (2, 1, None, "/K0", 1, "", ""), (1, 3, 1, "/P", 1, "", "")])
+    roles = (ROLES, [(1, f"/K{i}", f"/K{i + 1}") for i in range(n)] + [(1, "/A", "/B"), (1, "/B", "/C"), (1, "/C", "/B")])
+    got = run(spark, "role_resolution", "doc_id", "kind", "resolved", fx_elems=elems, fx_rolemap=roles)
+    assert got == [(1, "/A", "/C"), (1, "/K0", f"/K{n}"), (1, "/P", "/P"), (2, "/K0", "/K0")]
+
+
+def test_fields_take_tips_from_seven_levels_above(spark):
+    annots = [(1, 1, 100 + i, "/Widget", True, "", 100 + i - 1 if i else None, "top" if not i else "") for i in range(9)]
+    got = run(spark, "chk_fields", "doc_id", "passed", "bad", "total", fx_annots=(ANNOTS, annots), fx_docs=(DOCS, [document(1)]))
+    assert got == [(1, False, 1, 9)]  # the ninth is eight above
+
+
+def test_tag_blocks(spark):
+    kinds = [(1, None, "/Document"), (2, 1, "/H"), (3, 1, "/H5"), (4, 1, "/P"), (5, 4, "/Table"), (6, 5, "/TH"), (7, 4, "/Span"), (8, 1, "/Caption"), (9, 1, "/Note"), (10, 1, "/Sect"), (11, 10, "/Code"), (12, 1, "/Form"), (13, 12, "/P"),
+             (14, 1, "/BlockQuote"), (15, 14, "/P"), (16, 1, "/P"), (17, 1, "/Odd"), (18, 1, "/Figure")]
+    elems = [(1, i, up, kind, 1, "", "") for i, up, kind in kinds]
+    content = [(1, 1, i, i, f"t{i}") for i in (2, 3, 4, 6, 7, 8, 9, 10, 11, 13, 15, 17)] + [(1, 2, 0, 8, "next")]
+    got = run(spark, "tag_blocks", "ord", "tag", "text", fx_elems=(ELEMS, elems), fx_content=(CONTENT, content), fx_rolemap=(ROLES, [(1, "/Odd", "/H2")]))
+    want = [("h2", "t2"), ("h5", "t3"), ("p", "t4"), ("table", "t6"), ("p", "t7"), ("p", "t8 next"), ("p", "t9"), ("p", "t10"), ("p", "t11"), ("blockquote", "t15"), ("h2", "t17"), ("img", "")]
+    assert [x[1:] for x in sorted(got)] == want
