@@ -1,6 +1,6 @@
 """Operators over documents, pages and extracted layout tables, each a SELECT over named inputs."""
 
-from . import checks, forms, html, layout, markup, outline, report, trees, triage, upkeep
+from . import checks, forms, html, layout, markup, outline, repair, report, trees, triage, upkeep
 from .base import BUILT, OPERATORS, STORED, VIEWS
 
-__all__ = ["BUILT", "OPERATORS", "STORED", "VIEWS", "checks", "forms", "html", "layout", "markup", "outline", "report", "trees", "triage", "upkeep"]
+__all__ = ["BUILT", "OPERATORS", "STORED", "VIEWS", "checks", "forms", "html", "layout", "markup", "outline", "repair", "report", "trees", "triage", "upkeep"]

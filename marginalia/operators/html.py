@@ -24,11 +24,10 @@ TOKEN = r"""(?s)(<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^"'>]*(?:"[^"]*"[^"'>]*|'[^'
 ATTR = r"""[a-zA-Z][a-zA-Z0-9:_-]*\s*=\s*"[^"]*"|[a-zA-Z][a-zA-Z0-9:_-]*\s*=\s*'[^']*'"""
 
 
-@view
-def tokens(d: Spark) -> str:
-    """(doc_id, pos, kind, tag, tok): open, close, void and text tokens in order; script and style content is never read."""
+def tokens_of(d: Spark, source: str) -> str:
+    """(doc_id, pos, kind, tag, tok) of a source's (doc_id, html): open, close, void and text tokens in order; script and style content is never read."""
     raw = d.sub(d.sub("coalesce(html, '')", r"(?is)<script\b.*?</script\s*>"), r"(?is)<style\b.*?</style\s*>")
-    parts = d.each("(select page_id doc_id, html from pages) pg", d.extract_all(raw, TOKEN, 1), "doc_id")
+    parts = d.each(f"{source} pg", d.extract_all(raw, TOKEN, 1), "doc_id")
     tag = f"lower({d.extract('x', r'^</?([a-zA-Z][a-zA-Z0-9]*)', 1)})"
     return f"""
       select doc_id, cast(pos as bigint) pos, case when tag = '' then 'text' when x like '</%' then 'close' when tag in ({words(VOID)}) then 'void' else 'open' end kind, tag, x tok
@@ -36,6 +35,11 @@ def tokens(d: Spark) -> str:
       where not {d.like('x', r'^<[!?]')}"""
 
 
+@view
+def tokens(d: Spark) -> str:
+    return tokens_of(d, "(select page_id doc_id, html from pages)")
+
+
 @operator
 def html_tokens(d: Spark) -> str:
     return "select doc_id, pos, kind, tag, tok from tokens"
@@ -66,17 +70,21 @@ def tag_mapping(d: Spark) -> str:
       from tokens left join tag_rules on tag = rule_tag where kind in ('open', 'void') group by all"""
 
 
-@view
-def undropped(d: Spark) -> str:
+def undropped_of(d: Spark, source: str) -> str:
     """Tokens outside every dropped element. A close without an open does not count below zero."""
     step = f"case when tag in ({words(DROPPED)}) and kind = 'open' then 1 when tag in ({words(DROPPED)}) and kind = 'close' then -1 else 0 end"
     return f"""
       select doc_id, pos, kind, tag, tok from (
         select *, level - least(0, min(level) over (partition by doc_id order by pos rows between unbounded preceding and current row)) inside from (
-          select *, sum({step}) over (partition by doc_id order by pos rows between unbounded preceding and current row) level from tokens) a) b
+          select *, sum({step}) over (partition by doc_id order by pos rows between unbounded preceding and current row) level from {source}) a) b
       where inside = 0 and not (tag in ({words(DROPPED)}))"""
 
 
+@view
+def undropped(d: Spark) -> str:
+    return undropped_of(d, "tokens")
+
+
 @operator
 def dropped_subtrees(d: Spark) -> str:
     return "select doc_id, count(*) tokens_left, count_if(kind = 'text') texts, max(pos) last_pos from undropped group by doc_id"
@@ -95,28 +103,37 @@ def nesting_depth(d: Spark) -> str:
 
 @operator
 def implied_closes(d: Spark) -> str:
-    """Opens that end an open p (any block) or an open li (an li with no list opened between)."""
+    """Opens that end an open p (any block), li (an li with no list opened between), cell, row, section of a table (with no table
+    opened between) or term of a definition list."""
     blocks = " ".join(t for t in (BLOCKS + " " + CONTAINERS).split() if t not in "figcaption caption thead tbody tfoot tr th td li dt dd".split())
     before = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
+    families = {
+        "p": ("p", blocks, f"(tag = 'p' and kind = 'close') or (tag in ({words(blocks)}) and tag <> 'p' and kind in ('open', 'void'))"),
+        "li": ("li", "li", "(tag = 'li' and kind = 'close') or tag in ('ul', 'ol')"),
+        "cell": ("td th", "td th tr thead tbody tfoot", "(tag in ('td', 'th') and kind = 'close') or tag in ('tr', 'thead', 'tbody', 'tfoot', 'table')"),
+        "row": ("tr", "tr thead tbody tfoot", "(tag = 'tr' and kind = 'close') or tag in ('thead', 'tbody', 'tfoot', 'table')"),
+        "part": ("thead tbody tfoot", "thead tbody tfoot", "(tag in ('thead', 'tbody', 'tfoot') and kind = 'close') or tag = 'table'"),
+        "term": ("dt dd", "dt dd", "(tag in ('dt', 'dd') and kind = 'close') or tag = 'dl'"),
+    }
+    sums = ", ".join(f"max(case when tag in ({words(own)}) and kind = 'open' then pos end) {before} {n}_open, max(case when {ends} then pos end) {before} {n}_close" for n, (own, _, ends) in families.items())
+    hits = " or ".join(f"(tag in ({words(closers)}) and {n}_open > coalesce({n}_close, -1))" for n, (_, closers, _) in families.items())
     return f"""
-      select doc_id, tag, count(*) implied from (
-        select *, max(case when tag = 'p' and kind = 'open' then pos end) {before} p_open,
-                  max(case when (tag = 'p' and kind = 'close') or (tag in ({words(blocks)}) and tag <> 'p' and kind in ('open', 'void')) then pos end) {before} p_close,
-                  max(case when tag = 'li' and kind = 'open' then pos end) {before} li_open,
-                  max(case when (tag = 'li' and kind = 'close') or tag in ('ul', 'ol') then pos end) {before} li_close
-        from tokens) t
-      where kind in ('open', 'void') and ((tag in ({words(blocks)}) and p_open > coalesce(p_close, -1)) or (tag = 'li' and li_open > coalesce(li_close, -1)))
-      group by doc_id, tag"""
+      select doc_id, tag, count(*) implied from (select *, {sums} from tokens) t
+      where kind in ('open', 'void') and ({hits}) group by doc_id, tag"""
 
 
-@view
-def attributes(d: Spark) -> str:
+def attributes_of(d: Spark, source: str) -> str:
     """(doc_id, pos, tag, name, value) of every quoted attribute."""
-    each = d.each("(select doc_id, pos tok_pos, tag, tok from tokens where kind in ('open', 'void')) tk", d.extract_all("tok", ATTR, 0), "doc_id, tok_pos, tag")
+    each = d.each(f"(select doc_id, pos tok_pos, tag, tok from {source} where kind in ('open', 'void')) tk", d.extract_all("tok", ATTR, 0), "doc_id, tok_pos, tag")
     value = decoded(d.sub(d.extract("x", r"(?s)=\s*(.*)$", 1), r"""^["']|["']$"""))
     return f"select doc_id, tok_pos pos, tag, lower({d.extract('x', r'^([a-zA-Z][a-zA-Z0-9:_-]*)', 1)}) name, {value} value from ({each}) atts"
 
 
+@view
+def attributes(d: Spark) -> str:
+    return attributes_of(d, "tokens")
+
+
 @operator
 def attr_allowlist(d: Spark) -> str:
     return f"""
@@ -210,21 +227,6 @@ def rtl_audit(d: Spark) -> str:
     return f"select doc_id, {n} rtl_chars from fx_rtl_texts"
 
 
-@operator
-def list_repair(d: Spark) -> str:
-    """Items of lists with their level and text; an item's text ends at its close, the next item or a list boundary."""
-    return f"""
-      select doc_id, cast(list_no as bigint) list, cast(item as bigint) item, cast(level as bigint) level, text from (
-        select doc_id, item, max(level) level, max(list_no) list_no, {squeeze(d, d.join(decoded('tok'), '', 'pos', "kind = 'text'"))} text
-        from (select *, max(case when tag = 'li' and kind = 'open' then pos end) over w item,
-                     max(case when (tag = 'li' and kind = 'close') or tag in ('ul', 'ol') then pos end) over w ended,
-                     sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 when tag in ('ul', 'ol') and kind = 'close' then -1 else 0 end) over w level,
-                     sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 else 0 end) over w list_no
-              from undropped window w as (partition by doc_id order by pos rows between unbounded preceding and current row)) t
-        where item > coalesce(ended, -1) group by doc_id, item) u
-      where text <> '' and level > 0"""
-
-
 @operator
 def header_scope(d: Spark) -> str:
     """Scope of header cells, and spans that are kept: 2 to 1000."""
@@ -276,19 +278,3 @@ def clean_warnings(d: Spark) -> str:
         union all select doc_id, 5, 'script removed', count(*) from attributes where name like 'on%' group by doc_id
         union all select doc_id, 6, 'links dropped', count(*) from attributes where tag = 'a' and name = 'href' and {verdict} in ('dropped', 'script') group by doc_id) w
       group by doc_id, ord, warning""".replace("sum(n) n", "cast(sum(n) as bigint) n")
-
-
-@operator
-def clean_corpus(d: Spark) -> str:
-    """Pages put together again from kept and mapped elements, addresses and alternatives as their only attributes."""
-    mapped = "case " + " ".join(f"when tag = '{a}' then '{b}'" for a, b in MAPPED.items()) + " else tag end"
-    kept = words(KEPT + " " + " ".join(MAPPED))
-    _, verdict = link_verdict(d, "href")
-    piece = f"""case when kind = 'text' then tok when tag not in ({kept}) then ''
-        when kind = 'close' then '</' || {mapped} || '>'
-        when tag = 'a' and href is not null and {verdict} = 'kept' then '<a href="' || replace(href, '"', '&quot;') || '">' else '<' || {mapped} || '>' end"""
-    return f"""
-      select doc_id, {d.join(piece, '', 'pos')} html from (
-        select u.doc_id, u.pos, u.kind, u.tag, u.tok, h.href from undropped u
-        left join (select doc_id, pos, min(value) href from attributes where tag = 'a' and name = 'href' group by doc_id, pos) h on h.doc_id = u.doc_id and h.pos = u.pos) t
-      group by doc_id"""

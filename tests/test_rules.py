@@ -293,3 +293,43 @@ def test_tag_blocks(spark):
     got = run(spark, "tag_blocks", "ord", "tag", "text", fx_elems=(ELEMS, elems), fx_content=(CONTENT, content), fx_rolemap=(ROLES, [(1, "/Odd", "/H2")]))
     want = [("h2", "t2"), ("h5", "t3"), ("p", "t4"), ("table", "t6"), ("p", "t7"), ("p", "t8 next"), ("p", "t9"), ("p", "t10"), ("p", "t11"), ("blockquote", "t15"), ("h2", "t17"), ("img", "")]
     assert [x[1:] for x in sorted(got)] == want
+
+
+PICTURE = "data:image/png;base64,iVBORw0KGgo="
+CLEANED = [
+    ("<p>x <b>bold</b> <i>it</i> <font size=\"3\">f</font> y</p>", "<p>x <strong>bold</strong> <em>it</em> f y</p>"),
+    ("<div>one</div><div><p>a</p>bare<p>b</p></div>", "<p>one</p><p>a</p><p>bare</p><p>b</p>"),
+    ("hello <b>world</b><p>para</p>trailing", "<p>hello <strong>world</strong></p><p>para</p><p>trailing</p>"),
+    ("<p></p><p><br></p><p>&nbsp;</p><h2></h2><p>kept<br></p><ul></ul><table></table><blockquote><p> </p></blockquote>", "<p>kept</p>"),
+    ("<ul><li>a</li><ul><li>nested</li></ul></ul>", "<ul><li>a<ul><li>nested</li></ul></li></ul>"),
+    ("<ul>stray<li>x</li><li><br></li>more <b>words</b></ul>", "<ul><li>stray</li><li>x</li><li>more <strong>words</strong></li></ul>"),
+    ("<p>one<p>two<ul><li>a<li>b<ol><li>c</ol>d</ul>", "<p>one</p><p>two</p><ul><li>a</li><li>b<ol><li>c</li></ol>d</li></ul>"),
+    ("<blockquote>bare</blockquote><dl><dt>t</dt><dd>d</dd></dl>", "<blockquote><p>bare</p></blockquote><p>t</p><p>d</p>"),
+    (f'<p><img src="{PICTURE}"> <img src="{PICTURE}" alt="x" onerror="e()" width="9"> <img src="https://e.example/x.png" alt="y"></p>', f'<p><img src="{PICTURE}" alt="" data-needs-alt="1"> <img src="{PICTURE}" alt="x"></p>'),
+    (f'<p><img src="{PICTURE}" alt="" role="presentation"></p>', f'<p><img src="{PICTURE}" alt="" role="presentation"></p>'),
+    ('<p lang="fr">oui</p><h3 lang="no code">x</h3>', '<p lang="fr">oui</p><h3>x</h3>'),
+    ('<p><a href="javascript:x()">a</a> <a href="https://x.y/?a=1&b=2">b</a> <a href="mailto:a@b.c?subject=h w">c</a> <a href="#f">d</a></p>', '<p>a <a href="https://x.y/?a=1&amp;b=2">b</a> <a href="mailto:a@b.c?subject=h%20w">c</a> d</p>'),
+    ("<p>a &lt;b&gt; &amp; \"q\" </p>", "<p>a &lt;b&gt; &amp; \"q\"</p>"),
+    ("<table><tr><td>a<td>b<tr><td colspan=\"2\" rowspan=\"x\">c</table>", "<table><tbody><tr><td>a</td><td>b</td></tr><tr><td colspan=\"2\">c</td></tr></tbody></table>"),
+    ("<table><caption>Cap</caption><thead><tr><th scope=\"col\">a</th></tr></thead><tbody><tr><td></td></tr></tbody></table>", "<table><caption>Cap</caption><thead><tr><th scope=\"col\">a</th></tr></thead><tbody><tr><td></td></tr></tbody></table>"),
+    ("<p onclick=\"x()\">t</p><script>a()</script><svg><p>in</p></svg><p>after</p>", "<p>t</p><p>after</p>"),
+    ("<p>un<b>closed<p>next", "<p>un<strong>closed</strong></p><p>next</p>"),
+    ("<pre>\n  kept\n   as is </pre>", "<pre>  kept\n   as is </pre>"),
+    ("<p>" + "w <b>b</b> " * 300 + "</p>", "<p>" + " ".join(["w <strong>b</strong>"] * 300) + "</p>"),
+    ("", None),
+]
+HTML_PAGES = "page_id long, url string, html string"
+
+
+def test_cleaned_pages(spark):
+    clean = lambda pages: dict(run(spark, "clean_corpus", "doc_id", "html", pages=(HTML_PAGES, [(i, "u", h) for i, h in pages])))
+    once = clean(enumerate(h for h, _ in CLEANED))
+    assert [once.get(i) for i in range(len(CLEANED))] == [want for _, want in CLEANED]
+    assert clean(once.items()) == once
+
+
+def test_lists_and_implied_closes(spark):
+    pages = (HTML_PAGES, [(1, "u", "<ul>stray<li>a</li><ol><li>b</li></ol><li></li></ul>"), (2, "u", "<table><tr><td>1<td>2<tr><td>3</table><dl><dt>t<dd>d</dl><p>x<p>y<li>i<li>j")])
+    got = run(spark, "list_repair", "level", "text", pages=pages)
+    assert got == [(1, "a"), (1, "i"), (1, "j"), (1, "stray"), (2, "b")]
+    assert run(spark, "implied_closes", "doc_id", "tag", "implied", pages=pages) == [(2, "dd", 1), (2, "li", 1), (2, "p", 1), (2, "td", 1), (2, "tr", 1)]
