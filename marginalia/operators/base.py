@@ -52,6 +52,18 @@ def words(values: str) -> str:
     return ", ".join(f"'{v}'" for v in values.split())
 
 
+def banded(d: Spark, source: str, low: str, high: str, size: int = 32) -> str:
+    """Rows of a source once for each band of so many points that they reach into, for a join of boxes on a page: only what shares a
+    band is compared. The check in DuckDB compares all of a page."""
+    at = lambda y: f"cast(floor(({y}) / {size}) as int)"
+    return f"(select * from {source})" if d.name == "duck" else f"(select *, {at(low)} band0, explode(sequence({at(low)}, greatest({at(low)}, {at(high)}))) band from {source})"
+
+
+def meet(d: Spark, a: str, b: str) -> str:
+    """Whether two banded rows stand in the first band that they share."""
+    return "true" if d.name == "duck" else f"{a}.band = {b}.band and {a}.band = greatest({a}.band0, {b}.band0)"
+
+
 def squeeze(d: Spark, s: str) -> str:
     return f"trim({d.sub(s, r'[ \t\n\r\f\v]+', ' ')})"
 

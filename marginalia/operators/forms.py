@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import operator, squeeze, view, words
+from .base import banded, meet, operator, squeeze, view, words
 
 
 def overlaps(a: str, b: str) -> str:
@@ -59,21 +59,23 @@ def rules(d: Spark) -> str:
 @view
 def left_labels(d: Spark) -> str:
     """For each shape, the nearest line on its row that ends within 60 points left of it."""
-    return f"""select s.doc_id, s.page, s.shape_id, max_by(l.text, {d.struct(x='l.x1', line='l.line')}) text from (select doc_id, page, shape_id, kind, x0, x1, y0 - case when kind = 'rule' then 12 else 0 end y0, y1 from fx_shapes) s
-      join fx_form_lines l on l.doc_id = s.doc_id and l.page = s.page and {same_row('l', 's')} and l.x1 <= s.x0 + 2 and s.x0 - l.x1 <= 60 group by s.doc_id, s.page, s.shape_id"""
+    shapes = "(select doc_id, page, shape_id, kind, x0, x1, y0 - case when kind = 'rule' then 12 else 0 end y0, y1 from fx_shapes) r"
+    return f"""select s.doc_id, s.page, s.shape_id, max_by(l.text, {d.struct(x='l.x1', line='l.line')}) text from {banded(d, shapes, 'y0', 'y1')} s
+      join {banded(d, 'fx_form_lines', 'y0', 'y1')} l on l.doc_id = s.doc_id and l.page = s.page and {meet(d, 'l', 's')} and {same_row('l', 's')} and l.x1 <= s.x0 + 2 and s.x0 - l.x1 <= 60 group by s.doc_id, s.page, s.shape_id"""
 
 
 @view
 def right_labels(d: Spark) -> str:
-    return f"""select s.doc_id, s.page, s.shape_id, min_by(l.text, {d.struct(x='l.x0', line='l.line')}) text from (select doc_id, page, shape_id, x0 - 160 x0, x1 - 160 x1, y0 - 12 y0, y1 from fx_shapes where x1 - 160 < 72) s
-      join fx_form_lines l on l.doc_id = s.doc_id and l.page = s.page and {same_row('l', 's')} and l.x0 >= s.x1 - 2 and l.x0 - s.x1 <= 60 group by s.doc_id, s.page, s.shape_id"""
+    """For each box to tick, the nearest line on its row that begins within 60 points right of it."""
+    return f"""select s.doc_id, s.page, s.shape_id, min_by(l.text, {d.struct(x='l.x0', line='l.line')}) text from {banded(d, 'fx_tick_shapes', 'y0', 'y1')} s
+      join {banded(d, 'fx_form_lines', 'y0', 'y1')} l on l.doc_id = s.doc_id and l.page = s.page and {meet(d, 'l', 's')} and {same_row('l', 's')} and l.x0 >= s.x1 - 2 and l.x0 - s.x1 <= 60 group by s.doc_id, s.page, s.shape_id"""
 
 
 @view
 def above_labels(d: Spark) -> str:
     """The lowest line whose bottom is from 2 points under to 26 over the shape, and that overlaps a quarter of its width."""
-    return f"""select s.doc_id, s.page, s.shape_id, max_by(l.text, {d.struct(y='l.y1', line='l.line')}) text from fx_shapes s
-      join fx_form_lines l on l.doc_id = s.doc_id and l.page = s.page and s.y0 - l.y1 between -2 and 26 and least(l.x1, s.x1) - greatest(l.x0, s.x0) >= 0.25 * (s.x1 - s.x0) and s.x1 > s.x0 group by s.doc_id, s.page, s.shape_id"""
+    return f"""select s.doc_id, s.page, s.shape_id, max_by(l.text, {d.struct(y='l.y1', line='l.line')}) text from {banded(d, 'fx_shapes', 'y0 - 26', 'y0 + 2')} s
+      join {banded(d, 'fx_form_lines', 'y1', 'y1')} l on l.doc_id = s.doc_id and l.page = s.page and {meet(d, 'l', 's')} and s.y0 - l.y1 between -2 and 26 and least(l.x1, s.x1) - greatest(l.x0, s.x0) >= 0.25 * (s.x1 - s.x0) and s.x1 > s.x0 group by s.doc_id, s.page, s.shape_id"""
 
 
 @operator
@@ -96,9 +98,9 @@ def label_above(d: Spark) -> str:
 def rule_blanks(d: Spark) -> str:
     """Rules to write on, by where their label stands."""
     return f"""select r.doc_id, r.page, r.shape_id, coalesce(l.text, a.text, '') text, case when {d.like("coalesce(l.text, '')", ':[ _]*$')} then cast(0.8 as double) when l.text is not null or a.text is not null then cast(0.62 as double) else cast(0.35 as double) end confidence,
-        l.text is null and a.text is not null and r.x1 - r.x0 >= 0.65 * w.width too_wide, r.x1 - r.x0 >= 0.88 * 612 bare_wide, l.text is null and a.text is null bare
+        l.text is null and a.text is not null and r.x1 - r.x0 >= 0.65 * w.width too_wide, r.x1 - r.x0 >= 0.88 * g.width bare_wide, l.text is null and a.text is null bare
       from rules r join (select doc_id, page, max(x1) - min(x0) width from fx_form_lines group by doc_id, page) w on w.doc_id = r.doc_id and w.page = r.page
-      left join left_labels l on l.doc_id = r.doc_id and l.page = r.page and l.shape_id = r.shape_id left join above_labels a on a.doc_id = r.doc_id and a.page = r.page and a.shape_id = r.shape_id"""
+      join fx_form_pages g on g.doc_id = r.doc_id and g.page = r.page left join left_labels l on l.doc_id = r.doc_id and l.page = r.page and l.shape_id = r.shape_id left join above_labels a on a.doc_id = r.doc_id and a.page = r.page and a.shape_id = r.shape_id"""
 
 
 @operator
@@ -195,7 +197,7 @@ def proposal_dedupe(d: Spark) -> str:
 @operator
 def proposal_existing(d: Spark) -> str:
     """Proposals that overlap no field by over 0.45."""
-    return f"""select p.doc_id, p.page, p.pid from fx_proposals p left join (select p.doc_id, p.pid from fx_proposals p join fx_fields f on f.doc_id = p.doc_id and f.page = p.page and {overlaps('p', 'f')} group by p.doc_id, p.pid) o
+    return f"""select p.doc_id, p.page, p.pid from fx_proposals p left join (select p.doc_id, p.pid from {banded(d, 'fx_proposals', 'y0', 'y1')} p join {banded(d, 'fx_fields', 'y0', 'y1')} f on f.doc_id = p.doc_id and f.page = p.page and {meet(d, 'p', 'f')} and {overlaps('p', 'f')} group by p.doc_id, p.pid) o
       on o.doc_id = p.doc_id and o.pid = p.pid where o.pid is null"""
 
 
@@ -206,10 +208,22 @@ def unlabelled_names(d: Spark) -> str:
 
 @operator
 def unique_names(d: Spark) -> str:
-    """Labels as names; a name that comes again gets a number."""
-    slug = f"substr({d.sub(d.sub('lower(label)', '[^a-z0-9]+', '_'), '^_+|_+$')}, 1, 40)"
-    return f"""select doc_id, pid, case when n = 1 then slug else slug || '_' || cast(n as string) end name from (
-      select doc_id, pid, slug, row_number() over (partition by doc_id, slug order by pid) n from (select doc_id, pid, case when {slug} = '' then 'field' else {slug} end slug from fx_proposals) a) b"""
+    """Labels as names, none twice in a document: in order, a name that is taken gets the least number from 2 on that makes it new."""
+    tidy = d.sub(d.sub("lower(coalesce(label, ''))", "[^a-z0-9]+", "_"), "^_+|_+$")
+    slug = f"coalesce(nullif({d.sub(f'substr({tidy}, 1, 40)', '_+$')}, ''), 'field')"
+    if d.name == "duck":
+        name = "case when list_contains(u.used, s.slug) then s.slug || '_' || cast(list_filter(range(2, len(u.used) + 3), lambda n: not list_contains(u.used, s.slug || '_' || cast(n as varchar)))[1] as varchar) else s.slug end"
+        return f"""with recursive s as (select doc_id, pid, slug, row_number() over (partition by doc_id order by page, pid) i from (select doc_id, page, pid, {slug} slug from fx_proposals) a),
+          u as (select doc_id, pid, i, slug as name, [slug] used from s where i = 1
+            union all select s.doc_id, s.pid, s.i, {name}, list_append(u.used, {name}) from s join u on u.doc_id = s.doc_id and s.i = u.i + 1)
+          select doc_id, pid, name from u"""
+    # the k-th of a name needs a number of k at least, and one more for each name of the document that has such a form itself
+    free = "filter(sequence(greatest(2, p.k), greatest(2, p.k) + 2 * numbered + 1), n -> not array_contains(u.used, concat(p.slug, '_', n)))[0]"
+    fold = f"""aggregate(ps, named_struct('used', cast(array() as array<string>), 'out', cast(array() as array<struct<pid:int,name:string>>)), (u, p) ->
+      transform(array(if(array_contains(u.used, p.slug), concat(p.slug, '_', {free}), p.slug)), name -> named_struct('used', array_append(u.used, name), 'out', array_append(u.out, named_struct('pid', p.pid, 'name', name))))[0])"""
+    return f"""select doc_id, o.pid pid, o.name name from (select doc_id, explode({fold}.out) o from (
+      select doc_id, array_sort(collect_list(named_struct('page', page, 'pid', pid, 'slug', slug, 'k', cast(k as int)))) ps, cast(count_if({d.like('slug', '_[0-9]+$')}) as int) numbered from (
+        select *, row_number() over (partition by doc_id, slug order by page, pid) k from (select doc_id, page, pid, {slug} slug from fx_proposals) a) b group by doc_id) c) e"""
 
 
 @operator
@@ -271,53 +285,101 @@ def answer_validation(d: Spark) -> str:
         from fx_answers a left join fx_fields f on f.doc_id = a.doc_id and f.field_id = a.field_id) r) b) l) s"""
 
 
+# Kinds that a box of a reply may have, kinds of proposals, and the confidence of those that give none.
+BOX_KINDS = "text checkbox choice signature date"
+PROPOSAL_KINDS = "text checkbox"
+CONFIDENCE = 0.7
+# End of fixed values.
+
+
 @view
-def boxes(d: Spark) -> str:
-    """Boxes of a model's replies, corners in order and within the page of 612 by 792 points."""
-    num = lambda i: d.number(d.extract("reply", r'"rect":\[' + r"[^,\]]*," * i + r"([^,\]]*)", 1))
-    return f"""select doc_id, page, label, kind, greatest(0, least(a, c)) x0, greatest(0, least(b, e)) y0, least(612, greatest(a, c)) x1, least(792, greatest(b, e)) y1 from (
-      select doc_id, page, {d.extract('reply', '"label":"([^"]*)"', 1)} label, {d.extract('reply', '"kind":"([^"]*)"', 1)} kind, {num(0)} a, {num(1)} b, {num(2)} c, {num(3)} e from fx_replies) r"""
+def offered_boxes(d: Spark) -> str:
+    """(doc_id, page, n, label, kind, confidence, a, b, c, e): what the list in a model's reply holds, item by item. Words around the
+    list do not matter. Items that are no objects, or numbers that are none, come as nulls; a reply without a list has no items."""
+    found = d.extract("coalesce(reply, '')", r"(?s)\[.*\]", 0)
+    if d.name == "duck":
+        field = lambda path: f"json_extract_string(x, '{path}')"
+        number = lambda path: d.number(field(path))
+        items = f"(select doc_id, page, case when json_valid(arr) and json_type(arr) = 'ARRAY' then json_extract(arr, '$[*]') else [] end arr from (select doc_id, page, {found} arr from fx_replies) r) s"
+        return f"""select doc_id, page, cast(pos + 1 as int) n, {field('$.label')} as label, {field('$.kind')} kind, {number('$.confidence')} confidence, {number('$.rect[0]')} a, {number('$.rect[1]')} b, {number('$.rect[2]')} c, {number('$.rect[3]')} e
+          from ({d.each(items, 'arr', 'doc_id, page')}) i"""
+    number = lambda i: f"try_cast(get(o.rect, {i}) as double)"
+    schema = "label string, kind string, confidence string, rect array<string>"
+    return f"""select doc_id, page, cast(pos + 1 as int) n, o.label label, o.kind kind, try_cast(o.confidence as double) confidence, {', '.join(f'{number(i)} {c}' for i, c in enumerate('abce'))}
+      from (select doc_id, page, pos, from_json(x, '{schema}') o from ({d.each('fx_replies', f"from_json({found}, 'array<string>')", 'doc_id, page')}) i) j"""
 
 
 @view
 def kept_boxes(d: Spark) -> str:
-    return f"""select doc_id, page, substr({squeeze(d, 'label')}, 1, 120) label, case when kind in ('text', 'checkbox', 'choice', 'signature') then kind else 'text' end kind, cast(x0 as double) x0, cast(y0 as double) y0, cast(x1 as double) x1, cast(y1 as double) y1
-      from boxes where x1 - x0 >= 4 and y1 - y0 >= 4 and y1 - y0 <= 0.25 * 792 and (x1 - x0) * (y1 - y0) <= 0.25 * 612 * 792"""
+    """Items that are boxes on their page: corners put in order and held to the page, 4 points or more either way, no more than a
+    quarter of the page high or large."""
+    real = " and ".join(f"not isnan({c}) and abs({c}) < 1e300" for c in "abce")
+    return f"""select doc_id, page, n, trim(substr({squeeze(d, "coalesce(label, '')")}, 1, 120)) label, case when {kind_of('kind', BOX_KINDS)} then lower(trim(kind)) else 'text' end kind,
+        case when confidence is null or isnan(confidence) then cast({CONFIDENCE} as double) else greatest(cast(0 as double), least(cast(1 as double), confidence)) end confidence, x0, y0, x1, y1 from (
+      select o.*, g.width, g.height, least(greatest(least(a, c), 0), g.width) x0, least(greatest(least(b, e), 0), g.height) y0, least(greatest(greatest(a, c), 0), g.width) x1, least(greatest(greatest(b, e), 0), g.height) y1
+      from offered_boxes o join (select doc_id, page, cast(width as double) width, cast(height as double) height from fx_form_pages where width > 0 and height > 0) g on g.doc_id = o.doc_id and g.page = o.page where {real}) h
+      where x1 - x0 >= 4 and y1 - y0 >= 4 and y1 - y0 <= 0.25 * height and (x1 - x0) * (y1 - y0) <= 0.25 * width * height"""
+
+
+def kind_of(column: str, kinds: str) -> str:
+    return f"lower(trim(coalesce({column}, ''))) in ({words(kinds)})"
 
 
 @operator
 def model_boxes(d: Spark) -> str:
-    return "select doc_id, page, label, kind, x0, y0, x1, y1 from kept_boxes"
+    return "select doc_id, page, n, label, kind, x0, y0, x1, y1 from kept_boxes"
 
 
 @operator
 def model_box_counts(d: Spark) -> str:
-    return "select b.doc_id, count(*) offered, count(k.doc_id) kept from boxes b left join kept_boxes k on k.doc_id = b.doc_id and k.page = b.page group by b.doc_id"
+    """Replies with how many boxes they offer and how many of these are kept; whether they hold a list at all."""
+    return """select r.doc_id, r.page, count(o.n) offered, count(k.n) kept from fx_replies r left join offered_boxes o on o.doc_id = r.doc_id and o.page = r.page
+      left join kept_boxes k on k.doc_id = o.doc_id and k.page = o.page and k.n = o.n group by r.doc_id, r.page"""
 
 
 @operator
 def model_proposals(d: Spark) -> str:
-    """Kept boxes as proposals of confidence 0.7, those without a label numbered."""
-    return """select doc_id, page, kind, cast(0.7 as double) confidence, case when label <> '' then label else 'Blank ' || cast(row_number() over (partition by doc_id, page order by y0, x0) as string) end label from kept_boxes"""
+    """Kept boxes as proposals with their confidence; those without a label are numbered on their page, in the order of the reply."""
+    return f"""select doc_id, page, n, case when {kind_of('kind', PROPOSAL_KINDS)} then kind else 'text' end kind, confidence, case when clean <> '' then clean else
+        'Blank ' || cast(sum(case when clean = '' then 1 else 0 end) over (partition by doc_id, page order by n rows between unbounded preceding and current row) as string) || ' on page ' || cast(page as string) end label
+      from (select *, {label(d, 'label')} clean from kept_boxes) k"""
 
 
 @operator
 def field_names_from_page(d: Spark) -> str:
-    """A field without a name takes the words left of it on its row, in order of x."""
-    return f"""select f.doc_id, f.field_id, substr({d.sub(d.join('w.text', ' ', 'w.word_id'), '[:. ]+$')}, 1, 120) name from (select doc_id, field_id, 1 page, x0 + 60 x0, 50 + 40 * field_id y0, x1 + 60 x1, 62 + 40 * field_id y1 from fx_fields) f
-      join fx_words w on w.doc_id = f.doc_id and w.page = f.page and {same_row('w', 'f')} and w.x1 <= f.x0 and f.x0 - w.x1 <= 220 group by f.doc_id, f.field_id"""
+    """A field without a name takes the words that end within 220 points left of it on its row, in order of x; without any, those
+    that stand within 28 points above it."""
+    left = f"""select f.doc_id, f.field_id, 1 place, w.x0 a, w.x0 b, w.word_id, w.text from {banded(d, 'fx_unnamed_fields', 'y0', 'y1')} f
+      join {banded(d, 'fx_words', 'y0', 'y1')} w on w.doc_id = f.doc_id and w.page = f.page and {meet(d, 'f', 'w')} and w.y1 >= f.y0 and w.y0 <= f.y1 and w.x1 <= f.x0 + 2 and f.x0 - w.x1 < 220"""
+    above = f"""select f.doc_id, f.field_id, 2 place, w.y0 a, w.x0 b, w.word_id, w.text from {banded(d, 'fx_unnamed_fields', 'y0 - 28', 'y0 + 2')} f
+      join {banded(d, 'fx_words', 'y1', 'y1')} w on w.doc_id = f.doc_id and w.page = f.page and {meet(d, 'f', 'w')} and w.y1 <= f.y0 + 2 and f.y0 - w.y1 < 28 and w.x1 >= f.x0 and w.x0 <= f.x1"""
+    return f"""select doc_id, field_id, trim(substr({d.sub(squeeze(d, d.join('text', ' ', 'a, b, word_id')), '[_.: ]+$')}, 1, 120)) name from (
+      select *, min(place) over (partition by doc_id, field_id) best from ({left} union all {above}) c) n where place = best group by doc_id, field_id"""
+
+
+@view
+def row_heights(d: Spark) -> str:
+    """(doc_id, page, band): how far from the first of its row an item may stand: 0.6 of the page's upper median height, from 4 to 20 points, 8 where nothing has a height."""
+    return """select p.doc_id, p.page, coalesce(m.band, cast(8 as double)) band from (select distinct doc_id, page from fx_proposals) p left join (
+      select doc_id, page, greatest(cast(4 as double), least(cast(20 as double), 0.6 * max(case when i = cast(floor(n / 2) as bigint) + 1 then h end))) band from (
+        select doc_id, page, h, row_number() over (partition by doc_id, page order by h) i, count(*) over (partition by doc_id, page) n from (select doc_id, page, cast(y1 - y0 as double) h from fx_proposals) a where h > 0) b group by doc_id, page) m
+      on m.doc_id = p.doc_id and m.page = p.page"""
 
 
 @operator
 def row_reading_order(d: Spark) -> str:
-    """Rows by the first item's y: an item within 8 points of its row's first one belongs to it; then by x."""
+    """Rows by the first item's y: an item within the page's band of its row's first one belongs to it; then by x."""
     if d.name == "spark":
-        fold = """aggregate(ps, named_struct('row', 0, 'y', cast(null as double), 'out', cast(array() as array<struct<row_no:int,x0:double,pid:int>>)), (acc, p) ->
-          if(acc.y is null or p.y0 - acc.y > 8, named_struct('row', acc.row + 1, 'y', p.y0, 'out', concat(acc.out, array(named_struct('row_no', acc.row + 1, 'x0', p.x0, 'pid', p.pid)))),
-             named_struct('row', acc.row, 'y', acc.y, 'out', concat(acc.out, array(named_struct('row_no', acc.row, 'x0', p.x0, 'pid', p.pid))))), acc -> array_sort(acc.out))"""
+        item = "named_struct('row_no', {0}, 'x0', p.x0, 'pid', p.pid)"
+        fold = f"""aggregate(ps, named_struct('row', 0, 'y', cast(null as double), 'out', cast(array() as array<struct<row_no:int,x0:double,pid:int>>)), (acc, p) ->
+          if(acc.y is null or p.y0 - acc.y > band, named_struct('row', acc.row + 1, 'y', p.y0, 'out', array_append(acc.out, {item.format('acc.row + 1')})),
+             named_struct('row', acc.row, 'y', acc.y, 'out', array_append(acc.out, {item.format('acc.row')}))), acc -> array_sort(acc.out))"""
         return f"""select doc_id, page, o.pid pid, o.row_no row_no, cast(pos + 1 as int) read_ord from (select doc_id, page, {fold} items from (
-          select doc_id, page, array_sort(collect_list(named_struct('y0', cast(y0 as double), 'x0', cast(x0 as double), 'pid', cast(pid as int)))) ps from fx_proposals group by doc_id, page) g) a lateral view posexplode(items) e as pos, o"""
-    return """with recursive s as (select doc_id, page, cast(pid as int) pid, cast(x0 as double) x0, cast(y0 as double) y0, row_number() over (partition by doc_id, page order by y0, x0, pid) i from fx_proposals),
+          select p.doc_id, p.page, max(h.band) band, array_sort(collect_list(named_struct('y0', cast(y0 as double), 'x0', cast(x0 as double), 'pid', cast(pid as int)))) ps
+          from fx_proposals p join row_heights h on h.doc_id = p.doc_id and h.page = p.page group by p.doc_id, p.page) g) a lateral view posexplode(items) e as pos, o"""
+    return """with recursive hs as (select doc_id, page, list_sort(list(cast(y1 - y0 as double)) filter (where y1 > y0)) h from fx_proposals group by doc_id, page),
+      s as (select p.doc_id, p.page, cast(pid as int) pid, cast(x0 as double) x0, cast(y0 as double) y0, case when h is null then 8 else greatest(4, least(20, 0.6 * h[len(h) // 2 + 1])) end band, row_number() over (partition by p.doc_id, p.page order by y0, x0, pid) i
+        from fx_proposals p join hs on hs.doc_id = p.doc_id and hs.page = p.page),
       r as (select doc_id, page, pid, x0, i, 1 row_no, y0 y from s where i = 1
-        union all select s.doc_id, s.page, s.pid, s.x0, s.i, r.row_no + case when s.y0 - r.y > 8 then 1 else 0 end, case when s.y0 - r.y > 8 then s.y0 else r.y end from s join r on r.doc_id = s.doc_id and r.page = s.page and s.i = r.i + 1)
+        union all select s.doc_id, s.page, s.pid, s.x0, s.i, r.row_no + case when s.y0 - r.y > s.band then 1 else 0 end, case when s.y0 - r.y > s.band then s.y0 else r.y end from s join r on r.doc_id = s.doc_id and r.page = s.page and s.i = r.i + 1)
       select doc_id, page, pid, cast(row_no as int) row_no, cast(row_number() over (partition by doc_id, page order by row_no, x0, pid) as int) read_ord from r"""

@@ -148,11 +148,18 @@ def unread_content(d: Spark) -> str:
 
 @operator
 def nested_lists(d: Spark) -> str:
-    """An item's parent is the last item before it of a smaller level: of the nine levels, the latest item of each so far."""
-    before = ", ".join(f"max(case when level = {k} then item_id end) over w m{k}" for k in range(9))
-    parent = "greatest(" + ", ".join(f"case when level > {k} then m{k} end" for k in range(9)) + ")"
-    return f"""select doc_id, item_id, {parent} parent_id from (select doc_id, item_id, level, {before} from fx_list_items
-      window w as (partition by doc_id order by item_id rows between unbounded preceding and 1 preceding)) l"""
+    """Items in order to lists: a deeper item opens a list inside the one before, another tag on a level opens a new list beside.
+    A list is named by its first item; an item's parent is the item that holds its list."""
+    if d.name == "duck":
+        return """with before as (select i.doc_id, i.item_id, i.level, i.tag, max(case when b.level < i.level then b.item_id end) parent_id, max(case when b.level = i.level then b.item_id end) same_id
+            from fx_list_items i left join fx_list_items b on b.doc_id = i.doc_id and b.item_id < i.item_id group by i.doc_id, i.item_id, i.level, i.tag),
+          starts as (select b.*, not (coalesce(b.same_id, -1) > coalesce(b.parent_id, -1) and coalesce(s.tag = b.tag, false)) opens from before b left join fx_list_items s on s.doc_id = b.doc_id and s.item_id = b.same_id)
+          select doc_id, item_id, parent_id, max(case when opens then item_id end) over (partition by doc_id, level order by item_id rows between unbounded preceding and current row) list_id from starts"""
+    entry = "struct<level:int,tag:string,list:int,item:int>"
+    step = "transform(array(filter(a.open, s -> s.level < i.level)), up -> transform(array(coalesce(get(filter(a.open, s -> s.level = i.level and s.tag = i.tag), 0).list, i.item_id)), id -> named_struct('open', array_append(up, named_struct('level', i.level, 'tag', i.tag, 'list', id, 'item', i.item_id)), 'out', array_append(a.out, named_struct('item_id', i.item_id, 'list_id', id, 'parent_id', try_element_at(up, -1).item))))[0])[0]"
+    fold = f"aggregate(items, named_struct('open', cast(array() as array<{entry}>), 'out', cast(array() as array<struct<item_id:int,list_id:int,parent_id:int>>)), (a, i) -> {step})"
+    return f"""select doc_id, o.item_id item_id, o.parent_id parent_id, o.list_id list_id from (select doc_id, explode({fold}.out) o from (
+      select doc_id, array_sort(collect_list(named_struct('item_id', cast(item_id as int), 'level', cast(level as int), 'tag', tag))) items from fx_list_items group by doc_id) g) e"""
 
 
 @operator

@@ -136,10 +136,17 @@ create view fx_answers as
 select doc_id, ord + cast(case when pk % 13 = 0 then 50 else 0 end as int) field_id,
        case sk % 6 when 0 then ' blue ' when 1 then name when 2 then 'Green' when 3 then 'red|Blue' when 4 then 'off' else '' end ||
        case when pk % 11 = 0 then chr(10) || ' line' else '' end answer from fx_li;
+create view fx_form_pages as
+select doc_id, page, 612.0 + 30 * (page % 3) width, 792.0 + 50 * (doc_id % 2) height from (select doc_id, ord page from fx_li union select doc_id, 1 from fx_li union select doc_id, 2 from fx_li) p;
 create view fx_replies as
-select doc_id, ord page, '[{"label":"' || name || '","rect":[' || cast(qty * 20 as string) || ',' || cast(psize * 10 as string) || ',' ||
-       cast(qty * 20 + pk % 40 - 10 as string) || ',' || cast(psize * 10 + pk * 7 % 300 as string) || '],"kind":"' ||
-       case when sk % 2 = 0 then 'checkbox' else 'poem' end || '"}]' reply from fx_li;
+select doc_id, ord page, case when pk % 17 = 0 then 'No list here' else 'The blanks: ' end || case when pk % 19 = 0 then '[{"label":"cut off' else '[' ||
+       '{"label":"' || case when pk % 5 = 0 then '' else name end || '","rect":[' || cast(qty * 20 as string) || ',' || cast(psize * 10 as string) || ',' ||
+       cast(qty * 20 + pk % 40 - 10 as string) || ',' || cast(psize * 10 + pk * 7 % 300 as string) || '],"kind":"' || case when sk % 2 = 0 then 'checkbox' else 'poem' end || '","confidence":' || cast(pk % 4 as string) || '},' ||
+       case when pk % 7 = 0 then '"no box",{"label":"odd","rect":["x",1,2,3]},' else '' end || '{"kind":"date","rect":[100,50,300,70]},{"label":"  two   words ","rect":[10,700,90,' || cast(705 + qty as string) || '],"kind":"Signature"}] as asked' end reply from fx_li;
+create view fx_unnamed_fields as
+select doc_id, field_id, 1 page, x0 + 60 x0, 50 + 40 * field_id + case when field_id % 3 = 0 then 14 else 0 end y0, x1 + 60 x1, 62 + 40 * field_id + case when field_id % 3 = 0 then 14 else 0 end y1 from fx_fields;
+create view fx_tick_shapes as
+select doc_id, page, shape_id, x0 - 160 x0, x1 - 160 x1, y0 - 12 y0, y1 from fx_shapes where x1 - 160 < 72;
 -- word-processor paragraphs and a style chain
 create view fx_styles as
 select doc_id, ord style_id, case when ord = 1 then null else ord - 1 end base_id,
