@@ -258,10 +258,9 @@ def page_body(d: Spark) -> str:
 @operator
 def text_paragraphs(d: Spark) -> str:
     """Blank lines part paragraphs, single newlines join; edges trimmed, empty ones dropped."""
-    pairs = "(select a.doc_id, coalesce(a.text, '') || chr(10) || chr(10) || coalesce(b.text, '') text from documents a left join documents b on b.doc_id = a.doc_id + 1) tp"
     return f"""
       select doc_id, row_number() over (partition by doc_id order by pos) ordinal, paragraph from (
-        select doc_id, pos, {squeeze(d, d.sub('x', r'[ \t]*\n[ \t]*', ' '))} paragraph from ({d.each(pairs, d.split('text', r'\n[ \t\r\f\v]*\n'), 'doc_id')}) s) t
+        select doc_id, pos, {squeeze(d, d.sub('x', r'[ \t]*\n[ \t]*', ' '))} paragraph from ({d.each('fx_plain_texts', d.split("coalesce(text, '')", r'\n[ \t\r\f\v]*\n'), 'doc_id')}) s) t
       where paragraph <> ''"""
 
 

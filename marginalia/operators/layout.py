@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import operator, squeeze, view
+from .base import banded, meet, operator, squeeze, view
 
 # List marks, ends of sentences, stop words of two languages.
 BULLET = "[•◦▪●○■‣⁃·*–—-]"
@@ -21,15 +21,15 @@ def furniture_key(d: Spark, s: str) -> str:
 
 @view
 def margin_lines(d: Spark) -> str:
-    """Lines that lie wholly in the top or bottom tenth of a page of 792 points."""
-    return f"select *, {furniture_key(d, 'text')} key from fx_lines where y1 <= 79.2 or y0 >= 711"
+    """Lines that lie wholly in the top or bottom tenth of their page."""
+    return f"select l.*, {furniture_key(d, 'l.text')} key from fx_lines l join fx_line_pages p on p.doc_id = l.doc_id and p.page = l.page where l.y1 <= 0.1 * p.height or l.y0 >= 0.9 * p.height"
 
 
 @view
 def furniture(d: Spark) -> str:
     """Margin keys on at least half of the pages of a document of two pages or more."""
     return """select k.doc_id, k.key, k.pages from (select doc_id, key, count(distinct page) pages from margin_lines where length(key) between 1 and 89 group by doc_id, key) k
-      join (select doc_id, count(distinct page) n from fx_lines group by doc_id) p on p.doc_id = k.doc_id
+      join (select doc_id, count(distinct page) n from fx_line_pages group by doc_id) p on p.doc_id = k.doc_id
       where p.n >= 2 and k.pages >= greatest(2, cast(floor(p.n * 0.5 + 0.5) as bigint))"""
 
 
@@ -40,8 +40,11 @@ def furniture_lines(d: Spark) -> str:
 
 @operator
 def drop_furniture(d: Spark) -> str:
-    """How many lines go, and the first of them."""
-    return f"""select m.doc_id, count(*) dropped, min(m.text) example from margin_lines m join furniture f on f.doc_id = m.doc_id and f.key = m.key group by m.doc_id"""
+    """How many lines go, and the first three different ones."""
+    first = d.array_join(d.collect("text", "n", "n <= 3"), " | ")
+    return f"""select doc_id, cast(sum(lines) as bigint) dropped, {first} examples from (
+      select doc_id, text, lines, row_number() over (partition by doc_id order by first_at) n from (
+        select m.doc_id, m.text, count(*) lines, min({d.struct(page='m.page', line='m.line')}) first_at from margin_lines m join furniture f on f.doc_id = m.doc_id and f.key = m.key group by m.doc_id, m.text) a) b group by doc_id"""
 
 
 @operator
@@ -51,12 +54,17 @@ def source_boilerplate(d: Spark) -> str:
       select source, doc_id, {furniture_key(d, 'text')} key from fx_doc_lines) k where length(key) between 1 and 89 group by source, key) c where docs >= 2"""
 
 
+def commonest(d: Spark, source: str, key: str, size: str, n: str, name: str) -> str:
+    """(key, name): the size with the most characters; on a tie the one that came first by page, line and span."""
+    first = d.struct(page="page", line="line", span="span")
+    return f"""select {key}, size {name} from (select *, row_number() over (partition by {key} order by n desc, first_at) best from (
+      select {key}, {size} size, sum(length({n})) n, min({first}) first_at from {source} group by {key}, {size}) s) r where best = 1"""
+
+
 @view
 def body_sizes(d: Spark) -> str:
-    """The commonest size by characters, to the half point; on a tie the one that came first."""
-    half = f"{d.even('size * 2')} / 2"
-    return f"""select doc_id, max_by(half, {d.struct(n='n', first='-first_pos')}) body from (
-      select doc_id, {half} half, sum(length(trim(text))) n, min(page * 1000 + line * 10 + span) first_pos from fx_spans group by doc_id, {half}) s group by doc_id"""
+    """The commonest size by characters, to the half point."""
+    return commonest(d, "fx_spans", "doc_id", f"{d.even('size * 2')} / 2", "trim(text)", "body")
 
 
 @operator
@@ -113,18 +121,20 @@ def list_markers(d: Spark) -> str:
 
 @operator
 def drawn_bullets(d: Spark) -> str:
-    """Lines with a small filled shape just left of them."""
-    return """select l.doc_id, l.page, l.line, count(*) shapes from fx_form_lines l join (select doc_id, page, x0 + 60 - (x1 - x0) x0, x0 + 60 x1, y0, least(y1, y0 + 6) y1 from fx_shapes where kind = 'box') s
-      on s.doc_id = l.doc_id and s.page = l.page and s.x1 - 100 <= l.x0 and l.x0 - (s.x1 - 100) <= 30 and s.y0 < l.y1 and s.y1 > l.y0 group by l.doc_id, l.page, l.line"""
+    """Lines with a small filled shape, of 0.5 to 8 points either way, beside them that ends at most 30 points left of the line and 1 point in it."""
+    small = "(select * from fx_bullet_shapes where x1 - x0 between 0.5 and 8 and y1 - y0 between 0.5 and 8) b"
+    return f"""select l.doc_id, l.page, l.line, count(*) shapes from {banded(d, 'fx_form_lines', 'y0', 'y1')} l join {banded(d, small, 'y0', 'y1')} s
+      on s.doc_id = l.doc_id and s.page = l.page and {meet(d, 'l', 's')} and s.x1 >= l.x0 - 30 and s.x1 <= l.x0 + 1 and s.y0 < l.y1 and s.y1 > l.y0 group by l.doc_id, l.page, l.line"""
 
 
 @operator
 def list_items(d: Spark) -> str:
-    """A marked line opens an item, the unmarked lines of its block go on with it; neighbours of one kind form a list."""
-    return f"""select doc_id, page, block, cast(item as bigint) item_id, tag, text from (
-      select doc_id, page, block, item, max(marker) tag, {squeeze(d, d.join('text', ' ', 'line'))} text from (
-        select *, sum(case when marker is not null then 1 else 0 end) over (partition by doc_id, page, block order by line rows between unbounded preceding and current row) item from marked_lines) m
-      where item > 0 group by doc_id, page, block, item) i"""
+    """A marked line opens an item, the unmarked lines of its block go on with it; neighbours of one kind form a list. What stands between items ends a list."""
+    return f"""select doc_id, page, block, item_id, list_id, tag, text from (select *, sum(case when tag = coalesce(before, '') then 0 else 1 end) over (partition by doc_id order by page, block, item_id rows between unbounded preceding and current row) list_id from (
+      select *, lag(tag) over (partition by doc_id order by page, block, item_id) before from (
+        select doc_id, page, block, cast(item as bigint) item_id, coalesce(max(marker), 'none') tag, {squeeze(d, d.join('text', ' ', 'line'))} text from (
+          select *, sum(case when marker is not null then 1 else 0 end) over (partition by doc_id, page, block order by line rows between unbounded preceding and current row) item from marked_lines) m
+        group by doc_id, page, block, item) i) j) k where tag <> 'none'""".replace("sum(case when tag = coalesce(before, '') then 0 else 1 end) over (partition by doc_id order by page, block, item_id rows between unbounded preceding and current row)", "cast(sum(case when tag = coalesce(before, '') then 0 else 1 end) over (partition by doc_id order by page, block, item_id rows between unbounded preceding and current row) as bigint)")
 
 
 @view
@@ -145,18 +155,20 @@ def line_join(d: Spark) -> str:
 def paragraph_continuation(d: Spark) -> str:
     """A block goes on with the one before where that ends no sentence and this starts lower-case."""
     goes_on = f"not {d.like('before', SENTENCE_END)} and {d.like('text', r'^\p{Ll}')}"
-    return f"""select doc_id, cast(para as bigint) para_id, {d.join('text', ' ', 'page * 100 + block')} text from (
+    return f"""select doc_id, cast(para as bigint) para_id, {d.join('text', ' ', 'page, block')} text from (
       select *, sum(case when before is not null and {goes_on} then 0 else 1 end) over (partition by doc_id order by page, block rows between unbounded preceding and current row) para from (
         select *, lag(text) over (partition by doc_id order by page, block) before from joined_lines) a) b group by doc_id, para"""
 
 
 @operator
 def reading_order(d: Spark) -> str:
-    """Two columns are read left, then right, between full-width lines; other pages in content order. Pages are 612 wide."""
+    """Two columns are read left, then right, between full-width lines; other pages in content order. A line is full-width from 0.55 of its
+    page's width on, and in a column if it keeps within 12 points of the middle."""
     return """select doc_id, page, line, row_number() over (partition by doc_id, page order by case when two then band end, case when two then side end, case when two then y0 end, line) read_ord from (
       select *, sum(case when side = 1 then 1 else 0 end) over (partition by doc_id, page order by y0, line rows between unbounded preceding and current row) band,
              bool_and(side > 0 or narrow) over (partition by doc_id, page) and max(case when side = 2 then 1 else 0 end) over (partition by doc_id, page) = 1 and max(case when side = 3 then 1 else 0 end) over (partition by doc_id, page) = 1 two
-      from (select doc_id, page, line, y0, x1 - x0 < 0.55 * 612 narrow, case when x1 - x0 >= 0.55 * 612 then 1 when x1 <= 318 then 2 when x0 >= 294 then 3 else 0 end side from fx_lines) a) b"""
+      from (select l.doc_id, l.page, l.line, l.y0, l.x1 - l.x0 < 0.55 * p.width narrow, case when l.x1 - l.x0 >= 0.55 * p.width then 1 when l.x1 <= p.width / 2 + 12 then 2 when l.x0 >= p.width / 2 - 12 then 3 else 0 end side
+            from fx_lines l join fx_line_pages p on p.doc_id = l.doc_id and p.page = l.page) a) b"""
 
 
 @operator
@@ -167,16 +179,9 @@ def span_merge(d: Spark) -> str:
         select *, lag(bold) over (partition by doc_id, page, line order by span) pb, lag(italic) over (partition by doc_id, page, line order by span) pi from fx_spans) a) b group by doc_id, page, line, run, bold, italic"""
 
 
-@view
-def line_words(d: Spark) -> str:
-    """The first two pieces of a line, with their boxes."""
-    return """select doc_id, page, line * 2 word_id, substr(text, 1, 5) text, x0, y0, x0 + 20 x1, y1 from fx_lines
-      union all select doc_id, page, line * 2 + 1, substr(text, 6, 20), x0 + 20, y0, x0 + 200, y1 from fx_lines where length(text) > 5"""
-
-
 @view
 def words_in_links(d: Spark) -> str:
-    return """select w.doc_id, w.page, w.word_id, w.text, r.link_id, r.uri from line_words w join fx_link_rects r on r.doc_id = w.doc_id and r.page = w.page
+    return f"""select w.doc_id, w.page, w.word_id, w.text, r.link_id, r.uri from {banded(d, 'fx_line_words', '(y0 + y1) / 2', '(y0 + y1) / 2')} w join {banded(d, 'fx_link_rects', 'y0', 'y1')} r on r.doc_id = w.doc_id and r.page = w.page and {meet(d, 'w', 'r')}
       and (w.x0 + w.x1) / 2 between r.x0 and r.x1 and (w.y0 + w.y1) / 2 between r.y0 and r.y1"""
 
 
@@ -189,8 +194,9 @@ def span_links(d: Spark) -> str:
 @operator
 def table_text_removal(d: Spark) -> str:
     """Lines whose centre lies in a table leave the flow."""
-    return """select l.doc_id, l.page, l.line from fx_form_lines l where not exists (select 1 from fx_table_boxes t where t.doc_id = l.doc_id and t.page = l.page
-      and (l.x0 + l.x1) / 2 between t.x0 and t.x1 and (l.y0 + l.y1) / 2 between t.y0 and t.y1)"""
+    return f"""select l.doc_id, l.page, l.line from fx_form_lines l left join (
+        select distinct l.doc_id, l.page, l.line from {banded(d, 'fx_form_lines', '(y0 + y1) / 2', '(y0 + y1) / 2')} l join {banded(d, 'fx_table_boxes', 'y0', 'y1')} t on t.doc_id = l.doc_id and t.page = l.page and {meet(d, 'l', 't')}
+        and (l.x0 + l.x1) / 2 between t.x0 and t.x1 and (l.y0 + l.y1) / 2 between t.y0 and t.y1) i on i.doc_id = l.doc_id and i.page = l.page and i.line = l.line where i.doc_id is null"""
 
 
 @operator
@@ -202,9 +208,10 @@ def table_rows(d: Spark) -> str:
 
 @operator
 def picture_filter(d: Spark) -> str:
-    """Pictures large enough to matter; on recognised pages not those that cover three quarters of a page of 612 by 792 points."""
+    """Pictures large enough to matter; on recognised pages not those that cover three quarters of the page."""
     return """select p.doc_id, p.page, p.ordinal from fx_pictures p left join (select distinct doc_id, page from fx_recognised) r on r.doc_id = p.doc_id and r.page = p.page
-      where w_px >= 24 and h_px >= 24 and x1 - x0 >= 6 and y1 - y0 >= 6 and not (r.doc_id is not null and (x1 - x0) * (y1 - y0) >= 0.75 * 612 * 792)"""
+      left join fx_form_pages g on g.doc_id = p.doc_id and g.page = p.page
+      where w_px >= 24 and h_px >= 24 and x1 - x0 >= 6 and y1 - y0 >= 6 and not (r.doc_id is not null and coalesce((x1 - x0) * (y1 - y0) >= 0.75 * g.width * g.height, false))"""
 
 
 @operator
@@ -243,14 +250,11 @@ def tagged_occurrence(d: Spark) -> str:
 @operator
 def size_levelling(d: Spark) -> str:
     """On recognised pages sizes under 1.3 x the page's commonest become the one of the document's other pages (without any, the page's own); larger ones keep their proportion."""
-    page_size, half = d.even("s.size"), f"{d.even('s.size * 2')} / 2"
-    first = "min(s.page * 1000 + s.line * 10 + s.span)"
-    recognised = "(select distinct doc_id, page from fx_recognised)"
+    spans = "(select s.*, r.doc_id is not null recognised from fx_spans s left join (select distinct doc_id, page from fx_recognised) r on r.doc_id = s.doc_id and r.page = s.page)"
+    page = commonest(d, f"{spans} q where recognised", "doc_id, page", d.even("size"), "text", "body")
+    native = commonest(d, f"{spans} q where not recognised", "doc_id", f"{d.even('size * 2')} / 2", "trim(text)", "native")
     return f"""select s.doc_id, s.page, s.line, s.span, cast(case when b.body is null then s.size when s.size < 1.3 * b.body then coalesce(n.native, b.body) else s.size * coalesce(n.native, b.body) / b.body end as double) size from fx_spans s
-      left join (select doc_id, page, max_by(size, {d.struct(n='n', first='-first_pos')}) body from (
-          select s.doc_id, s.page, {page_size} size, sum(length(s.text)) n, {first} first_pos from fx_spans s join {recognised} r on r.doc_id = s.doc_id and r.page = s.page group by s.doc_id, s.page, {page_size}) q group by doc_id, page) b on b.doc_id = s.doc_id and b.page = s.page
-      left join (select doc_id, max_by(size, {d.struct(n='n', first='-first_pos')}) native from (
-          select s.doc_id, {half} size, sum(length(trim(s.text))) n, {first} first_pos from fx_spans s left join {recognised} r on r.doc_id = s.doc_id and r.page = s.page where r.doc_id is null group by s.doc_id, {half}) q group by doc_id) n on n.doc_id = s.doc_id"""
+      left join ({page}) b on b.doc_id = s.doc_id and b.page = s.page left join ({native}) n on n.doc_id = s.doc_id"""
 
 
 @operator

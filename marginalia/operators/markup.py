@@ -43,18 +43,37 @@ def lang_hoist(d: Spark) -> str:
     return f"""select doc_id, ordinal, lang, case when not {is_lang(d, 'lang')} then 'bad code' when {bare('text')} = {bare('block_text')} then 'hoisted' else 'dropped' end verdict from styled where lang <> ''"""
 
 
+@view
+def figure_tokens(d: Spark) -> str:
+    """Tokens of pages with figures: the figure that each stands in, its caption, and how many captions the figure has had by then."""
+    from .html import tokens_of, undropped_of
+
+    last = lambda tag, kind: f"max(case when tag = '{tag}' and kind = '{kind}' then pos end) over (partition by doc_id order by pos rows between unbounded preceding and current row)"
+    tokens = undropped_of(d, f"({tokens_of(d, 'fx_figure_pages')}) ft")
+    return f"""select *, sum(case when tag = 'figcaption' and kind = 'open' then 1 else 0 end) over (partition by doc_id, figure order by pos rows between unbounded preceding and current row) n_captions from (
+      select *, {last('figure', 'open')} figure, {last('figure', 'close')} figure_end, {last('figcaption', 'open')} caption, {last('figcaption', 'close')} caption_end from ({tokens}) t) u where figure > coalesce(figure_end, -1)"""
+
+
 @operator
 def figure_pairing(d: Spark) -> str:
-    """A figure is its pictures and the first caption with text; a caption without a picture is text."""
-    return f"""select doc_id, page figure, count_if(src not like 'javascript%') n_img, min_by(alt, case when trim(coalesce(alt, '')) <> '' then ordinal end) caption,
-      case when count_if(src not like 'javascript%') = 0 then 'text' else 'figure' end kind from fx_pictures group by doc_id, page"""
+    """A figure is the pictures inside it and its first caption; loose text in it joins the caption. A caption without a picture is text."""
+    in_caption = "caption > figure and caption > coalesce(caption_end, -1)"
+    text = lambda when: squeeze(d, d.join(decoded("tok"), "", "pos", f"kind = 'text' and {when}"))
+    return f"""select doc_id, figure, n_img, trim(coalesce(caption, '') || ' ' || coalesce(loose, '')) caption, case when n_img = 0 then 'text' else 'figure' end kind from (
+      select doc_id, row_number() over (partition by doc_id order by figure) figure, n_img, caption, loose from (
+        select doc_id, figure, count_if(tag = 'img') n_img, {text(f'in_caption and n_captions = 1')} caption, {text('not in_caption')} loose from (select *, coalesce({in_caption}, false) in_caption from figure_tokens) f group by doc_id, figure) g) h"""
 
 
 @operator
 def code_block_lines(d: Spark) -> str:
-    """A block of code as lines: the first newline and trailing ones are not part of it. Documents stand for blocks."""
-    code = d.sub("chr(10) || coalesce(text, '') || chr(10) || chr(10)", r"^\n|\n+$")
-    return f"select doc_id block, cast(pos as bigint) line_no, x line from ({d.each(f'(select doc_id, {code} code from documents) cb', d.split('code', chr(10)), 'doc_id')}) l"
+    """The lines of each pre of a page: a break is a line's end; the first newline and trailing ones are no part of it."""
+    from .html import tokens_of
+
+    body = d.join(f"case when tag = 'br' then {d.text(chr(10))} when kind = 'text' then {decoded('tok')} else '' end", "", "pos")
+    opened = "max(case when tag = 'pre' and kind = '{0}' then pos end) over (partition by doc_id order by pos rows between unbounded preceding and current row)"
+    blocks = f"""select doc_id, cast(row_number() over (partition by doc_id order by block) as bigint) block, {d.sub(body, r'^\n|\n+$')} code from (
+      select *, {opened.format('open')} block, {opened.format('close')} ended from ({tokens_of(d, 'fx_code_pages')}) t) u where block > coalesce(ended, -1) group by doc_id, block"""
+    return f"select doc_id, block, cast(pos as bigint) line_no, x line from ({d.each(f'({blocks}) cb', d.split('code', chr(10)), 'doc_id, block')}) l"
 
 
 # Corpus as text and as markdown: one string a page, from its blocks in order.

@@ -34,6 +34,17 @@ def word_counts_by_source(d: Spark) -> str:
     return f"select lang, source, count(*) docs, min(n) least, max(n) most, avg(cast(n as double)) mean from (select lang, source, {n} n from documents) t group by lang, source"
 
 
+@operator
+def word_percentiles(d: Spark) -> str:
+    """Median and 95th percentile of the words of a text by language and source. Spark keeps a mergeable sketch of each group, whose ranks
+    are off by a ten-thousandth at most; the check ranks every row."""
+    sized = f"(select lang, source, {d.count("coalesce(text, '')", r'[^ \t\n\r\f\v]+')} n from documents) t"
+    if d.name == "duck":
+        at = lambda p: f"max(case when i = greatest(1, cast(ceil({p} * docs) as bigint)) then n end)"
+        return f"select lang, source, count(*) docs, {at(0.5)} p50, {at(0.95)} p95 from (select *, row_number() over (partition by lang, source order by n) i, count(*) over (partition by lang, source) docs from {sized}) r group by lang, source"
+    return f"select lang, source, docs, p[0] p50, p[1] p95 from (select lang, source, count(*) docs, approx_percentile(n, array(0.5D, 0.95D), 10000) p from {sized} group by lang, source) s"
+
+
 @operator
 def first_words(d: Spark) -> str:
     """The outline up to 50 words; the line at the cut holds what is left of it."""
@@ -42,17 +53,12 @@ def first_words(d: Spark) -> str:
         select doc_id, line_no, {d.split('text', ' +')} parts, {d.count('text', '[^ ]+')} n from outline) a) b where before < 50"""
 
 
-@view
-def captions(d: Spark) -> str:
-    return "select doc_id, ordinal, name caption from (select doc_id, ord ordinal, name from fx_li where ord % 3 = 0) c"
-
-
 @operator
 def picture_inventory(d: Spark) -> str:
     """Each picture with its state, its description cut at 90 characters, and its caption."""
     return f"""select p.doc_id, p.ordinal, case when p.needs_alt then 'please check' when p.has_alt and trim(coalesce(p.alt, '')) = '' then 'decorative' when not p.has_alt then 'none'
         when p.alt_source like 'ai%' then 'by a model' when p.alt_source = 'pdf' then 'recovered' else 'described' end state, substr(coalesce(p.alt, ''), 1, 90) text, coalesce(c.caption, '') caption
-      from fx_pictures p left join captions c on c.doc_id = p.doc_id and c.ordinal = p.ordinal"""
+      from fx_pictures p left join fx_captions c on c.doc_id = p.doc_id and c.ordinal = p.ordinal"""
 
 
 @operator
@@ -116,19 +122,43 @@ def alt_provenance(d: Spark) -> str:
 
 @operator
 def corpus_find(d: Spark) -> str:
-    """Hits of a literal term in each document that has it, in either case."""
-    return f"select doc_id, {d.count('lower(text)', 'the')} hits, {d.count('text', 'The')} exact from documents where {d.like('lower(text)', 'the')}"
+    """Hits of each literal term in each document that has it, with or without regard to case, one after the other. All terms go over a
+    text in one pass of the table; the work is that of one plain search a term."""
+    if d.name == "duck":
+        fold = lambda s: f"case when t.match_case then {s} else lower({s}) end"
+        return f"select doc_id, term, match_case, hits from (select doc_id, term, match_case, cast(len(string_split({fold('x.text')}, {fold('t.term')})) - 1 as bigint) hits from documents x join fx_terms t on t.term <> '') h where hits > 0"
+    within = lambda text, term: f"cast((length({text}) - length(replace({text}, {term}, ''))) / length({term}) as bigint)"
+    hit = f"named_struct('term', t.term, 'match_case', t.match_case, 'hits', case when t.match_case then {within('text', 't.term')} else {within('low', 't.low')} end)"
+    terms = "(select collect_list(named_struct('term', term, 'low', lower(term), 'match_case', match_case)) from fx_terms where term <> '')"
+    return f"""select doc_id, h.term term, h.match_case match_case, h.hits hits from (
+      select doc_id, explode(filter(transform(terms, t -> {hit}), t -> t.hits > 0)) h from (select doc_id, text, lower(text) low, {terms} terms from documents) x) e"""
 
 
 @operator
 def corpus_replace(d: Spark) -> str:
-    """A term replaced in text tokens alone, its case copied: capitals, a capital first, or neither."""
-    new = d.sub(d.sub(d.sub("tok", "THE", "DAS"), "The", "Das"), "the", "das")
-    return f"select doc_id, cast(sum({d.count('tok', '(?i)the')}) as bigint) n, md5({d.join(new, '', 'pos')}) text_md5 from tokens where kind = 'text' group by doc_id"
+    """Each replacement in text tokens alone: how often, and the text after it. Without regard to case a hit in capitals gets capitals and
+    one with a capital first gets such; the pattern is the term taken letter by letter."""
+    first = lambda s: f"substr({s}, 1, 1)"
+    hit, repl = ("h", "r.repl") if d.name == "spark" else ("h", "repl")
+    own = "r." if d.name == "spark" else ""
+    copied = f"""case when {own}match_case then {repl} when {hit} = upper({hit}) and {hit} <> lower({hit}) and length({hit}) > 1 then upper({repl})
+      when {first(hit)} = upper({first(hit)}) and {first(hit)} <> lower({first(hit)}) then upper({first(repl)}) || substr({repl}, 2) else {repl} end"""
+    if d.name == "duck":
+        pattern = "case when match_case then '' else '(?i)' end || '\\Q' || find || '\\E'"
+        return f"""with t as (select k.doc_id, k.pos, f.find, f.repl, f.match_case, string_split_regex(k.tok, {pattern}) pieces, regexp_extract_all(k.tok, {pattern}) hits from tokens k join fx_replacements f on f.find <> '' where k.kind = 'text'),
+          u as (select doc_id, pos, find, len(hits) n, list_transform(hits, lambda h: {copied}) news, pieces from t),
+          v as (select doc_id, pos, find, n, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce(news[i], '')), '') body from u)
+          select doc_id, find, cast(sum(n) as bigint) n, md5(string_agg(body, '' order by pos)) text_md5 from v group by doc_id, find having sum(n) > 0"""
+    pattern = r"concat(if(r.match_case, '', '(?iu)'), '\\Q', replace(r.find, '\\E', '\\E\\\\E\\Q'), '\\E')"
+    return f"""select doc_id, find, cast(sum(n) as bigint) n, md5({d.join('body', '', 'pos')}) text_md5 from (
+      select doc_id, pos, r.find find, size(hits) n, array_join(zip_with(pieces, transform(hits, h -> {copied}), (p, h) -> concat(p, coalesce(h, ''))), '') body from (
+        select doc_id, pos, r, split(tok, {pattern}, -1) pieces, regexp_extract_all(tok, {pattern}, 0) hits from (
+          select doc_id, pos, tok, explode((select collect_list(named_struct('find', find, 'repl', repl, 'match_case', match_case)) from fx_replacements where find <> '')) r from tokens where kind = 'text') a) b) c
+      group by doc_id, find having sum(n) > 0"""
 
 
 @operator
 def dash_report(d: Spark) -> str:
-    """Lines with dashes, here put for commas, and how they read without: ranges with "to", others with a comma."""
+    """Lines with dashes, and how they read without: ranges with "to", others with a comma."""
     clean = d.sub(d.sub("line", "([0-9]) *[–—] *([0-9])", r"\1 to \2"), " *[–—] *", ", ")
-    return f"select doc_id, line_no, {d.count('line', '[–—]')} dashes, {clean} cleaned from (select doc_id, i line_no, replace(text, ', ', ' — ') line from fx_doc_lines) t where {d.like('line', '[–—]')}"
+    return f"select doc_id, line_no, {d.count('line', '[–—]')} dashes, {clean} cleaned from fx_dash_lines where {d.like('line', '[–—]')}"

@@ -205,3 +205,25 @@ select doc_id, case when doc_id % 6 = 0 then ' ' else title end title, case when
 create view fx_page_headings as select doc_id, ordinal, level, text from headings where doc_id % 3 <> 0;
 create view fx_recognised as
 select distinct doc_id, page from fx_lines where page % 2 = 1 union select distinct doc_id, page from fx_pictures where doc_id % 2 = 0;
+-- sizes of pages, shapes beside lines, words of lines, captions
+create view fx_line_pages as
+select doc_id, page, 612.0 + 40 * (doc_id % 2) width, case when doc_id % 5 = 0 then 595.0 else 792.0 end height from (select distinct doc_id, page from fx_lines) p;
+create view fx_bullet_shapes as
+select doc_id, page, x0 - 40 - psize % 10 x0, x0 - 40 x1, y0, y0 + 1 + qty % 9 y1 from (select s.doc_id, s.page, s.x0, s.y0, l.psize, l.qty from fx_shapes s join fx_li l on l.doc_id = s.doc_id and l.ord = s.shape_id where s.kind = 'box') b;
+create view fx_line_words as
+select doc_id, page, line * 2 word_id, substr(text, 1, 5) text, x0, y0, x0 + 20 x1, y1 from fx_lines
+union all select doc_id, page, line * 2 + 1, substr(text, 6, 20), x0 + 20, y0, x0 + 200, y1 from fx_lines where length(text) > 5;
+create view fx_captions as select doc_id, ord ordinal, name caption from fx_li where ord % 3 = 0;
+-- texts with blank lines and dashes, pages with figures and code, terms to look for
+create view fx_plain_texts as
+select a.doc_id, coalesce(a.text, '') || chr(10) || chr(10) || coalesce(b.text, '') text from documents a left join documents b on b.doc_id = a.doc_id + 1;
+create view fx_dash_lines as select doc_id, i line_no, replace(text, ', ', ' — ') line from fx_doc_lines;
+create view fx_figure_pages as
+select doc_id, '<p>before</p><figure><img src="a.png" alt="x">' || case when ord % 3 = 0 then 'loose <b>words</b>' else '' end || case when ord % 2 = 0 then '<figcaption>' || name || '</figcaption>' else '' end ||
+       case when ord % 5 = 0 then '<img src="b.png"><figcaption>second</figcaption>' else '' end || '</figure><figure><figcaption>alone ' || name || '</figcaption></figure>' html from fx_li where ord <= 5 and ord = doc_id % 5 + 1;
+create view fx_code_pages as
+select doc_id, '<p>x</p><pre>' || chr(10) || replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || chr(10) || '</pre><pre>one<br>two</pre>' html from documents;
+create view fx_terms as
+select 'the' term, false match_case union all select 'The', true union all select 'on', false union all select '. ', true union all select 'nowhere (at) all', false union all select '100%', false;
+create view fx_replacements as
+select 'the' find, 'das' repl, false match_case union all select 'on', 'upon', true union all select 'a.b', 'c', false;

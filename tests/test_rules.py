@@ -33,6 +33,7 @@ def test_export_settings_hold_numbers_in_range(spark):
 
 
 DOCS = "doc_id long, readable boolean, marked boolean, lang string, display_title boolean, xmp_title string, info_title string, part_id string, outline boolean, suspects boolean, xfa boolean, encrypted boolean, allow_access boolean, allow_extract boolean, producer string, file_name string"
+SIZES = "doc_id long, page int, width double, height double"
 PAGES = "doc_id long, page int, width double, height double, text string, chars int, untagged int, images int, unmarked int, tabs string"
 ELEMS = "doc_id long, elem_id int, parent_id int, kind string, page int, alt string, actual_text string"
 FONTS = "doc_id long, font_id int, font_name string, subtype string, has_file boolean, has_tounicode boolean, encoding string"
@@ -143,7 +144,7 @@ def test_payload_cap_comes_before_readability(spark):
 def test_pictures_and_sizes_of_recognised_pages(spark):
     pictures = [(1, 1, 1, 1.0, True, 100, 100, 0.0, 0.0, 600.0, 700.0), (1, 2, 2, 1.0, True, 100, 100, 0.0, 0.0, 600.0, 700.0), (1, 1, 3, 1.0, True, 20, 100, 0.0, 0.0, 60.0, 70.0)]
     known = ("doc_id long, page int", [(1, 1), (3, 0)])
-    assert run(spark, "picture_filter", "ordinal", fx_pictures=(PICTURES, pictures), fx_recognised=known) == [(2,)]
+    assert run(spark, "picture_filter", "ordinal", fx_pictures=(PICTURES, pictures), fx_recognised=known, fx_form_pages=(SIZES, [(1, p, 612.0, 792.0) for p in (1, 2)])) == [(2,)]
     spans = [(1, 1, 0, 0, 0, "x" * 50, 10.4, False, False), (1, 1, 0, 1, 0, "y", 20.0, False, False), (1, 2, 0, 0, 0, "z" * 9, 12.0, False, False), (3, 0, 0, 0, 0, "x" * 5, 9.6, False, False), (3, 0, 0, 1, 0, "x", 12.0, False, False)]
     got = run(spark, "size_levelling", "doc_id", "page", "line", "size", fx_spans=("doc_id long, page int, block int, line int, span int, text string, size double, bold boolean, italic boolean", spans), fx_recognised=known)
     assert got == [(1, 1, 0, 12.0), (1, 1, 1, 24.0), (1, 2, 0, 12.0), (3, 0, 0, 10.0), (3, 0, 1, 10.0)]
@@ -333,3 +334,142 @@ def test_lists_and_implied_closes(spark):
     got = run(spark, "list_repair", "level", "text", pages=pages)
     assert got == [(1, "a"), (1, "i"), (1, "j"), (1, "stray"), (2, "b")]
     assert run(spark, "implied_closes", "doc_id", "tag", "implied", pages=pages) == [(2, "dd", 1), (2, "li", 1), (2, "p", 1), (2, "td", 1), (2, "tr", 1)]
+
+
+REPLIES = "doc_id long, page int, reply string"
+
+
+def test_model_replies(spark):
+    """Several boxes, corners in any order and off the page, unknown kinds, numbers that are none, broken lists, too large or small, sizes of the page."""
+    good = '{"label":" Your  name: ","rect":[200,60,100,40],"kind":"Signature","confidence":1.5}'
+    reply = f'Here: [{good},{{"label":"","rect":[590,10,700,30],"kind":"poem","confidence":"x"}},"text",{{"rect":["a",1,2,3]}},{{"rect":[NaN,1,20,30]}},{{"rect":[1,2,3,4]}},{{"rect":[0,0,600,500]}},{{"rect":[10,10,50]}},{{"label":"","rect":[10,100,60,120,7],"confidence":-1}}] done'
+    replies = (REPLIES, [(1, 1, reply), (1, 2, "no list"), (2, 1, '[{"label":"cut'), (3, 1, None), (4, 1, f"[{good}]"), (5, 1, "[]")])
+    pages = (SIZES, [(i, p, 600.0, 800.0) for i in (1, 2, 3, 5) for p in (1, 2)])
+    got = run(spark, "model_boxes", "doc_id", "page", "n", "label", "kind", "x0", "y0", "x1", "y1", fx_replies=replies, fx_form_pages=pages)
+    assert got == [(1, 1, 1, "Your name:", "signature", 100.0, 40.0, 200.0, 60.0), (1, 1, 2, "", "text", 590.0, 10.0, 600.0, 30.0), (1, 1, 9, "", "text", 10.0, 100.0, 60.0, 120.0)]
+    counts = run(spark, "model_box_counts", "doc_id", "page", "offered", "kept", fx_replies=replies, fx_form_pages=pages)
+    assert counts == [(1, 1, 9, 3), (1, 2, 0, 0), (2, 1, 0, 0), (3, 1, 0, 0), (4, 1, 1, 0), (5, 1, 0, 0)]
+    made = run(spark, "model_proposals", "n", "kind", "confidence", "label", fx_replies=replies, fx_form_pages=pages)
+    assert made == [(1, "text", 1.0, "Your name"), (2, "text", 0.7, "Blank 1 on page 1"), (9, "text", 0.0, "Blank 2 on page 1")]
+
+
+PROPOSALS = "doc_id long, page int, pid int, label string, confidence double, source string, x0 double, y0 double, x1 double, y1 double"
+
+
+def proposed(labels):
+    return (PROPOSALS, [(1, 1, i, label, 0.9, "box", 0.0, 0.0, 1.0, 1.0) for i, label in enumerate(labels)])
+
+
+def test_names_are_unique(spark):
+    names = lambda labels: [n for _, n in run(spark, "unique_names", "pid", "name", fx_proposals=proposed(labels))]
+    assert names(["A", "A", "A 2"]) == ["a", "a_2", "a_2_2"]
+    assert names(["a_2", "a", "a", "a", "a_3", None, "!", "a"]) == ["a_2", "a", "a_3", "a_4", "a_3_2", "field", "field_2", "a_5"]
+    assert names(["x" * 39 + "-y", "Ü ber 9"]) == ["x" * 39, "ber_9"]
+
+
+def test_rows_follow_the_heights_of_their_page(spark):
+    rows = lambda items: [r[1:] for r in run(spark, "row_reading_order", "pid", "row_no", "read_ord", fx_proposals=(PROPOSALS, [(1, 1, i, "", 0.9, "box", x, y, x + 9, y + h) for i, (x, y, h) in enumerate(items)]))]
+    assert rows([(50.0, 0.0, 30.0), (10.0, 12.0, 30.0), (0.0, 40.0, 30.0)]) == [(1, 2), (1, 1), (2, 3)]
+    assert rows([(50.0, 0.0, 5.0), (10.0, 5.0, 5.0)]) == [(1, 1), (2, 2)]  # a band of 4
+    assert rows([(50.0, 0.0, 0.0), (10.0, 8.0, 0.0), (0.0, 8.5, 0.0)]) == [(1, 2), (1, 1), (2, 3)]  # no heights: 8
+    assert rows([(5.0, 0.0, 10.0), (3.0, 7.0, 20.0)]) == [(1, 2), (1, 1)]  # the upper of two medians
+
+
+def test_field_names_from_the_page(spark):
+    words = [(1, 1, 1, "Full", 100.0, 50.0, 120.0, 62.0), (1, 1, 2, "name:", 125.0, 50.0, 150.0, 62.0), (1, 1, 3, "far", -100.0, 50.0, -65.0, 62.0), (1, 1, 4, "Above", 300.0, 80.0, 340.0, 90.0), (1, 1, 5, "me _.", 345.0, 80.0, 380.0, 90.0), (1, 2, 6, "other", 100.0, 50.0, 150.0, 62.0)]
+    fields = [(1, 1, 1, 160.0, 52.0, 300.0, 64.0), (1, 2, 1, 290.0, 100.0, 400.0, 112.0), (1, 3, 1, 290.0, 130.0, 400.0, 140.0)]
+    got = run(spark, "field_names_from_page", "field_id", "name", fx_words=("doc_id long, page int, word_id int, text string, x0 double, y0 double, x1 double, y1 double", words), fx_unnamed_fields=("doc_id long, field_id int, page int, x0 double, y0 double, x1 double, y1 double", fields))
+    assert got == [(1, "Full name"), (2, "Above me")]
+
+
+def test_nested_lists(spark):
+    items = [(1, 0, "ul"), (2, 1, "ul"), (3, 1, "ul"), (4, 1, "ol"), (5, 3, "ol"), (6, 0, "ul"), (7, 0, "ol"), (8, 2, "ul"), (9, 1, "ul"), (10, 0, "ol")]
+    got = run(spark, "nested_lists", "item_id", "list_id", "parent_id", fx_list_items=("doc_id long, item_id int, level int, tag string, text string", [(1, i, level, tag, "") for i, level, tag in items]))
+    assert sorted(got) == [(1, 1, None), (2, 2, 1), (3, 2, 1), (4, 4, 1), (5, 5, 4), (6, 1, None), (7, 7, None), (8, 8, 7), (9, 9, 7), (10, 7, None)]
+
+
+LINES = "doc_id long, source string, page int, line int, block int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean"
+SPANS = "doc_id long, page int, block int, line int, span int, text string, size double, bold boolean, italic boolean"
+LINE_PAGES = "doc_id long, page int, width double, height double"
+
+
+def set_line(page, n, text, y, x0=72.0, x1=280.0, block=0):
+    return (1, "s", page, n, block, text, x0, y, x1, y + 10, 11.0, False)
+
+
+def test_furniture_of_short_pages(spark):
+    lines = (LINES, [set_line(p, n, t, y) for p in (1, 2, 3) for n, t, y in ((1, f"Head {p}", 5.0), (2, "body", 300.0), (3, f"Foot {p}", 560.0))])
+    pages = (LINE_PAGES, [(1, p, 420.0, 595.0) for p in (1, 2, 3)])
+    assert run(spark, "furniture_lines", "key", "pages", fx_lines=lines, fx_line_pages=pages) == [("foot #", 3), ("head #", 3)]
+    assert run(spark, "drop_furniture", "dropped", "examples", fx_lines=lines, fx_line_pages=pages) == [(6, "Head 1 | Foot 1 | Head 2")]
+    assert run(spark, "furniture_lines", fx_lines=lines, fx_line_pages=(LINE_PAGES, [(1, p, 420.0, 792.0) for p in (1, 2, 3)])) == [(1, "head #", 3)]
+
+
+def test_ties_of_sizes_go_to_the_first_line(spark):
+    spans = (SPANS, [(1, 2, 0, 1, 0, "abcd", 9.0, False, False), (1, 1, 0, 100, 0, "abcd", 12.0, False, False), (1, 1, 0, 99, 11, "abcd", 10.0, False, False)])
+    assert run(spark, "body_size", "body_size", fx_spans=spans) == [(10.0,)]
+
+
+def test_paragraphs_go_on_after_many_blocks(spark):
+    lines = (LINES, [set_line(1, 1, "one", 1.0, block=99), set_line(1, 2, "two", 2.0, block=100), set_line(1, 3, "three", 3.0, block=150), set_line(2, 1, "four", 1.0, block=0)])
+    assert run(spark, "paragraph_continuation", "text", fx_lines=lines) == [("one two three four",)]
+
+
+def test_columns_by_the_width_of_the_page(spark):
+    lines = (LINES, [set_line(1, 1, "l1", 10.0, 10.0, 150.0), set_line(1, 2, "r1", 10.0, 210.0, 390.0), set_line(1, 3, "l2", 30.0, 10.0, 150.0)])
+    order = lambda w: [x[1] for x in sorted(run(spark, "reading_order", "read_ord", "line", fx_lines=lines, fx_line_pages=(LINE_PAGES, [(1, 1, w, 600.0)])))]
+    assert order(400.0) == [1, 3, 2] and order(800.0) == [1, 2, 3]
+
+
+def test_drawn_bullets(spark):
+    form = ("doc_id long, page int, line int, text string, x0 double, y0 double, x1 double, y1 double", [(1, 1, i, "t", 72.0, 100.0 * i, 200.0, 100.0 * i + 12) for i in range(1, 6)])
+    shapes = [(60.0, 65.0, 102.0, 107.0), (95.0, 100.0, 202.0, 207.0), (68.0, 73.0, 304.0, 308.0), (30.0, 41.0, 402.0, 406.0), (40.0, 41.0, 502.0, 506.0)]
+    got = run(spark, "drawn_bullets", "line", "shapes", fx_form_lines=form, fx_bullet_shapes=("doc_id long, page int, x0 double, x1 double, y0 double, y1 double", [(1, 1, *x) for x in shapes]))
+    assert got == [(1, 1), (3, 1)]
+
+
+def test_lists_end_where_other_text_stands(spark):
+    texts = ["- a", "more", "- b", "1. c", "plain", "- d", "- e"]
+    lines = (LINES, [set_line(1, i, t, 10.0 * i, block=i if t == "plain" else 9 if i > 4 else 0) for i, t in enumerate(texts)])
+    got = run(spark, "list_items", "page", "block", "item_id", "tag", "text", "list_id", fx_lines=lines)
+    assert [x[3:5] for x in got] == [("ul", "a more"), ("ul", "b"), ("ol", "c"), ("ul", "d"), ("ul", "e")]
+    ids = [x[5] for x in got]
+    assert ids[0] == ids[1] and ids[3] == ids[4] and len(set(ids)) == 3
+
+
+def test_texts_are_taken_as_they_stand(spark):
+    assert run(spark, "text_paragraphs", "paragraph", fx_plain_texts=("doc_id long, text string", [(1, "a, b"), (2, " x \n y \n \n z"), (3, None)])) == [("a, b",), ("x y",), ("z",)]
+    lines = ("doc_id long, line_no long, line string", [(1, 0, "one, two"), (1, 1, "3–5 and — so")])
+    assert run(spark, "dash_report", "line_no", "dashes", "cleaned", fx_dash_lines=lines) == [(1, 2, "3 to 5 and, so")]
+    code = ("doc_id long, html string", [(1, "<p>no</p><pre>\n a &lt; b\n\tc\n\n</pre><pre>x<br>y</pre>")])
+    assert run(spark, "code_block_lines", "block", "line_no", "line", fx_code_pages=code) == [(1, 0, " a < b"), (1, 1, "\tc"), (2, 0, "x"), (2, 1, "y")]
+
+
+def test_figures_of_pages(spark):
+    pages = ("doc_id long, html string", [(1, "<figure><img src=a>loose <b>words</b><figcaption>First</figcaption><img src=b><figcaption>second</figcaption></figure>text<figure><figcaption>alone</figcaption></figure>")])
+    assert run(spark, "figure_pairing", "figure", "n_img", "caption", "kind", fx_figure_pages=pages) == [(1, 2, "First loose words", "figure"), (2, 0, "alone", "text")]
+
+
+def test_search_and_replace(spark):
+    docs = ("doc_id long, text string", [(1, "The cat, THE the aa aaa 50% (a.b) axb"), (2, None), (3, "ÉTÉ été")])
+    terms = ("term string, match_case boolean", [("the", False), ("the", True), ("aa", True), ("50% (a.b)", False), ("été", False), ("", False), ("nothing", False)])
+    got = run(spark, "corpus_find", "doc_id", "term", "match_case", "hits", documents=docs, fx_terms=terms)
+    assert got == [(1, "50% (a.b)", False, 1), (1, "aa", True, 2), (1, "the", False, 3), (1, "the", True, 1), (3, "été", False, 2)]
+    pages = (HTML_PAGES, [(1, "u", "<p the>Cat CATS cat. x</p><b>scat</b>")])
+    swaps = ("find string, repl string, match_case boolean", [("cat", "dog", False), ("cat", "dog", True), (".", "!", False)])
+    import hashlib
+
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = run(spark, "corpus_replace", "find", "n", "text_md5", pages=pages, fx_replacements=(swaps[0], swaps[1][:1]))
+    assert got == [("cat", 4, digest("Dog DOGS dog. xsdog"))]
+    assert run(spark, "corpus_replace", "find", "n", "text_md5", pages=pages, fx_replacements=(swaps[0], swaps[1][1:])) == [(".", 1, digest("Cat CATS cat! xscat")), ("cat", 2, digest("Cat CATS dog. xsdog"))]
+
+
+def test_percentiles_within_their_error(spark):
+    docs = [(i, "w " * ((i * 37) % 5000 + 1), "en", "a" if i % 3 else None) for i in range(3000)]
+    got = run(spark, "word_percentiles", "lang", "source", "docs", "p50", "p95", documents=("doc_id long, text string, lang string, source string", docs))
+    for _, source, n, p50, p95 in got:
+        sizes = sorted((i * 37) % 5000 + 1 for i in range(3000) if (source == "a") == bool(i % 3))
+        assert n == len(sizes)
+        for p, x in ((0.5, p50), (0.95, p95)):
+            assert abs(sizes.index(x) - p * n) <= n / 10000 + 1
