@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import held_out, pieces, unit
+from .common import held_out, pieces, row_key, unit
 
 UND = "und"
 #: Sampled documents of each language, on average, and segments taken of each. All languages that rows name are learned.
@@ -102,8 +102,10 @@ def train(docs: DataFrame) -> ByteNet | None:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
     room = F.greatest(F.length("text") - TRAIN_BYTES, F.lit(0))
-    pieces = [F.substr("text", (1 + F.floor(unit(F.lit(80 + i), F.col("doc_id")) * (room + 1))).cast("int"), F.lit(TRAIN_BYTES)) for i in range(PIECES)]
-    sample = rows.filter(unit(F.lit(8), F.col("doc_id")) < share[F.col("lang")]).select("doc_id", "lang", F.array(*pieces).alias("pieces"))
+    pieces = [F.substr("text", (1 + F.floor(unit(F.lit(80 + i), F.col("key")) * (room + 1))).cast("int"), F.lit(TRAIN_BYTES)) for i in range(PIECES)]
+    # drawn row by row, whatever the ids; rows that repeat as a whole count once, so the sample stays bounded
+    keyed = rows.select("lang", "text", row_key(docs).alias("key"))
+    sample = keyed.filter(unit(F.lit(8), F.col("key")) < share[F.col("lang")]).dropDuplicates(["key"]).select("lang", F.array(*pieces).alias("pieces"))
     got = sorted((r["lang"], piece) for r in sample.collect() for piece in r["pieces"])
     classes = sorted({x for x, _ in got})
     if not classes:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, saved, unit, word_count
+from .common import free_names, row_key, saved, unit, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -167,21 +167,32 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CA
     """
     added = ["copies", "size", "taken", "target"]
     ids = ["doc_id", "source", "size"]
-    docs = docs.withColumnsRenamed({c: f"given_{c}" for c in added if c in docs.columns})
+    for c in [c for c in added if c in docs.columns]:
+        docs = docs.withColumnRenamed(c, free_given(docs, c))
     kept = docs.columns
     plan = saved(mix(docs, weights, cap).select(*ids, "number", "copies", "taken", "target"))
-    plan = plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns})
-    same = lambda other: F.col("doc_id").eqNullSafe(F.col(f"{other}doc_id")) & F.col("source").eqNullSafe(F.col(f"{other}source")) & (F.col("__words") == F.col(f"{other}size"))
-    rows = docs.withColumn("__words", word_count(F.col("text")))
-    several = saved(plan.filter("__number = 2").select(*[F.col(f"__{c}").alias(f"__s_{c}") for c in ids]))
+    words, key, n, *own = free_names(docs, "words", "key", "n", *[f"p_{c}" for c in plan.columns], *[f"s_{c}" for c in ids])
+    of_plan, of_several = dict(zip(plan.columns, own)), dict(zip(ids, own[len(plan.columns) :]))
+    plan = plan.withColumnsRenamed(of_plan)
+    same = lambda other: F.col("doc_id").eqNullSafe(F.col(other["doc_id"])) & F.col("source").eqNullSafe(F.col(other["source"])) & (F.col(words) == F.col(other["size"]))
+    rows = docs.withColumn(words, word_count(F.col("text")))
+    several = saved(plan.filter(F.col(of_plan["number"]) == 2).select(*[F.col(of_plan[c]).alias(of_several[c]) for c in ids]))
     if several.isEmpty():
-        rows = rows.withColumn("__n", F.lit(1).cast("long"))
+        rows = rows.withColumn(n, F.lit(1).cast("long"))
     else:
-        order = Window.partitionBy("doc_id", "source", "__words").orderBy("__key")
-        again = rows.withColumn("__key", row_key(docs)).join(several, same("__s_"), "left_semi").withColumn("__n", F.row_number().over(order).cast("long")).drop("__key")
-        rows = rows.join(several, same("__s_"), "left_anti").withColumn("__n", F.lit(1).cast("long")).unionByName(again)
-    met = rows.join(plan.filter("__copies > 0"), same("__") & (F.col("__n") == F.col("__number")))
-    return met.select(*kept, *[F.col(f"__{c}").alias(c) for c in added])
+        order = Window.partitionBy("doc_id", "source", words).orderBy(key)
+        again = rows.withColumn(key, row_key(docs)).join(several, same(of_several), "left_semi").withColumn(n, F.row_number().over(order).cast("long")).drop(key)
+        rows = rows.join(several, same(of_several), "left_anti").withColumn(n, F.lit(1).cast("long")).unionByName(again)
+    met = rows.join(plan.filter(F.col(of_plan["copies"]) > 0), same(of_plan) & (F.col(n) == F.col(of_plan["number"])))
+    return met.select(*[f"`{c}`" for c in kept], *[F.col(of_plan[c]).alias(c) for c in added])
+
+
+def free_given(docs: DataFrame, name: str) -> str:
+    """The name that a column of the documents takes where its own is given to a result."""
+    name = f"given_{name}"
+    while name in docs.columns:
+        name = f"given_{name}"
+    return name
 
 
 def query(spark, sf_dir: str) -> DataFrame:

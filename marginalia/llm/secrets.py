@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, row_key
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -221,12 +221,14 @@ def examples(text: str, r: np.random.Generator) -> list[tuple[bytes, int]]:
 
 
 def train(docs: DataFrame, recall: float = RECALL) -> CharNet | None:
-    """A network from about TRAIN_DOCS documents, chosen by a hash of their id; every fifth of them calibrates it and is scored in ``net.held_out``."""
+    """A network from about TRAIN_DOCS documents, chosen by a hash of the row; every fifth of them calibrates it and is scored in ``net.held_out``."""
     n = docs.count()
     if not n:
         return None
     share = F.lit(int(min(1.0, TRAIN_DOCS / n) * (1 << 31)))
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 31)) < share).select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    # rows that repeat as a whole count once, so the sample stays bounded
+    keyed = docs.select(row_key(docs).cast("string").alias("doc_id"), F.col("text").cast("string"))
+    sample = keyed.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 31)) < share).dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):

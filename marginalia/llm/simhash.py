@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, row_key, saved
+from .common import free_names, pieces, row_key, saved
 from .components import components
 
 #: Most nodes of one BK-tree; a larger shard is dealt over several.
@@ -531,18 +531,16 @@ def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
     one, are judged by their own texts; of a group a row with an id stays before one without, on a tie of ids the one of
     the least hash, and of rows that are equal as a whole one; null and blank texts are a group.
     """
-    keyed_docs = docs.withColumn("row", row_key(docs)) if "row" not in docs.columns else None
-    if keyed_docs is None:  # a column of that name is the user's: it steps aside
-        return one_of_each(docs.withColumnRenamed("row", "__row"), shingle, similarity).withColumnRenamed("__row", "row")
-    prints = saved(set_keys(keyed_docs, shingle))
+    slim = docs.select("doc_id", "text", row_key(docs).alias("row"))
+    prints = saved(set_keys(slim, shingle))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     nodes = prints.groupBy("d0", "d1").agg(F.min(rank).alias("first"), *[F.first(c).alias(c) for c in ("size", *WIDE, "keys")])
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()))
     rows = saved(shared_keys(nodes))
     first = saved(first_pairs(rows, similarity))
-    links = verified(first, nodes, keyed_docs, shingle, similarity)
-    rest = other_pairs(rows, components(links), nodes, keyed_docs, shingle, similarity).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(rest), nodes, keyed_docs, shingle, similarity)
+    links = verified(first, nodes, slim, shingle, similarity)
+    rest = other_pairs(rows, components(links), nodes, slim, shingle, similarity).join(first, ["a", "b"], "left_anti")
+    more = verified(saved(rest), nodes, slim, shingle, similarity)
     found = components(links.unionByName(more))
     known = saved(nodes.select("d0", "d1", "node", "first").join(found, "node", "left").select("d0", "d1", "first", F.coalesce("component", "node").alias("c")))
     best = known.groupBy("c").agg(F.min("first").alias("best"))
@@ -550,14 +548,15 @@ def one_of_each(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float
     stay = known.join(best, "c").select("d0", "d1", F.when(F.col("first") == F.col("best"), F.col("first")).alias("stays"))
     judged = prints.select("d0", "d1", rank.alias("rank")).join(stay, ["d0", "d1"]).select("rank.doc_id", "rank.row", F.coalesce(F.col("rank") != F.col("stays"), F.lit(True)).alias("goes"))
     judged = saved(judged.groupBy("doc_id", "row").agg(F.max("goes").alias("goes"), F.count("*").alias("n")).filter("goes or n > 1"))
-    gone = judged.filter("goes").select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"))
-    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("row") == F.col("g_row"))
-    few = gone.count() <= BROADCAST_IDS
-    out = keyed_docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
-    several = judged.filter("not goes").select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"))
+    key, g_id, g_row = free_names(docs, "row", "g_id", "g_row")
+    of = lambda when: judged.filter(when).select(F.col("doc_id").alias(g_id), F.col("row").alias(g_row))
+    gone, several = of("goes"), of("not goes")
+    same = F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.col(key) == F.col(g_row))
+    out = docs.withColumn(key, row_key(docs))
+    out = out.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
     if not several.isEmpty():
-        out = out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates(["doc_id", "row"]))
-    return out.select(docs.columns)
+        out = out.join(several, same, "left_anti").unionByName(out.join(several, same, "left_semi").dropDuplicates(["doc_id", key]))
+    return out.drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -284,7 +284,9 @@ def train(docs: DataFrame, labels: DataFrame) -> TextNet | float:
     rate = F.when(F.col("toxic") == 1, min(1.0, PER_CLASS / n[1])).otherwise(min(1.0, 2 * PER_CLASS / n[0]))
     marks = marks.filter(unit(F.lit(7), F.col("doc_id")) < rate)
     # the sample is bounded by PER_CLASS, so it is sent to the texts rather than the texts to it
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").collect()
+    # and so is what comes back: of rows that repeat an id, one text is learnt
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")
+    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(one).collect()
     got = sorted(((zlib.crc32(f"{r['doc_id']}".encode()), r["doc_id"], r["toxic"], r["text"] or "") for r in got), key=lambda x: x[:3])
     y = np.array([x[2] for x in got], dtype=np.float32)
     if not 0 < y.sum() < len(y):

@@ -1,13 +1,14 @@
 """WARC archives of pages as chunked record tables: written and read back as streams of bounded chunks.
 
-An archive is a table of rows (record, chunk, data, sha1, bytes): the WARC/1.1 byte stream of a record, cut so that
+An archive is a table of rows (record, chunk, data, sha1, bytes, record_id, digest): the WARC/1.1 byte stream of a record, cut so that
 chunk 0 holds the WARC and HTTP headers and every later chunk at most CHUNK bytes of payload. Each row carries the
 SHA-1 and the length of the payload up to its end, so a reader can check every chunk as it comes, stop at the first bad
 one, and hold no more than one chunk of a record however long it is. The table is written in the shared folder by Spark.
 
 Of pages with equal payloads of at least REVISIT_BYTES bytes the one with the largest page_id is a ``response``; the
-others are ``revisit`` records without payload that refer to it. Who refers to whom is settled on digests and ids alone;
-the html joins only the list of revisits.
+others are ``revisit`` records without payload that refer to it by its record id. Who refers to whom is settled on digests
+and ids alone. Responses are written first, with their ids and digests beside their first chunks; revisits follow, joined
+to the ids that stand in the archive by then.
 
 Defined cases: null html is an empty payload; page_ids that tie for the largest are all responses; a null page_id never
 wins, and revisits the winner of its payload if there is one; repeated rows are records of their own, told apart by the number after the page in their record id; an empty table
@@ -32,7 +33,7 @@ from .common import pieces, saved, shared_dir
 REVISIT_BYTES = 1000
 CHUNK = 64 * 1024
 END = b"\r\n\r\n"
-ARCHIVE = "record long, chunk int, data binary, sha1 string, bytes long"
+ARCHIVE = "record long, chunk int, data binary, sha1 string, bytes long, record_id string, digest string"
 
 
 def payload(html: Column) -> Column:
@@ -40,13 +41,18 @@ def payload(html: Column) -> Column:
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, digest, refers_to): pages whose payload a larger page_id has too."""
-    slim = pages.select("page_id", F.sha1(payload(F.col("html")).cast("binary")).alias("digest"), F.octet_length(payload(F.col("html"))).alias("n")).filter(F.col("n") >= least)
+    """(page_id, url, digest, size, refers_to): a row for each page whose payload a larger page_id has too."""
+    body = payload(F.col("html"))
+    slim = pages.select("page_id", F.col("url").cast("string"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("size")).filter(F.col("size") >= least)
     top = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 and refers_to is not null").drop("copies")
-    return slim.join(top, "digest").filter("page_id is null or page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    return slim.join(top, "digest").filter("page_id is null or page_id < refers_to").select("page_id", "url", "digest", "size", "refers_to")
 
 
-def headers(page_id: int | None, record: int, url: str | None, sha1: str, size: int, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, record: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{record}>"
+
+
+def headers(page_id: int | None, record: int, url: str | None, sha1: str, size: int, refers_to: str | None) -> bytes:
     """WARC and HTTP headers, up to where the payload begins."""
     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -54,7 +60,7 @@ def headers(page_id: int | None, record: int, url: str | None, sha1: str, size:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{record}>",
+        f"WARC-Record-ID: {record_id(page_id, record)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -62,48 +68,64 @@ def headers(page_id: int | None, record: int, url: str | None, sha1: str, size:
         f"Content-Length: {len(http) + (size if refers_to is None else 0)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode("utf-8", "replace") + END + http
 
 
-def cut(pages: DataFrame, least: int = REVISIT_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(page_id, url, refers_to, sha1, size, chunk, data): pages as rows of at most ``chunk`` bytes, in order; chunk 0 has none.
-    Spark cuts the payloads, so that no more than a batch of chunks reaches a worker."""
-    known = saved(revisits(pages, least)).withColumnsRenamed({"page_id": "r_page", "digest": "r_digest"})
+def cut(pages: DataFrame, known: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(page_id, url, sha1, size, chunk, data): pages that are no revisits as rows of at most ``chunk`` bytes, in order; chunk 0 has
+    none. Spark cuts the payloads, so that no more than a batch of chunks reaches a worker."""
+    known = known.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest")).distinct()
     body = payload(F.col("html")).cast("binary")
     own = pages.select("page_id", F.col("url").cast("string"), body.alias("body"), F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size"))
-    rows = own.join(known, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha1") == F.col("r_digest")), "left")
-    n = F.when(F.col("refers_to").isNull(), F.ceil(F.col("size") / chunk)).otherwise(0).cast("int")
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), n)))
+    rows = own.join(known, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha1") == F.col("r_digest")), "left_anti")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int"))))
     data = F.when(F.col("chunk") > 0, F.substring(F.col("body"), (F.col("chunk") - 1) * chunk + 1, F.lit(chunk)))
-    return rows.select("page_id", "url", "refers_to", "sha1", "size", "chunk", data.alias("data"))
+    return rows.select("page_id", "url", "sha1", "size", "chunk", data.alias("data"))
+
+
+def archived(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names=["record", "chunk", "data", "sha1", "bytes", "record_id", "digest"])
 
 
 def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, chunk: int = CHUNK) -> None:
-    """Archives the pages as a chunked record table at path."""
+    """Archives the pages as a chunked record table at path: responses, then the revisits that refer to them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record, running, done = (TaskContext.get().partitionId() << 40) - 1, hashlib.sha1(), 0
-        for batch in pieces(batches, 6):
+        for batch in pieces(batches, 5):
             held = []
-            facts = zip(*(batch.column(i).to_pylist() for i in range(6)))
-            for (page, url, refers, sha1, size, k), data in zip(facts, batch.column(6)):
+            facts = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            for (page, url, sha1, size, k), data in zip(facts, batch.column(5)):
                 if not k:
                     record, running, done = record + 1, hashlib.sha1(), 0
-                    row = headers(page, record, url, sha1, size, refers) + END * (refers is not None or not size)
+                    row, name = headers(page, record, url, sha1, size, None) + END * (not size), (record_id(page, record), sha1)
                 else:
                     piece = data.as_buffer()
                     running.update(piece)
                     done += len(piece)
-                    row = piece.to_pybytes() + END * (done == size)
-                held.append((record, k, row, running.hexdigest(), done))
-            yield table(held)
+                    row, name = piece.to_pybytes() + END * (done == size), (None, None)
+                held.append((record, k, row, running.hexdigest(), done, *name))
+            yield archived(held)
 
-    def table(held: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], t) for i, t in enumerate(kinds)], names=["record", "chunk", "data", "sha1", "bytes"])
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record = ((1 << 21) + TaskContext.get().partitionId() << 40) - 1  # beyond those of the responses
+        for batch in batches:
+            held = []
+            for page, url, sha1, size, refers in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                record += 1
+                held.append((record, 0, headers(page, record, url, sha1, size, refers) + END, hashlib.sha1().hexdigest(), 0, record_id(page, record), sha1))
+            yield archived(held)
 
-    cut(pages, least, chunk).mapInArrow(run, ARCHIVE).write.parquet(path)
+    spark = pages.sparkSession
+    known = saved(revisits(pages, least))
+    cut(pages, known, chunk).mapInArrow(responses, ARCHIVE).write.parquet(path)
+    page = F.regexp_extract("record_id", "^<urn:page:(-?[0-9]*):", 1)
+    wanted = known.select(F.col("digest").alias("w_digest"), F.col("refers_to").cast("string").alias("w_page")).distinct()
+    there = spark.read.parquet(path).filter("record_id is not null").select("record_id", F.col("digest").alias("t_digest"), page.alias("t_page"))
+    ids = saved(there.join(wanted, (F.col("t_digest") == F.col("w_digest")) & (F.col("t_page") == F.col("w_page"))).groupBy("t_digest").agg(F.min("record_id").alias("refers")))
+    known.join(ids, F.col("digest") == F.col("t_digest")).select("page_id", "url", "digest", "size", "refers").mapInArrow(others, ARCHIVE).write.mode("append").parquet(path)
 
 
 class Reading:
@@ -165,7 +187,7 @@ def read(archive: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean"
-    return archive.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(run, schema)
+    return archive.select("record", "chunk", "data", "sha1", "bytes").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -329,3 +329,64 @@ def test_sketches_rule_out_no_pair_that_is_similar():
         assert may or like < 0.8
         if max(size[a], size[b]) < simhash.SKETCH and len(np.union1d(sets[a], sets[b])) > 20:
             assert may == (len(np.intersect1d(sets[a], sets[b])) + 2 >= 0.8 * len(np.union1d(sets[a], sets[b])))
+
+
+CLASHING = ["id", "node", "r", "g_id", "g_row", "row", "_row", "__row", "first", "stays", "copies", "given_copies", "size", "words", "n", "key", "number", "p_doc_id", "component", "a", "b", "pos", "lang_pred", "score"]
+
+
+def test_stages_bear_columns_of_any_name(spark):
+    """The same rows stay and the same columns come back whatever else the documents hold; the mix renames what it needs."""
+    import corpus_pipeline
+    from marginalia.llm import mixing, simhash
+
+    texts = [f"one two three four five six seven eight nine ten {'eleven' if i % 2 else 'twelve'} number {i // 4}" for i in range(12)] + [None, "", "é ü"]
+    plain = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    more = plain.selectExpr("*", *[f"'x' as `{c}`" for c in CLASHING])
+    for stage in (simhash.one_of_each, lambda d: d if d is None else corpus_pipeline.without_secrets(spark, d, ""), lambda d: corpus_pipeline.known_language(spark, d, "")):
+        out = stage(more)
+        assert out.columns == more.columns
+        assert sorted(map(repr, out.select(plain.columns).collect())) == sorted(map(repr, stage(plain).collect())) or stage is not simhash.one_of_each
+    mixed = mixing.mixed(more)
+    assert set(mixed.columns) == (set(more.columns) - {"copies", "size"}) | {"copies", "size", "taken", "target", "given_given_copies", "given_size"}
+    assert sorted(r["doc_id"] for r in mixed.select("doc_id").collect()) == sorted(r["doc_id"] for r in mixing.mixed(plain).select("doc_id").collect())
+
+
+def test_archives_refer_to_records_that_are_there(spark, tmp_path):
+    import re
+
+    from marginalia.llm import warc
+
+    big, other = "<p>" + "same " * 400, "<p>" + "more " * 400
+    rows = [(1, "u1", big), (2, "u2", big), (3, "u3", big), (3, "u4", big), (None, "u5", big), (4, "u6", other), (None, "u7", other), (5, "u8", "small"), (6, "u9", "small"), (2, "u2", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    warc.write(pages, str(tmp_path / "a"), chunk=500)
+    archive = spark.read.parquet(str(tmp_path / "a"))
+    heads = [bytes(r["data"]).decode() for r in archive.filter("chunk = 0").collect()]
+    field = lambda name, head: (re.search(rf"^{name}: (.*?)\r$", head, re.M) or [None, None])[1]
+    ids = [field("WARC-Record-ID", h) for h in heads]
+    assert len(set(ids)) == len(rows) == archive.select("record").distinct().count()
+    kinds = dict(zip(ids, ((field("WARC-Type", h), field("WARC-Payload-Digest", h)) for h in heads)))
+    refers = [(field("WARC-Refers-To", h), field("WARC-Payload-Digest", h)) for h in heads if field("WARC-Type", h) == "revisit"]
+    assert len(refers) == 5 and all(kinds[i] == ("response", digest) for i, digest in refers)
+    read = warc.read(archive).collect()
+    assert all(r["valid"] for r in read) and sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in read) == sorted(
+        [("1", "revisit", 3), ("2", "revisit", 3), ("2", "revisit", 3), ("3", "response", None), ("3", "response", None), ("4", "response", None), ("None", "revisit", 3), ("None", "revisit", 4), ("5", "response", None), ("6", "response", None)])
+
+
+def test_training_draws_rows_not_ids(spark):
+    """Documents without ids are drawn row by row: each language is learnt; repeated rows are learnt once."""
+    from marginalia.llm import language, secrets, toxicity
+
+    words = {"en": "the house and garden with water", "de": "der garten und das haus mit wasser", "fr": "la maison et le jardin avec eau"}
+    rows = [(None, f"{words[k]} {i} {i * 7}", k) for i in range(300) for k in words] + [(None, "repeated text of one row", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before = language.PER_LANGUAGE
+    language.PER_LANGUAGE = 40
+    try:
+        assert language.train(docs).classes == ["de", "en", "fr"]
+    finally:
+        language.PER_LANGUAGE = before
+    assert secrets.train(docs.drop("lang")) is not None
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    twice = spark.createDataFrame([(1, "awful words", 0)] * 50 + [(2, "kind words", 0)] * 50, "doc_id long, text string, x int")
+    assert toxicity.train(twice, labels) is not None
