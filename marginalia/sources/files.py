@@ -36,7 +36,7 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def forget_one(spark: SparkSession, path: str) -> None:
     """Deletes a folder through the file system that Spark reaches it by."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -45,7 +45,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that ``saved`` wrote. For a caller who has consumed all results that rest on them."""
     while _SAVED:
-        remove(spark, _SAVED.pop())
+        forget_one(spark, _SAVED.pop())
 
 
 def heads(spark: SparkSession, path: str) -> DataFrame:

@@ -473,3 +473,26 @@ def test_percentiles_within_their_error(spark):
         assert n == len(sizes)
         for p, x in ((0.5, p50), (0.95, p95)):
             assert abs(sizes.index(x) - p * n) <= n / 10000 + 1
+
+
+def test_streams_work_on_what_arrives(spark, tmp_path):
+    """A batch leaves the changed sources alone; a stream that is started again goes on where it was; pages seen before are not checked again."""
+    from marginalia.streaming import arrivals
+
+    schema = "source_id long, snapshot_id long, saved_at timestamp, title string"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    arrive = lambda n, rows: spark.createDataFrame(rows, "source_id long, snapshot_id long, saved_at string, title string").selectExpr("source_id", "snapshot_id", "cast(saved_at as timestamp) saved_at", "title").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    arrive(1, [(i, i, "2026-01-02", f"a{i}") for i in range(50)])
+    arrivals.keep_latest(stream(), f"{tmp_path}/out")
+    arrive(2, [(1, 100, "2026-01-03", "new"), (2, 101, "2026-01-01", "late"), (60, 102, "2026-01-01", "other")])
+    arrivals.keep_latest(stream(), f"{tmp_path}/out")
+    sizes = {r["batch"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out/changes").groupBy("batch").count().collect()}
+    assert sizes[0] == 50 and sizes[max(sizes)] == 3
+    got = lambda: sorted(tuple(r) for r in arrivals.kept_latest(spark, f"{tmp_path}/out").collect())
+    want = sorted([(i, i, f"a{i}") for i in range(50) if i != 1] + [(1, 100, "new"), (60, 102, "other")])
+    assert got() == want
+    arrivals.compacted(spark, f"{tmp_path}/out", max(sizes))
+    assert got() == want and spark.read.parquet(f"{tmp_path}/out/changes").count() == 51
+    arrive(3, [(1, 103, "2026-01-04", "newest")])
+    arrivals.keep_latest(stream(), f"{tmp_path}/out")
+    assert (1, 103, "newest") in got() and len(got()) == 51
