@@ -272,6 +272,9 @@ def clean_warnings(d: Spark) -> str:
     return f"""
       select doc_id, ord, warning, sum(n) n from (
         select doc_id, 1 ord, 'no description' warning, count(*) n from tokens where tag = 'img' and not {d.like('tok', r'(?i)\balt\s*=')} group by doc_id
+        union all select doc_id, case when value = 'pdf' then 3 else 2 end, case when value = 'pdf' then 'recovered description' else 'description by a model' end, count(*) from attributes
+          where tag = 'img' and name = 'data-alt-source' and (value = 'pdf' or value like 'ai%') group by doc_id, value = 'pdf', case when value = 'pdf' then 3 else 2 end, case when value = 'pdf' then 'recovered description' else 'description by a model' end
+        union all select doc_id, 7, 'pictures dropped', count(*) from attributes where tag = 'img' and name = 'src' and not {d.like('value', r'(?i)^data:image/(png|jpeg|jpg|gif|webp|bmp);base64,')} group by doc_id
         union all select doc_id, 4, 'right to left text', count(*) from undropped where kind = 'text' and {d.like('tok', rtl)} group by doc_id
         union all select page_id, 5, 'script removed', {d.count('html', r'(?i)<script')} from pages where {d.like('html', r'(?i)<script')}
         union all select doc_id, 5, 'script removed', count(*) from attributes where name like 'on%' group by doc_id

@@ -79,29 +79,50 @@ def code_block_lines(d: Spark) -> str:
 # Corpus as text and as markdown: one string a page, from its blocks in order.
 
 
+@view
+def clean_runs(d: Spark) -> str:
+    """The tokens of the cleaned pages with the number of block boundaries so far, and the address and description that an element has."""
+    from .html import BLOCKS, CONTAINERS, attributes_of
+
+    atts = f"""(select doc_id a_doc, pos a_pos, min(case when name = 'href' then value end) href, min(case when name = 'alt' then value end) alt, max(case when name = 'data-needs-alt' then 1 else 0 end) needs
+      from ({attributes_of(d, 'clean_tokens')}) x group by doc_id, pos)"""
+    return f"""select t.*, a.href, a.alt, a.needs, sum(case when t.tag in ({words(BLOCKS + ' ' + CONTAINERS)}) then 1 else 0 end) over (partition by t.doc_id order by t.pos rows between unbounded preceding and current row) run
+      from clean_tokens t left join {atts} a on a.a_doc = t.doc_id and a.a_pos = t.pos"""
+
+
 @view
 def block_tokens(d: Spark) -> str:
-    """The tokens of runs with the depth of lists and tables that they stand in, and the table, row and cell by the place of its opening."""
+    """The tokens of runs with the depth of lists and tables that they stand in, the table, row and cell by the place of its opening,
+    and the address of the link that was opened last."""
     opened = lambda tags: f"max(case when tag in ({words(tags)}) and kind = 'open' then pos end) over w"
     depth = lambda tags: f"sum(case when tag in ({words(tags)}) and kind = 'open' then 1 when tag in ({words(tags)}) and kind = 'close' then -1 else 0 end) over w"
-    return f"""select *, {depth('ul ol')} depth, {depth('table')} table_depth, sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 else 0 end) over w list_no,
-        max_by(case when tag = 'ol' then 1 else 0 end, case when tag in ('ul', 'ol') and kind = 'open' then pos end) over w ordered,
+    return f"""select *, {depth('ul ol')} depth, {depth('table')} table_depth, {depth('blockquote')} quoted, sum(case when tag in ('ul', 'ol') and kind = 'open' then 1 else 0 end) over w list_no,
+        max_by(case when tag = 'ol' then 1 else 0 end, case when tag in ('ul', 'ol') and kind = 'open' then pos end) over w ordered, max_by(coalesce(href, ''), case when tag = 'a' and kind = 'open' then pos end) over w link,
         {opened('table')} tbl, {opened('tr')} r, {opened('td th')} c, max(case when tag in ('td', 'th', 'tr', 'table') and kind = 'close' then pos end) over w cell_end,
         {opened('caption')} caption, max(case when tag = 'caption' and kind = 'close' then pos end) over w caption_end
-      from block_runs window w as (partition by doc_id order by pos rows between unbounded preceding and current row)"""
+      from clean_runs window w as (partition by doc_id order by pos rows between unbounded preceding and current row)"""
 
 
-def _blocks(d: Spark, where: str) -> str:
-    """(doc_id, run, opener, depth, number, ordered, text): blocks with the depth of their list and their number in it."""
-    text = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
-    return f"""select doc_id, run, opener, depth, text, row_number() over (partition by doc_id, list_no, opener order by run) number, ordered from (
-      select doc_id, run, min(case when first_row and kind = 'open' then tag end) opener, max(depth) depth, max(list_no) list_no, max(ordered) ordered, {text} text from (
-        select *, pos = min(pos) over (partition by doc_id, run) first_row from block_tokens where {where}) r group by doc_id, run) t where text <> ''"""
+def _picture(d: Spark) -> str:
+    """What stands for a picture: its description, or that it has none; nothing for a decorative one."""
+    return f"case when trim(coalesce(alt, '')) <> '' then ' Picture: ' || {squeeze(d, 'alt')} || ' ' when needs = 1 then ' Picture with no description. ' else '' end"
 
 
-@view
-def page_blocks(d: Spark) -> str:
-    return _blocks(d, "true")
+def _said(d: Spark) -> str:
+    return f"case when kind = 'text' then {decoded('tok')} when tag = 'img' then {_picture(d)} when tag = 'br' then ' ' else '' end"
+
+
+def _marked(d: Spark) -> str:
+    """A token in markdown: emphasis, code and links around escaped text."""
+    return f"""case when kind = 'text' then {escaped(d, decoded('tok'))} when tag = 'img' then {escaped(d, _picture(d))} when tag = 'br' then ' ' when tag = 'strong' then '**' when tag = 'em' then '*' when tag = 'code' then '`'
+      when tag = 'a' and kind = 'open' then '[' when tag = 'a' and kind = 'close' then '](' || coalesce(link, '') || ')' else '' end"""
+
+
+def _blocks(d: Spark, where: str) -> str:
+    """(doc_id, run, opener, depth, quoted, number, ordered, text, marked): blocks with the depth of their list and their number in it, as text and in markdown."""
+    return f"""select doc_id, run, opener, depth, quoted, text, marked, row_number() over (partition by doc_id, list_no, opener order by run) number, ordered from (
+      select doc_id, run, min(case when first_row and kind = 'open' then tag end) opener, max(depth) depth, max(quoted) quoted, max(list_no) list_no, max(ordered) ordered, {squeeze(d, d.join(_said(d), '', 'pos'))} text, {squeeze(d, d.join(_marked(d), '', 'pos'))} marked from (
+        select *, pos = min(pos) over (partition by doc_id, run) first_row from block_tokens where {where}) r group by doc_id, run) t where text <> ''"""
 
 
 @view
@@ -119,8 +140,24 @@ def escaped(d: Spark, s: str) -> str:
 @view
 def page_cells(d: Spark) -> str:
     """(doc_id, tbl, r, c, text): the cells of the pages' tables, each named by where it opens; empty ones too."""
-    text = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
-    return f"select doc_id, tbl, r, c, coalesce({text}, '') text from block_tokens where table_depth > 0 and r > tbl and c > r and (cell_end is null or c > cell_end) group by doc_id, tbl, r, c"
+    from .html import BLOCKS
+
+    piece = f"case when kind <> 'text' and tag in ({words(BLOCKS)}) then ' ' else {_said(d)} end"
+    return f"select doc_id, tbl, r, c, coalesce({squeeze(d, d.join(piece, '', 'pos'))}, '') text from block_tokens where table_depth > 0 and r > tbl and c > r and (cell_end is null or c > cell_end) group by doc_id, tbl, r, c"
+
+
+@view
+def page_captions(d: Spark) -> str:
+    """(doc_id, run, text): the captions of the pages' tables, at the place of the table."""
+    caption = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
+    return f"""select doc_id, run, text from (select doc_id, caption, min(t_run) run, {caption} text from (select *, max(case when pos = tbl then run end) over (partition by doc_id, tbl) t_run from block_tokens) x
+      where table_depth > 0 and caption > tbl and (caption_end is null or caption > caption_end) and kind = 'text' group by doc_id, caption) c where text <> ''"""
+
+
+@view
+def page_titles(d: Spark) -> str:
+    """Titles of pages that have no level 1 heading to carry them."""
+    return "select m.doc_id, m.title from page_meta m left join (select distinct doc_id from clean_tokens where tag = 'h1') h on h.doc_id = m.doc_id where h.doc_id is null and m.title <> ''"
 
 
 def _tables(d: Spark, cells: str, columns: str) -> str:
@@ -140,22 +177,27 @@ def table_markdown(d: Spark) -> str:
 
 @operator
 def corpus_to_text(d: Spark) -> str:
-    """List items with a star or their number, two spaces a level; other blocks as they are."""
+    """The title where no heading carries it, list items with a star or their number and two spaces a level, the cells of a row on one
+    line, pictures by their description; other blocks as they are."""
     line = "case when opener = 'li' then repeat('  ', cast(greatest(depth - 1, 0) as int)) || case when ordered = 1 then cast(number as string) || '. ' else '* ' end || text else text end"
-    return f"select doc_id, {d.join(line, chr(10), 'run')} body from page_blocks group by doc_id"
+    return f"""select doc_id, {d.join('line', chr(10), 'run, part')} body from (
+        select doc_id, run, 2 part, {line} line from loose_blocks
+        union all select c.doc_id, s.run, 1, {d.join('c.text', '    ', 'c.c')} from page_cells c join (select doc_id, pos, run from block_tokens where tag = 'tr' and kind = 'open') s on s.doc_id = c.doc_id and s.pos = c.r group by c.doc_id, c.tbl, c.r, s.run
+        union all select doc_id, run, 0, text from page_captions
+        union all select doc_id, -1, 0, title || chr(10) from page_titles) m group by doc_id"""
 
 
 @operator
 def corpus_to_markdown(d: Spark) -> str:
-    """Headings with number signs, items with four spaces a level, tables between bars below their caption, marks escaped."""
-    line = f"""case when opener in ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') then repeat('#', cast(substr(opener, 2, 1) as int)) || ' ' || esc
-      when opener = 'li' then repeat('    ', cast(greatest(depth - 1, 0) as int)) || case when ordered = 1 then cast(number as string) || '. ' else '- ' end || esc when opener = 'blockquote' then '> ' || esc else esc end"""
-    caption = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
+    """The title where no heading carries it, headings with number signs, items with four spaces a level, emphasis, code and links, tables
+    between bars below their caption, pictures by their description; marks in text escaped."""
+    line = """case when opener in ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') then repeat('#', cast(substr(opener, 2, 1) as int)) || ' ' || marked
+      when opener = 'li' then repeat('    ', cast(greatest(depth - 1, 0) as int)) || case when ordered = 1 then cast(number as string) || '. ' else '- ' end || marked when quoted > 0 then '> ' || marked else marked end"""
     return f"""select doc_id, {d.join('line', chr(10) + chr(10), 'run, part')} body from (
-        select doc_id, run, 2 part, {line} line from (select *, {escaped(d, 'text')} esc from loose_blocks) b
+        select doc_id, run, 2 part, {line} line from loose_blocks
         union all select t.doc_id, s.run, 1, t.body from ({_tables(d, 'page_cells', 'doc_id, tbl')}) t join (select doc_id, tbl, min(run) run from block_tokens where pos = tbl group by doc_id, tbl) s on s.doc_id = t.doc_id and s.tbl = t.tbl
-        union all select doc_id, run, 0, {escaped(d, 'text')} from (select doc_id, caption, min(t_run) run, {caption} text from (select *, max(case when pos = tbl then run end) over (partition by doc_id, tbl) t_run from block_tokens) x
-          where table_depth > 0 and caption > tbl and (caption_end is null or caption > caption_end) and kind = 'text' group by doc_id, caption) c where text <> '') m group by doc_id"""
+        union all select doc_id, run, 0, {escaped(d, 'text')} from page_captions
+        union all select doc_id, -1, 0, '# ' || {escaped(d, 'title')} from page_titles) m group by doc_id"""
 
 
 # Extensions and what they stand for.

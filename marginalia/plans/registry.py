@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.functions.dialect import DUCK, SPARK, Spark
-from marginalia.operators import BUILT, OPERATORS, STORED, VIEWS
+from marginalia.operators import ALWAYS, BUILT, OPERATORS, STORED, VIEWS
 from marginalia.sources.files import saved
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -123,7 +123,7 @@ def run(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> Data
     for name in [n for n in views if n in STORED]:
         rest = needed(body, SPARK, inputs)
         reads = sum(len(re.findall(rf"\b(?:from|join)\s+{name}\b", text)) for text in [body, *rest.values()])
-        if name in rest and reads > 1:
+        if name in rest and (reads > 1 or name in ALWAYS):
             select = f"select * from {name}"
             inputs[name] = saved(_sql(spark, select, _read(select, inputs)))
     return _sql(spark, body, _read(body, inputs))

@@ -496,3 +496,18 @@ def test_streams_work_on_what_arrives(spark, tmp_path):
     arrive(3, [(1, 103, "2026-01-04", "newest")])
     arrivals.keep_latest(stream(), f"{tmp_path}/out")
     assert (1, 103, "newest") in got() and len(got()) == 51
+
+
+def test_pages_as_text_and_markdown(spark):
+    html = f'<html><head><title>Mine</title></head><body><h2>Items</h2><p>a <b>bold</b> and <i>it</i>, <a href="https://e.example/">a link</a> *x* <code>c</code></p><p>un<b>closed</p><ul><li>One<ul><li>Nested</li></ul></li></ul><blockquote>Quoted</blockquote><img src="{PICTURE}" alt="A red square"><img src="{PICTURE}"><table><caption>Cap</caption><tr><th>Item<th>Cost<tr><td>Tea<td>2</table></body></html>'
+    pages = (HTML_PAGES, [(1, "u", html), (2, "u", "<title>T</title><h1>Own</h1>")])
+    text = dict(run(spark, "corpus_to_text", "doc_id", "body", pages=pages))
+    assert text[1].split("\n") == ["Mine", "", "Items", "a bold and it, a link *x* c", "unclosed", "* One", "  * Nested", "Quoted", "Picture: A red square Picture with no description.", "Cap", "Item    Cost", "Tea    2"]
+    marked = dict(run(spark, "corpus_to_markdown", "doc_id", "body", pages=pages))
+    assert marked[1].split("\n\n") == ["# Mine", "## Items", "a **bold** and *it*, [a link](https://e.example/) \\*x\\* `c`", "un**closed**", "- One", "    - Nested", "> Quoted", "Picture: A red square Picture with no description.", "Cap", "| Item | Cost |\n| --- | --- |\n| Tea | 2 |"]
+    assert text[2] == "Own" and marked[2] == "# Own"
+
+
+def test_warnings_of_pictures(spark):
+    html = f'<img src="{PICTURE}" alt="a" data-alt-source="ai:x"><img src="{PICTURE}" alt="b" data-alt-source="pdf"><img src="https://e.example/x.png" alt=""><img src="{PICTURE}">'
+    assert run(spark, "clean_warnings", "ord", "warning", "n", pages=(HTML_PAGES, [(1, "u", html)])) == [(1, "no description", 1), (2, "description by a model", 1), (3, "recovered description", 1), (7, "pictures dropped", 1)]
