@@ -88,6 +88,27 @@ def decoded(s: str) -> str:
     return s
 
 
+ATTR = r"""[a-zA-Z][a-zA-Z0-9:_-]*\s*=\s*"[^"]*"|[a-zA-Z][a-zA-Z0-9:_-]*\s*=\s*'[^']*'"""
+
+
+def _unquoted(d: Spark, tok: str) -> str:
+    """A tag with its quoted values left out, so that no value looks like an attribute."""
+    return d.sub(tok, '"[^"]*"' + "|'[^']*'", '""')
+
+
+def has_attribute(d: Spark, tok: str, name: str) -> str:
+    """Whether a tag has the attribute, with a value or without."""
+    return d.like(_unquoted(d, tok), rf'(?i)["\s/]{name}(\s|=|/|>|$)')
+
+
+def attribute(d: Spark, tok: str, name: str) -> str:
+    """The value of a tag's attribute, quoted or not; an empty text where it has none."""
+    every, mine = d.extract_all(tok, ATTR, 0), d.like("y", rf"(?i)^{name}\s*=")
+    first = f"list_filter({every}, lambda y: {mine})[1]" if d.name == "duck" else f"get(filter({every}, y -> {mine}), 0)"
+    quoted = decoded(d.sub(d.extract(first, r"(?s)=\s*(.*)$", 1), r"""^["']|["']$"""))
+    return f"coalesce({quoted}, {d.extract(_unquoted(d, tok), rf"""(?i)["\s/]{name}\s*=\s*([^\s"'>]+)""", 1)})"
+
+
 def bad_share(d: Spark, s: str) -> str:
     """Share of characters other than white space that no reader can use; 0 for none."""
     solid = d.sub(s, SPACE, "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import decoded, operator, squeeze, stored, view
+from .base import attribute, decoded, has_attribute, operator, squeeze, stored, view
 from .html import HEADINGS, words
 
 # Link words that say nothing.
@@ -53,33 +53,57 @@ def _links_of_tokens(d: Spark) -> str:
         where a_open > coalesce(a_close, -1) group by doc_id, a_open) t where closed = 1"""
 
 
+def _pictures_of_tokens(d: Spark) -> str:
+    return f"select doc_id, row_number() over (partition by doc_id order by pos) ordinal, {attribute(d, 'tok', 'alt')} text, tok mark from tokens where tag = 'img' and kind = 'void'"
+
+
+def _tables_of_tokens(d: Spark) -> str:
+    """The check's way: each table by itself, against the tokens after it."""
+    text = d.join(decoded("t.tok"), "", "t.pos", "t.kind = 'text' and t.pos < o.text_end")
+    return f"""
+      select o.doc_id, row_number() over (partition by o.doc_id order by o.pos) ordinal, coalesce({text}, '') text, count(case when t.kind = 'open' and t.tag = 'th' then 1 end) n_th, count(case when t.kind = 'open' and t.tag = 'caption' then 1 end) > 0 has_caption from (
+        select doc_id, pos, coalesce(lead(case when kind = 'open' then pos end ignore nulls) over w, 9e18) next_open, coalesce(lead(pos) over w, 9e18) text_end, kind
+        from tokens where tag = 'table' window w as (partition by doc_id order by pos)) o
+      left join tokens t on t.doc_id = o.doc_id and t.pos > o.pos and t.pos < o.next_open where o.kind = 'open' group by o.doc_id, o.pos"""
+
+
 @stored
 def page_parts(d: Spark) -> str:
-    """(doc_id, kind, ordinal, level, text): headings, paragraphs and links of the pages, in one pass over their tokens.
+    """(doc_id, kind, ordinal, level, text, mark, n_th, has_caption): headings, paragraphs, links, pictures and tables of the pages, in
+    one pass over their tokens.
 
     A heading runs from its last open to the next heading close; one that is never closed is none. A paragraph runs from
     the first p open after the last p close to the next p close, outside headings. A link's text runs from its last open
-    to the next close. A token belongs to a link, and to a heading or a paragraph; all windows and the sums are by page.
-    The check of this in DuckDB reads the tokens once for each kind.
+    to the next close. A picture's text is its description, ``mark`` its tag. A table has the header cells and captions up to the next
+    table's open; its text ends where any table opens or closes. A token may belong to one part of each kind; all windows and the sums
+    are by page. The check of this in DuckDB reads the tokens once for each kind.
     """
     if d.name == "duck":
-        return f"""select doc_id, 'heading' kind, ordinal, level, text from ({_headings_of_tokens(d)}) h union all select doc_id, 'paragraph', ordinal, null, text from ({_paragraphs_of_tokens(d)}) p
-          union all select doc_id, 'link', ordinal, null, text from ({_links_of_tokens(d)}) l"""
-    before = "rows between unbounded preceding and 1 preceding"
+        none = "null, null, null"
+        return f"""select doc_id, 'heading' kind, ordinal, level, text, cast(null as varchar) mark, cast(null as bigint) n_th, cast(null as boolean) has_caption from ({_headings_of_tokens(d)}) h
+          union all select doc_id, 'paragraph', ordinal, null, text, {none} from ({_paragraphs_of_tokens(d)}) p union all select doc_id, 'link', ordinal, null, text, {none} from ({_links_of_tokens(d)}) l
+          union all select doc_id, 'picture', ordinal, null, text, mark, null, null from ({_pictures_of_tokens(d)}) i union all select doc_id, 'table', ordinal, null, text, null, n_th, has_caption from ({_tables_of_tokens(d)}) t"""
+    before, so_far = "rows between unbounded preceding and 1 preceding", "rows between unbounded preceding and current row"
     p_close = "tag = 'p' and kind = 'close'"
     text = d.join(decoded("tok"), "", "pos", "kind = 'text' and pos > start")
+    table = "part = 'table' and kind = 'open' and tag"
     return f"""
-      select doc_id, part kind, row_number() over (partition by doc_id, part order by start) ordinal, level, text from (
-        select doc_id, part, start, max(level) level, coalesce({text}, '') text from (
-          select doc_id, pos, kind, tok, m.part, m.start, m.ends, case when pos = m.start and m.part = 'heading' then cast(substr(tag, 2, 1) as int) end level from (
+      select doc_id, part kind, row_number() over (partition by doc_id, part order by start) ordinal, level, case when part = 'picture' then {attribute(d, 'mark', 'alt')} else text end text, mark,
+             case when part = 'table' then n_th end n_th, case when part = 'table' then captions > 0 end has_caption from (
+        select doc_id, part, start, max(level) level, coalesce({text}, '') text, max(case when part = 'picture' then tok end) mark, count_if({table} = 'th') n_th, count_if({table} = 'caption') captions from (
+          select doc_id, pos, kind, tag, tok, m.part, m.start, m.ends, case when pos = m.start and m.part = 'heading' then cast(substr(tag, 2, 1) as int) end level from (
             select *, explode(array_compact(array(
               case when in_heading then named_struct('part', 'heading', 'start', h_open, 'ends', ends) end,
               case when not in_heading and pos >= p_open then named_struct('part', 'paragraph', 'start', p_open, 'ends', {p_close}) end,
-              case when a_open > coalesce(a_close, -1) then named_struct('part', 'link', 'start', a_open, 'ends', tag = 'a' and kind = 'close') end))) m
+              case when a_open > coalesce(a_close, -1) then named_struct('part', 'link', 'start', a_open, 'ends', tag = 'a' and kind = 'close') end,
+              case when tag = 'img' and kind = 'void' then named_struct('part', 'picture', 'start', pos, 'ends', true) end,
+              case when t_open = t_last or (t_open < t_last and kind = 'open' and tag in ('th', 'caption')) then named_struct('part', 'table', 'start', t_open, 'ends', true) end))) m
             from (select *, min(case when not in_heading and tag = 'p' and kind = 'open' then pos end) over (partition by doc_id, zone, in_heading, closes) p_open from (
-              select *, sum(case when {p_close} then 1 else 0 end) over (partition by doc_id, zone, in_heading order by pos rows between unbounded preceding and current row) - case when {p_close} then 1 else 0 end closes,
-                     max(case when tag = 'a' and kind = 'open' then pos end) over (partition by doc_id order by pos rows between unbounded preceding and current row) a_open,
-                     max(case when tag = 'a' and kind = 'close' then pos end) over (partition by doc_id order by pos {before}) a_close
+              select *, sum(case when {p_close} then 1 else 0 end) over (partition by doc_id, zone, in_heading order by pos {so_far}) - case when {p_close} then 1 else 0 end closes,
+                     max(case when tag = 'a' and kind = 'open' then pos end) over (partition by doc_id order by pos {so_far}) a_open,
+                     max(case when tag = 'a' and kind = 'close' then pos end) over (partition by doc_id order by pos {before}) a_close,
+                     max(case when tag = 'table' and kind = 'open' then pos end) over (partition by doc_id order by pos {so_far}) t_open,
+                     max(case when tag = 'table' then pos end) over (partition by doc_id order by pos {so_far}) t_last
               from collected) a) b) c) e
         group by doc_id, part, start having bool_or(ends)) t"""
 
@@ -99,6 +123,17 @@ def links(d: Spark) -> str:
     return "select doc_id, ordinal, text from page_parts where kind = 'link'"
 
 
+@view
+def page_pictures(d: Spark) -> str:
+    return f"""select doc_id, ordinal, text alt, {has_attribute(d, 'mark', 'alt')} has_alt, {has_attribute(d, 'mark', 'data-needs-alt')} needs_alt, {attribute(d, 'mark', 'data-alt-source')} alt_source
+      from page_parts where kind = 'picture'"""
+
+
+@view
+def page_tables(d: Spark) -> str:
+    return "select doc_id, ordinal, n_th, has_caption from page_parts where kind = 'table'"
+
+
 @operator
 def parts_extract(d: Spark) -> str:
     return "select doc_id, kind, ordinal, text from page_parts"
@@ -117,21 +152,31 @@ def page_meta(d: Spark) -> str:
     return f"select page_id doc_id, {title} title, {lang} lang, {host} source from pages"
 
 
+def _short(d: Spark, s: str) -> str:
+    """A text of 40 characters at most."""
+    plain = squeeze(d, s)
+    return f"case when length({plain}) <= 40 then {plain} else rtrim(substr({plain}, 1, 37)) || '...' end"
+
+
+# What the checks find: (doc_id, key, severity, kind, ordinal, detail); detail is what a finding says beyond its key and place.
+
+
 def _caps(d: Spark, source: str) -> str:
     letters, upper = d.count("text", r"\p{L}"), d.count("text", r"\p{Lu}")
-    return f"""select doc_id, 'caps' key, 'review' severity, 'paragraph' kind, min(ordinal) ordinal from (
-        select doc_id, ordinal, {letters} letters, {upper} upper from {source}) c where letters > 40 and cast(upper as double) / letters > 0.9 group by doc_id"""
+    return f"""select doc_id, 'caps' key, 'review' severity, 'paragraph' kind, min(ordinal) ordinal, min_by({_short(d, 'text')}, ordinal) detail from (
+        select doc_id, ordinal, text, {letters} letters, {upper} upper from {source}) c where letters > 40 and cast(upper as double) / letters > 0.9 group by doc_id"""
 
 
-def _headings(source: str) -> str:
+def _headings(d: Spark, source: str) -> str:
     """Empty, first and skipping headings; empty ones do not count as the previous."""
     prev = "coalesce(max_by(case when solid then level end, case when solid then ordinal end) over (partition by doc_id order by ordinal rows between unbounded preceding and 1 preceding), 0)"
-    return f"""select doc_id, case when not solid then 'empty_heading' when previous = 0 then 'first_heading' else 'heading_skip' end key, 'fix' severity, 'heading' kind, ordinal from (
+    said = f"{_short(d, 'text')} || ': ' || cast(level as string) || case when previous > 0 then ' after ' || cast(previous as string) else '' end"
+    return f"""select doc_id, case when not solid then 'empty_heading' when previous = 0 then 'first_heading' else 'heading_skip' end key, 'fix' severity, 'heading' kind, ordinal, case when solid then {said} else '' end detail from (
         select *, {prev} previous from (select *, trim(text) <> '' solid from {source}) a) b where not solid or level > previous + 1"""
 
 
 def _pictures(source: str) -> str:
-    return f"""select doc_id, key, case when key = 'picture' then 'fix' else 'review' end severity, 'picture' kind, ordinal from (
+    return f"""select doc_id, key, case when key = 'picture' then 'fix' else 'review' end severity, 'picture' kind, ordinal, '' detail from (
         select doc_id, ordinal, case when trim(coalesce(alt, '')) = '' and (needs_alt or not has_alt) then 'picture' when alt_source like 'ai%' then 'ai_picture'
                when alt_source = 'pdf' and needs_alt then 'recovered_picture' end key from {source}) p where key is not null"""
 
@@ -139,14 +184,21 @@ def _pictures(source: str) -> str:
 def _links(d: Spark, source: str) -> str:
     plain = squeeze(d, "text")
     vague = ", ".join(f"'{v}'" for v in VAGUE)
-    return f"""select doc_id, key, case when key = 'link_empty' then 'fix' else 'review' end severity, 'link' kind, ordinal from (
-        select doc_id, ordinal, case when plain = '' then 'link_empty' when {d.sub('lower(plain)', r'[.!]+$')} in ({vague}) then 'link_vague'
+    return f"""select doc_id, key, case when key = 'link_empty' then 'fix' else 'review' end severity, 'link' kind, ordinal, case when key = 'link_vague' then plain else '' end detail from (
+        select doc_id, ordinal, plain, case when plain = '' then 'link_empty' when {d.sub('lower(plain)', r'[.!]+$')} in ({vague}) then 'link_vague'
                when {d.like('plain', r'(?i)^(https?://|www\.)\S+$')} then 'link_address' end key from (select doc_id, ordinal, {plain} plain from {source}) s) l where key is not null"""
 
 
 def _tables(source: str) -> str:
-    return f"""select doc_id, 'table_header' key, 'fix' severity, 'table' kind, ordinal from {source} where n_th = 0
-        union all select doc_id, 'table_caption', 'review', 'table', ordinal from {source} where not has_caption"""
+    return f"""select doc_id, 'table_header' key, 'fix' severity, 'table' kind, ordinal, '' detail from {source} where n_th = 0
+        union all select doc_id, 'table_caption', 'review', 'table', ordinal, '' from {source} where not has_caption"""
+
+
+def _extracted(d: Spark, suffix: str = "") -> str:
+    """Findings on extracted documents, from one check or the one before it."""
+    parts = (_headings(d, f"fx_headings{suffix}"), _pictures(f"fx_pictures{suffix}"), _links(d, f"fx_links{suffix}"), _tables(f"fx_tables{suffix}"))
+    union = " union all ".join(f"select * from ({f}) i{k}" for k, f in enumerate(parts))
+    return f"select 'extract' origin, doc_id, key, severity, kind, cast(ordinal as bigint) ordinal, detail from ({union}) x"
 
 
 @view
@@ -154,35 +206,34 @@ def page_issues(d: Spark) -> str:
     """Every finding on the pages."""
     n_words = d.count("text", r"[^ \t\n\r\f\v]+")
     return f"""
-      select doc_id, 'title' key, 'fix' severity, '' kind, cast(0 as bigint) ordinal from page_meta where title = ''
-      union all select doc_id, 'lang', 'fix', '', 0 from page_meta where trim(lang) = ''
-      union all select doc_id, 'no_headings', 'review', '', 0 from (select doc_id, sum({n_words}) n from paragraphs group by doc_id) p
+      select doc_id, 'title' key, 'fix' severity, '' kind, cast(0 as bigint) ordinal, '' detail from page_meta where title = ''
+      union all select doc_id, 'lang', 'fix', '', 0, '' from page_meta where trim(lang) = ''
+      union all select doc_id, 'no_headings', 'review', '', 0, '' from (select doc_id, sum({n_words}) n from paragraphs group by doc_id) p
                 where n > 120 and not exists (select 1 from headings h where h.doc_id = p.doc_id)
-      union all {_headings('headings')} union all {_links(d, 'links')} union all {_caps(d, 'paragraphs')}"""
+      union all {_headings(d, 'headings')} union all {_pictures('page_pictures')} union all {_links(d, 'links')} union all {_tables('page_tables')} union all {_caps(d, 'paragraphs')}"""
 
 
-#: Documents of the extracted parts stand beside the pages under numbers of their own.
-_PARTS = 1_000_000_000
+# A document is known by where it comes from (origin: page or extract) and its doc_id there.
 
 
 @view
 def all_parts(d: Spark) -> str:
-    """(doc_id, kind, ordinal, text) of the pages' and the extracted documents' parts."""
-    return f"""select doc_id, kind, ordinal, text from page_parts
-      union all select doc_id + {_PARTS}, 'heading', cast(ordinal as bigint), text from fx_headings union all select doc_id + {_PARTS}, 'link', cast(ordinal as bigint), text from fx_links
-      union all select doc_id + {_PARTS}, 'picture', cast(ordinal as bigint), coalesce(alt, '') from fx_pictures"""
+    """(origin, doc_id, kind, ordinal, text) of the pages' and the extracted documents' parts."""
+    return f"""select 'page' origin, doc_id, kind, ordinal, text from page_parts
+      union all select 'extract', doc_id, 'heading', cast(ordinal as bigint), text from fx_headings union all select 'extract', doc_id, 'link', cast(ordinal as bigint), text from fx_links
+      union all select 'extract', doc_id, 'picture', cast(ordinal as bigint), coalesce(alt, '') from fx_pictures
+      union all select 'extract', doc_id, 'table', cast(tbl as bigint), {d.join('text', ' ', 'r, c')} from fx_cells group by doc_id, tbl"""
 
 
 @view
 def all_docs(d: Spark) -> str:
-    return f"select doc_id, source from page_meta union all select distinct doc_id + {_PARTS}, 'extracted ' || cast(doc_id % 7 as string) from fx_li"
+    return "select 'page' origin, doc_id, source from page_meta union all select distinct 'extract', doc_id, 'extracted ' || cast(doc_id % 7 as string) from fx_li"
 
 
 @view
 def issues(d: Spark) -> str:
     """Every finding, on the pages and on the extracted documents."""
-    parts = " union all ".join(f"select * from ({f}) i{k}" for k, f in enumerate((_headings("fx_headings"), _pictures("fx_pictures"), _links(d, "fx_links"), _tables("fx_tables"))))
-    return f"select doc_id, key, severity, kind, ordinal from page_issues union all select doc_id + {_PARTS}, key, severity, kind, cast(ordinal as bigint) from ({parts}) x"
+    return f"select 'page' origin, doc_id, key, severity, kind, ordinal, detail from page_issues union all {_extracted(d)}"
 
 
 # The order in which findings are made.
@@ -192,7 +243,7 @@ RULES = "title lang no_headings empty_heading first_heading heading_skip picture
 
 @operator
 def issues_all(d: Spark) -> str:
-    return "select doc_id, key, severity, kind, ordinal from issues"
+    return "select origin, doc_id, key, severity, kind, ordinal, detail from issues"
 
 
 @operator
@@ -222,7 +273,7 @@ def _fixture_issue(name: str, key: str, source) -> None:
 
 
 for _key in ("empty_heading", "first_heading", "heading_skip"):
-    _fixture_issue(f"issue_{_key}", _key, lambda d: _headings("fx_headings"))
+    _fixture_issue(f"issue_{_key}", _key, lambda d: _headings(d, "fx_headings"))
 for _key in ("picture", "ai_picture", "recovered_picture"):
     _fixture_issue(f"issue_{_key}", _key, lambda d: _pictures("fx_pictures"))
 for _key in ("link_empty", "link_vague", "link_address"):
@@ -239,37 +290,52 @@ def _rule(key: str = "key") -> str:
 @operator
 def issues_ordered(d: Spark) -> str:
     """What must be fixed before what should be reviewed, each in the order of the rules."""
-    return f"""select doc_id, row_number() over (partition by doc_id order by case when severity = 'fix' then 0 else 1 end, {_rule()}, ordinal) ord, key, severity, kind, ordinal from issues"""
+    return f"""select origin, doc_id, row_number() over (partition by origin, doc_id order by case when severity = 'fix' then 0 else 1 end, {_rule()}, ordinal) ord, key, severity, kind, ordinal, detail from issues"""
 
 
 @operator
 def issues_summary(d: Spark) -> str:
-    return """select m.doc_id, count_if(i.severity = 'fix') fix, count_if(i.severity = 'review') review from all_docs m left join issues i on i.doc_id = m.doc_id group by m.doc_id"""
+    return """select m.origin, m.doc_id, count_if(i.severity = 'fix') fix, count_if(i.severity = 'review') review
+      from all_docs m left join issues i on i.origin = m.origin and i.doc_id = m.doc_id group by m.origin, m.doc_id"""
 
 
 @operator
 def issues_rollup(d: Spark) -> str:
-    """Findings by key, severity and host, with subtotals."""
-    return """
-      select key, severity, source, cast(sum(n) as bigint) n, count(distinct doc_id) docs, cast(grouping(key) + grouping(severity) + grouping(source) as int) level
-      from (select key, severity, source, i.doc_id, count(*) n from issues i join all_docs m on m.doc_id = i.doc_id group by key, severity, source, i.doc_id) f group by rollup (key, severity, source)"""
+    """Findings by key, severity and host, with subtotals. Findings are counted by document first."""
+    return f"""
+      select key, severity, source, cast(sum(n) as bigint) n, count(distinct doc) docs, cast(grouping(key) + grouping(severity) + grouping(source) as int) level
+      from (select key, severity, source, {d.struct(origin='i.origin', doc_id='i.doc_id')} doc, count(*) n from issues i join all_docs m on m.origin = i.origin and m.doc_id = i.doc_id
+            group by key, severity, source, i.origin, i.doc_id) f group by rollup (key, severity, source)"""
+
+
+@view
+def checked_before(d: Spark) -> str:
+    return _extracted(d, "_prev")
+
+
+@view
+def checked_now(d: Spark) -> str:
+    return _extracted(d)
 
 
 @operator
 def issues_diff(d: Spark) -> str:
-    """New, resolved and kept findings between two checks of the same documents."""
+    """New, resolved and kept findings between two checks of the same documents (``checked_before`` and ``checked_now``, as issues_all
+    gives them). A finding is the same where its key, kind, place and detail are; a null doc_id is one document."""
+    names = "origin doc_id key kind ordinal detail".split()
+    columns = ", ".join(f"coalesce(a.{c}, b.{c}) {c}" for c in names)
+    same = " and ".join(f"a.{c} is not distinct from b.{c}" if c == "doc_id" else f"a.{c} = b.{c}" for c in names)
     return f"""
-      select coalesce(a.doc_id, b.doc_id) doc_id, coalesce(a.key, b.key) key, coalesce(a.ordinal, b.ordinal) ordinal,
-             case when a.doc_id is null then 'new' when b.doc_id is null then 'resolved' else 'kept' end change
-      from ({_headings('fx_headings_prev')}) a full outer join ({_headings('fx_headings')}) b on a.doc_id = b.doc_id and a.key = b.key and a.ordinal = b.ordinal"""
+      select {columns}, case when a.key is null then 'new' when b.key is null then 'resolved' else 'kept' end change
+      from checked_before a full outer join checked_now b on {same}"""
 
 
 @operator
 def issue_locator(d: Spark) -> str:
     """A finding with the first 80 characters of the part it is about."""
     return f"""
-      select i.doc_id, i.key, i.kind, i.ordinal, substr({squeeze(d, 'p.text')}, 1, 80) text from issues i
-      join all_parts p on p.doc_id = i.doc_id and p.kind = i.kind and p.ordinal = i.ordinal"""
+      select i.origin, i.doc_id, i.key, i.kind, i.ordinal, substr({squeeze(d, 'p.text')}, 1, 80) text from issues i
+      join all_parts p on p.origin = i.origin and p.doc_id = i.doc_id and p.kind = i.kind and p.ordinal = i.ordinal"""
 
 
 @operator

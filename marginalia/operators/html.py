@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import decoded, is_lang, operator, squeeze, view, words
+from .base import ATTR, decoded, is_lang, operator, squeeze, view, words
 
 # What becomes of each element of a page.
 KEPT = "h1 h2 h3 h4 h5 h6 p ul ol li blockquote strong em u s code sup sub br hr a img figure figcaption table caption thead tbody tfoot tr th td pre"
@@ -21,7 +21,6 @@ KEPT_ATTRS = "href src alt role lang scope colspan rowspan class data-needs-alt
 # End of fixed values.
 
 TOKEN = r"""(?s)(<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*){0,200}>|[^<]+|<)"""
-ATTR = r"""[a-zA-Z][a-zA-Z0-9:_-]*\s*=\s*"[^"]*"|[a-zA-Z][a-zA-Z0-9:_-]*\s*=\s*'[^']*'"""
 
 
 def tokens_of(d: Spark, source: str) -> str:

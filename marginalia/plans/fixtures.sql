@@ -195,6 +195,9 @@ select p_partkey doc_id, case p_size % 4 when 0 then 'A4' when 1 then 'letter' w
        case p_size % 3 when 0 then 'en-US' when 1 then '' else 'not a code' end lang from part;
 -- before / after for the issue diff
 create view fx_headings_prev as select * from fx_headings where ordinal % 5 <> 4;
+create view fx_pictures_prev as select doc_id, ordinal, alt, has_alt, not needs_alt needs_alt, alt_source from fx_pictures where ordinal % 5 <> 3;
+create view fx_links_prev as select doc_id, ordinal, case when ordinal % 4 = 1 then 'more' else text end text from fx_links where ordinal % 6 <> 5;
+create view fx_tables_prev as select doc_id, ordinal, cast(ordinal % 2 as int) * n_th n_th, has_caption from fx_tables;
 -- texts and pages with what the given ones lack, for rules over a whole table
 create view fx_symbol_texts as select doc_id, case when doc_id % 8 = 0 then '�' || substr(text, 3) else text end text from documents;
 create view fx_control_texts as select doc_id, case when doc_id % 8 = 0 then chr(7) || text else text end text from documents;

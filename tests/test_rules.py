@@ -511,3 +511,29 @@ def test_pages_as_text_and_markdown(spark):
 def test_warnings_of_pictures(spark):
     html = f'<img src="{PICTURE}" alt="a" data-alt-source="ai:x"><img src="{PICTURE}" alt="b" data-alt-source="pdf"><img src="https://e.example/x.png" alt=""><img src="{PICTURE}">'
     assert run(spark, "clean_warnings", "ord", "warning", "n", pages=(HTML_PAGES, [(1, "u", html)])) == [(1, "no description", 1), (2, "description by a model", 1), (3, "recovered description", 1), (7, "pictures dropped", 1)]
+
+
+def test_pictures_and_tables_of_pages_are_checked(spark):
+    html = ("<p>x</p><img src='a.png' title=' alt=\"no\"'><img src=b alt=plain data-needs-alt data-alt-source='pdf'><img alt='' role=presentation><IMG ALT=\"A &amp; b\" data-alt-source=\"ai:x\" />"
+            "<table><caption>Cap</caption><tr><th>H</th></tr><tr><td>one<table><tr><td>in</td></tr></table>late</td></tr></table>after")
+    pages = ("page_id long, url string, html string", [(1, "https://h.example/", html), (2, None, None), (None, "x", "<img>")])
+    parts = run(spark, "parts_extract", "doc_id", "kind", "ordinal", "text", pages=pages)
+    assert [p[2:] for p in parts if p[:2] == (1, "picture")] == [(1, ""), (2, "plain"), (3, ""), (4, "A & b")]
+    assert [p[2:] for p in parts if p[:2] == (1, "table")] == [(1, "CapHone"), (2, "in")]
+    found = run(spark, "page_findings", "doc_id", "key", "ordinal", pages=pages)
+    own = {(k, o) for i, k, o in found if i == 1 and k not in ("title", "lang")}
+    assert own == {("picture", 1), ("recovered_picture", 2), ("ai_picture", 4), ("table_header", 2), ("table_caption", 2)}
+    assert (None, "picture", 1) in found
+
+
+ISSUES = "origin string, doc_id long, key string, severity string, kind string, ordinal long, detail string"
+
+
+def test_diff_knows_findings_by_kind_place_and_detail(spark):
+    row = lambda i, key, ordinal, detail="", kind="link", origin="page": (origin, i, key, "fix", kind, ordinal, detail)
+    before = [row(1, "link_vague", 1, "here"), row(1, "picture", 1, kind="picture"), row(10**9 + 1, "lang", 0), row(None, "title", 0)]
+    now = [row(1, "link_vague", 1, "more"), row(1, "picture", 1, kind="picture"), row(10**9 + 1, "lang", 0, origin="extract"), row(None, "title", 0)]
+    got = run(spark, "issues_diff", "origin", "doc_id", "key", "detail", "change", checked_before=(ISSUES, before), checked_now=(ISSUES, now))
+    want = [("page", 1, "link_vague", "here", "resolved"), ("page", 1, "link_vague", "more", "new"), ("page", 1, "picture", "", "kept"), ("page", 10**9 + 1, "lang", "", "resolved"),
+            ("extract", 10**9 + 1, "lang", "", "new"), ("page", None, "title", "", "kept")]
+    assert got == sorted(want, key=repr)
