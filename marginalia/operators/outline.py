@@ -4,17 +4,124 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import decoded, operator, squeeze, view
+from .base import attribute, decoded, has_attribute, operator, squeeze, view
 from .html import HEADINGS, words
 
 
+# The labels of an outline's lines, what is said of a picture, and where its links are cut.
+LABELS = {"p": "Paragraph", "li": "List item", "blockquote": "Quotation", "figcaption": "Caption", "pre": "Preformatted text", "dt": "Term", "dd": "Definition"}
+BY_MODEL = " (this description was written by AI and has not been checked by a sighted person)"
+RECOVERED = " (this description was recovered from a file and has not been checked)"
+HREF_CHARS = 120
+# End of fixed values.
+
+#: Blocks whose first paragraph bears their label, and containers that end a line where they open.
+_BEARS, _PARTS = "li blockquote figcaption dd", "div section article ul ol figure hr"
+_LABELLED = f"{HEADINGS} {' '.join(LABELS)}"
+
+
+def _label(tag: str) -> str:
+    return f"case when {tag} in ({words(HEADINGS)}) then 'Heading level ' || substr({tag}, 2, 1) " + " ".join(f"when {tag} = '{t}' then '{v}'" for t, v in LABELS.items()) + " end"
+
+
+def _link_mark(href: str) -> str:
+    """What follows a link's text; nothing where it has no address or holds data."""
+    return f"case when trim({href}) <> '' and not (lower(trim({href})) like 'data:%') then ' (link to ' || substr(trim({href}), 1, {HREF_CHARS}) || ')' else '' end"
+
+
+def _picture(d: Spark, number: str) -> tuple[str, str]:
+    """Label and text of a picture's line."""
+    plain = f"trim({d.sub('alt', r'[ \t\n\r\f\v]+', ' ')})"
+    label = f"case when {plain} <> '' then 'Picture ' || cast({number} as string) || ', described as' else '' end"
+    text = f"""case when {plain} <> '' then {plain} || case when lower(alt_source) like 'ai:%' then '{BY_MODEL}' when alt_source <> '' then '{RECOVERED}' else '' end
+      when has_alt and (lower(role) in ('presentation', 'none') or lower(hidden) = 'true') then 'Picture ' || cast({number} as string) || ', marked decorative, no description.'
+      else 'Picture ' || cast({number} as string) || ', no description.' end"""
+    return label, text
+
+
+@view
+def outline_tokens(d: Spark) -> str:
+    """Tokens with what an outline asks of their attributes."""
+    at = lambda name: attribute(d, "tok", name)
+    return f"""select doc_id, pos, kind, tag, case when kind = 'text' then {decoded('tok')} end said, case when tag = 'a' and kind = 'open' then {at('href')} end href, case when tag = 'img' then {at('alt')} end alt,
+        case when tag = 'img' then {has_attribute(d, 'tok', 'alt')} end has_alt, case when tag = 'img' then {at('role')} end role, case when tag = 'img' then {at('aria-hidden')} end hidden, case when tag = 'img' then {at('data-alt-source')} end alt_source
+      from undropped"""
+
+
+def _outline_runs() -> str:
+    """One row a run between two boundaries: the boundary that begins it, and the text up to the next one.
+
+    A p straight after the open of an item, quotation, caption or definition is no boundary. A row runs from a tr, or from a cell
+    outside any row, to the next tr close; the text before a cell's close is that cell's.
+    """
+    w = "over (partition by doc_id order by pos rows between unbounded preceding and current row)"
+    before = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
+    is_open = lambda tags: f"(kind in ('open', 'void') and tag in ({words(tags)}))"
+    is_close = lambda tags: f"(kind = 'close' and tag in ({words(tags)}))"
+    last = lambda when, over: f"max(case when {when} then pos end) {over}"
+    return f"""
+      select *, sum(case when boundary then 1 else 0 end) {w} run, max(case when starts then pos end) {w} row_at from (
+        select *, hard or ({is_open('p')} and not (coalesce(bearer, false) and coalesce(solid_at < hard_at, true))) boundary from (
+          select *, {last('hard', before)} hard_at, max_by({is_open(_BEARS)}, case when hard then pos end) {before} bearer, {last("trim(coalesce(said, '')) <> '' or mark <> ''", before)} solid_at from (
+            select *, ({is_open(_LABELLED.replace(' p ', ' ') + ' img table tr td th ' + _PARTS)} or {is_close(_LABELLED + ' table')} or (active and {is_close('tr td th')})) hard,
+                   {is_open('tr')} or (not active and {is_open('td th')}) starts, case when {is_close('a')} and a_open > coalesce(a_close, -1) then {_link_mark('link')} else '' end mark from (
+              select *, coalesce({last(is_open('tr td th'), before)} > coalesce({last(is_close('tr'), before)}, -1), false) active,
+                     {last(is_open('a'), before)} a_open, {last(is_close('a'), before)} a_close, max_by(href, case when {is_open('a')} then pos end) {before} link,
+                     coalesce({last(is_open('th'), w)} > coalesce({last(is_open('tr'), w)}, -1), false) header, {last(is_open('table'), w)} tbl, sum(case when {is_open('img')} then 1 else 0 end) {w} pictures
+              from outline_tokens) t1) t2) t3) t4"""
+
+
+@view
+def outline_states(d: Spark) -> str:
+    """The check's way: a token a step, with the text, label, link and row so far."""
+    flat = lambda s: squeeze(d, s)
+    label, text = _picture(d, "pics + 1")
+    bears = ", ".join(f"'{LABELS[t]}'" for t in _BEARS.split())
+    step = "select s.doc_id, s.n, s.buf, s.label, s.link, s.cells, s.header, s.n_rows, s.n_cols, s.pics, x.kind, x.tag, x.said, x.href, x.alt, x.has_alt, x.role, x.hidden, x.alt_source from outline_states s join outline_numbered x on x.doc_id = s.doc_id and x.n = s.n + 1"
+    step = f"""select *, kind in ('open', 'void') opens, {flat('buf')} body, kind = 'close' and tag in ('td', 'th') and cells is not null cell, kind = 'close' and tag = 'tr' and cells is not null ended from ({step}) q1"""
+    step = f"""select *, case when opens and tag = 'p' then not (coalesce(label, '') in ({bears}) and body = '') when opens then tag in ({words(_LABELLED + ' img table tr td th ' + _PARTS)}) else ended or (kind = 'close' and tag in ({words(_LABELLED + ' table')})) end flush from ({step}) q2"""
+    own_label = f"case when opens and tag = 'img' then {label} when ended then case when header then 'Header row' else 'Row' end when tag = 'table' then '' end"
+    own_text = f"""case when opens and tag = 'img' then {text} when ended then array_to_string(cells, ', ') when opens and tag = 'table' then 'Table starts.'
+      when tag = 'table' then 'Table ends, ' || cast(n_rows as varchar) || ' rows and ' || cast(n_cols as varchar) || ' columns.' end"""
+    return f"""select doc_id, cast(0 as bigint) n, '' buf, cast(null as varchar) label, cast(null as varchar) link, cast(null as varchar[]) cells, false header, cast(0 as bigint) n_rows, cast(0 as bigint) n_cols, cast(0 as bigint) pics,
+        cast(null as varchar) line_label, cast(null as varchar) line, cast(null as varchar) own_label, cast(null as varchar) own from (select distinct doc_id from outline_numbered) b
+      union all select doc_id, n + 1, case when flush or cell then '' else buf || coalesce(said, '') || case when tag = 'br' then ' ' when tag = 'a' and kind = 'close' then coalesce({_link_mark('link')}, '') else '' end end,
+        case when opens and flush then {_label('tag')} when flush or cell then null else label end, case when tag = 'a' then case when opens then href end else link end,
+        case when opens and tag = 'tr' or (opens and tag in ('td', 'th') and cells is null) then cast([] as varchar[]) when cell then list_append(cells, body) when ended then null else cells end,
+        case when opens and tag = 'tr' then false when opens and tag = 'th' then true else header end, case when opens and tag = 'table' then 0 when ended then n_rows + 1 else n_rows end,
+        case when opens and tag = 'table' then 0 when ended then greatest(n_cols, len(cells)) else n_cols end, pics + case when opens and tag = 'img' then 1 else 0 end,
+        coalesce(label, 'Text'), case when flush and body <> '' then body end, {own_label}, {own_text} from ({step}) z"""
+
+
+@view
+def outline_numbered(d: Spark) -> str:
+    return "select *, row_number() over (partition by doc_id order by pos) n from outline_tokens"
+
+
 @view
 def outline(d: Spark) -> str:
-    """A labelled line for every block that holds text, in order."""
-    body = squeeze(d, d.join(decoded("tok"), "", "pos", "kind = 'text'"))
-    return f"""select doc_id, row_number() over (partition by doc_id order by run) line_no, case when opener in ({words(HEADINGS)}) then 'Heading level ' || substr(opener, 2, 1)
-        when opener = 'li' then 'List item' when opener = 'blockquote' then 'Quotation' when opener in ('caption', 'figcaption') then 'Caption' else 'Paragraph' end label, text from (
-      select doc_id, run, {body} text, min(case when first_row and kind = 'open' then tag end) opener from (select *, pos = min(pos) over (partition by doc_id, run) first_row from block_runs) r group by doc_id, run) t where text <> ''"""
+    """(doc_id, line_no, label, text): a line for every block that holds text, every picture, and every table's start, rows and end."""
+    if d.name == "duck":
+        return f"""select doc_id, row_number() over (partition by doc_id order by n, part) line_no, label, text from (
+          select doc_id, n, 0 part, line_label label, line text from outline_states where line is not null union all select doc_id, n, 1, own_label, own from outline_states where own is not null
+          union all select doc_id, max(n), 2, arg_max(coalesce(label, 'Text'), n), arg_max({squeeze(d, 'buf')}, n) from outline_states group by doc_id) o where text <> '' or part = 1"""
+    piece = "case when kind = 'text' then said when tag = 'br' then ' ' else mark end"
+    label, text = _picture(d, "pictures")
+    first = lambda c: f"min_by({c}, pos) {c}"
+    runs = f"""select doc_id, run, {', '.join(first(c) for c in ('kind', 'tag', 'active', 'header', 'tbl', 'row_at', 'pictures', 'alt', 'has_alt', 'role', 'hidden', 'alt_source', 'boundary'))}, coalesce({squeeze(d, d.join(piece, '', 'pos'))}, '') body
+      from ({_outline_runs()}) r group by doc_id, run"""
+    cell = "(kind = 'close' and tag in ('td', 'th') and active and boundary)"
+    ended = "(kind = 'close' and tag = 'tr' and active and boundary)"
+    # the run before a cell's close holds its text
+    told = f"""select *, {cell} is_cell, {ended} ended, coalesce(lead({cell}) over (partition by doc_id order by run), false) in_cell, lag(body) over (partition by doc_id order by run) before from ({runs}) a"""
+    rows = f"""select *, collect_list(case when is_cell then before end) over (partition by doc_id, row_at) cells from ({told}) b"""
+    counts = "over (partition by doc_id, tbl order by run rows between unbounded preceding and current row)"
+    sums = f"select *, sum(case when ended then 1 else 0 end) {counts} n_rows, coalesce(max(case when ended then size(cells) end) {counts}, 0) n_cols from ({rows}) c"
+    own = f"""case when boundary and tag = 'img' and kind <> 'close' then named_struct('label', {label}, 'text', {text}) when ended then named_struct('label', case when header then 'Header row' else 'Row' end, 'text', array_join(cells, ', '))
+      when tag = 'table' and kind <> 'close' then named_struct('label', '', 'text', 'Table starts.') when tag = 'table' then named_struct('label', '', 'text', concat('Table ends, ', n_rows, ' rows and ', n_cols, ' columns.')) end"""
+    block = f"case when body <> '' and not in_cell then named_struct('label', coalesce(case when boundary and kind = 'open' then {_label('tag')} end, 'Text'), 'text', body) end"
+    return f"""select doc_id, row_number() over (partition by doc_id order by run, part) line_no, line.label label, line.text text from (
+      select doc_id, run, posexplode(array({own}, {block})) as (part, line) from ({sums}) s) e where line is not null"""
 
 
 @operator
@@ -24,7 +131,9 @@ def outline_lines(d: Spark) -> str:
 
 @operator
 def word_counts(d: Spark) -> str:
-    return f"select doc_id, cast(sum({d.count('text', '[^ ]+')}) as bigint) words, count(*) lines from outline group by doc_id"
+    """Words of the blocks; marks of links, pictures and tables do not count."""
+    own = d.sub("text", r"\(link to [^)]*\)")
+    return f"select doc_id, cast(sum(case when label = '' or label in ('Row', 'Header row') or label like 'Picture %' then 0 else {d.count(own, '[^ ]+')} end) as bigint) words, count(*) lines from outline group by doc_id"
 
 
 @operator
@@ -45,12 +154,18 @@ def word_percentiles(d: Spark) -> str:
     return f"select lang, source, docs, p[0] p50, p[1] p95 from (select lang, source, count(*) docs, approx_percentile(n, array(0.5D, 0.95D), 10000) p from {sized} group by lang, source) s"
 
 
+@view
+def fx_word_limit(d: Spark) -> str:
+    return "select 50 words"
+
+
 @operator
 def first_words(d: Spark) -> str:
-    """The outline up to 50 words; the line at the cut holds what is left of it."""
-    return f"""select doc_id, line_no, {d.array_join(f"{'slice(parts, 1, cast(least(n, 50 - before) as int))' if d.name == 'spark' else 'parts[1:least(n, 50 - before)]'}", ' ')} text from (
-      select doc_id, line_no, parts, n, coalesce(sum(n) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) before from (
-        select doc_id, line_no, {d.split('text', ' +')} parts, {d.count('text', '[^ ]+')} n from outline) a) b where before < 50"""
+    """The outline up to so many words (``fx_word_limit``); the line at the cut holds what is left of it."""
+    cut = "slice(parts, 1, cast(least(n, most - before) as int))" if d.name == "spark" else "parts[1:least(n, most - before)]"
+    return f"""select doc_id, line_no, label, {d.array_join(cut, ' ')} text from (
+      select *, (select max(words) from fx_word_limit) most, coalesce(sum(n) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) before from (
+        select doc_id, line_no, label, {d.split('text', ' +')} parts, {d.count('text', '[^ ]+')} n from outline) a) b where before < most or (before = most and n = 0)"""
 
 
 @operator

@@ -537,3 +537,19 @@ def test_diff_knows_findings_by_kind_place_and_detail(spark):
     want = [("page", 1, "link_vague", "here", "resolved"), ("page", 1, "link_vague", "more", "new"), ("page", 1, "picture", "", "kept"), ("page", 10**9 + 1, "lang", "", "resolved"),
             ("extract", 10**9 + 1, "lang", "", "new"), ("page", None, "title", "", "kept")]
     assert got == sorted(want, key=repr)
+
+
+def test_outline_names_links_pictures_and_tables(spark):
+    html = ("<h2>Head <a href='https://x.example/" + "a" * 150 + "'>link</a></h2>loose<p>One<br>two <a href='data:x'>no</a></p><ul><li><p>item</p><p>second</p></li></ul>"
+            "<figure><img src=a alt=' A  cat ' data-alt-source='ai:x'><img src=b alt='' role='presentation'><img src=c><figcaption><p>Under</p></figcaption></figure>"
+            "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td><p>in</p>left</td><td></td></tr>stray</table><td>x</td><dl><dt>T</dt><dd><p>D</p></dd></dl>end")
+    pages = ("page_id long, url string, html string", [(1, "u", html), (2, "u", None)])
+    lines = [r[1:] for r in sorted(run(spark, "outline_lines", "line_no", "label", "text", pages=pages))]
+    assert lines == [
+        ("Heading level 2", "Head link (link to https://x.example/" + "a" * 102 + ")"), ("Text", "loose"), ("Paragraph", "One two no"), ("List item", "item"), ("Paragraph", "second"),
+        ("Picture 1, described as", "A cat (this description was written by AI and has not been checked by a sighted person)"), ("", "Picture 2, marked decorative, no description."), ("", "Picture 3, no description."), ("Caption", "Under"),
+        ("", "Table starts."), ("Header row", "A, B"), ("Paragraph", "in"), ("Row", "1, left, "), ("Text", "stray"), ("", "Table ends, 2 rows and 3 columns."),
+        ("Term", "T"), ("Definition", "D"), ("Text", "end")]
+    assert run(spark, "word_counts", pages=pages) == [(1, 14, 18)]
+    cut = sorted(run(spark, "first_words", "line_no", "text", pages=pages, fx_word_limit=("words int", [(7,)])))
+    assert [t for _, t in cut] == ["Head link (link to https://x.example/" + "a" * 102 + ")", "loose", "One"]
