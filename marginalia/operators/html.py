@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import ATTR, decoded, is_lang, operator, squeeze, view, words
+from .base import ATTR, attribute, decoded, is_lang, operator, squeeze, view, words
 
 # What becomes of each element of a page.
 KEPT = "h1 h2 h3 h4 h5 h6 p ul ol li blockquote strong em u s code sup sub br hr a img figure figcaption table caption thead tbody tfoot tr th td pre"
@@ -235,16 +235,34 @@ def header_scope(d: Spark) -> str:
       from (select *, r = 0 and bool_and(tag = 'th') over (partition by doc_id, tbl, r) all_th from fx_cells) t where tag = 'th'"""
 
 
+def _head(d: Spark) -> str:
+    return d.extract("html", r"(?is)^(.*?)(?:<body\b|$)", 1)
+
+
+def _metas(d: Spark, head: str) -> str:
+    """The head's named metas, in order, as an array of (name, content)."""
+    every = d.extract_all(head, r"""(?i)(<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>)""", 1)
+    pair = d.struct(name=f"lower(trim({attribute(d, 'm', 'name')}))", content=attribute(d, "m", "content"))
+    return f"list_filter(list_transform({every}, lambda m: {pair}), lambda p: p.name <> '')" if d.name == "duck" else f"filter(transform({every}, m -> {pair}), p -> p.name <> '')"
+
+
 @operator
 def page_metadata(d: Spark) -> str:
-    """Title, language code, viewport and description of a page's head."""
-    head = d.extract("html", r"(?is)^(.*?)(?:<body\b|$)", 1)
+    """Title, language code, author and subject of a page's head. Attributes stand in any order, quoted or not; the last meta of a name counts."""
+    head = _head(d)
     lang = d.extract("html", r'''(?is)<html[^>]*\blang\s*=\s*["']?([^"'\s>]*)''', 1)
     title = squeeze(d, decoded(d.extract(head, r"(?is)<title[^>]*>(.*?)</title", 1)))
-    meta = lambda name: d.extract(head, rf'''(?is)<meta\s+name\s*=\s*["']{name}["']\s+content\s*=\s*["']([^"']*)''', 1)
+    last = lambda n: f"trim(coalesce(list_filter(metas, lambda p: p.name = '{n}')[-1].content, ''))" if d.name == "duck" else f"trim(coalesce(get(reverse(filter(metas, p -> p.name = '{n}')), 0).content, ''))"
     return f"""
-      select page_id, {title} title, case when {is_lang(d, lang)} then {lang} else '' end lang,
-             {meta('author')} author, {meta('description')} subject, {d.count(head, r'(?is)<meta\b')} metas from pages"""
+      select page_id, title, lang, {last('author')} author, {last('description')} subject, n metas from (
+        select page_id, {title} title, case when {is_lang(d, lang)} then {lang} else '' end lang, {_metas(d, head)} metas, {d.count(head, r'(?is)<meta\b')} n from pages) h"""
+
+
+@operator
+def page_meta_pairs(d: Spark) -> str:
+    """Every named meta of a page's head; the last of a name counts."""
+    name, content = ("x.name", "x.content")
+    return f"select page_id, name, content from (select page_id, {name} name, {content} content, row_number() over (partition by page_id, {name} order by pos desc) n from ({d.each('pages', _metas(d, _head(d)), 'page_id')}) e) r where n = 1"
 
 
 @operator

@@ -107,11 +107,20 @@ def heading_renumber(d: Spark) -> str:
     return "select doc_id, page, block, cast(dense_rank() over (partition by doc_id order by level) as int) level from leveled where level is not null"
 
 
+def _beside(d: Spark, lines: str, shapes: str) -> str:
+    """Lines with small filled shapes, of 0.5 to 8 points either way, beside them that end at most 30 points left of the line and 1 point in it."""
+    small = f"(select * from {shapes} where x1 - x0 between 0.5 and 8 and y1 - y0 between 0.5 and 8) b"
+    return f"""select l.doc_id, l.page, l.line, count(*) shapes from {banded(d, lines, 'y0', 'y1')} l join {banded(d, small, 'y0', 'y1')} s
+      on s.doc_id = l.doc_id and s.page = l.page and {meet(d, 'l', 's')} and s.x1 >= l.x0 - 30 and s.x1 <= l.x0 + 1 and s.y0 < l.y1 and s.y1 > l.y0 group by l.doc_id, l.page, l.line"""
+
+
 @view
 def marked_lines(d: Spark) -> str:
+    """Lines with their list mark, written or drawn; a written one is cut."""
     bullet, number = rf"^\s*{BULLET}\s+", rf"^\s*{NUMBER}\s+"
-    return f"""select doc_id, page, block, line, case when {d.like('text', bullet)} then 'ul' when {d.like('text', number)} then 'ol' end marker,
-      case when {d.like('text', bullet)} then {d.sub('text', bullet)} when {d.like('text', number)} then {d.sub('text', number)} else text end text from fx_lines"""
+    return f"""select doc_id, page, block, line, case when {d.like('text', bullet)} then 'ul' when {d.like('text', number)} then 'ol' when shapes > 0 then 'ul' end marker,
+      case when {d.like('text', bullet)} then {d.sub('text', bullet)} when {d.like('text', number)} then {d.sub('text', number)} else text end text
+      from (select l.doc_id, l.page, l.block, l.line, l.text, b.shapes from fx_lines l left join ({_beside(d, 'fx_lines', 'fx_line_shapes')}) b on b.doc_id = l.doc_id and b.page = l.page and b.line = l.line) m"""
 
 
 @operator
@@ -121,10 +130,8 @@ def list_markers(d: Spark) -> str:
 
 @operator
 def drawn_bullets(d: Spark) -> str:
-    """Lines with a small filled shape, of 0.5 to 8 points either way, beside them that ends at most 30 points left of the line and 1 point in it."""
-    small = "(select * from fx_bullet_shapes where x1 - x0 between 0.5 and 8 and y1 - y0 between 0.5 and 8) b"
-    return f"""select l.doc_id, l.page, l.line, count(*) shapes from {banded(d, 'fx_form_lines', 'y0', 'y1')} l join {banded(d, small, 'y0', 'y1')} s
-      on s.doc_id = l.doc_id and s.page = l.page and {meet(d, 'l', 's')} and s.x1 >= l.x0 - 30 and s.x1 <= l.x0 + 1 and s.y0 < l.y1 and s.y1 > l.y0 group by l.doc_id, l.page, l.line"""
+    """Lines with a drawn bullet beside them."""
+    return _beside(d, "fx_form_lines", "fx_bullet_shapes")
 
 
 @operator
@@ -173,10 +180,20 @@ def reading_order(d: Spark) -> str:
 
 @operator
 def span_merge(d: Spark) -> str:
-    """Neighbouring spans of equal format become one run."""
-    return f"""select doc_id, page, line, cast(run as bigint) run_id, bold, italic, {d.join('text', '', 'span')} text from (
-      select *, sum(case when pb = bold and pi = italic then 0 else 1 end) over (partition by doc_id, page, line order by span rows between unbounded preceding and current row) run from (
-        select *, lag(bold) over (partition by doc_id, page, line order by span) pb, lag(italic) over (partition by doc_id, page, line order by span) pi from fx_spans) a) b group by doc_id, page, line, run, bold, italic"""
+    """Neighbouring spans of equal format (bold, italic, mono, superscript, link) become one run; in a heading bold is no format. A span has
+    the first link whose rectangle holds its centre; spans without text are none."""
+    centre = "(y0 + y1) / 2"
+    linked = f"""select s.doc_id, s.page, s.line, s.span, min_by(r.uri, r.link_id) uri from {banded(d, 'fx_formatted_spans', centre, centre)} s join {banded(d, 'fx_link_rects', 'y0', 'y1')} r
+      on r.doc_id = s.doc_id and r.page = s.page and {meet(d, 's', 'r')} and (s.x0 + s.x1) / 2 between r.x0 and r.x1 and (s.y0 + s.y1) / 2 between r.y0 and r.y1 group by s.doc_id, s.page, s.line, s.span"""
+    w = "over (partition by doc_id, page, line order by span)"
+    formats = "bold italic mono superscript link".split()
+    same = " and ".join(f"lag({c}) {w} = {c}" for c in formats)
+    return f"""select doc_id, page, line, cast(run as bigint) run_id, {', '.join(formats)}, {d.join('text', '', 'span')} text from (
+      select *, sum(case when same then 0 else 1 end) over (partition by doc_id, page, line order by span rows between unbounded preceding and current row) run from (
+        select *, coalesce({same}, false) same from (
+          select s.doc_id, s.page, s.line, s.span, s.text, s.bold and h.level is null bold, s.italic, s.mono, s.superscript, coalesce(u.uri, '') link from fx_formatted_spans s
+          left join leveled h on h.doc_id = s.doc_id and h.page = s.page and h.block = s.block left join ({linked}) u on u.doc_id = s.doc_id and u.page = s.page and u.line = s.line and u.span = s.span
+          where s.text <> '') a) b) c group by doc_id, page, line, run, {', '.join(formats)}"""
 
 
 @view
@@ -271,26 +288,39 @@ def tree_coverage(d: Spark) -> str:
       (select doc_id, sum({solid('text')}) n from fx_pdf_pages group by doc_id having sum({solid('text')}) > 0) p join (select doc_id, sum({solid('text')}) n from fx_content group by doc_id) e on e.doc_id = p.doc_id"""
 
 
+@view
+def picture_pages(d: Spark) -> str:
+    """Pages by whether they are pictures of text: some picture, no text, no table, and not read by recognition."""
+    pages = lambda t: f"(select distinct doc_id, page from {t})"
+    return f"""select k.doc_id, k.page, k.kind = 'scanned' and t.doc_id is null and r.doc_id is null scanned, k.kind = 'blank' and t.doc_id is null blank from page_kinds k
+      left join {pages('fx_table_boxes')} t on t.doc_id = k.doc_id and t.page = k.page left join {pages('fx_recognised')} r on r.doc_id = k.doc_id and r.page = k.page"""
+
+
 @operator
 def scanned_documents(d: Spark) -> str:
-    return """select doc_id, count_if(kind = 'scanned') scanned_pages, count_if(kind = 'scanned') = count(*) is_scanned, count_if(kind = 'blank') = count(*) nothing from page_kinds group by doc_id"""
+    """How many pages are pictures of text; whether all are, some are, or there is nothing at all."""
+    return """select doc_id, count_if(scanned) scanned_pages, count_if(scanned) = count(*) is_scanned, count_if(scanned) between 1 and count(*) - 1 some_scanned, count_if(blank) = count(*) nothing from picture_pages group by doc_id"""
 
 
 @operator
 def import_warnings(d: Spark) -> str:
     return """select doc_id, 1 ord, 'furniture removed' warning, cast(count(*) as bigint) n from furniture group by doc_id
       union all select doc_id, 2, 'descriptions did not match', count(*) from tagged_counts where pictures <> alts group by doc_id
-      union all select doc_id, 3, 'pages are pictures', count(*) from page_kinds where kind = 'scanned' group by doc_id
+      union all select doc_id, 3, 'pages are pictures', count(*) from picture_pages where scanned group by doc_id
       union all select doc_id, 4, 'fields', count(*) from fx_fields group by doc_id"""
 
 
-@view
-def guesses(d: Spark) -> str:
+def guesses_of(d: Spark, source: str) -> str:
     """Stop words among the first 4,000 words; a language is named from 20 words and a share of 8% on."""
     lists = " union all ".join(f"select '{w}' word, '{lang}' lang" for lang, ws in (("es", SPANISH), ("en", ENGLISH)) for w in ws.split())
     letters = d.extract_all("lower(coalesce(text, ''))", r"\p{L}+", 0)
     return f"""select doc_id, es_hits, en_hits, words, case when words < 20 or greatest(es_hits, en_hits) < 0.08 * words then '' when es_hits > en_hits then 'es' else 'en-US' end guess from (
-      select w.doc_id, count_if(s.lang = 'es') es_hits, count_if(s.lang = 'en') en_hits, count(distinct w.pos) words from ({d.each('documents', letters, 'doc_id')}) w left join ({lists}) s on s.word = w.x where w.pos < 4000 group by w.doc_id) g"""
+      select w.doc_id, count_if(s.lang = 'es') es_hits, count_if(s.lang = 'en') en_hits, count(distinct w.pos) words from ({d.each(source, letters, 'doc_id')}) w left join ({lists}) s on s.word = w.x where w.pos < 4000 group by w.doc_id) g"""
+
+
+@view
+def guesses(d: Spark) -> str:
+    return guesses_of(d, "documents")
 
 
 @operator
@@ -300,8 +330,11 @@ def language_guess(d: Spark) -> str:
 
 @operator
 def import_metadata(d: Spark) -> str:
-    return """select p.doc_id, coalesce(nullif(trim(p.xmp_title), ''), nullif(trim(p.info_title), ''), 'untitled') title, coalesce(nullif(trim(p.lang), ''), nullif(g.guess, ''), 'en-US') lang
-      from fx_docs p left join guesses g on g.doc_id = p.doc_id"""
+    """Title by the tags, else by the file's information, else the first heading of the highest level; language by the tags, else guessed;
+    what nobody says is empty."""
+    heading = f"(select doc_id, min_by(text, {d.struct(page='page', block='block')}) text from (select *, min(level) over (partition by doc_id) top from leveled where level is not null) l where level = top group by doc_id) h"
+    return f"""select p.doc_id, coalesce(nullif(trim(p.xmp_title), ''), nullif(trim(p.info_title), ''), {squeeze(d, 'h.text')}, '') title, trim(coalesce(i.author, '')) author, trim(coalesce(i.subject, '')) subject, coalesce(nullif(trim(p.lang), ''), g.guess, '') lang
+      from fx_docs p left join guesses g on g.doc_id = p.doc_id left join {heading} on h.doc_id = p.doc_id left join fx_doc_info i on i.doc_id = p.doc_id"""
 
 
 # Structure types of running text, and of blocks that are taken whole.

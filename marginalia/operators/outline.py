@@ -178,8 +178,12 @@ def picture_inventory(d: Spark) -> str:
 
 @operator
 def picture_context(d: Spark) -> str:
-    """The heading a picture stands under: the last one at or before it that has text."""
-    return """select p.doc_id, p.ordinal, max_by(trim(h.text), h.ordinal) heading from fx_pictures p left join fx_headings h on h.doc_id = p.doc_id and h.ordinal <= p.ordinal and trim(h.text) <> '' group by p.doc_id, p.ordinal"""
+    """The heading a picture stands under, the last one that has text, and the last 400 characters of the nearest block before it that has
+    any. A picture stands after the block of its number."""
+    w = "over (partition by doc_id order by ordinal, part rows between unbounded preceding and current row)"
+    return f"""select doc_id, ordinal, coalesce(heading, '') heading, coalesce(before, '') before from (
+      select doc_id, ordinal, part, max_by(text, case when text <> '' and level is not null then ordinal end) {w} heading, max_by(right(text, 400), case when text <> '' then ordinal end) {w} before from (
+        select doc_id, ordinal, 0 part, level, trim(coalesce(text, '')) text from fx_blocks union all select doc_id, ordinal, 1, null, '' from fx_pictures) b) c where part = 1"""
 
 
 # Pictures, and kilobytes of them, that go at most.
@@ -231,8 +235,9 @@ def alt_cleanup(d: Spark) -> str:
 
 @operator
 def alt_provenance(d: Spark) -> str:
-    return """select page, count_if(alt_source like 'ai%' and trim(coalesce(alt, '')) <> '') ai, count_if(alt_source = 'pdf' and trim(coalesce(alt, '')) <> '') recovered,
-      count_if(alt_source = '' and trim(coalesce(alt, '')) <> '') human, count_if(trim(coalesce(alt, '')) = '') missing from fx_pictures group by page"""
+    """Descriptions by a model, recovered, by people and missing, by source; pictures of documents without one stand under an empty name."""
+    return """select coalesce(s.source, '') source, count_if(alt_source like 'ai%' and trim(coalesce(alt, '')) <> '') ai, count_if(alt_source = 'pdf' and trim(coalesce(alt, '')) <> '') recovered,
+      count_if(alt_source = '' and trim(coalesce(alt, '')) <> '') human, count_if(trim(coalesce(alt, '')) = '') missing from fx_pictures p left join fx_sources s on s.doc_id = p.doc_id group by coalesce(s.source, '')"""
 
 
 @operator

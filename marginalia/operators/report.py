@@ -163,6 +163,13 @@ def chk_roles(d: Spark) -> str:
     return _counted("roles", f"{kinds} rk", "not known", only_with=True)
 
 
+@operator
+def unknown_kinds(d: Spark) -> str:
+    """How many kinds of a document are not standard, and the first six by name."""
+    kinds = f"(select distinct doc_id, substr(kind, 2) kind from role_chain where not (resolved in ({standard()})) and kind <> '') k"
+    return f"select doc_id, count(*) n, {d.array_join(d.slice(d.distinct('kind'), 6), ', ')} names from {kinds} group by doc_id"
+
+
 @check
 def chk_artifacts(d: Spark) -> str:
     return _counted("artifacts", "fx_pdf_pages", "unmarked > 0")

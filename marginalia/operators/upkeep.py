@@ -5,6 +5,7 @@ from __future__ import annotations
 from marginalia.functions.dialect import Spark
 
 from .base import is_lang, operator, reads, squeeze, view, words
+from .layout import guesses_of
 
 
 @view
@@ -34,11 +35,17 @@ def title_plan(d: Spark) -> str:
     return "select doc_id, title, reason from planned_titles where reason <> 'as it is'"
 
 
+@view
+def page_guesses(d: Spark) -> str:
+    """What the first six pages are written in."""
+    return guesses_of(d, f"(select doc_id, {d.join('text', ' ', 'page')} text from fx_pdf_pages where page <= 6 group by doc_id) fp")
+
+
 @view
 def planned_langs(d: Spark) -> str:
     """A language that a document names stays, code or not; without one it is guessed."""
     return """select p.doc_id, case when trim(coalesce(p.lang, '')) <> '' then trim(p.lang) when coalesce(g.guess, '') <> '' then g.guess else 'en-US' end lang,
-      case when trim(coalesce(p.lang, '')) <> '' then 'as it is' when coalesce(g.guess, '') <> '' then 'guessed' else 'default' end reason from fx_docs p left join guesses g on g.doc_id = p.doc_id"""
+      case when trim(coalesce(p.lang, '')) <> '' then 'as it is' when coalesce(g.guess, '') <> '' then 'guessed' else 'default' end reason from fx_docs p left join page_guesses g on g.doc_id = p.doc_id"""
 
 
 @operator
@@ -136,9 +143,18 @@ def heading_levels_from_styles(d: Spark) -> str:
 
 @operator
 def numbering_kind(d: Spark) -> str:
-    """Bulleted or numbered: by the number's override, else by its abstract; without either, bulleted."""
-    return """select p.doc_id, p.para, case when coalesce(n.override_fmt, a.fmt, 'bullet') in ('bullet', 'none') then 'ul' else 'ol' end tag, p.ilvl level from fx_doc_paragraphs p
-      left join fx_nums n on n.num_id = p.num_id left join fx_abstract_nums a on a.abstract_id = n.abstract_id and a.ilvl = p.ilvl where p.num_id > 0"""
+    """Bulleted or numbered, and the level. A paragraph's own number counts, else that of the nearest of twelve styles that has one; a
+    style without a level of its own takes it from the paragraph's style name. A number is bulleted by its override, else by its abstract
+    level (numbered where that names no format), and where neither is known."""
+    name = d.extract("lower(coalesce(style_name, ''))", r"^list (?:bullet|number) ([2-9])$", 1)
+    return f"""with recursive numbered_styles as (select s.doc_id, s.style_id, s.base_id, s.style_name, n.num_id, n.ilvl from fx_styles s left join fx_style_nums n on n.doc_id = s.doc_id and n.style_id = s.style_id),
+      num_chain as (select doc_id, style_id, base_id, num_id, ilvl, 0 step from numbered_styles
+        union all select c.doc_id, c.style_id, s.base_id, s.num_id, s.ilvl, c.step + 1 from num_chain c join numbered_styles s on s.doc_id = c.doc_id and s.style_id = c.base_id where c.step < 11 and c.num_id is null),
+      paras as (select p.doc_id, p.para, coalesce(p.num_id, c.num_id) num_id, case when p.num_id is not null then coalesce(p.ilvl, 0) when c.ilvl is not null then c.ilvl when {name} <> '' then cast({name} as int) - 1 else 0 end level
+        from fx_doc_paragraphs p left join (select doc_id, style_id, max(num_id) num_id, max(ilvl) ilvl from num_chain where num_id is not null group by doc_id, style_id) c on c.doc_id = p.doc_id and c.style_id = p.style_id
+        left join fx_styles s on s.doc_id = p.doc_id and s.style_id = p.style_id)
+      select p.doc_id, p.para, case when n.override_fmt is not null then case when n.override_fmt = 'bullet' then 'ul' else 'ol' end when a.abstract_id is null or coalesce(a.fmt, 'decimal') in ('bullet', 'none') then 'ul' else 'ol' end tag, cast(p.level as int) level
+      from paras p left join fx_nums n on n.num_id = p.num_id left join fx_abstract_nums a on a.abstract_id = n.abstract_id and a.ilvl = p.level where p.num_id > 0"""
 
 
 @operator

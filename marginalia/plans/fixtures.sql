@@ -177,7 +177,7 @@ select doc_id, 1 page, ord seq, case ok % 8 when 0 then 'BDC' when 1 then 'EMC'
 create view fx_list_items as
 select doc_id, ord item_id, cast(sk % 4 as int) level, case when pk % 3 = 0 then 'ol' else 'ul' end tag, name text from fx_li;
 create view fx_doc_paragraphs as
-select doc_id, ord para, cast(1 + pk % 6 as int) style_id, cast(pk % 5 as int) num_id, cast(sk % 3 as int) ilvl, name text,
+select doc_id, ord para, cast(1 + pk % 6 as int) style_id, nullif(cast(pk % 5 as int), 4) num_id, cast(sk % 3 as int) ilvl, name text,
        case when pk % 11 = 0 then cast(sk % 9 as int) end outline_lvl from fx_li;
 create view fx_nums as
 select n num_id, n % 3 abstract_id, case when n = 2 then 'bullet' end override_fmt from fx_digits where n between 1 and 3;
@@ -217,6 +217,16 @@ create view fx_line_words as
 select doc_id, page, line * 2 word_id, substr(text, 1, 5) text, x0, y0, x0 + 20 x1, y1 from fx_lines
 union all select doc_id, page, line * 2 + 1, substr(text, 6, 20), x0 + 20, y0, x0 + 200, y1 from fx_lines where length(text) > 5;
 create view fx_captions as select doc_id, ord ordinal, name caption from fx_li where ord % 3 = 0;
+-- blocks before pictures, sources, formats of spans, shapes beside lines, what a file says of itself, numbers of styles
+create view fx_blocks as
+select doc_id, ordinal, case when ordinal % 3 = 1 then level end level, case when ordinal % 3 = 1 then text else repeat(text || ' ', 1 + 3 * level * level) end text from fx_headings where ordinal % 7 <> 5;
+create view fx_sources as select distinct doc_id, 'source ' || cast(doc_id % 7 as string) source from fx_li;
+create view fx_formatted_spans as
+select s.doc_id, s.page, s.block, s.line, s.span, s.text, s.bold, s.italic, s.line % 5 = 0 and s.span = 1 mono, s.line % 6 = 1 superscript,
+       l.x0 + 60 * s.span x0, l.x0 + 60 + 100 * s.span x1, l.y0, l.y1 from fx_spans s join fx_lines l on l.doc_id = s.doc_id and l.page = s.page and l.line = s.line;
+create view fx_line_shapes as select doc_id, page, x0 - 10 - line x0, x0 - 6 - line % 3 x1, y0 + 4 y0, y0 + 8 y1 from fx_lines where (doc_id + line) % 4 = 0;
+create view fx_doc_info as select p_partkey doc_id, case when p_size % 3 = 0 then ' ' || p_brand else '' end author, case when p_size % 4 = 0 then p_type end subject from part;
+create view fx_style_nums as select doc_id, ord style_id, cast(1 + sk % 4 as int) num_id, case when sk % 2 = 0 then cast(pk % 3 as int) end ilvl from fx_li where pk % 3 = 0;
 -- texts with blank lines and dashes, pages with figures and code, terms to look for
 create view fx_plain_texts as
 select a.doc_id, coalesce(a.text, '') || chr(10) || chr(10) || coalesce(b.text, '') text from documents a left join documents b on b.doc_id = a.doc_id + 1;

@@ -94,15 +94,18 @@ def test_report_follows_trees_fields_and_roles(spark):
 LINES = "doc_id long, source string, page int, line int, block int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean"
 
 
+SHAPES = "doc_id long, page int, x0 double, x1 double, y0 double, y1 double"
+
+
 def line(i, text, page=0, block=0, doc=1, size=11.0):
     return (doc, "s", page, i, block, text, 72.0, 10.0 * i, 300.0, 10.0 * i + 9, size, False)
 
 
 def test_list_marks(spark):
     texts = ["— em dash", "⁃ hyphen bullet", "□ a box is none", "• bullet", "xviii. roman", "(a) letter", "1234. four digits", "-no space", "  12) item"]
-    got = run(spark, "list_markers", "line", "marker", "text", fx_lines=(LINES, [line(i, t) for i, t in enumerate(texts)]))
+    got = run(spark, "list_markers", "line", "marker", "text", fx_lines=(LINES, [line(i, t) for i, t in enumerate(texts)]), fx_line_shapes=(SHAPES, []))
     assert got == [(0, "ul", "em dash"), (1, "ul", "hyphen bullet"), (3, "ul", "bullet"), (4, "ol", "roman"), (5, "ol", "letter"), (8, "ol", "item")]
-    items = run(spark, "list_items", "block", "tag", "text", fx_lines=(LINES, [line(0, "— one"), line(1, "more"), line(2, "— two")]))
+    items = run(spark, "list_items", "block", "tag", "text", fx_lines=(LINES, [line(0, "— one"), line(1, "more"), line(2, "— two")]), fx_line_shapes=(SHAPES, []))
     assert items == [(0, "ul", "one more"), (0, "ul", "two")]
 
 
@@ -118,7 +121,7 @@ def test_titles_and_languages(spark):
     docs[3] = (*docs[3][:3], "english language", *docs[3][4:])
     docs[0] = (*docs[0][:3], "", *docs[0][4:])
     lines = (LINES, [line(0, "small words"), line(1, "Largest  line", size=20.0), line(2, "Ends with a stop.", size=30.0), line(3, "12 34 5", size=40.0)])
-    frames = {"fx_docs": (DOCS, docs), "fx_lines": lines, "documents": ("doc_id long, text string, lang string, source string, n_chars long", [(1, "el gato de la casa que no se va con los otros por la noche y con un perro en la calle", "es", "s", 1)])}
+    frames = {"fx_docs": (DOCS, docs), "fx_lines": lines, "fx_pdf_pages": (PAGES, [page(1, 1, "el gato de la casa que no se va con los otros por la noche y con un perro en la calle"), page(1, 7, "the of and to in a is that for it as was with be by on not he his but at " * 9)])}
     assert run(spark, "title_plan", **frames) == [(1, "Largest line", "largest line"), (2, "From the dictionary", "from the dictionary"), (4, "4", "file name")]
     assert run(spark, "lang_plan", **frames) == [(1, "es", "guessed")]
 
@@ -431,7 +434,7 @@ def test_drawn_bullets(spark):
 def test_lists_end_where_other_text_stands(spark):
     texts = ["- a", "more", "- b", "1. c", "plain", "- d", "- e"]
     lines = (LINES, [set_line(1, i, t, 10.0 * i, block=i if t == "plain" else 9 if i > 4 else 0) for i, t in enumerate(texts)])
-    got = run(spark, "list_items", "page", "block", "item_id", "tag", "text", "list_id", fx_lines=lines)
+    got = run(spark, "list_items", "page", "block", "item_id", "tag", "text", "list_id", fx_lines=lines, fx_line_shapes=(SHAPES, []))
     assert [x[3:5] for x in got] == [("ul", "a more"), ("ul", "b"), ("ol", "c"), ("ul", "d"), ("ul", "e")]
     ids = [x[5] for x in got]
     assert ids[0] == ids[1] and ids[3] == ids[4] and len(set(ids)) == 3
@@ -553,3 +556,57 @@ def test_outline_names_links_pictures_and_tables(spark):
     assert run(spark, "word_counts", pages=pages) == [(1, 14, 18)]
     cut = sorted(run(spark, "first_words", "line_no", "text", pages=pages, fx_word_limit=("words int", [(7,)])))
     assert [t for _, t in cut] == ["Head link (link to https://x.example/" + "a" * 102 + ")", "loose", "One"]
+
+
+def test_metas_in_any_order(spark):
+    html = "<html lang=en-GB><head><meta content='A > \"B\"' name=\"Author\"><META NAME=description CONTENT=short><meta charset=utf-8><meta name='author' content=' last '/><title>T &amp;\n t</title></head><body><meta name=author content=no>"
+    pages = ("page_id long, html string", [(1, html), (2, None), (3, "")])
+    assert run(spark, "page_metadata", "page_id", "title", "lang", "author", "subject", "metas", pages=pages)[0] == (1, "T & t", "en-GB", "last", "short", 4)
+    assert run(spark, "page_meta_pairs", "page_id", "name", "content", pages=pages) == [(1, "author", " last "), (1, "description", "short")]
+
+
+def test_drawn_marks_count_where_none_is_written(spark):
+    lines = (LINES, [line(0, "plain"), line(1, "1. one"), line(2, "far")])
+    shapes = (SHAPES, [(1, 0, 60.0, 64.0, 2.0, 6.0), (1, 0, 60.0, 64.0, 12.0, 16.0), (1, 0, 20.0, 24.0, 22.0, 26.0), (1, 1, 60.0, 64.0, 22.0, 26.0)])
+    assert run(spark, "list_markers", "line", "marker", "text", fx_lines=lines, fx_line_shapes=shapes) == [(0, "ul", "plain"), (1, "ol", "one")]
+
+
+def test_spans_merge_by_all_five_formats(spark):
+    spans = "doc_id long, page int, block int, line int, span int, text string, bold boolean, italic boolean, mono boolean, superscript boolean, x0 double, x1 double, y0 double, y1 double"
+    row = lambda li, i, text, bold=False, mono=False, sup=False, x=0.0, block=0: (1, 0, block, li, i, text, bold, False, mono, sup, x, x + 10, 0.0, 10.0)
+    rows = [row(0, 0, "a"), row(0, 1, "b", x=50.0), row(0, 2, ""), row(0, 3, "c", x=52.0), row(0, 4, "d", mono=True), row(0, 5, "e", mono=True, sup=True), row(0, 6, "f", bold=True), row(1, 0, "Head", bold=True, block=1), row(1, 1, " line", block=1)]
+    level = ("doc_id long, page int, block int, level int, text string", [(1, 0, 0, None, ""), (1, 0, 1, 2, "Head line")])
+    rects = ("doc_id long, page int, link_id int, uri string, x0 double, y0 double, x1 double, y1 double", [(1, 0, 2, "second", 40.0, 0.0, 99.0, 20.0), (1, 0, 1, "first", 40.0, 0.0, 70.0, 20.0)])
+    got = run(spark, "span_merge", "line", "run_id", "bold", "mono", "superscript", "link", "text", fx_formatted_spans=(spans, rows), leveled=level, fx_link_rects=rects)
+    assert got == [(0, 1, False, False, False, "", "a"), (0, 2, False, False, False, "first", "bc"), (0, 3, False, True, False, "", "d"), (0, 4, False, True, True, "", "e"), (0, 5, True, False, False, "", "f"), (1, 1, False, False, False, "", "Head line")]
+
+
+def test_metadata_of_imports(spark):
+    docs = [document(1, title=" "), document(2, title="T"), document(3, title="")]
+    docs = [(*x[:3], "", *x[4:]) for x in docs]
+    level = ("doc_id long, page int, block int, level int, text string", [(1, 1, 0, 2, "later"), (1, 0, 9, 2, " First  one "), (1, 0, 1, 3, "lower"), (1, 0, 0, None, "text")])
+    frames = {"leveled": level, "guesses": ("doc_id long, guess string", [(1, "es"), (2, "")]), "fx_doc_info": ("doc_id long, author string, subject string", [(1, " me ", None)])}
+    assert run(spark, "import_metadata", "doc_id", "title", "author", "subject", "lang", fx_docs=(DOCS, docs), **frames) == [(1, "First one", "me", "", "es"), (2, "T", "", "", ""), (3, "", "", "", "")]
+
+
+def test_numbers_come_from_styles_and_names(spark):
+    styles = ("doc_id long, style_id int, base_id int, outline_lvl int, style_name string", [(1, 1, None, None, "Base"), (1, 2, 1, None, "List Bullet 3"), (1, 3, 2, None, "Mine")])
+    nums = {"fx_style_nums": ("doc_id long, style_id int, num_id int, ilvl int", [(1, 1, 7, None)]), "fx_nums": ("num_id int, abstract_id int, override_fmt string", [(7, 1, None), (8, 1, "none"), (9, 2, None)]),
+            "fx_abstract_nums": ("abstract_id int, ilvl int, fmt string", [(1, 0, "bullet"), (1, 2, "decimal"), (2, 0, None)])}
+    paras = ("doc_id long, para int, style_id int, num_id int, ilvl int, text string, outline_lvl int", [(1, i, s, n, lv, "x", None) for i, (s, n, lv) in enumerate([(2, None, None), (3, None, None), (1, None, None), (1, 8, 2), (1, 9, None), (1, 5, 1), (None, None, None), (2, 0, 0)])])
+    assert run(spark, "numbering_kind", "para", "tag", "level", fx_styles=styles, fx_doc_paragraphs=paras, **nums) == [(0, "ol", 2), (1, "ul", 0), (2, "ul", 0), (3, "ol", 2), (4, "ol", 0), (5, "ul", 1)]
+
+
+def test_context_of_pictures_and_their_sources(spark):
+    blocks = ("doc_id long, ordinal int, level int, text string", [(1, 1, 2, " Head "), (1, 2, None, "x" * 500), (1, 3, None, " "), (1, 5, 3, " ")])
+    pictures = ("doc_id long, ordinal int, alt string, alt_source string", [(1, 1, "a", "ai:x"), (1, 4, " ", ""), (1, 5, "b", ""), (2, 1, "c", "pdf")])
+    assert run(spark, "picture_context", "doc_id", "ordinal", "heading", "before", fx_blocks=blocks, fx_pictures=pictures) == [(1, 1, "Head", "Head"), (1, 4, "Head", "x" * 400), (1, 5, "Head", "x" * 400), (2, 1, "", "")]
+    got = run(spark, "alt_provenance", "source", "ai", "recovered", "human", "missing", fx_pictures=pictures, fx_sources=("doc_id long, source string", [(1, "s")]))
+    assert got == [("", 0, 1, 0, 0), ("s", 1, 0, 1, 1)]
+
+
+def test_scanned_pages_hold_no_tables_and_were_not_read(spark):
+    kinds = ("doc_id long, page int, kind string", [(1, 1, "scanned"), (1, 2, "scanned"), (2, 1, "scanned"), (2, 2, "scanned"), (2, 3, "blank"), (3, 1, "blank")])
+    where = "doc_id long, page int"
+    got = run(spark, "scanned_documents", "doc_id", "scanned_pages", "is_scanned", "some_scanned", "nothing", page_kinds=kinds, fx_table_boxes=(where, [(2, 1), (2, 1)]), fx_recognised=(where, [(2, 3)]))
+    assert got == [(1, 2, True, False, False), (2, 1, False, True, False), (3, 0, False, False, True)]
