@@ -5,7 +5,8 @@ a smaller doc_id are removed. Windows are found by doubling: sequences of ``star
 survive, then of twice as many words, and so on until nothing survives or the sequences are ``length`` long. At each
 level every window that is still a candidate is represented by one of its sequences, the one with the least hash: copies
 of a window pick the same one, so none is missed, and neighbouring windows mostly share theirs, so a few sequences stand
-for all. A window goes on only where its sequence repeats.
+for all. A window goes on only where its sequence repeats. Sequences are told apart by 64 bits on the way, where two that
+meet by chance only go on for nothing; at the last level, which decides what is removed, by 128 bits made from 128-bit hashes of the words.
 
 At each level an aggregate finds the hashes that occur in two documents (minima and maxima, so a very common sequence is
 one row a task), and a join marks their places, which Spark splits where one hash is hot. Only hashes and positions are
@@ -32,7 +33,7 @@ START = 4
 #: Up to so many repeated ids are sent to every executor; beyond it Spark joins them.
 BROADCAST_IDS = 500_000
 NO_ID = (1 << 63) - 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def level_lengths(length: int, start: int = START) -> list[int]:
@@ -52,14 +53,19 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
 
 
-def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+def second_hashes(words: list[bytes]) -> np.ndarray:
+    """64 more bits of every word, which hang together with ``word_hashes`` in nothing but the word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype=">u8").astype(np.uint64)
+
+
+def window_hashes(hashes: np.ndarray, length: int, base: np.uint64 = _BASE) -> np.ndarray:
     """A 64-bit hash of every run of ``length`` word hashes."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for i in range(length):
-        out *= _BASE
+        out *= base
         out += hashes[i : i + n]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -71,16 +77,22 @@ def picked(hashes: np.ndarray, span: int) -> np.ndarray:
     return np.arange(len(hashes) - span + 1) + np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(axis=1)
 
 
-def _rows(parts: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
+def _rows(parts: list[tuple[np.ndarray, int, int, np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+    """(hashes, doc, row, places, second hashes or None) a text to rows."""
     counts = [len(h) for h, *_ in parts]
-    hashes = np.concatenate([h for h, *_ in parts]) if parts else np.empty(0, dtype=np.uint64)
-    at = np.concatenate([p for *_, p in parts]) if parts else np.empty(0, dtype=np.int64)
+    joined = lambda i, kind: np.concatenate([x[i] for x in parts]) if parts else np.empty(0, dtype=kind)
     doc, row = (np.repeat(np.array([x[i] for x in parts], dtype=np.int64), counts) for i in (1, 2))
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc), pa.array(row), pa.array(at.astype(np.int32))], names=["hash", "doc", "row", "at"])
+    second = parts and parts[0][4] is not None
+    checks = pa.array(joined(4, np.uint64).view(np.int64)) if second else pa.nulls(len(doc), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(joined(0, np.uint64).view(np.int64)), pa.array(doc), pa.array(row), pa.array(joined(3, np.int64).astype(np.int32)), checks], names=["hash", "doc", "row", "at", "second"])
+
+
+ROWS = "hash long, doc long, row long, at int, second long"
 
 
 def first_level(texts: DataFrame, seed: int, length: int) -> DataFrame:
-    """(doc, row, text) to (hash, doc, row, at): the sequences of ``seed`` words that stand for windows of ``length``."""
+    """(doc, row, text) to (hash, doc, row, at, second): the sequences of ``seed`` words that stand for windows of ``length``; their second
+    hashes where they are the windows themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
@@ -90,21 +102,22 @@ def first_level(texts: DataFrame, seed: int, length: int) -> DataFrame:
                 if len(words) >= length:
                     hashes = window_hashes(word_hashes(words), seed)
                     at = np.unique(picked(hashes, length - seed + 1))
-                    parts.append((hashes[at], doc, row, at))
+                    parts.append((hashes[at], doc, row, at, window_hashes(second_hashes(words), seed, _OTHER)[at] if seed == length else None))
             yield _rows(parts)
 
-    return texts.mapInArrow(run, "hash long, doc long, row long, at int")
+    return texts.mapInArrow(run, ROWS)
 
 
 def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFrame:
-    """(doc, row, text, places of surviving sequences of ``short`` words) to (hash, doc, row, at): the sequences of ``long`` words
-    that stand for those windows of ``length`` whose short sequence survived."""
+    """(doc, row, text, places of surviving sequences of ``short`` words) to (hash, doc, row, at, second): the sequences of ``long`` words
+    that stand for those windows of ``length`` whose short sequence survived; their second hashes where they are the windows themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             parts = []
             for doc, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                hashes = word_hashes(split_words(text))
+                words = split_words(text)
+                hashes = word_hashes(words)
                 if len(hashes) < length:
                     continue
                 alive = np.zeros(len(hashes), dtype=bool)
@@ -113,17 +126,19 @@ def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFram
                 longer = window_hashes(hashes, long)
                 at = np.unique(picked(longer, length - long + 1)[alive])
                 if len(at):
-                    parts.append((longer[at], doc, row, at))
+                    parts.append((longer[at], doc, row, at, window_hashes(second_hashes(words), long, _OTHER)[at] if long == length else None))
             yield _rows(parts)
 
-    return texts.mapInArrow(run, "hash long, doc long, row long, at int")
+    return texts.mapInArrow(run, ROWS)
 
 
 def repeated_places(windows: DataFrame, later: bool) -> DataFrame:
-    """(hash, doc, row, at) to a table (doc, row, places): those of hashes in two documents; with ``later`` not those in a hash's first document."""
+    """(hash, doc, row, at, second) to a table (doc, row, places): those of hashes in two documents; with ``later``, at the last level, those
+    of both hashes together, and not those in a sequence's first document."""
+    keys = ["hash", "second"] if later else ["hash"]
     # kept as a table, so that both sides of the join are plain shuffles, whose hot partitions Spark can split
-    twice = saved(windows.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("hash", "low"))
-    met = windows.join(twice, "hash")
+    twice = saved(windows.groupBy(*keys).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select(*keys, "low"))
+    met = windows.join(twice, keys)
     if later:
         met = met.filter("doc > low")
     places = saved(met.groupBy("doc", "row").agg(F.collect_set("at").alias("places")))

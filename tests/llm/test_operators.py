@@ -172,6 +172,17 @@ def test_substrings(docs, texts):
             assert got[i] == (len(w), len(w) - len(kept), " ".join(kept))
 
 
+def test_substrings_tells_windows_apart_by_both_hashes(spark):
+    rows = [(7, 1, 0, 3, 10), (7, 2, 0, 4, 11), (7, 3, 0, 5, 11), (8, 2, 0, 9, 1), (8, 4, 0, 9, 1)]
+    windows = spark.createDataFrame(rows, "hash long, doc long, row long, at int, second long")
+    places = lambda later: {r["doc"]: sorted(r["places"]) for r in substrings.repeated_places(windows, later).collect()}
+    assert places(True) == {3: [5], 4: [9]}
+    assert places(False) == {1: [3], 2: [4, 9], 3: [5], 4: [9]}
+    words = [b"one", b"two", b"one"]
+    first, second = substrings.word_hashes(words), substrings.second_hashes(words)
+    assert first[0] == first[2] and second[0] == second[2] and not set(first.tolist()) & set(second.tolist())
+
+
 def test_substrings_judges_rows_without_an_id_by_themselves(spark):
     text = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "abcdefg"}
     rows = [(1, text["a"]), (2, text["b"]), (None, text["a"]), (None, text["c"]), (None, f"{text['b']} {text['d']}"), (3, text["e"]), (3, text["b"]), (3, f"{text['a']} {text['f']}"), (None, None)]
