@@ -96,17 +96,32 @@ def test_decontamination_drops_the_leaking_rows_alone(spark):
     assert sorted(((r["doc_id"], r["item_id"], r["edits"]) for r in found.collect()), key=repr) == sorted([(1, 1, 0), (1, 2, 0), (None, 1, 0), (None, 2, 0), (3, 4, 0)], key=repr)
 
 
-def test_decontamination_is_the_same_in_blocks(spark, monkeypatch):
+def test_decontamination_is_the_same_whatever_the_filters_hold(spark, monkeypatch):
     items = [(i, text_of(f"q{i}x", 12 + i)) for i in range(20)]
     docs = frame(spark, [(i, f"{text_of('a')} {t} {text_of('b')}") for i, t in items])
     benchmark = spark.createDataFrame(items, "item_id string, text string")
     rows = lambda: sorted((r["doc_id"], r["item_id"], r["edits"], r["end_word"]) for r in decontaminate.leaks(docs, benchmark).collect())
     whole = rows()
     assert [x[:2] for x in whole] == sorted((i, str(i)) for i, _ in items)
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    # filters so full that they exclude nothing, and items too many to broadcast
+    for name, value in (("MASK_SLOTS", 1), ("FILTER_BITS", 64), ("BROADCAST_ITEMS", 0)):
+        monkeypatch.setattr(decontaminate, name, value)
     assert rows() == whole
 
 
+def test_decontamination_reports_the_nearest_passage_of_a_text(spark):
+    """One row a document and item, of the passage with the fewest edits and of those the first, also where passages lie far apart."""
+    item = text_of("q", 30).split()
+    far, near = [*item[:10], "x", *item[11:20], "y", *item[21:]], [*item[:15], "z", *item[16:]]
+    gap = text_of("g", 200).split()
+    texts = {1: far + gap + near + gap + near, 2: near + gap + far, 3: far + near, 4: far + gap}
+    docs = frame(spark, [(i, " ".join(ws)) for i, ws in texts.items()] + [(1, " ".join(texts[4]))])
+    found = decontaminate.leaks(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    want = [(1, 1, len(far) + len(gap) + 30), (1, 2, 30), (2, 1, 30), (3, 1, 60), (4, 2, 30)]
+    assert sorted((r["doc_id"], r["edits"], r["end_word"]) for r in found) == want
+    assert {(r["item_words"], round(r["similarity"] * 30)) for r in found} == {(30, 29), (30, 28)}
+
+
 def test_recall_at_the_allowed_edits(spark):
     rng, items, docs = np.random.default_rng(9), [], []
     for i in range(120):
