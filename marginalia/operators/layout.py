@@ -38,15 +38,20 @@ def furniture_lines(d: Spark) -> str:
     return "select doc_id, key, pages from furniture"
 
 
-@operator
-def drop_furniture(d: Spark) -> str:
-    """How many lines go, and the first three different ones."""
+@view
+def dropped_lines(d: Spark) -> str:
     first = d.array_join(d.collect("text", "n", "n <= 3"), " | ")
     return f"""select doc_id, cast(sum(lines) as bigint) dropped, {first} examples from (
       select doc_id, text, lines, row_number() over (partition by doc_id order by first_at) n from (
         select m.doc_id, m.text, count(*) lines, min({d.struct(page='m.page', line='m.line')}) first_at from margin_lines m join furniture f on f.doc_id = m.doc_id and f.key = m.key group by m.doc_id, m.text) a) b group by doc_id"""
 
 
+@operator
+def drop_furniture(d: Spark) -> str:
+    """How many lines go, and the first three different ones."""
+    return "select doc_id, dropped, examples from dropped_lines"
+
+
 @operator
 def source_boilerplate(d: Spark) -> str:
     """Lines that repeat over the documents of a source."""
@@ -243,17 +248,23 @@ def tagged_counts(d: Spark) -> str:
       (select doc_id, page, count(*) n from fx_pictures where in_tagged group by doc_id, page) p full outer join (select doc_id, page, count(*) n from fx_figure_alts group by doc_id, page) a on a.doc_id = p.doc_id and a.page = p.page"""
 
 
-@operator
-def alt_matching(d: Spark) -> str:
-    """Descriptions go to a page's tagged pictures by position, where there are as many of either."""
+@view
+def alt_matches(d: Spark) -> str:
     return """select p.doc_id, p.page, p.ordinal, a.alt from (select doc_id, page, ordinal, row_number() over (partition by doc_id, page order by ordinal) n from fx_pictures where in_tagged) p
       join tagged_counts c on c.doc_id = p.doc_id and c.page = p.page and c.pictures = c.alts
       join (select doc_id, page, alt, row_number() over (partition by doc_id, page order by seq) n from fx_figure_alts) a on a.doc_id = p.doc_id and a.page = p.page and a.n = p.n"""
 
 
+@operator
+def alt_matching(d: Spark) -> str:
+    """Descriptions go to a page's tagged pictures by position, where there are as many of either."""
+    return "select doc_id, page, ordinal, alt from alt_matches"
+
+
 @operator
 def alt_mismatches(d: Spark) -> str:
-    return "select doc_id, page, pictures, alts from tagged_counts where pictures <> alts"
+    """Pages whose tags describe another number of pictures than they hold; tags without descriptions are no mismatch."""
+    return "select doc_id, page, pictures, alts from tagged_counts where alts > 0 and pictures <> alts"
 
 
 @operator
@@ -274,20 +285,30 @@ def size_levelling(d: Spark) -> str:
       left join ({page}) b on b.doc_id = s.doc_id and b.page = s.page left join ({native}) n on n.doc_id = s.doc_id"""
 
 
-@operator
-def control_chars(d: Spark) -> str:
+@view
+def controls(d: Spark) -> str:
     bad = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}\x{E000}-\x{F8FF}]"
     return f"select doc_id, {d.count('text', bad)} removed, md5({d.sub('text', bad)}) text_md5 from (select doc_id, coalesce(text, '') text from fx_control_texts) t"
 
 
 @operator
-def tree_coverage(d: Spark) -> str:
-    """Whether the tags hold about as much text as the pages do."""
+def control_chars(d: Spark) -> str:
+    return "select doc_id, removed, text_md5 from controls"
+
+
+@view
+def coverage(d: Spark) -> str:
     solid = lambda s: f"length({d.sub(s, '[ ]+')})"
     return f"""select p.doc_id, cast(e.n as double) / p.n ratio, cast(e.n as double) / p.n between 0.85 and 1.3 use_tags from
       (select doc_id, sum({solid('text')}) n from fx_pdf_pages group by doc_id having sum({solid('text')}) > 0) p join (select doc_id, sum({solid('text')}) n from fx_content group by doc_id) e on e.doc_id = p.doc_id"""
 
 
+@operator
+def tree_coverage(d: Spark) -> str:
+    """Whether the tags hold about as much text as the pages do."""
+    return "select doc_id, ratio, use_tags from coverage"
+
+
 @view
 def picture_pages(d: Spark) -> str:
     """Pages by whether they are pictures of text: some picture, no text, no table, and not read by recognition."""
@@ -302,12 +323,42 @@ def scanned_documents(d: Spark) -> str:
     return """select doc_id, count_if(scanned) scanned_pages, count_if(scanned) = count(*) is_scanned, count_if(scanned) between 1 and count(*) - 1 some_scanned, count_if(blank) = count(*) nothing from picture_pages group by doc_id"""
 
 
+@view
+def import_ways(d: Spark) -> str:
+    """Tagged documents, and whether they are read from their tags or, as these hold too little or too much, from the layout."""
+    return "select e.doc_id, coalesce(c.use_tags, false) by_tags from (select distinct doc_id from fx_elems) e left join coverage c on c.doc_id = e.doc_id"
+
+
 @operator
 def import_warnings(d: Spark) -> str:
-    return """select doc_id, 1 ord, 'furniture removed' warning, cast(count(*) as bigint) n from furniture group by doc_id
-      union all select doc_id, 2, 'descriptions did not match', count(*) from tagged_counts where pictures <> alts group by doc_id
-      union all select doc_id, 3, 'pages are pictures', count(*) from picture_pages where scanned group by doc_id
-      union all select doc_id, 4, 'fields', count(*) from fx_fields group by doc_id"""
+    """What a reader of an imported document should check, in order, with counts. Documents read from their tags are warned of what comes
+    from tags, all others of what comes from the layout: pages read by recognition or garbled, running lines (three of them named),
+    rebuilt tables, pages that are pictures, and descriptions matched or, on the pages named (eight at most), left unmatched."""
+    pages = lambda t: f"(select distinct doc_id, page from {t})"
+    unread = "r.doc_id = k.doc_id and r.page = k.page where r.doc_id is null"
+    mismatched = d.array_join(d.collect("page", "page", "nth <= 8"), ", ")
+    warnings = [
+        ("", "fields", "count(*)", "''", "fx_fields"),
+        ("true", "read from the tags", "1", "''", "import_ways"),
+        ("true", "decoration left out", "count_if(not in_tagged)", "''", "fx_marks"),
+        ("true", "descriptions from the tags", "count_if(trim(alt) <> '')", "''", "fx_figure_alts"),
+        ("false", "tagged, but rebuilt from the layout", "1", "''", "import_ways"),
+        ("false", "pages read by recognition", "count(*)", "''", f"{pages('fx_recognised')} r"),
+        ("false", "garbled pages", "count_if(kind = 'garbled')", "''", f"(select k.doc_id, k.kind from page_kinds k left join {pages('fx_recognised')} r on {unread}) g"),
+        ("false", "running lines left out", "max(keys)", "max(examples)", "(select l.doc_id, f.keys, l.examples from dropped_lines l join (select doc_id, count(*) keys from furniture group by doc_id) f on f.doc_id = l.doc_id) l"),
+        ("false", "tables rebuilt", "count(*)", "''", f"(select k.doc_id from fx_table_boxes k left join {pages('fx_recognised')} r on {unread}) t"),
+        ("false", "all pages are pictures", "case when count_if(scanned) = count(*) then count(*) else 0 end", "''", "picture_pages"),
+        ("false", "some pages are pictures", "case when count_if(scanned) < count(*) then count_if(scanned) else 0 end", "''", "picture_pages"),
+        ("false", "nothing on any page", "case when count_if(blank) = count(*) then count(*) else 0 end", "''", "picture_pages"),
+        ("false", "descriptions from the tags", "count_if(trim(alt) <> '')", "''", "alt_matches"),
+        ("false", "descriptions did not match", "count(*)", mismatched, "(select doc_id, cast(page as int) page, row_number() over (partition by doc_id order by page) nth from tagged_counts where alts > 0 and pictures <> alts) m"),
+        ("", "control characters removed", "max(removed)", "''", "controls"),
+    ]
+    union = " union all ".join(
+        f"select doc_id, {i} ord, '{name}' warning, {way or 'null'} way, cast({n} as bigint) n, {detail} detail from {source} group by doc_id" for i, (way, name, n, detail, source) in enumerate(warnings, 1)
+    )
+    return f"""select u.doc_id, u.ord, u.warning, u.n, u.detail from ({union}) u left join import_ways w on w.doc_id = u.doc_id
+      where u.n > 0 and (u.way is null or u.way = coalesce(w.by_tags, false))"""
 
 
 def guesses_of(d: Spark, source: str) -> str:

@@ -610,3 +610,37 @@ def test_scanned_pages_hold_no_tables_and_were_not_read(spark):
     where = "doc_id long, page int"
     got = run(spark, "scanned_documents", "doc_id", "scanned_pages", "is_scanned", "some_scanned", "nothing", page_kinds=kinds, fx_table_boxes=(where, [(2, 1), (2, 1)]), fx_recognised=(where, [(2, 3)]))
     assert got == [(1, 2, True, False, False), (2, 1, False, True, False), (3, 0, False, False, True)]
+
+
+def test_warnings_of_an_import_follow_the_way_it_was_read(spark):
+    """Document 1 is read from its tags, 2 is tagged but read from the layout, 3 has no tags, 4 is pictures, 5 is empty."""
+    where, kinds = "doc_id long, page int", [(1, 1, "garbled"), (2, 1, "garbled"), (2, 2, "garbled"), (2, 3, "text"), (3, 1, "scanned"), (3, 2, "text"), (4, 1, "scanned"), (5, 1, "blank")]
+    pictures = [(i, p, o, True) for i, p, o in [(1, 1, 1), (2, 1, 1), (2, 1, 2), (2, 3, 1), (3, 2, 1)]]
+    got = run(
+        spark, "import_warnings", "doc_id", "ord", "warning", "n", "detail",
+        fx_fields=("doc_id long, field_id int", [(1, 1), (1, 2), (3, 1)]),
+        fx_elems=("doc_id long, elem_id int", [(1, 1), (1, 2), (2, 1)]),
+        coverage=("doc_id long, ratio double, use_tags boolean", [(1, 1.0, True), (2, 0.5, False), (3, 1.0, True)]),
+        fx_marks=("doc_id long, in_tagged boolean", [(1, True), (1, False), (1, False), (2, False)]),
+        fx_pictures=("doc_id long, page int, ordinal int, in_tagged boolean", pictures),
+        # page 3 of document 2 has no descriptions, which is no mismatch; a blank one is used but not counted
+        fx_figure_alts=("doc_id long, page int, seq int, alt string", [(1, 1, 1, "a"), (1, 1, 2, " "), (2, 1, 1, "b"), (2, 1, 2, " ")] + [(3, p, 1, "c") for p in range(11, 0, -1)]),
+        fx_recognised=(where, [(2, 2), (2, 2)]),
+        page_kinds=("doc_id long, page int, kind string", kinds),
+        furniture=("doc_id long, key string, pages long", [(1, "k", 2), (2, "k", 2), (2, "m", 3)]),
+        dropped_lines=("doc_id long, dropped long, examples string", [(1, 2, "K"), (2, 5, "K | M")]),
+        fx_table_boxes=(where, [(1, 1), (2, 2), (2, 3), (2, 3)]),
+        fx_control_texts=("doc_id long, text string", [(1, "a\x07\x08"), (2, "a"), (9, None)]),
+    )
+    assert got == sorted(
+        [
+            (1, 1, "fields", 2, ""), (1, 2, "read from the tags", 1, ""), (1, 3, "decoration left out", 2, ""), (1, 4, "descriptions from the tags", 1, ""),
+            (1, 15, "control characters removed", 2, ""),
+            (2, 5, "tagged, but rebuilt from the layout", 1, ""), (2, 6, "pages read by recognition", 1, ""), (2, 7, "garbled pages", 1, ""),
+            (2, 8, "running lines left out", 2, "K | M"), (2, 9, "tables rebuilt", 2, ""), (2, 13, "descriptions from the tags", 1, ""),
+            (3, 1, "fields", 1, ""), (3, 11, "some pages are pictures", 1, ""), (3, 13, "descriptions from the tags", 1, ""),
+            (3, 14, "descriptions did not match", 10, "1, 3, 4, 5, 6, 7, 8, 9"),
+            (4, 10, "all pages are pictures", 1, ""), (5, 12, "nothing on any page", 1, ""),
+        ],
+        key=repr,
+    )
