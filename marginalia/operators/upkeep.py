@@ -144,8 +144,9 @@ def heading_levels_from_styles(d: Spark) -> str:
 @operator
 def numbering_kind(d: Spark) -> str:
     """Bulleted or numbered, and the level. A paragraph's own number counts, else that of the nearest of twelve styles that has one; a
-    style without a level of its own takes it from the paragraph's style name. A number is bulleted by its override, else by its abstract
-    level (numbered where that names no format), and where neither is known."""
+    style without a level of its own takes it from the paragraph's style name. A document's number is bulleted by its override of that
+    level where this names a format, else by its abstract level (numbered where that names none), and where neither is known. Of
+    overrides that repeat a level, the first by ``seq`` that names a format counts."""
     name = d.extract("lower(coalesce(style_name, ''))", r"^list (?:bullet|number) ([2-9])$", 1)
     return f"""with recursive numbered_styles as (select s.doc_id, s.style_id, s.base_id, s.style_name, n.num_id, n.ilvl from fx_styles s left join fx_style_nums n on n.doc_id = s.doc_id and n.style_id = s.style_id),
       num_chain as (select doc_id, style_id, base_id, num_id, ilvl, 0 step from numbered_styles
@@ -153,8 +154,10 @@ def numbering_kind(d: Spark) -> str:
       paras as (select p.doc_id, p.para, coalesce(p.num_id, c.num_id) num_id, case when p.num_id is not null then coalesce(p.ilvl, 0) when c.ilvl is not null then c.ilvl when {name} <> '' then cast({name} as int) - 1 else 0 end level
         from fx_doc_paragraphs p left join (select doc_id, style_id, max(num_id) num_id, max(ilvl) ilvl from num_chain where num_id is not null group by doc_id, style_id) c on c.doc_id = p.doc_id and c.style_id = p.style_id
         left join fx_styles s on s.doc_id = p.doc_id and s.style_id = p.style_id)
-      select p.doc_id, p.para, case when n.override_fmt is not null then case when n.override_fmt = 'bullet' then 'ul' else 'ol' end when a.abstract_id is null or coalesce(a.fmt, 'decimal') in ('bullet', 'none') then 'ul' else 'ol' end tag, cast(p.level as int) level
-      from paras p left join fx_nums n on n.num_id = p.num_id left join fx_abstract_nums a on a.abstract_id = n.abstract_id and a.ilvl = p.level where p.num_id > 0"""
+      select p.doc_id, p.para, case when o.fmt is not null then case when o.fmt = 'bullet' then 'ul' else 'ol' end when n.num_id is null then 'ul' when a.abstract_id is null or coalesce(a.fmt, 'decimal') in ('bullet', 'none') then 'ul' else 'ol' end tag, cast(p.level as int) level
+      from paras p left join fx_nums n on n.doc_id = p.doc_id and n.num_id = p.num_id
+      left join (select doc_id, num_id, ilvl, min_by(fmt, seq) fmt from fx_num_overrides where fmt is not null group by doc_id, num_id, ilvl) o on o.doc_id = n.doc_id and o.num_id = n.num_id and o.ilvl = p.level
+      left join fx_abstract_nums a on a.doc_id = n.doc_id and a.abstract_id = n.abstract_id and a.ilvl = p.level where p.num_id > 0"""
 
 
 @operator

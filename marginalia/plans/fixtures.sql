@@ -180,10 +180,13 @@ create view fx_doc_paragraphs as
 select doc_id, ord para, cast(1 + pk % 6 as int) style_id, nullif(cast(pk % 5 as int), 4) num_id, cast(sk % 3 as int) ilvl, name text,
        case when pk % 11 = 0 then cast(sk % 9 as int) end outline_lvl from fx_li;
 create view fx_nums as
-select n num_id, n % 3 abstract_id, case when n = 2 then 'bullet' end override_fmt from fx_digits where n between 1 and 3;
+select doc_id, n num_id, (n + doc_id) % 3 abstract_id from (select distinct doc_id from fx_doc_paragraphs) p cross join fx_digits d where n between 1 and 3;
+create view fx_num_overrides as
+select doc_id, num_id, b.n ilvl, c.n seq, case (doc_id + b.n + c.n) % 4 when 0 then 'bullet' when 1 then 'upperRoman' when 2 then 'none' end fmt
+from fx_nums m cross join fx_digits b cross join fx_digits c where num_id = 2 and b.n < 2 and c.n < 2;
 create view fx_abstract_nums as
-select a.n abstract_id, b.n ilvl, case (a.n + b.n) % 3 when 0 then 'bullet' when 1 then 'decimal' else 'none' end fmt
-from fx_digits a cross join fx_digits b where a.n < 3 and b.n < 3;
+select doc_id, a.n abstract_id, b.n ilvl, case (doc_id + a.n + b.n) % 4 when 0 then 'bullet' when 1 then 'decimal' when 2 then 'none' end fmt
+from (select distinct doc_id from fx_doc_paragraphs) p cross join fx_digits a cross join fx_digits b where a.n < 3 and b.n < 3;
 create view fx_doc_features as
 select p_partkey doc_id, p_size % 2 = 0 tracked, p_size % 3 = 0 textboxes, p_size % 5 = 0 equations, p_size % 7 = 0 toc,
        p_size % 4 = 0 notes, p_size % 6 = 0 comments, p_size % 11 = 0 headers from part;

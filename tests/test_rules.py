@@ -591,8 +591,9 @@ def test_metadata_of_imports(spark):
 
 def test_numbers_come_from_styles_and_names(spark):
     styles = ("doc_id long, style_id int, base_id int, outline_lvl int, style_name string", [(1, 1, None, None, "Base"), (1, 2, 1, None, "List Bullet 3"), (1, 3, 2, None, "Mine")])
-    nums = {"fx_style_nums": ("doc_id long, style_id int, num_id int, ilvl int", [(1, 1, 7, None)]), "fx_nums": ("num_id int, abstract_id int, override_fmt string", [(7, 1, None), (8, 1, "none"), (9, 2, None)]),
-            "fx_abstract_nums": ("abstract_id int, ilvl int, fmt string", [(1, 0, "bullet"), (1, 2, "decimal"), (2, 0, None)])}
+    nums = {"fx_style_nums": ("doc_id long, style_id int, num_id int, ilvl int", [(1, 1, 7, None)]), "fx_nums": ("doc_id long, num_id int, abstract_id int", [(1, 7, 1), (1, 8, 1), (1, 9, 2)]),
+            "fx_num_overrides": ("doc_id long, num_id int, ilvl int, seq int, fmt string", [(1, 8, 2, 0, "none")]),
+            "fx_abstract_nums": ("doc_id long, abstract_id int, ilvl int, fmt string", [(1, 1, 0, "bullet"), (1, 1, 2, "decimal"), (1, 2, 0, None)])}
     paras = ("doc_id long, para int, style_id int, num_id int, ilvl int, text string, outline_lvl int", [(1, i, s, n, lv, "x", None) for i, (s, n, lv) in enumerate([(2, None, None), (3, None, None), (1, None, None), (1, 8, 2), (1, 9, None), (1, 5, 1), (None, None, None), (2, 0, 0)])])
     assert run(spark, "numbering_kind", "para", "tag", "level", fx_styles=styles, fx_doc_paragraphs=paras, **nums) == [(0, "ol", 2), (1, "ul", 0), (2, "ul", 0), (3, "ol", 2), (4, "ol", 0), (5, "ul", 1)]
 
@@ -644,3 +645,18 @@ def test_warnings_of_an_import_follow_the_way_it_was_read(spark):
         ],
         key=repr,
     )
+
+
+def test_overrides_of_numbers_are_by_level_and_document(spark):
+    nums = {
+        "fx_styles": ("doc_id long, style_id int, base_id int, outline_lvl int, style_name string", []),
+        "fx_style_nums": ("doc_id long, style_id int, num_id int, ilvl int", []),
+        # both documents have a number 1, of other abstract numbers
+        "fx_nums": ("doc_id long, num_id int, abstract_id int", [(1, 1, 1), (2, 1, 1), (2, 2, 9)]),
+        "fx_num_overrides": ("doc_id long, num_id int, ilvl int, seq int, fmt string", [(1, 1, 1, 0, None), (1, 1, 1, 1, "bullet"), (1, 1, 1, 2, "decimal"), (1, 1, 2, 0, None), (3, 1, 0, 0, "bullet")]),
+        "fx_abstract_nums": ("doc_id long, abstract_id int, ilvl int, fmt string", [(1, 1, 0, "decimal"), (1, 1, 1, "decimal"), (1, 1, 2, "lowerRoman"), (2, 1, 0, "bullet"), (2, 1, 1, "decimal")]),
+    }
+    paras = [(1, 0, 1, 0), (1, 1, 1, 1), (1, 2, 1, 2), (1, 3, 1, 3), (2, 0, 1, 0), (2, 1, 1, 1), (2, 2, 2, 0), (3, 0, 1, 0), (3, 1, 0, 0)]
+    frame = ("doc_id long, para int, style_id int, num_id int, ilvl int, text string, outline_lvl int", [(i, p, None, n, lv, "x", None) for i, p, n, lv in paras])
+    got = run(spark, "numbering_kind", "doc_id", "para", "tag", fx_doc_paragraphs=frame, **nums)
+    assert got == [(1, 0, "ol"), (1, 1, "ul"), (1, 2, "ol"), (1, 3, "ul"), (2, 0, "ul"), (2, 1, "ol"), (2, 2, "ul"), (3, 0, "ul")]
