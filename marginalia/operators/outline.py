@@ -230,7 +230,7 @@ def alt_cleanup(d: Spark) -> str:
     """Descriptions without quotes, asterisks or an opening "image of", and those that stand on several pictures."""
     plain = squeeze(d, d.sub("alt", '["*]'))
     bare = d.sub(plain, r"(?i)^(an? )?(image|picture|photo) (of|showing) ")
-    return f"select alt_clean, count(*) n, count(distinct doc_id) docs from (select doc_id, upper(substr({bare}, 1, 1)) || substr({bare}, 2) alt_clean from fx_pictures where trim(coalesce(alt, '')) <> '') a group by alt_clean having count(*) > 1"
+    return f"select alt_clean, count(*) n, count(distinct doc_id) docs from (select doc_id, {d.upper(f'substr({bare}, 1, 1)')} || substr({bare}, 2) alt_clean from fx_pictures where trim(coalesce(alt, '')) <> '') a group by alt_clean having count(*) > 1"
 
 
 @operator
@@ -261,8 +261,8 @@ def corpus_replace(d: Spark) -> str:
     first = lambda s: f"substr({s}, 1, 1)"
     hit, repl = ("h", "r.repl") if d.name == "spark" else ("h", "repl")
     own = "r." if d.name == "spark" else ""
-    copied = f"""case when {own}match_case then {repl} when {hit} = upper({hit}) and {hit} <> lower({hit}) and length({hit}) > 1 then upper({repl})
-      when {first(hit)} = upper({first(hit)}) and {first(hit)} <> lower({first(hit)}) then upper({first(repl)}) || substr({repl}, 2) else {repl} end"""
+    copied = f"""case when {own}match_case then {repl} when {hit} = {d.upper(hit)} and {hit} <> lower({hit}) and length({hit}) > 1 then {d.upper(repl)}
+      when {first(hit)} = {d.upper(first(hit))} and {first(hit)} <> lower({first(hit)}) then {d.upper(first(repl))} || substr({repl}, 2) else {repl} end"""
     if d.name == "duck":
         pattern = "case when match_case then '' else '(?i)' end || '\\Q' || find || '\\E'"
         return f"""with t as (select k.doc_id, k.pos, f.find, f.repl, f.match_case, string_split_regex(k.tok, {pattern}) pieces, regexp_extract_all(k.tok, {pattern}) hits from tokens k join fx_replacements f on f.find <> '' where k.kind = 'text'),

@@ -205,7 +205,6 @@ create view fx_tables_prev as select doc_id, ordinal, cast(ordinal % 2 as int) *
 create view fx_symbol_texts as select doc_id, case when doc_id % 8 = 0 then '�' || substr(text, 3) else text end text from documents;
 create view fx_control_texts as select doc_id, case when doc_id % 8 = 0 then chr(7) || text else text end text from documents;
 create view fx_rtl_texts as select doc_id, case when doc_id % 9 = 0 then text || ' אב ع' else text end text from documents;
-create view fx_caps_lines as select doc_id, cast(i as bigint) ordinal, case when doc_id % 7 = 0 then upper(text) else text end text from fx_doc_lines;
 create view fx_page_meta as
 select doc_id, case when doc_id % 6 = 0 then ' ' else title end title, case when doc_id % 5 = 0 then '' else lang end lang from page_meta;
 create view fx_page_headings as select doc_id, ordinal, level, text from headings where doc_id % 3 <> 0;

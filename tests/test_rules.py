@@ -2,6 +2,7 @@
 
 import pytest
 
+from marginalia.functions.dialect import SPARK
 from marginalia.plans import registry
 from marginalia.sources import files
 
@@ -468,6 +469,15 @@ def test_search_and_replace(spark):
     assert run(spark, "corpus_replace", "find", "n", "text_md5", pages=pages, fx_replacements=(swaps[0], swaps[1][1:])) == [(".", 1, digest("Cat CATS cat! xscat")), ("cat", 2, digest("Cat CATS dog. xsdog"))]
 
 
+def test_capitals_keep_the_length_of_a_line(spark):
+    """Spark writes ß as two capitals; the line of the first document would then have 41 letters."""
+    lines = [(7, "ß" + "a" * 39), (14, "ß" + "a" * 40)]
+    got = run(spark, "issue_caps", "doc_id", "ordinal", documents=("doc_id long, text string, source string", [(i, "x\n" + t, "s") for i, t in lines]))
+    assert got == [(14, 1)]
+    sample = "aßŉǰ\nᾳᾲﬁ\u019b x\U00010d70é"
+    assert spark.createDataFrame([(sample,)], "s string").selectExpr(f"{SPARK.upper('s')} u").first()[0] == "Aẞŉǰ\nᾼᾲﬁ\u019b X\U00010d70É"
+
+
 def test_percentiles_within_their_error(spark):
     docs = [(i, "w " * ((i * 37) % 5000 + 1), "en", "a" if i % 3 else None) for i in range(3000)]
     got = run(spark, "word_percentiles", "lang", "source", "docs", "p50", "p95", documents=("doc_id long, text string, lang string, source string", docs))
