@@ -145,13 +145,16 @@ def word_counts_by_source(d: Spark) -> str:
 
 @operator
 def word_percentiles(d: Spark) -> str:
-    """Median and 95th percentile of the words of a text by language and source. Spark keeps a mergeable sketch of each group, whose ranks
-    are off by a ten-thousandth at most; the check ranks every row."""
+    """Median and 95th percentile of the words of a text by language and source, exact. Spark counts the texts of each size first and
+    ranks sizes; the check ranks every row."""
     sized = f"(select lang, source, {d.count("coalesce(text, '')", r'[^ \t\n\r\f\v]+')} n from documents) t"
     if d.name == "duck":
         at = lambda p: f"max(case when i = greatest(1, cast(ceil({p} * docs) as bigint)) then n end)"
         return f"select lang, source, count(*) docs, {at(0.5)} p50, {at(0.95)} p95 from (select *, row_number() over (partition by lang, source order by n) i, count(*) over (partition by lang, source) docs from {sized}) r group by lang, source"
-    return f"select lang, source, docs, p[0] p50, p[1] p95 from (select lang, source, count(*) docs, approx_percentile(n, array(0.5D, 0.95D), 10000) p from {sized} group by lang, source) s"
+    at = lambda p: f"min(case when upto >= greatest(1, cast(ceil({p} * docs) as bigint)) then n end)"
+    return f"""select lang, source, max(docs) docs, {at(0.5)} p50, {at(0.95)} p95 from (
+      select *, cast(sum(docs_of_n) over (partition by lang, source order by n) as bigint) upto, cast(sum(docs_of_n) over (partition by lang, source) as bigint) docs from (
+        select lang, source, n, count(*) docs_of_n from {sized} group by lang, source, n) c) r group by lang, source"""
 
 
 @view

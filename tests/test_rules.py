@@ -478,6 +478,12 @@ def test_capitals_keep_the_length_of_a_line(spark):
     assert spark.createDataFrame([(sample,)], "s string").selectExpr(f"{SPARK.upper('s')} u").first()[0] == "Aẞŉǰ\nᾼᾲﬁ\u019b X\U00010d70É"
 
 
+def test_percentiles_are_exact(spark):
+    """30,000 sizes in a group, no two alike, beyond what a sketch of 10,000 keeps apart."""
+    sizes = spark.range(30000).selectExpr("id doc_id", "repeat('w ', cast(id as int)) text", "'en' lang", "cast(null as string) source")
+    assert [tuple(r) for r in registry.apply(spark, "word_percentiles", documents=sizes).select("docs", "p50", "p95").collect()] == [(30000, 14999, 28499)]
+
+
 def test_percentiles_within_their_error(spark):
     docs = [(i, "w " * ((i * 37) % 5000 + 1), "en", "a" if i % 3 else None) for i in range(3000)]
     got = run(spark, "word_percentiles", "lang", "source", "docs", "p50", "p95", documents=("doc_id long, text string, lang string, source string", docs))
