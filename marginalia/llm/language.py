@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import held_out, pieces, row_key, unit
+from .common import discard, held_out, pieces, row_key, saved, unit
 
 UND = "und"
 #: Sampled documents of each language, on average, and segments taken of each. All languages that rows name are learned.
@@ -143,17 +143,39 @@ def predict(docs: DataFrame, net: ByteNet | None, *keep: str) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("__text"), lettered).mapInArrow(run, f"{schema}lang_pred string, score double")
 
 
-#: Share of held-out labelled documents that the threshold of the filter may lose, and how many of them set it, about.
-LOST, THRESHOLD_ROWS = 0.002, 4000
+#: Share of held-out labelled documents that the threshold of the filter may lose, and the bins that a pass over their scores counts.
+LOST, BINS = 0.002, 1024
+
+
+def ranked(scores: DataFrame, rank: int) -> float:
+    """The score of that rank, from 0 on, of all rows (score, n: how many have it): bins are counted and the one that holds it is cut again,
+    until it holds one score. No pass sends more than BINS rows."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        step = (high - low) / BINS
+        at = F.least(F.floor((F.col("score") - low) / step), F.lit(BINS - 1)).alias("bin")
+        bins = scores.filter(F.col("score").between(low, high)).groupBy(at).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("n").alias("n"))
+        for b in sorted(bins.collect()):
+            low, high = b["low"], b["high"]
+            if rank < b["n"]:
+                break
+            rank -= b["n"]
+    return low
 
 
 def threshold(docs: DataFrame, net: ByteNet) -> float:
     """The score under which a document has no known language: all but LOST of the labelled documents that training did not
-    see reach it, whatever the number of languages. 0 without such documents."""
+    see reach it, whatever the number of languages. All of them are scored. 0 without such documents."""
     rows = docs.filter(held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n = rows.count()
-    some = rows.filter(unit(F.lit(81), F.col("doc_id")) < min(1.0, THRESHOLD_ROWS / max(1, n)))
-    return predict(some, net).agg(F.percentile("score", LOST)).first()[0] or 0.0
+    scores = saved(predict(rows, net).groupBy("score").agg(F.count("*").alias("n")))
+    n = scores.agg(F.sum("n")).first()[0] or 0
+    if not n:
+        return 0.0
+    place = LOST * (n - 1)
+    below = ranked(scores, int(place))
+    least = below + (ranked(scores, min(int(place) + 1, n - 1)) - below) * (place - int(place))
+    discard(scores)
+    return least
 
 
 def accepted(docs: DataFrame, net: ByteNet | None, least: float | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -277,6 +278,21 @@ def test_language_threshold_is_set_on_held_out_rows(spark):
     assert sum(1000 + i in got for i in range(20)) <= 2
 
 
+def test_language_threshold_comes_from_all_held_out_rows(spark):
+    """Every held-out row counts, among 24,000 as well; a rank is found by passes over bins, ties and all."""
+
+    class Net(language.ByteNet):
+        def documents(self, data, offsets):
+            lengths = np.diff(offsets) / 100000
+            return np.stack((1 - lengths, lengths), axis=1)
+
+    docs = spark.range(24000).selectExpr("id doc_id", "repeat('a', cast(1 + id % 9000 as int)) text", "'aa' lang")
+    held = [1 - (1 + i % 9000) / 100000 for i in range(24000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert language.threshold(docs, Net(["aa", "bb"])) == pytest.approx(np.percentile(held, 100 * language.LOST), abs=1e-12)
+    scores = spark.createDataFrame([(0.1, 3), (0.2, 1), (0.2 + 1e-16, 2), (0.9, 1)], "score double, n long")
+    assert [language.ranked(scores, k) for k in range(7)] == [0.1] * 3 + [0.2] + [0.2 + 1e-16] * 2 + [0.9]
+
+
 def test_very_long_texts(spark):
     text = " ".join(f"w{i % 5000}" for i in range(200_000))
     docs = frame(spark, [(i, text_of(f"t{i}", 60)) for i in range(40)] + [(50, text), (51, text + " end")])
