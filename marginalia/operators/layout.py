@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import banded, meet, operator, squeeze, view
+from .base import banded, meet, operator, squeeze, stored, view
+from .report import followed
 
 # List marks, ends of sentences, stop words of two languages.
 BULLET = "[•◦▪●○■‣⁃·*–—-]"
@@ -394,13 +395,25 @@ WHOLE_KINDS = {"L": "ul", "Table": "table", "Figure": "img", "BlockQuote": "bloc
 # End of fixed values.
 
 
-@view
+@stored
+def elem_roles(d: Spark) -> str:
+    """Spark's elements in order, each with the kind (role) that its document's role map leads to."""
+    return f"""select doc_id, x.elem_id, x.parent_id, x.kind, x.enter, x.enter + x.size leave, {followed('x.kind')} role
+      from (select e.doc_id, explode(e.items) x, m.roles from elem_docs e left join kind_maps m on m.doc_id = e.doc_id) e"""
+
+
+@stored
 def walked_elements(d: Spark) -> str:
-    """Elements by the kind that the role map gives them: ``taken`` ones become a block with all they hold, others are walked through."""
+    """Elements by the kind that the role map gives them: ``taken`` ones become a block with all they hold, others are walked through.
+    ``top``: where the last block that is taken begins (Spark)."""
     slashed = lambda names: ", ".join(f"'/{n}'" for n in names.split())
     headings, blocks = slashed("H H1 H2 H3 H4 H5 H6"), slashed("L Table Figure")
     taken = f"role in ({headings}, {slashed(TEXT_KINDS)}, {slashed(' '.join(WHOLE_KINDS))}) and not (role = '/P' and h.parent_id is not null)"
     roles = "(select o.*, coalesce(r.resolved, o.kind) role from elem_order o left join role_chain r on r.doc_id = o.doc_id and r.kind = o.kind)"
+    if d.name == "spark":
+        inside = "coalesce(max(case when taken then leave end) over (partition by doc_id order by enter rows between unbounded preceding and 1 preceding), 0) > enter"
+        return f"""select *, max(case when taken and not inside then enter end) over (partition by doc_id order by enter rows between unbounded preceding and current row) top from (select *, {inside} inside from (
+          select k.doc_id, k.elem_id, k.enter, k.leave, k.role, {taken} taken from elem_roles k left join (select distinct doc_id, parent_id from elem_roles b where role in ({blocks}) and parent_id is not null) h on h.doc_id = k.doc_id and h.parent_id = k.elem_id) t) w"""
     return f"""select *, coalesce(max(case when taken then leave end) over (partition by doc_id order by enter rows between unbounded preceding and 1 preceding), 0) > enter inside from (
       select k.doc_id, k.elem_id, k.enter, k.leave, k.role, {taken} taken from {roles} k left join (select distinct doc_id, parent_id from {roles} b where role in ({blocks}) and parent_id is not null) h on h.doc_id = k.doc_id and h.parent_id = k.elem_id) t"""
 
@@ -411,6 +424,18 @@ def tag_blocks(d: Spark) -> str:
     grouping element; content that stands in such elements itself becomes a paragraph."""
     whole = " ".join(f"when '/{k}' then '{v}'" for k, v in WHOLE_KINDS.items())
     tag = f"case w.role when '/H' then 'h2' {' '.join(f"when '/H{i}' then 'h{i}'" for i in range(1, 7))} {whole} else 'p' end"
+    if d.name == "spark":
+        # a piece of content belongs to one block at most: it and the block's own row meet by the block's place, in one shuffle
+        text = d.join("text", " ", "enter, page, mcid")
+        loose = "not w.taken and not w.inside"
+        return f"""select doc_id, row_number() over (partition by doc_id order by block, at_page, at_mcid) ord, tag, text from (
+            select doc_id, block, min(at_page) at_page, min(at_mcid) at_mcid, min(tag) tag, {squeeze(d, f"coalesce({text}, '')")} text from (
+              select /*+ repartition(doc_id) */ * from (
+                select w.doc_id, w.top block, cast(null as bigint) alone, 0 at_page, 0 at_mcid, {tag} tag, w.enter, 0 page, 0 mcid, cast(null as string) text from walked_elements w where w.taken and not w.inside
+                union all select w.doc_id, case when {loose} then w.enter else w.top end, case when {loose} then monotonically_increasing_id() end, case when {loose} then coalesce(c.page, 0) end, case when {loose} then c.mcid end,
+                  case when {loose} then 'p' end, w.enter, c.page, c.mcid, c.text from walked_elements w join fx_content c on c.doc_id = w.doc_id and c.elem_id = w.elem_id) u) r
+            group by doc_id, block, alone) b
+          where tag in ('ul', 'table', 'img', 'blockquote') or (tag <> '' and text <> '')"""
     return f"""select doc_id, row_number() over (partition by doc_id order by enter, page, mcid) ord, tag, text from (
         select w.doc_id, w.enter, 0 page, 0 mcid, {tag} tag, coalesce(t.text, '') text from walked_elements w left join texts_below t on t.doc_id = w.doc_id and t.elem_id = w.elem_id where w.taken and not w.inside
         union all select w.doc_id, w.enter, coalesce(c.page, 0), c.mcid, 'p', {squeeze(d, "coalesce(c.text, '')")} from walked_elements w join fx_content c on c.doc_id = w.doc_id and c.elem_id = w.elem_id where not w.taken and not w.inside) b

@@ -385,15 +385,24 @@ def role_walk(d: Spark) -> str:
       union all select w.doc_id, w.kind, m.to_kind, list_append(w.seen, m.to_kind), w.step + 1 from role_walk w join fx_rolemap m on m.doc_id = w.doc_id and m.from_kind = w.at_kind where not list_contains(w.seen, m.to_kind)"""
 
 
+@view
+def kind_maps(d: Spark) -> str:
+    return """select doc_id, map_from_entries(collect_list(named_struct('k', from_kind, 'v', to_kind))) roles from (
+      select doc_id, from_kind, min(to_kind) to_kind from fx_rolemap where from_kind is not null group by doc_id, from_kind) r group by doc_id"""
+
+
+def followed(kind: str) -> str:
+    """A kind followed through its document's ``roles``, in Spark."""
+    step = "case when roles[way.at] is null or array_contains(way.seen, roles[way.at]) then way else named_struct('at', roles[way.at], 'seen', array_append(way.seen, roles[way.at])) end"
+    return f"case when roles is null then {kind} else aggregate(sequence(1, size(roles)), named_struct('at', {kind}, 'seen', array({kind})), (way, i) -> {step}).at end"
+
+
 @view
 def role_chain(d: Spark) -> str:
     """(doc_id, kind, resolved): kinds followed through their document's role map, however long the way; a cycle ends where it comes back."""
     if d.name == "duck":
         return "select doc_id, kind, max_by(at_kind, step) resolved from role_walk group by doc_id, kind"
-    step = "case when roles[way.at] is null or array_contains(way.seen, roles[way.at]) then way else named_struct('at', roles[way.at], 'seen', array_append(way.seen, roles[way.at])) end"
-    return f"""select doc_id, kind, case when roles is null then kind else aggregate(sequence(1, size(roles)), named_struct('at', kind, 'seen', array(kind)), (way, i) -> {step}).at end resolved from (
-      select k.doc_id, k.kind, m.roles from (select distinct doc_id, kind from fx_elems) k left join (select doc_id, map_from_entries(collect_list(named_struct('k', from_kind, 'v', to_kind))) roles from (
-        select doc_id, from_kind, min(to_kind) to_kind from fx_rolemap where from_kind is not null group by doc_id, from_kind) r group by doc_id) m on m.doc_id = k.doc_id) w"""
+    return f"select k.doc_id, k.kind, {followed('k.kind')} resolved from (select distinct doc_id, kind from fx_elems) k left join kind_maps m on m.doc_id = k.doc_id"
 
 
 @operator
@@ -433,9 +442,10 @@ def list_body_plan(d: Spark) -> str:
 @operator
 def link_descriptions(d: Spark) -> str:
     """Link elements with their text, beside the document's link annotations in order."""
-    return """select e.doc_id, e.elem_id, e.n, a.annot_id, t.text from (select doc_id, elem_id, row_number() over (partition by doc_id order by elem_id) n from fx_elems where kind = '/Link') e
+    texts = "(select * from texts_below where kind = '/Link')" if d.name == "spark" else "texts_below"
+    return f"""select e.doc_id, e.elem_id, e.n, a.annot_id, t.text from (select doc_id, elem_id, row_number() over (partition by doc_id order by elem_id) n from fx_elems where kind = '/Link') e
       join (select doc_id, annot_id, row_number() over (partition by doc_id order by page, annot_id) n from fx_annots where subtype = '/Link') a on a.doc_id = e.doc_id and a.n = e.n
-      left join texts_below t on t.doc_id = e.doc_id and t.elem_id = e.elem_id"""
+      left join {texts} t on t.doc_id = e.doc_id and t.elem_id = e.elem_id"""
 
 
 @operator
