@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import banded, meet, operator, squeeze, view, words
+from .base import banded, meet, operator, squeeze, stored, view, words
 
 
 def overlaps(a: str, b: str) -> str:
@@ -292,7 +292,7 @@ CONFIDENCE = 0.7
 # End of fixed values.
 
 
-@view
+@stored
 def offered_boxes(d: Spark) -> str:
     """(doc_id, page, n, label, kind, confidence, a, b, c, e): what the list in a model's reply holds, item by item. Words around the
     list do not matter. Items that are no objects, or numbers that are none, come as nulls; a reply without a list has no items."""
@@ -305,8 +305,10 @@ def offered_boxes(d: Spark) -> str:
           from ({d.each(items, 'arr', 'doc_id, page')}) i"""
     number = lambda i: f"try_cast(get(o.rect, {i}) as double)"
     schema = "label string, kind string, confidence string, rect array<string>"
+    # items are read before they become rows: a filter on what they hold cannot have them read again
+    items = f"transform(from_json({found}, 'array<string>'), x -> from_json(x, '{schema}'))"
     return f"""select doc_id, page, cast(pos + 1 as int) n, o.label label, o.kind kind, try_cast(o.confidence as double) confidence, {', '.join(f'{number(i)} {c}' for i, c in enumerate('abce'))}
-      from (select doc_id, page, pos, from_json(x, '{schema}') o from ({d.each('fx_replies', f"from_json({found}, 'array<string>')", 'doc_id, page')}) i) j"""
+      from (select doc_id, page, pos, x o from ({d.each('fx_replies', items, 'doc_id, page')}) i) j"""
 
 
 @view

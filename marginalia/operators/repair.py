@@ -32,13 +32,16 @@ SPACE = r"[ \t\n\r\f\x{0B}\x{A0}\x{200B}\x{200C}\x{200D}\x{FEFF}]"
 CLASSES = {"list": "ul ol", "li": "li", "cell": "td th", "row": "tr", "section": "thead tbody tfoot", "br": "br", "img": "img", "hr": "hr", "pre": "pre", "inline": INLINE, "box": CONTAINERS + " dt dd", "block": HEADINGS + " p blockquote figure figcaption table caption"}
 
 
-@view
-def element_rules(d: Spark) -> str:
-    """(rule_tag, t, c, cut_open, cut_close): an element's name and class, and the patterns that take what its open or close implies off
+#: What takes nothing off a path.
+NOTHING = " !$"
+
+
+def rules() -> list[tuple[str, str, str, str, str]]:
+    """(tag, t, c, cut_open, cut_close) of every element: its name and class, and the patterns that take what its open or close implies off
     the path. Texts have the empty name."""
     any_of = lambda names: f"(?: [^ ](?:{'|'.join(names.split())}))*"
     without = lambda *tags: " ".join(t for t in KEPT.split() if t not in tags)
-    text, nothing = any_of(f"{INLINE} p {HEADINGS}"), " !$"
+    text, nothing = any_of(f"{INLINE} p {HEADINGS}"), NOTHING
     opens = {"inline": " [.,]li$", "img": " [.,]li$", "list": f"{text}$", "li": f" [^ ]li{any_of(without('ul', 'ol'))}$", "cell": f" [^ ](?:td|th){any_of(without('table'))}$",
              "row": f" [^ ]tr{any_of(without('table'))}$", "section": f" [^ ](?:thead|tbody|tfoot){any_of(without('table'))}$"} | {c: f"{text}(?: [.,]li)?$" for c in ("block", "box", "pre", "hr")}
     names = {t: t for c in CLASSES.values() for t in c.split()}
@@ -48,7 +51,21 @@ def element_rules(d: Spark) -> str:
     for tag, t in names.items():
         close = {"inline": f" [^ ]{t}{any_of(INLINE)}$", "box": f"{text}$", "li": "^(.* [^ ]li)(?: .*)?$"}.get(kinds[t], f"^(.*) [^ ]{t}(?: .*)?$")
         rows.append((tag, t, kinds[t], opens.get(kinds[t], nothing), close))
-    return "select * from (values " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ") v(rule_tag, t, c, cut_open, cut_close)"
+    return rows
+
+
+def cuts() -> list[str]:
+    """Every pattern once; Spark's tokens carry its number, so that each is compiled once a task."""
+    return list(dict.fromkeys(p for r in rules() for p in r[3:]))
+
+
+@view
+def element_rules(d: Spark) -> str:
+    """(rule_tag, t, c, cut_open, cut_close): the rules; for Spark the patterns are numbers of cuts()."""
+    number = {p: str(i) for i, p in enumerate(cuts())}
+    cut = (lambda p: f"'{p}'") if d.name == "duck" else number.get
+    rows = ["(" + ", ".join([*(f"'{x}'" for x in r[:3]), *map(cut, r[3:])]) + ")" for r in rules()]
+    return "select * from (values " + ", ".join(rows) + ") v(rule_tag, t, c, cut_open, cut_close)"
 
 
 def clean_input_of(d: Spark, source: str) -> str:
@@ -103,11 +120,16 @@ def _step(d: Spark, stack: str, todo: str, gap: str, x: str) -> list[tuple[str,
         new_tags = new_tags.replace("array()", "cast(array() as array<string>)")
     joined = "array_to_string(tags, '')" if duck else "array_join(tags, '')"
     none = "cast([] as varchar[])" if duck else "cast(array() as array<string>)"
+    if duck:
+        kept = sub(stack, f"case when {x}c in ('text', 'blank') and (in_pre or {x}c = 'blank') then ' !$' else {x}cut end", put)
+    else:
+        each = " ".join(f"when {i} then {sub(stack, d.text(p), put)}" for i, p in enumerate(cuts()) if p != NOTHING)
+        kept = f"case when {x}c = 'blank' or ({x}c = 'text' and in_pre) then {stack} else case {x}cut {each} else {stack} end end"
     done = lambda s: f"case when {x}k = 'close' and {x}c = 'li' then {sub(sub(s, "' [+]li$'", "' .li'"), "' -li$'", "' ,li'")} else {s} end"
     body = f"case when {solid} then {inside} when {x}c = 'img' then '<img' || {x}b || '>' when {x}c = 'hr' and {x}k <> 'close' then '<hr>' else '' end"
     return [
         ("in_pre", d.like(stack, " [^ ]pre( |$)")),
-        ("keep", sub(stack, f"case when {x}c in ('text', 'blank') and (in_pre or {x}c = 'blank') then ' !$' else {x}cut end", put)),
+        ("keep", kept),
         ("seg", f"substr({stack}, length(keep) + 1)"),
         ("waiting", "cast(length(seg) - length(replace(replace(seg, '-', ''), ',', '')) as int)"),
         ("ctx", "regexp_extract(keep, '([a-z0-9]+)$', 1)"),
@@ -134,11 +156,11 @@ def cleaned_of(d: Spark, source: str) -> str:
     fields = "named_struct('stack', {0}, 'todo', {1}, 'gap', {2}, 'out', {3})"
     body = fields.format("new_stack", "new_todo", "new_gap", "array_append(a.out, piece)")
     for name, expr in reversed(_step(d, "a.stack", "a.todo", "a.gap", "x.")):
-        body = f"transform(array({expr}), {name} -> {body})[0]"
+        body = f"element_at(transform(array({expr}), {name} -> {body}), 1)"
     empty = "cast(array() as array<string>)"
     start = fields.format("''", empty, "cast(null as string)", empty)
     inner = f"aggregate(slice(toks, 1 + {SLICE} * i, {SLICE}), {fields.format('o.stack', 'o.todo', 'o.gap', empty)}, (a, x) -> {body})"
-    outer = f"aggregate(sequence(0, cast((size(toks) - 1) / {SLICE} as int)), {start}, (o, i) -> transform(array({inner}), r -> {fields.format('r.stack', 'r.todo', 'r.gap', "array_append(o.out, array_join(r.out, ''))")})[0])"
+    outer = f"aggregate(sequence(0, cast((size(toks) - 1) / {SLICE} as int)), {start}, (o, i) -> element_at(transform(array({inner}), r -> {fields.format('r.stack', 'r.todo', 'r.gap', "array_append(o.out, array_join(r.out, ''))")}), 1))"
     rest = f"array_join(transform(reverse(filter(split(f.stack, ' '), y -> substr(y, 1, 1) in ('+', '.'))), y -> '</' || substr(y, 2) || '>'), '')"
     return f"""select doc_id, array_join(f.out, '') || {rest} html from (select doc_id, {outer} f from (
       select doc_id, array_sort(collect_list(named_struct('pos', pos, 'k', k, 'c', c, 't', t, 'b', b, 'cut', cut))) toks from {source}_input group by doc_id) t) s"""
