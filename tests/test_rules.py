@@ -317,6 +317,19 @@ def test_trees_are_the_same_by_document_and_by_rows(spark, monkeypatch):
     assert [run(spark, name, **frames) for name in ("element_text", "page_inheritance")] == small
 
 
+def test_rollup_counts_a_document_once_at_each_level(spark):
+    """A document of two hosts counts for both, and once above them; no plan spreads rows over the levels before they are summed."""
+    issues = ("origin string, doc_id long, key string, severity string, kind string, ordinal long, detail string", [("page", i, k, v, "", n, "") for i in (1, 2) for k, v in (("title", "fix"), ("lang", "fix"), ("caps", "review")) for n in range(i)])
+    docs = ("origin string, doc_id long, source string", [("page", 1, "a"), ("page", 1, "b"), ("page", 2, "b")])
+    got = run(spark, "issues_rollup", "level", "key", "source", "n", "docs", issues=issues, all_docs=docs)
+    assert [x for x in got if x[0] == 3] == [(3, None, None, 12, 2)]
+    assert [x for x in got if x[0] in (1, 2) and x[1] == "title"] == [(1, "title", None, 4, 2), (2, "title", None, 4, 2)]
+    assert [x for x in got if x[0] == 0 and x[1] == "caps"] == [(0, "caps", "a", 1, 1), (0, "caps", "b", 3, 2)]
+    made = {k: spark.createDataFrame(rows, schema) for k, (schema, rows) in {"issues": issues, "all_docs": docs}.items()}
+    plan = registry.apply(spark, "issues_rollup", **made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan.split("Expand")[1] and "doc_id" not in plan.split("Expand")[1].split("\n")[0]
+
+
 PICTURE = "data:image/png;base64,iVBORw0KGgo="
 CLEANED = [
     ("<p>x <b>bold</b> <i>it</i> <font size=\"3\">f</font> y</p>", "<p>x <strong>bold</strong> <em>it</em> f y</p>"),
