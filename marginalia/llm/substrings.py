@@ -3,7 +3,7 @@
 A window is ``length`` consecutive words. Words covered by a window whose word sequence also starts in a document with
 a smaller doc_id are removed. Windows are found by doubling: sequences of ``start`` words that repeat across documents
 survive, then of twice as many words, and so on until nothing survives or the sequences are ``length`` long. At each
-level every window that is still a candidate is represented by one of its sequences, the one with the least hash: copies
+level every window that is still a candidate is represented by one of its sequences, the first with the least hash (its upper bits): copies
 of a window pick the same one, so none is missed, and neighbouring windows mostly share theirs, so a few sequences stand
 for all. A window goes on only where its sequence repeats. Sequences are told apart by 64 bits on the way, where two that
 meet by chance only go on for nothing; at the last level, which decides what is removed, by 128 bits made from 128-bit hashes of the words.
@@ -32,6 +32,8 @@ LENGTH = 13
 START = 4
 #: Up to so many repeated ids are sent to every executor; beyond it Spark joins them.
 BROADCAST_IDS = 500_000
+#: Bits of a word's place in texts of up to so many words; longer ones are searched window by window, to the same places.
+PLACE_BITS = 24
 NO_ID = (1 << 63) - 1
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -73,8 +75,16 @@ def window_hashes(hashes: np.ndarray, length: int, base: np.uint64 = _BASE) -> n
 
 
 def picked(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Of every ``span`` neighbours, the place of the first least hash, for each window in turn."""
-    return np.arange(len(hashes) - span + 1) + np.lib.stride_tricks.sliding_window_view(hashes, span).argmin(axis=1)
+    """Of every ``span`` neighbours, the place of the first that is least in the bits above PLACE_BITS, for each window in turn."""
+    n, high = len(hashes) - span + 1, hashes >> np.uint64(PLACE_BITS)
+    if len(hashes) > 1 << PLACE_BITS:
+        return np.arange(n) + np.lib.stride_tricks.sliding_window_view(high, span).argmin(axis=1)
+    # a hash's upper bits with its place below them: the least of a window is that of two halves, which may overlap
+    best, width = high << np.uint64(PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64), 1
+    while width < span:
+        step = min(width, span - width)
+        best, width = np.minimum(best[step:], best[:-step]), width + step
+    return (best & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
 def _rows(parts: list[tuple[np.ndarray, int, int, np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
@@ -124,7 +134,7 @@ def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFram
                 alive[places.values.to_numpy()] = True
                 alive = alive[picked(window_hashes(hashes, short), length - short + 1)]
                 longer = window_hashes(hashes, long)
-                at = np.unique(picked(longer, length - long + 1)[alive])
+                at = np.unique(picked(longer, length - long + 1)[alive]) if long < length else np.flatnonzero(alive)
                 if len(at):
                     parts.append((longer[at], doc, row, at, window_hashes(second_hashes(words), long, _OTHER)[at] if long == length else None))
             yield _rows(parts)

@@ -4,13 +4,17 @@ import collections
 import hashlib
 import random
 import re
+import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, language, mixing, order_minhash, quotations, secrets, simhash, substrings, toxicity, warc
+from marginalia.llm.common import CLEANUP, saved
 
 random.seed(1)
 SYLLABLES = "er th on re an in st ou he ti nd at".split()
@@ -183,6 +187,30 @@ def test_substrings_tells_windows_apart_by_both_hashes(spark):
     assert first[0] == first[2] and second[0] == second[2] and not set(first.tolist()) & set(second.tolist())
 
 
+def test_substrings_picks_the_same_places_in_texts_of_any_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n, span in ((1, 1), (9, 2), (10, 10), (200, 6), (200, 10)):
+        high = rng.integers(0, 5, n).astype(np.uint64)
+        first = [i + int(np.argmin(high[i : i + span])) for i in range(n - span + 1)]
+        for bits in (24, 3):
+            monkeypatch.setattr(substrings, "PLACE_BITS", bits)
+            low = rng.integers(0, 1 << bits, n).astype(np.uint64)
+            assert substrings.picked(high << np.uint64(bits) | low, span).tolist() == first
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    def files() -> set[str]:
+        return {str(p) for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*")}
+
+    there = files()
+    rows = saved(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while files() - there and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - there
+    assert spark.conf.get(CLEANUP) == "false" and rows.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_substrings_judges_rows_without_an_id_by_themselves(spark):
     text = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "abcdefg"}
     rows = [(1, text["a"]), (2, text["b"]), (None, text["a"]), (None, text["c"]), (None, f"{text['b']} {text['d']}"), (3, text["e"]), (3, text["b"]), (3, f"{text['a']} {text['f']}"), (None, None)]
