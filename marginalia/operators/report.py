@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import bad_share, is_lang, operator, squeeze, view, words
+from .base import SPACE, UNREADABLE, bad_share, is_lang, operator, squeeze, view, words
 
 # Structure types of the standard, what some others map to, and headings.
 STANDARD = (
@@ -237,14 +237,16 @@ ORDER = (
 
 @view
 def element_counts(d: Spark) -> str:
-    """(doc_id, elements, figures, bad_figures, headings, first_bad, items, loose_items, kinds) of every document's elements."""
-    previous = "coalesce(max_by(level, case when level is not null then elem_id end) over (partition by doc_id order by elem_id rows between unbounded preceding and 1 preceding), 0)"
+    """(doc_id, elements, figures, bad_figures, headings, first_bad, items, loose_items, kinds) of every document's elements. All are sums
+    and sets, so that a task's elements meet the others as one row a document; of headings it has their levels in order."""
     level = f"case when {d.like('kind', r'^/H[1-6]$')} then cast(substr(kind, 3, 1) as int) end"
     figure = "kind = '/Figure'"
-    return f"""select doc_id, count(*) elements, count_if({figure}) figures, count_if({figure} and trim(coalesce(alt, '')) = '' and trim(coalesce(actual_text, '')) = '') bad_figures,
-        count(level) headings, min(case when level > previous + 1 then elem_id end) first_bad, count_if(kind = '/LI') items,
+    deeper = "case when x.level > 1 + case when i = 0 then 0 else levels[i - 1].level end then x.elem_id end"
+    return f"""select doc_id, elements, figures, bad_figures, headings, array_min(transform(levels, (x, i) -> {deeper})) first_bad, items, loose_items, kinds from (
+      select doc_id, count(*) elements, count_if({figure}) figures, count_if({figure} and silent) bad_figures, count(level) headings, count_if(kind = '/LI') items,
+        sort_array(collect_list(case when level is not null and elem_id is not null then named_struct('elem_id', elem_id, 'level', level) end)) levels,
         size(array_except(collect_set(case when kind = '/LI' then elem_id end), collect_set(case when kind = '/LBody' then parent_id end))) loose_items, collect_set(kind) kinds
-      from (select *, {previous} previous from (select *, {level} level from fx_elems) e) h group by doc_id"""
+      from (select doc_id, elem_id, parent_id, kind, {level} level, trim(coalesce(alt, '')) = '' and trim(coalesce(actual_text, '')) = '' silent from fx_elems) e group by doc_id) h"""
 
 
 @view
@@ -259,9 +261,13 @@ def role_maps(d: Spark) -> str:
 
 @view
 def page_counts(d: Spark) -> str:
-    text = d.join("text", " ", "page", "page <= 40")
+    """Of the first 40 pages' text, joined by a space: how long it is, how many of its characters are not white space, and how many of these
+    no reader can use. Characters count one by one, so that pages add up and no text is put together."""
+    near = "case when page <= 40 then text end"
     return f"""select doc_id, count(*) pages, cast(sum(chars) as bigint) chars, cast(sum(images) as bigint) images, cast(sum(untagged) as bigint) untagged, count_if(unmarked > 0) unmarked,
-        collect_list(page) page_list, collect_list(case when coalesce(tabs, '') <> '/S' then page end) bad_tabs, coalesce({text}, '') text from fx_pdf_pages group by doc_id"""
+        collect_list(page) page_list, collect_list(case when coalesce(tabs, '') <> '/S' then page end) bad_tabs,
+        coalesce(sum(length(near)) + count(near) - 1, 0) text_length, coalesce(sum(length(solid)), 0) solid_chars, coalesce(sum({d.count('solid', UNREADABLE)}), 0) unreadable
+      from (select *, {d.sub('near', SPACE, '')} solid from (select *, {near} near from fx_pdf_pages) p) s group by doc_id"""
 
 
 def _unmapped_font(d: Spark) -> str:
@@ -321,7 +327,7 @@ def _checks_of_a_row(d: Spark) -> str:
         "fields_tagged": ("readable and widgets > 0", "untagged_widgets = 0", "untagged_widgets", "widgets"),
         "annotations": ("readable and others > 0", "silent_others = 0", "silent_others", "others"),
         "unicode": ("readable and chars > 0 and fonts > 0", "unmapped = 0", "unmapped", "fonts"),
-        "garbled": ("readable and chars > 0", f"{bad_share(d, 'text')} < 0.15", "0", "length(text)"),
+        "garbled": ("readable and chars > 0", "case when solid_chars = 0 then true else cast(unreadable as double) / solid_chars < 0.15 end", "0", "text_length"),
         "permissions": ("readable and encrypted", "allow_access or allow_extract", "0", "0"),
     }
     rows = [

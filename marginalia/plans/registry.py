@@ -114,18 +114,24 @@ def _sql(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> Dat
 
 
 def run(spark: SparkSession, body: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
-    """The body over its inputs. Views that are built in rounds are made first; those that are marked ``stored`` and read more than once are computed once, as tables."""
+    """The body over its inputs. Views that are built in rounds are made first; those that are marked ``stored`` and read more than once
+    are computed once, as tables, before those rounds where they rest on none."""
     inputs = dict(inputs)
+
+    def store(names: list[str]) -> None:
+        for name in names:
+            rest = needed(body, SPARK, inputs)
+            reads = sum(len(re.findall(rf"\b(?:from|join)\s+{name}\b", text)) for text in [body, *rest.values()])
+            if name in rest and (reads > 1 or name in ALWAYS):
+                select = f"select * from {name}"
+                inputs[name] = saved(_sql(spark, select, _read(select, inputs)))
+
+    stored = [n for n in needed(body, SPARK, inputs) if n in STORED]
+    store([n for n in stored if not any(x in BUILT for x in needed(f"select * from {n}", SPARK, inputs))])
     for name in [n for n in needed(body, SPARK, inputs) if n in BUILT]:
         reads = {r: f"select * from {r}" for r in BUILT[name].reads}
         inputs[name] = BUILT[name](**{r: _sql(spark, select, _read(select, inputs)) for r, select in reads.items()})
-    views = needed(body, SPARK, inputs)
-    for name in [n for n in views if n in STORED]:
-        rest = needed(body, SPARK, inputs)
-        reads = sum(len(re.findall(rf"\b(?:from|join)\s+{name}\b", text)) for text in [body, *rest.values()])
-        if name in rest and (reads > 1 or name in ALWAYS):
-            select = f"select * from {name}"
-            inputs[name] = saved(_sql(spark, select, _read(select, inputs)))
+    store([n for n in needed(body, SPARK, inputs) if n in STORED])
     return _sql(spark, body, _read(body, inputs))
 
 

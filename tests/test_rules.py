@@ -706,3 +706,49 @@ def test_overrides_of_numbers_are_by_level_and_document(spark):
     frame = ("doc_id long, para int, style_id int, num_id int, ilvl int, text string, outline_lvl int", [(i, p, None, n, lv, "x", None) for i, p, n, lv in paras])
     got = run(spark, "numbering_kind", "doc_id", "para", "tag", fx_doc_paragraphs=frame, **nums)
     assert got == [(1, 0, "ol"), (1, 1, "ul"), (1, 2, "ol"), (1, 3, "ul"), (2, 0, "ul"), (2, 1, "ol"), (2, 2, "ul"), (3, 0, "ul")]
+
+
+def test_a_stored_view_is_a_table_before_the_rounds_that_read_it(spark, monkeypatch):
+    """Structure trees and fields read the table of parts, and do not work it out anew."""
+    read = {}
+    for name in ("elem_docs", "field_tips"):
+        made = registry.BUILT[name]
+
+        def noted(made=made, **frames):
+            read.update({k: df.inputFiles() for k, df in frames.items()})
+            return made(**frames)
+
+        noted.reads = made.reads
+        monkeypatch.setitem(registry.BUILT, name, noted)
+    part = spark.createDataFrame([(1, "a name", 3, "t", "b")], "p_partkey long, p_name string, p_size int, p_type string, p_brand string")
+    item = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate date"
+    rows = spark.createDataFrame([(i, 1, i, 1, 1.0, 2.0, "N", None) for i in range(1, 20)], item)
+    assert [tuple(r) for r in registry.apply(spark, "report_gate", part=part, lineitem=rows).select("doc_id", "gate").collect()] == [(1, False)]
+    assert all(read[k] and all("marginalia-" in f for f in read[k]) for k in ("fx_elems", "fx_annots"))
+
+
+def test_counts_of_a_report_are_those_of_its_checks(spark):
+    """Headings by steps of their levels in order, the text of the first 40 pages; all as sums, without a window over a document's rows."""
+    kinds = {1: ["/H1", "/H2", "/P", "/H3"], 2: ["/P", "/H2", "/H3"], 3: ["/H1", "/H3", "/H6", "/H1", "/H4"], 4: ["/P"], 5: ["/H1", "/P", "/P", "/H2", "/H1"]}
+    elems = [(i, 9 - k if i == 3 else k, None, kind, "", None) for i, ks in kinds.items() for k, kind in enumerate(ks)]
+    texts = {1: ["a b", None, "\ufffd c"], 2: [None, None], 3: [" "], 4: ["x"] * 40 + ["\ufffd" * 99], 5: ["\ufffd", "\x01 abc", ""]}
+    pages = [(i, p, 1, 0, 0, 0, "/S", t) for i, ts in texts.items() for p, t in enumerate(ts, 1)]
+    docs = "doc_id long, readable boolean, marked boolean, lang string, display_title boolean, xmp_title string, info_title string, part_id string, outline boolean, suspects boolean, xfa boolean, encrypted boolean, allow_access boolean, allow_extract boolean"
+    frames = {
+        "fx_docs": (docs, [(i, True, True, "es", True, "t", "t", "1", True, False, False, False, True, True) for i in kinds]),
+        "fx_elems": ("doc_id long, elem_id int, parent_id int, kind string, alt string, actual_text string", elems),
+        "fx_pdf_pages": ("doc_id long, page int, chars int, images int, untagged int, unmarked int, tabs string, text string", pages),
+        "headed_tables": ("doc_id long, elem_id int, th long", []),
+        "field_tips": ("doc_id long, annot_id int, named boolean", []),
+        "fx_rolemap": ("doc_id long, from_kind string, to_kind string", []),
+        "fx_fonts": ("doc_id long, font_id int, font_name string, subtype string, has_file boolean, has_tounicode boolean, encoding string", []),
+        "fx_annots": ("doc_id long, page int, annot_id int, subtype string, has_struct_parent boolean, contents string", []),
+    }
+    made = {k: spark.createDataFrame(rows, schema) for k, (schema, rows) in frames.items()}
+    columns = ["doc_id", "key", "passed", "bad", "total"]
+    report = registry.apply(spark, "report_union", **made).select(columns)
+    for key in ("headings", "garbled", "figures", "lbody", "text"):
+        alone = registry.apply(spark, f"chk_{key}", **{k: v for k, v in made.items() if k in ("fx_docs", "fx_elems", "fx_pdf_pages")}).select(columns)
+        assert sorted(report.filter(f"key = '{key}'").collect()) == sorted(alone.collect())
+    assert {r["doc_id"]: r["bad"] for r in report.filter("key = 'headings'").collect()} == {1: 0, 2: 1, 3: 5, 4: 0, 5: 0}
+    assert "Window" not in report._jdf.queryExecution().sparkPlan().toString()
