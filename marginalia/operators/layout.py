@@ -243,7 +243,7 @@ def picture_placement(d: Spark) -> str:
     return """select p.doc_id, p.page, p.ordinal, min(l.line) before_line from fx_pictures p left join fx_form_lines l on l.doc_id = p.doc_id and l.page = p.page and l.y0 >= p.y0 group by p.doc_id, p.page, p.ordinal"""
 
 
-@view
+@stored
 def tagged_counts(d: Spark) -> str:
     return """select coalesce(p.doc_id, a.doc_id) doc_id, coalesce(p.page, a.page) page, coalesce(p.n, 0) pictures, coalesce(a.n, 0) alts from
       (select doc_id, page, count(*) n from fx_pictures where in_tagged group by doc_id, page) p full outer join (select doc_id, page, count(*) n from fx_figure_alts group by doc_id, page) a on a.doc_id = p.doc_id and a.page = p.page"""
@@ -310,7 +310,7 @@ def tree_coverage(d: Spark) -> str:
     return "select doc_id, ratio, use_tags from coverage"
 
 
-@view
+@stored
 def picture_pages(d: Spark) -> str:
     """Pages by whether they are pictures of text: some picture, no text, no table, and not read by recognition."""
     pages = lambda t: f"(select distinct doc_id, page from {t})"
@@ -324,7 +324,7 @@ def scanned_documents(d: Spark) -> str:
     return """select doc_id, count_if(scanned) scanned_pages, count_if(scanned) = count(*) is_scanned, count_if(scanned) between 1 and count(*) - 1 some_scanned, count_if(blank) = count(*) nothing from picture_pages group by doc_id"""
 
 
-@view
+@stored
 def import_ways(d: Spark) -> str:
     """Tagged documents, and whether they are read from their tags or, as these hold too little or too much, from the layout."""
     return "select e.doc_id, coalesce(c.use_tags, false) by_tags from (select distinct doc_id from fx_elems) e left join coverage c on c.doc_id = e.doc_id"

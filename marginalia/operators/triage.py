@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from marginalia.functions.dialect import Spark
 
-from .base import bad_share, operator, view
+from .base import bad_share, operator, stored, view
 
 
 @operator
@@ -12,7 +12,7 @@ def text_quality(d: Spark) -> str:
     return f"select doc_id, {bad_share(d, 'text')} bad_share from (select doc_id, coalesce(text, '') text from fx_symbol_texts) t"
 
 
-@view
+@stored
 def page_kinds(d: Spark) -> str:
     return f"""select doc_id, page, case when length(trim(coalesce(text, ''))) > 0 and {bad_share(d, "coalesce(text, '')")} >= 0.15 then 'garbled'
       when length(trim(coalesce(text, ''))) > 0 then 'text' when images > 0 then 'scanned' else 'blank' end kind from fx_pdf_pages"""

@@ -752,3 +752,11 @@ def test_counts_of_a_report_are_those_of_its_checks(spark):
         assert sorted(report.filter(f"key = '{key}'").collect()) == sorted(alone.collect())
     assert {r["doc_id"]: r["bad"] for r in report.filter("key = 'headings'").collect()} == {1: 0, 2: 1, 3: 5, 4: 0, 5: 0}
     assert "Window" not in report._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_what_warnings_of_an_import_share_is_worked_out_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(registry, "_sql", lambda spark, body, inputs, f=registry._sql: made.append(body) or f(spark, body, inputs))
+    registry.queries()["import_warnings"](spark, "/root/testdata/sf0.001")
+    shared = ("fx_recognised", "page_kinds", "picture_pages", "tagged_counts", "import_ways")
+    assert [made.count(f"select * from {name}") for name in shared] == [1] * 5
