@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, pieces, row_key, saved
+from .common import free_names, give_back, pieces, row_key, saved
 from .components import components
 
 #: Most nodes of one BK-tree; a larger shard is dealt over several.
@@ -218,6 +218,7 @@ def shards(batches: Iterator[pa.RecordBatch], at_once: int = ROWS_AT_ONCE) -> It
         if held.num_rows >= 2 * at_once:
             yield numbered(held)
             held = held.filter(held.column("is_node"))
+        give_back()
     if held is not None and held.num_rows:
         yield numbered(held.combine_chunks())
 
@@ -365,29 +366,34 @@ def tree_pairs(rows: DataFrame, similarity: float, edges: bool) -> DataFrame:
     sketches of what is found are compared: a pair that they rule out is no pair.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, shard, own in shards(batches, ROWS_AT_ONCE if edges else SKETCHES_AT_ONCE):
-            node, c, size, asks = (held.column(x).to_numpy() for x in ("node", "c", "size", "asks"))
-            prints = prints_of(held, WIDE)
-            forest = Forest(shard[own], prints[own], int(shard[-1]) + 1)
-            if edges:
-                below = np.flatnonzero(forest.parent >= 0)
-                hub, apart = middles(shard[own], prints[own])
-                found = [(own[below], own[forest.parent[below]], forest.edge[below]), (own, own[hub], apart)]
-            else:
-                who = np.flatnonzero(asks)
-                found = ((who[q], own[n], distance) for q, n, distance in forest.search(shard[who], prints[who], FEW_RADIUS))
-                sketches = sketch_rows(held.column("sketch"))
-            for x, y, distance in found:
-                least = np.minimum(size[x], size[y])
-                keep = (c[x] != c[y]) & (least >= similarity * np.maximum(size[x], size[y])) & (distance <= np.where(least < FEW_SHINGLES, FEW_RADIUS, WIDE_RADIUS))
+    def pairs_of(held: pa.Table, shard: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, c, size, asks = (held.column(x).to_numpy() for x in ("node", "c", "size", "asks"))
+        prints = prints_of(held, WIDE)
+        forest = Forest(shard[own], prints[own], int(shard[-1]) + 1)
+        if edges:
+            below = np.flatnonzero(forest.parent >= 0)
+            hub, apart = middles(shard[own], prints[own])
+            found = [(own[below], own[forest.parent[below]], forest.edge[below]), (own, own[hub], apart)]
+        else:
+            who = np.flatnonzero(asks)
+            found = ((who[q], own[n], distance) for q, n, distance in forest.search(shard[who], prints[who], FEW_RADIUS))
+            sketches = sketch_rows(held.column("sketch"))
+        for x, y, distance in found:
+            least = np.minimum(size[x], size[y])
+            keep = (c[x] != c[y]) & (least >= similarity * np.maximum(size[x], size[y])) & (distance <= np.where(least < FEW_SHINGLES, FEW_RADIUS, WIDE_RADIUS))
+            x, y = x[keep], y[keep]
+            if not edges:
+                keep = may_reach(sketches, size, x, y, similarity)
                 x, y = x[keep], y[keep]
-                if not edges:
-                    keep = may_reach(sketches, size, x, y, similarity)
-                    x, y = x[keep], y[keep]
-                x, y = node[x], node[y]
-                pairs = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            x, y = node[x], node[y]
+            pairs = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a function of its own, so that its tables are gone when the next rows are gathered
+        for some in shards(batches, ROWS_AT_ONCE if edges else SKETCHES_AT_ONCE):
+            yield from pairs_of(*some)
+            del some
 
     carried = ["key", "tree", "is_node", "node", "c", "size", *WIDE, "asks"]
     return rows.select(*carried, *([] if edges else ["sketch"])).mapInArrow(run, "a long, b long").distinct()

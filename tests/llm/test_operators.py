@@ -9,11 +9,12 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, language, mixing, order_minhash, quotations, secrets, simhash, substrings, toxicity, warc
+from marginalia.llm import common, decontaminate, language, mixing, order_minhash, quotations, secrets, simhash, substrings, toxicity, warc
 from marginalia.llm.common import CLEANUP, saved
 
 random.seed(1)
@@ -198,6 +199,16 @@ def test_substrings_picks_the_same_places_in_texts_of_any_size(monkeypatch):
             assert substrings.picked(high << np.uint64(bits) | low, span).tolist() == first
 
 
+def test_workers_give_back_what_a_batch_took(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batches = (pa.RecordBatch.from_pydict({"text": ["a b"] * 300}) for _ in range(3))
+    assert [(b.num_rows, len(given)) for b in common.pieces(batches, "text")] == [(256, 0), (44, 0), (256, 1), (44, 1), (256, 2), (44, 2)]
+    assert len(given) == 3
+    monkeypatch.undo()
+    common.give_back()
+
+
 def test_tables_leave_no_shuffle_files(spark):
     def files() -> set[str]:
         return {str(p) for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*")}
