@@ -18,10 +18,9 @@ rows without an id, or that repeat one, are not held against each other, but eac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +45,39 @@ def level_lengths(length: int, start: int = START) -> list[int]:
     return out
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """bytes.split divides at the space and the five ASCII controls alone, as the word rule asks."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+class Words:
+    """The words of a column of texts, one after another: ``first`` and ``last`` are the places of each text's first word and past its
+    last, ``text`` is each word's text."""
+
+    def __init__(self, texts: pa.Array):
+        # Arrow divides at the space and the five ASCII controls alone, as the word rule asks, and leaves empty strings between two of them
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        full = pc.greater(pc.binary_length(lists.flatten()), 0)
+        self.words = lists.flatten().filter(full)
+        ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))]
+        self.first, self.last = ends[:-1], ends[1:]
+        self.text = np.repeat(np.arange(len(texts)), self.last - self.first)
+        self._coded = None
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def hashes(self, of) -> np.ndarray:
+        """``of`` the words; each different one is hashed once."""
+        if self._coded is None:
+            self._coded = self.words.dictionary_encode()
+        distinct = self._coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        return of(distinct)[self._coded.indices.to_numpy()]
+
+    def starts(self, length: int) -> np.ndarray:
+        """Where windows of ``length`` words start, all of them of one text."""
+        at = np.arange(len(self))
+        return at[at + length <= self.last[self.text]]
+
+    def places(self, lists: pa.Array) -> np.ndarray:
+        """Lists of places within each text (null: none) as places among all words."""
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        return lists.flatten().to_numpy() + np.repeat(self.first, counts)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -87,59 +116,56 @@ def picked(hashes: np.ndarray, span: int) -> np.ndarray:
     return (best & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def _rows(parts: list[tuple[np.ndarray, int, int, np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
-    """(hashes, doc, row, places, second hashes or None) a text to rows."""
-    counts = [len(h) for h, *_ in parts]
-    joined = lambda i, kind: np.concatenate([x[i] for x in parts]) if parts else np.empty(0, dtype=kind)
-    doc, row = (np.repeat(np.array([x[i] for x in parts], dtype=np.int64), counts) for i in (1, 2))
-    second = parts and parts[0][4] is not None
-    checks = pa.array(joined(4, np.uint64).view(np.int64)) if second else pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(joined(0, np.uint64).view(np.int64)), pa.array(doc), pa.array(row), pa.array(joined(3, np.int64).astype(np.int32)), checks], names=["hash", "doc", "row", "at", "second"])
+def distinct(places: np.ndarray) -> np.ndarray:
+    """Each once, of places in ascending order, as those that ``picked`` gives are."""
+    return places[np.diff(places, prepend=-1) > 0]
+
+
+def _rows(batch: pa.RecordBatch, words: Words, hashes: np.ndarray, at: np.ndarray, length: int | None) -> pa.RecordBatch:
+    """The sequences that start ``at`` these places; with a length, their second hashes too."""
+    text = words.text[at]
+    doc, row = (batch.column(i).to_numpy()[text] for i in (0, 1))
+    second = pa.array(window_hashes(words.hashes(second_hashes), length, _OTHER)[at].view(np.int64)) if length else pa.nulls(len(at), pa.int64())
+    places = (at - words.first[text]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(doc), pa.array(row), pa.array(places), second], names=["hash", "doc", "row", "at", "second"])
 
 
 ROWS = "hash long, doc long, row long, at int, second long"
 
 
+def first_rows(batch: pa.RecordBatch, seed: int, length: int) -> pa.RecordBatch:
+    """``first_level`` of a batch, all of whose texts are worked on at once."""
+    words = Words(batch.column(2))
+    starts = words.starts(length)
+    hashes = window_hashes(words.hashes(word_hashes), seed) if len(starts) else np.empty(0, dtype=np.uint64)
+    at = distinct(picked(hashes, length - seed + 1)[starts]) if len(starts) else starts
+    return _rows(batch, words, hashes, at, seed if seed == length and len(at) else None)
+
+
+def next_rows(batch: pa.RecordBatch, short: int, long: int, length: int) -> pa.RecordBatch:
+    """``next_level`` of a batch, all of whose texts are worked on at once."""
+    words = Words(batch.column(2))
+    starts, longer = words.starts(length), np.empty(0, dtype=np.uint64)
+    if len(starts):
+        hashes = words.hashes(word_hashes)
+        alive = np.zeros(len(words), dtype=bool)
+        alive[words.places(batch.column(3))] = True
+        starts = starts[alive[picked(window_hashes(hashes, short), length - short + 1)[starts]]]
+        longer = window_hashes(hashes, long)
+    at = distinct(picked(longer, length - long + 1)[starts]) if long < length and len(starts) else starts
+    return _rows(batch, words, longer, at, long if long == length and len(at) else None)
+
+
 def first_level(texts: DataFrame, seed: int, length: int) -> DataFrame:
     """(doc, row, text) to (hash, doc, row, at, second): the sequences of ``seed`` words that stand for windows of ``length``; their second
     hashes where they are the windows themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            parts = []
-            for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = split_words(text)
-                if len(words) >= length:
-                    hashes = window_hashes(word_hashes(words), seed)
-                    at = np.unique(picked(hashes, length - seed + 1))
-                    parts.append((hashes[at], doc, row, at, window_hashes(second_hashes(words), seed, _OTHER)[at] if seed == length else None))
-            yield _rows(parts)
-
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(lambda batches: (first_rows(b, seed, length) for b in pieces(batches, 2)), ROWS)
 
 
 def next_level(texts: DataFrame, short: int, long: int, length: int) -> DataFrame:
     """(doc, row, text, places of surviving sequences of ``short`` words) to (hash, doc, row, at, second): the sequences of ``long`` words
     that stand for those windows of ``length`` whose short sequence survived; their second hashes where they are the windows themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            parts = []
-            for doc, row, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                words = split_words(text)
-                hashes = word_hashes(words)
-                if len(hashes) < length:
-                    continue
-                alive = np.zeros(len(hashes), dtype=bool)
-                alive[places.values.to_numpy()] = True
-                alive = alive[picked(window_hashes(hashes, short), length - short + 1)]
-                longer = window_hashes(hashes, long)
-                at = np.unique(picked(longer, length - long + 1)[alive]) if long < length else np.flatnonzero(alive)
-                if len(at):
-                    parts.append((longer[at], doc, row, at, window_hashes(second_hashes(words), long, _OTHER)[at] if long == length else None))
-            yield _rows(parts)
-
-    return texts.mapInArrow(run, ROWS)
+    return texts.mapInArrow(lambda batches: (next_rows(b, short, long, length) for b in pieces(batches, 2)), ROWS)
 
 
 def repeated_places(windows: DataFrame, later: bool) -> DataFrame:
@@ -183,31 +209,25 @@ def places_of_repeats(rows: DataFrame, length: int = LENGTH, start: int = START)
     return places
 
 
+def cut(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """(doc_id, text, places) to (doc_id, n_words, n_removed, kept)."""
+    words = Words(batch.column(1))
+    at, n = words.places(batch.column(2)), len(words) + 1
+    stay = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + length, minlength=n))[:-1] == 0
+    before = np.concatenate(([0], np.cumsum(stay)))
+    offsets = np.append(before[words.first], before[-1]).astype(np.int32)
+    kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words.words.filter(pa.array(stay))), " ")
+    n_words = words.last - words.first
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_words - np.diff(offsets)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space."""
     rows = with_rows(docs)
     places = places_of_repeats(rows, length, start)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            n_words, n_removed, kept = [], [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2)):
-                words = split_words(text)
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                if places.is_valid:
-                    at = places.values.to_numpy()
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + length, -1)
-                    gone = np.cumsum(gone)
-                stay = [w for w, g in zip(words, gone.tolist()) if not g]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(stay))
-                kept.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
     kind = dict(docs.dtypes)["doc_id"]
     joined = rows.join(places, ["doc", "row"], "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lambda batches: (cut(b, length) for b in pieces(batches, 1)), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

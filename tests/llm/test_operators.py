@@ -199,6 +199,29 @@ def test_substrings_picks_the_same_places_in_texts_of_any_size(monkeypatch):
             assert substrings.picked(high << np.uint64(bits) | low, span).tolist() == first
 
 
+def test_substrings_hashes_a_word_once_a_batch(monkeypatch):
+    # texts of a batch are worked on together: the rows are those of each text alone, and no word is hashed twice
+    rng = random.Random(9)
+    texts = [None, "", " \t ", "one", *(rng.choice(["", " ", "\n\v"]) + rng.choice(["  ", "\f", "\r\n"]).join(rng.choices(["a", "b\xa0c", "\x1c", "\u2028d", "\x85", "\0", "é", "\U0001f600"], k=rng.randrange(60))) for _ in range(200))]
+    hashed, digest = [], substrings.xxhash.xxh64_digest
+    monkeypatch.setattr(substrings.xxhash, "xxh64_digest", lambda w: hashed.append(w) or digest(w))
+
+    class Frame:
+        def mapInArrow(self, run, _):
+            return lambda **columns: [tuple(r.values()) for b in run(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+
+    ids, rows, texts = list(range(len(texts))), [i % 3 for i in range(len(texts))], pa.array(texts, pa.string())
+    for seed, long in ((4, 8), (8, 13), (13, 13)):
+        first, later = substrings.first_level(Frame(), seed, 13), substrings.next_level(Frame(), seed, long, 13)
+        hashed.clear()
+        got = first(doc=ids, row=rows, text=texts)
+        assert len(hashed) == len(set(hashed)) == 9 and got
+        assert got == [r for i in ids for r in first(doc=[i], row=[rows[i]], text=texts[i : i + 1])]
+        places = pa.array([[r[3] for r in got if r[0] == i and rng.random() < 0.5] for i in ids], pa.list_(pa.int32()))
+        assert later(doc=ids, row=rows, text=texts, places=places) == [r for i in ids for r in later(doc=[i], row=[rows[i]], text=texts[i : i + 1], places=places[i : i + 1])]
+    assert [(w.first[1], *w.words.to_pylist()) for w in (substrings.Words(pa.array([None, t], pa.string())) for t in texts.to_pylist())] == [(0, *words(t or "")) for t in texts.to_pylist()]
+
+
 def test_workers_give_back_what_a_batch_took(monkeypatch):
     given = []
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
