@@ -10,7 +10,8 @@ meet by chance only go on for nothing; at the last level, which decides what is
 
 At each level an aggregate finds the hashes that occur in two documents (minima and maxima, so a very common sequence is
 one row a task), and a join marks their places, which Spark splits where one hash is hot. Only hashes and positions are
-shuffled between levels; texts are joined once a level to hash the survivors, and once to cut the words out.
+shuffled between levels; texts are joined once a level to hash the survivors, and once to cut the words out. Workers take
+the texts of a batch together, so that a word they share is hashed once. The last level, the largest, is judged in parts by hash, one after another.
 
 Defined cases: null, empty and short texts have no window and stay whole; a null doc_id counts as larger than any other;
 rows without an id, or that repeat one, are not held against each other, but each text is judged by itself; an empty table gives no rows; other columns are ignored.
@@ -18,6 +19,8 @@ rows without an id, or that repeat one, are not held against each other, but eac
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +36,8 @@ START = 4
 BROADCAST_IDS = 500_000
 #: Bits of a word's place in texts of up to so many words; longer ones are searched window by window, to the same places.
 PLACE_BITS = 24
+#: The last level, whose windows are the most, is judged in so many parts by hash, one after another: so much less is shuffled at a time.
+PARTS = 2
 NO_ID = (1 << 63) - 1
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -201,12 +206,13 @@ def places_of_repeats(rows: DataFrame, length: int = LENGTH, start: int = START)
         alive = repeated_places(windows, later=False)
         if alive.isEmpty():
             return alive
-        # a level's tables go as soon as the next level's are written
-        before, windows = windows, saved(next_level(texts.join(alive, ["doc", "row"]), short, long, length))
-        discard(before, alive)
-    places = repeated_places(windows, later=True)
+        # a level's tables go as soon as what is made of them is a table
+        discard(windows)
+        windows = saved(next_level(texts.join(alive, ["doc", "row"]), short, long, length))
+        discard(alive)
+    parts = [repeated_places(windows.filter(F.pmod("hash", F.lit(PARTS)) == k), later=True) for k in range(PARTS)]
     discard(windows)
-    return places
+    return reduce(DataFrame.unionByName, parts).groupBy("doc", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def cut(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:

@@ -222,6 +222,17 @@ def test_substrings_hashes_a_word_once_a_batch(monkeypatch):
     assert [(w.first[1], *w.words.to_pylist()) for w in (substrings.Words(pa.array([None, t], pa.string())) for t in texts.to_pylist())] == [(0, *words(t or "")) for t in texts.to_pylist()]
 
 
+def test_substrings_shuffles_the_last_level_in_parts(spark, monkeypatch):
+    counts, judge = [], substrings.repeated_places
+    monkeypatch.setattr(substrings, "repeated_places", lambda windows, later: counts.append((later, windows.count())) or judge(windows, later))
+    text = " ".join(f"w{i}" for i in range(412))
+    docs = spark.createDataFrame([(1, text), (2, f"x {text}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.dedup(docs).orderBy("doc_id").collect()] == [0, 412]
+    # all windows, 400 of either text, once, and no job has many more than its part
+    parts = [n for later, n in counts if later]
+    assert 800 <= sum(parts) <= 801 and max(parts) < 600
+
+
 def test_workers_give_back_what_a_batch_took(monkeypatch):
     given = []
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
