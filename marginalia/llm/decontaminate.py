@@ -210,6 +210,8 @@ class Screen:
                 edge = shared == around(shared, self.allowed(n))
                 if len(own):
                     edge |= own[: len(shared)] | own[np.minimum(np.arange(len(shared)) + max(0, n - 2), len(own) - 1)] if len(own) >= len(shared) else True
+                if n == 1 and not self.allowed(n):  # one word has no pairs, and must be some item's
+                    edge = edge & (ids > 0)
                 at = np.flatnonzero((shared >= self.needed(n)) & edge)
                 starts.append(at)
                 lengths.append(np.full(len(at), n))
