@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marginalia.functions.dialect import Spark
+from marginalia.functions.dialect import SPARK, Spark
 
 from .base import is_lang, operator, reads, squeeze, view, words
 from .layout import guesses_of
+from .trees import let
 
 
 @view
@@ -141,6 +142,35 @@ def heading_levels_from_styles(d: Spark) -> str:
       where named is not null or outline between 0 and 5"""
 
 
+def _numbering_by_document(name: str) -> str:
+    """The same with a document's styles, numbers and levels as arrays beside its paragraphs: all that is joined or gathered is so by
+    document alone. A paragraph without a number follows its styles in a fold, each step to all the styles that the step before names."""
+    by_doc = lambda source, where="true", **fields: f"(select doc_id, collect_list({SPARK.struct(**fields)}) a from {source} where {where} group by doc_id)"
+    largest = lambda c: f"greatest(w.{c}, array_max(transform(f, n -> n.{c})))"
+    further = "array_distinct(transform(filter(f, n -> n.more and n.base is not null), n -> n.base))"
+    step = let("f", "filter(nodes, n -> array_contains(w.ids, n.id))", SPARK.struct(ids=further, num=largest("num"), lvl=largest("lvl")))
+    none = lambda c: f"get(transform(filter(nodes, n -> false), n -> n.{c}), 0)"
+    walk = f"aggregate(sequence(1, 12), {SPARK.struct(ids='array(style)', num=none('num'), lvl=none('lvl'))}, (w, i) -> if(size(w.ids) = 0, w, {step}))"
+    most = lambda c: f"array_max(transform(filter(m, x -> x.num is not null), x -> x.{c}))"
+    more = "not coalesce(exists(m, x -> x.num is not null), false) or coalesce(exists(m, x -> x.num is null), false)"
+    node = let("m", "filter(own, x -> x.id = s.id)", SPARK.struct(id="s.id", base="s.base", more=more, num=most("num"), lvl=most("lvl")))
+    fmt = "array_min(transform(filter(overrides, x -> x.num = n.num and x.lvl = level), x -> named_struct('seq', x.seq, 'fmt', x.fmt))).fmt"
+    return f"""select doc_id, para, case when fmt is not null then case when fmt = 'bullet' then 'ul' else 'ol' end when n is null then 'ul' when l is null or coalesce(l.fmt, 'decimal') in ('bullet', 'none') then 'ul' else 'ol' end tag, cast(level as int) level
+      from (select doc_id, para, level, n, fmt, explode_outer(filter(levels, x -> x.id = n.abs and x.lvl = level)) l
+      from (select doc_id, para, level, n, levels, {fmt} fmt
+      from (select doc_id, para, level, overrides, levels, explode_outer(filter(nums, x -> x.num = num_id)) n
+      from (select doc_id, para, num_id, nums, overrides, levels, case when given is not null then coalesce(ilvl, 0) when followed is not null then followed when {name} <> '' then cast({name} as int) - 1 else 0 end level
+      from (select doc_id, para, given, num_id, followed, ilvl, nums, overrides, levels, explode_outer(transform(filter(styles, s -> s.id = style), s -> s.name)) style_name
+      from (select *, coalesce(given, c.num) num_id, c.lvl followed from (select *, case when given is null then {walk} end c
+      from (select *, case when given is null then transform(styles, s -> {node}) end nodes from (
+        select p.doc_id, p.para, cast(p.style_id as string) style, p.num_id given, p.ilvl, s.a styles, o.a own, n.a nums, v.a overrides, l.a levels from fx_doc_paragraphs p
+        left join {by_doc('fx_styles', id='cast(style_id as string)', base='cast(base_id as string)', name='style_name')} s on s.doc_id = p.doc_id
+        left join {by_doc('fx_style_nums', id='cast(style_id as string)', num='num_id', lvl='ilvl')} o on o.doc_id = p.doc_id
+        left join {by_doc('fx_nums', num='num_id', abs='abstract_id')} n on n.doc_id = p.doc_id
+        left join {by_doc('fx_num_overrides', 'fmt is not null and seq is not null', num='num_id', lvl='ilvl', seq='seq', fmt='fmt')} v on v.doc_id = p.doc_id
+        left join {by_doc('fx_abstract_nums', id='abstract_id', lvl='ilvl', fmt='fmt')} l on l.doc_id = p.doc_id) j) k) w) y where num_id > 0) z) q) r) u) t"""
+
+
 @operator
 def numbering_kind(d: Spark) -> str:
     """Bulleted or numbered, and the level. A paragraph's own number counts, else that of the nearest of twelve styles that has one; a
@@ -148,6 +178,8 @@ def numbering_kind(d: Spark) -> str:
     level where this names a format, else by its abstract level (numbered where that names none), and where neither is known. Of
     overrides that repeat a level, the first by ``seq`` that names a format counts."""
     name = d.extract("lower(coalesce(style_name, ''))", r"^list (?:bullet|number) ([2-9])$", 1)
+    if d.name == "spark":
+        return _numbering_by_document(name)
     return f"""with recursive numbered_styles as (select s.doc_id, s.style_id, s.base_id, s.style_name, n.num_id, n.ilvl from fx_styles s left join fx_style_nums n on n.doc_id = s.doc_id and n.style_id = s.style_id),
       num_chain as (select doc_id, style_id, base_id, num_id, ilvl, 0 step from numbered_styles
         union all select c.doc_id, c.style_id, s.base_id, s.num_id, s.ilvl, c.step + 1 from num_chain c join numbered_styles s on s.doc_id = c.doc_id and s.style_id = c.base_id where c.step < 11 and c.num_id is null),

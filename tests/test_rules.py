@@ -812,3 +812,27 @@ def test_places_of_findings_are_not_shuffled_and_share_their_texts(spark, monkey
         ],
         key=repr,
     )
+
+
+def test_numbers_are_found_without_a_shuffle(spark, monkeypatch):
+    kept = kept_columns(monkeypatch)
+    df = registry.apply(spark, "numbering_kind", **tables_of_parts(spark))
+    assert kept == [("doc_id", ["doc_id", "ord", "pk", "sk"])]
+    assert df.count() > 20 and shuffles(df) == 0
+
+
+def test_numbers_of_long_chains_rings_and_repeated_rows(spark):
+    """The nearest of twelve styles; rings end; of rows that repeat a style the largest number and level count, and each makes a row."""
+    chain = [(1, i, i + 1, None, "Base") for i in range(1, 14)]
+    styles = ("doc_id long, style_id int, base_id int, outline_lvl int, style_name string", [*chain, (2, 1, 2, None, "List Number 4"), (2, 2, 1, None, "x"), (3, 1, 2, None, "a"), (3, 1, 3, None, "List Bullet 2"), (3, 2, None, None, "b"), (3, 3, None, None, "c")])
+    nums = {
+        "fx_style_nums": ("doc_id long, style_id int, num_id int, ilvl int", [(1, 13, 5, 1), (3, 2, 4, 2), (3, 3, 6, None), (2, 7, 1, 1)]),
+        "fx_nums": ("doc_id long, num_id int, abstract_id int", [(1, 5, 1), (3, 6, 1), (3, 6, 2), (None, 5, 1)]),
+        "fx_num_overrides": ("doc_id long, num_id int, ilvl int, seq int, fmt string", [(3, 6, 2, None, "decimal")]),
+        "fx_abstract_nums": ("doc_id long, abstract_id int, ilvl int, fmt string", [(1, 1, 1, "decimal"), (3, 1, 2, "bullet"), (3, 2, 2, None)]),
+    }
+    paras = [(1, 1, 1, None, None), (1, 2, 2, None, None), (2, 1, 1, None, None), (3, 1, 1, None, None), (None, 1, 1, 5, 3), (4, 1, 1, 5, None), (4, 2, 1, None, 1)]
+    frame = ("doc_id long, para int, style_id int, num_id int, ilvl int, text string, outline_lvl int", [(i, p, s, n, lv, "x", None) for i, p, s, n, lv in paras])
+    got = run(spark, "numbering_kind", "doc_id", "para", "tag", "level", fx_styles=styles, fx_doc_paragraphs=frame, **nums)
+    # document 3: two rows of the style, and two of number 6
+    assert got == sorted([(1, 2, "ol", 1), *[(3, 1, t, 2) for t in ("ul", "ol") * 2], (None, 1, "ul", 3), (4, 1, "ul", 0)], key=repr)
