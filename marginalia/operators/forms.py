@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from marginalia.functions.dialect import Spark
 
 from .base import banded, meet, operator, squeeze, stored, view, words
+from .trees import let
 
 
 def overlaps(a: str, b: str) -> str:
@@ -292,35 +295,57 @@ CONFIDENCE = 0.7
 # End of fixed values.
 
 
+def _listed(d: Spark) -> str:
+    """The list in a model's reply, as text."""
+    return d.extract("coalesce(reply, '')", r"(?s)\[.*\]", 0)
+
+
+def _items(d: Spark) -> str:
+    """The objects of a reply's list, for Spark; null for a reply without one."""
+    return f"transform(from_json({_listed(d)}, 'array<string>'), x -> from_json(x, 'label string, kind string, confidence string, rect array<string>'))"
+
+
 @stored
 def offered_boxes(d: Spark) -> str:
     """(doc_id, page, n, label, kind, confidence, a, b, c, e): what the list in a model's reply holds, item by item. Words around the
     list do not matter. Items that are no objects, or numbers that are none, come as nulls; a reply without a list has no items."""
-    found = d.extract("coalesce(reply, '')", r"(?s)\[.*\]", 0)
     if d.name == "duck":
         field = lambda path: f"json_extract_string(x, '{path}')"
         number = lambda path: d.number(field(path))
-        items = f"(select doc_id, page, case when json_valid(arr) and json_type(arr) = 'ARRAY' then json_extract(arr, '$[*]') else [] end arr from (select doc_id, page, {found} arr from fx_replies) r) s"
+        items = f"(select doc_id, page, case when json_valid(arr) and json_type(arr) = 'ARRAY' then json_extract(arr, '$[*]') else [] end arr from (select doc_id, page, {_listed(d)} arr from fx_replies) r) s"
         return f"""select doc_id, page, cast(pos + 1 as int) n, {field('$.label')} as label, {field('$.kind')} kind, {number('$.confidence')} confidence, {number('$.rect[0]')} a, {number('$.rect[1]')} b, {number('$.rect[2]')} c, {number('$.rect[3]')} e
           from ({d.each(items, 'arr', 'doc_id, page')}) i"""
     number = lambda i: f"try_cast(get(o.rect, {i}) as double)"
-    schema = "label string, kind string, confidence string, rect array<string>"
     # items are read before they become rows: a filter on what they hold cannot have them read again
-    items = f"transform(from_json({found}, 'array<string>'), x -> from_json(x, '{schema}'))"
     return f"""select doc_id, page, cast(pos + 1 as int) n, o.label label, o.kind kind, try_cast(o.confidence as double) confidence, {', '.join(f'{number(i)} {c}' for i, c in enumerate('abce'))}
-      from (select doc_id, page, pos, x o from ({d.each('fx_replies', items, 'doc_id, page')}) i) j"""
+      from (select doc_id, page, pos, x o from ({d.each('fx_replies', _items(d), 'doc_id, page')}) i) j"""
+
+
+def _real(of: str = "") -> str:
+    """Whether an item has four numbers."""
+    return " and ".join(f"not isnan({of}{c}) and abs({of}{c}) < 1e300" for c in "abce")
+
+
+def _corners(of: str = "") -> dict[str, str]:
+    """The corners of an item's box in order, held to the page g."""
+    ends = {"x": (f"{of}a, {of}c", "g.width"), "y": (f"{of}b, {of}e", "g.height")}
+    return {f"{axis}{i}": f"least(greatest({end}({two}), 0), {most})" for i, end in enumerate(("least", "greatest")) for axis, (two, most) in ends.items()}
+
+
+#: What a box that is kept has: 4 points or more either way, no more than a quarter of the page high or large.
+FITS = "x1 - x0 >= 4 and y1 - y0 >= 4 and y1 - y0 <= 0.25 * height and (x1 - x0) * (y1 - y0) <= 0.25 * width * height"
 
 
 @view
 def kept_boxes(d: Spark) -> str:
     """Items that are boxes on their page: corners put in order and held to the page, 4 points or more either way, no more than a
     quarter of the page high or large."""
-    real = " and ".join(f"not isnan({c}) and abs({c}) < 1e300" for c in "abce")
+    corners = ", ".join(f"{value} {name}" for name, value in _corners().items())
     return f"""select doc_id, page, n, trim(substr({squeeze(d, "coalesce(label, '')")}, 1, 120)) label, case when {kind_of('kind', BOX_KINDS)} then lower(trim(kind)) else 'text' end kind,
         case when confidence is null or isnan(confidence) then cast({CONFIDENCE} as double) else greatest(cast(0 as double), least(cast(1 as double), confidence)) end confidence, x0, y0, x1, y1 from (
-      select o.*, g.width, g.height, least(greatest(least(a, c), 0), g.width) x0, least(greatest(least(b, e), 0), g.height) y0, least(greatest(greatest(a, c), 0), g.width) x1, least(greatest(greatest(b, e), 0), g.height) y1
-      from offered_boxes o join (select doc_id, page, cast(width as double) width, cast(height as double) height from fx_form_pages where width > 0 and height > 0) g on g.doc_id = o.doc_id and g.page = o.page where {real}) h
-      where x1 - x0 >= 4 and y1 - y0 >= 4 and y1 - y0 <= 0.25 * height and (x1 - x0) * (y1 - y0) <= 0.25 * width * height"""
+      select o.*, g.width, g.height, {corners}
+      from offered_boxes o join (select doc_id, page, cast(width as double) width, cast(height as double) height from fx_form_pages where width > 0 and height > 0) g on g.doc_id = o.doc_id and g.page = o.page where {_real()}) h
+      where {FITS}"""
 
 
 def kind_of(column: str, kinds: str) -> str:
@@ -335,6 +360,28 @@ def model_boxes(d: Spark) -> str:
 @operator
 def model_box_counts(d: Spark) -> str:
     """Replies with how many boxes they offer and how many of these are kept; whether they hold a list at all."""
+    if d.name == "spark":
+        # items stay in their reply until the sizes of its page stand beside them, and only boxes that some page could keep have numbers
+        number = lambda i: f"try_cast(get(o.rect, {i}) as double)"
+        large = "abs(q.a - q.c) >= 4 and abs(q.b - q.e) >= 4"
+        boxes = f"transform(items, o -> {let('q', d.struct(**{c: number(i) for i, c in enumerate('abce')}), f'case when {_real("q.")} and {large} then q end')})"
+        box = let("k", d.struct(**_corners("b."), width="g.width", height="g.height"), re.sub(r"\b([xy][01]|width|height)\b", r"k.\1", FITS))
+        hits = f"case when b is null or sizes is null then 0 else size(filter(sizes, g -> {box})) end"
+        hits = f"case when doc_id is not null and page is not null and boxes is not null then transform(boxes, b -> {hits}) else cast(array() as array<int>) end"
+        # replies of one page are joined with the items of all of them, as boxes are with those of their number; the first of them counts
+        own = "partition by doc_id, page"
+        numbered = "filter(transform(every, h -> get(h, i)), k -> k is not null)"
+        alike = let("ks", numbered, let("sum", "aggregate(ks, 0L, (t, k) -> t + k)", d.struct(offered="size(ks) * greatest(sum, 1L)", kept="size(ks) * sum")))
+        by_number = f"transform(sequence(0, array_max(transform(every, h -> size(h)))), i -> {alike})"
+        total = lambda c: f"size(every) * aggregate(numbers, 0L, (t, x) -> t + x.{c}) {c}"
+        return f"""select doc_id, page, {total('offered')}, {total('kept')} from (select doc_id, page, every, {by_number} numbers from (
+          select doc_id, page, first, collect_list(hits) over ({own}) every from (
+            select doc_id, page, first, {hits} hits from (
+              select r.doc_id, r.page, r.first, r.boxes, s.sizes from (
+                select doc_id, page, boxes, row_number() over ({own} order by page) first from (select doc_id, page, {boxes} boxes from (select doc_id, page, {_items(d)} items from fx_replies) i) o) r
+              left join (select doc_id, page, sizes from (select doc_id, page, first, collect_list(named_struct('width', width, 'height', height)) over ({own}) sizes from (
+                select doc_id, page, cast(width as double) width, cast(height as double) height, row_number() over ({own} order by page) first
+                from fx_form_pages where width > 0 and height > 0) p) w where first = 1) s on s.doc_id = r.doc_id and s.page = r.page) j) h) e where first = 1) t"""
     return """select r.doc_id, r.page, count(o.n) offered, count(k.n) kept from fx_replies r left join offered_boxes o on o.doc_id = r.doc_id and o.page = r.page
       left join kept_boxes k on k.doc_id = o.doc_id and k.page = o.page and k.n = o.n group by r.doc_id, r.page"""
 

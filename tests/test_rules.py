@@ -836,3 +836,18 @@ def test_numbers_of_long_chains_rings_and_repeated_rows(spark):
     got = run(spark, "numbering_kind", "doc_id", "para", "tag", "level", fx_styles=styles, fx_doc_paragraphs=frame, **nums)
     # document 3: two rows of the style, and two of number 6
     assert got == sorted([(1, 2, "ol", 1), *[(3, 1, t, 2) for t in ("ul", "ol") * 2], (None, 1, "ul", 3), (4, 1, "ul", 0)], key=repr)
+
+
+def test_boxes_of_a_page_are_counted_beside_its_sizes(spark, monkeypatch):
+    """Replies of one page are joined with the items of all of them, and boxes with those of their number, of each size that keeps them."""
+    box, wide, bad = '{"rect":[10,10,60,30]}', '{"rect":[10,10,500,30]}', '{"rect":["x",1,2,3]}'
+    replies = (REPLIES, [(1, 1, f"[{box},{wide},{bad}]"), (1, 1, f"[{box}]"), (1, 2, f"[{box},7,{wide}]"), (2, 1, f"[{box}]"), (3, 1, "none"), (3, 1, None), (None, 1, f"[{box}]"), (4, None, f"[{box}]")])
+    sizes = [(1, 1, 600.0, 800.0), (1, 2, 600.0, 800.0), (1, 2, 50.0, 300.0), (1, 2, 0.0, 800.0), (None, 1, 600.0, 800.0), (4, None, 600.0, 800.0), (5, 1, 600.0, 800.0)]
+    got = run(spark, "model_box_counts", "doc_id", "page", "offered", "kept", fx_replies=replies, fx_form_pages=(SIZES, sizes))
+    # page 1: two items of number 1 and two boxes of it, for each of two replies; page 2: two sizes keep the first box, both the wide one
+    assert got == sorted([(1, 1, 12, 10), (1, 2, 5, 4), (2, 1, 1, 0), (3, 1, 0, 0), (None, 1, 0, 0), (4, None, 0, 0)], key=repr)
+    kept = kept_columns(monkeypatch)
+    df = registry.apply(spark, "model_box_counts", **tables_of_parts(spark))
+    assert kept == [("doc_id", ["doc_id", "ord", "pk", "sk", "qty", "name", "psize"])]
+    # replies meet sizes once: one shuffle each
+    assert df.count() > 20 and shuffles(df) <= 2
